@@ -1 +1,3 @@
+"""Registered queries: each module of the catalogue holds QUERIES and SQL."""
 
+CATALOGUE: list = []
