@@ -1,5 +1,5 @@
 """Modules whose queries ``__spark_entry__.py`` registers."""
 
-from footfall.llm import decontaminate, mixing, simhash, topk
+from footfall.llm import decontaminate, langid, mixing, quality, simhash, tokenbin, topk
 
-MODULES = [topk, decontaminate, mixing, simhash]
+MODULES = [topk, decontaminate, mixing, tokenbin, quality, langid, simhash]
