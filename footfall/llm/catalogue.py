@@ -1,5 +1,5 @@
 """Modules whose queries ``__spark_entry__.py`` registers."""
 
-from footfall.llm import decontaminate, langid, mixing, quality, simhash, tokenbin, topk
+from footfall.llm import decontaminate, langid, mixing, pii, quality, rollups, simhash, tokenbin, topk
 
-MODULES = [topk, decontaminate, mixing, tokenbin, quality, langid, simhash]
+MODULES = [topk, decontaminate, rollups, mixing, tokenbin, pii, quality, langid, simhash]
