@@ -39,7 +39,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     """``source, source_size, target``: all words shared by the repeating weights, none above ``cap`` times its stock.
 
     Sharing the excess again and again ends where every source gets the least of its cap and one
-    common level times its weight; that level is found from running sums in the order of cap / weight.
+    common level times its weight; that level is found from running sums in the order of cap / weight,
+as the greatest that leaves its source within the cap.
     There is one row per source here, so the windows over all of them are small.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -55,7 +56,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
         F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("full"),
         (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("open_w"),
     ).withColumn("level", (F.col("total") - F.col("full")) / F.col("open_w"))
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(every))
+    per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(every))
     fair = F.col("level") * F.col("w")
     return per.select("source", "source_size", F.when(fair < F.col("most"), fair).otherwise(F.col("most")).alias("target"))
 
@@ -164,7 +165,8 @@ QUERIES = {"op4_mix_sources": op4_mix_sources}
 SQL = {
     "op4_mix_sources": r"""
 WITH s AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size FROM documents
 ), p AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, 3.0 * CAST(sum(size) AS DOUBLE) AS most FROM s GROUP BY source
 ), w AS (
@@ -173,7 +175,7 @@ WITH s AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS lvl FROM w
   WINDOW b AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, most, least(most, w * (SELECT min(lvl) FROM l WHERE lvl * w <= most)) AS target FROM l
+  SELECT source, source_size, most, least(most, w * (SELECT max(lvl) FROM l WHERE lvl * w <= most)) AS target FROM l
 ), e AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.target * 1.0 / t.source_size AS want,
     (CAST(('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
