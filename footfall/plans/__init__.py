@@ -1,3 +1,5 @@
 """Registered queries: each module of the catalogue holds QUERIES and SQL."""
 
-CATALOGUE: list = []
+from footfall.plans import accuracy, logs, scoring
+
+CATALOGUE: list = [scoring, accuracy, logs]
