@@ -1,5 +1,5 @@
 """Registered queries: each module of the catalogue holds QUERIES and SQL."""
 
-from footfall.plans import accuracy, logs, scoring
+from footfall.plans import accuracy, evidence, graphs, logs, scoring
 
-CATALOGUE: list = [scoring, accuracy, logs]
+CATALOGUE: list = [scoring, accuracy, logs, graphs, evidence]
