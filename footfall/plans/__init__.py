@@ -1,5 +1,5 @@
 """Registered queries: each module of the catalogue holds QUERIES and SQL."""
 
-from footfall.plans import accuracy, cleaning, evidence, graphs, logs, scoring
+from footfall.plans import accuracy, cleaning, evidence, graphs, logs, scoring, spatial
 
-CATALOGUE: list = [scoring, cleaning, accuracy, logs, graphs, evidence]
+CATALOGUE: list = [scoring, cleaning, spatial, accuracy, logs, graphs, evidence]
