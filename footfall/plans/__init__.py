@@ -1,5 +1,5 @@
 """Registered queries: each module of the catalogue holds QUERIES and SQL."""
 
-from footfall.plans import accuracy, cleaning, evidence, graphs, logs, scoring, spatial, streams
+from footfall.plans import accuracy, cleaning, evidence, files, graphs, logs, scoring, spatial, streams
 
-CATALOGUE: list = [scoring, cleaning, spatial, accuracy, logs, graphs, evidence, streams]
+CATALOGUE: list = [scoring, cleaning, spatial, accuracy, logs, graphs, evidence, files, streams]
