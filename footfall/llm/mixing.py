@@ -72,29 +72,30 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 FEW_SOURCES = 100_000
 
 
-def _by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """``rows`` with the columns that ``per`` has for their source; ``per`` has few rows or is shuffled."""
-    per = per.withColumnRenamed("source", "s")
-    per = F.broadcast(per) if per.count() <= FEW_SOURCES else per
-    return rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+def _by_source(rows: DataFrame, per: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the columns that ``per`` has for their source."""
+    per = per.withColumnRenamed("source", "s_")
+    return rows.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
 
 
-def _ranked(rows: DataFrame, goal: DataFrame, cap: float, seed: str, slices: int) -> DataFrame:
-    """``rows`` with the certain copies ``base``, and ``b1, b2, key`` that order the sampled ones (null: not sampled)."""
-    out = _by_source(rows, goal)
+def _ranked(rows: DataFrame, goal: DataFrame, few: bool, cap: float, seed: str, slices: int) -> DataFrame:
+    """``rows`` with ``source_size, target``, the certain copies ``base``, and ``b1, b2, key`` that order the sampled ones.
+
+    ``key`` is null where nothing is left to sample.
+    """
+    out = _by_source(rows, goal.select("source", "source_size", "target", "imp_size"), few)
     out = out.withColumn("want", F.least(F.lit(float(cap)), F.coalesce(F.try_divide(F.col("target") * F.col("imp"), F.col("imp_size")), F.lit(0.0))))
     out = out.withColumn("base", F.floor("want")).withColumn("pi", F.col("want") - F.col("base")).withColumn("u", uniform(F.col("doc_id"), seed))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    out = out.withColumn("key", F.when((F.col("pi") > 0) & (F.col("size") > 0), odds))
-    at = F.col("key") / (1 + F.col("key")) * slices
-    out = out.withColumn("b1", F.floor(at)).withColumn("b2", F.floor((at - F.floor(at)) * slices))
-    return out.drop("u", "pi", "want")
+    out = out.withColumn("key", F.when((F.col("pi") > 0) & (F.col("size") > 0), odds)).withColumn("at", F.col("key") / (1 + F.col("key")) * slices)
+    out = out.withColumn("b1", F.floor("at")).withColumn("b2", F.floor((F.col("at") - F.col("b1")) * slices))
+    return out.drop("u", "pi", "want", "at", "imp", "imp_size")
 
 
 def _border(hist: DataFrame, bucket: str) -> DataFrame:
-    """``source, bucket, room``: the bucket in which the words wanted run out, and what is wanted of it.
+    """``source, <bucket>_, room_``: the bucket in which the words wanted run out, and what is wanted of it.
 
-    ``hist`` has ``source, <bucket>, size, room``: one row per bucket, at most a fixed number a source.
+    ``hist`` has ``source, <bucket>, size, room``: a fixed number of rows a source at most.
     """
     order = Window.partitionBy("source").orderBy(bucket)
     run = hist.withColumn("upto", F.sum("size").over(order))
@@ -103,62 +104,66 @@ def _border(hist: DataFrame, bucket: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED, importance: str | None = None, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
-    """Sized rows (``doc_id, source, size, imp``) and, per source, what decides each row: target and border."""
-    slim = checkpointed(_sized(docs, importance).select("doc_id", "source", "size", "imp"))
-    goal = targets(slim, weights, cap).withColumnRenamed("source", "g")
+    """(every row's size and rank without its text, and per source its target and the place of its border)."""
+    slim = checkpointed(_sized(docs, importance).drop("row"))
+    goal = targets(slim, weights, cap).withColumnRenamed("source", "g_")
     per = slim.groupBy("source").agg(F.sum(F.col("imp") * F.col("size")).alias("imp_size"))
-    goal = checkpointed(per.join(goal, F.col("source").eqNullSafe(F.col("g"))).drop("g"))
-    ranked = _ranked(slim, goal, cap, seed, slices)
-    sure = ranked.groupBy("source").agg(F.sum(F.col("base") * F.col("size")).alias("sure"), F.first("target").alias("target"))
-    room = checkpointed(sure.select("source", (F.col("target") - F.col("sure")).alias("room")))
-    drawn = ranked.filter("key IS NOT NULL")
-    first = checkpointed(_border(_by_source(drawn.groupBy("source", "b1").agg(F.sum("size").alias("size")), room), "b1"))
-    inner = _by_source(drawn, first).filter("b1 = b1_")
-    second = checkpointed(_border(_by_source(inner.groupBy("source", "b2").agg(F.sum("size").alias("size")), first.select("source", F.col("room_").alias("room"))), "b2"))
-    sliver = _by_source(inner.drop("room_"), second).filter("b2 = b2_").groupBy("source", "key", "doc_id").agg(F.sum("size").alias("size"), F.first("room_").alias("room"))
+    goal = checkpointed(per.join(goal, F.col("source").eqNullSafe(F.col("g_"))).drop("g_"))
+    few = goal.count() <= FEW_SOURCES
+    ranked = checkpointed(_ranked(slim, goal, few, cap, seed, slices))
+
+    sums = ranked.groupBy("source", "b1").agg(F.sum("size").alias("size"), F.sum(F.col("base") * F.col("size")).alias("sure"), F.max("target").alias("target"))
+    room = F.col("target") - F.sum("sure").over(Window.partitionBy("source"))
+    first = checkpointed(_border(sums.withColumn("room", room).filter("b1 IS NOT NULL"), "b1"))
+
+    inner = _by_source(ranked.select("source", "doc_id", "size", "key", "b1", "b2"), first, few).filter("b1 = b1_")
+    hist = inner.groupBy("source", "b2").agg(F.sum("size").alias("size"), F.first("room_").alias("room"))
+    second = checkpointed(_border(hist, "b2"))
+
+    sliver = _by_source(inner.drop("room_"), second, few).filter("b2 = b2_").groupBy("source", "key", "doc_id").agg(F.sum("size").alias("size"), F.first("room_").alias("room"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     taken = sliver.withColumn("upto", upto).filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("room"))
     last = taken.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("last"))
     for part in (first.select("source", "b1_"), second.select("source", "b2_"), last):
-        part = part.withColumnRenamed("source", "s")
-        goal = goal.join(part, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return slim, checkpointed(goal)
+        part = part.withColumnRenamed("source", "s_")
+        goal = goal.join(part, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
+    return ranked, checkpointed(goal)
 
 
 def _sized(docs: DataFrame, importance: str | None) -> DataFrame:
+    """``row, doc_id, source, size, imp``: the whole row beside what the mix goes by."""
     rate = F.coalesce(F.greatest(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)
     text = F.col("text").cast("string")
-    return docs.select(F.struct("*").alias("row"), "doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), rate.alias("imp"))
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), rate.alias("imp"))
 
 
-def decide(rows: DataFrame, goal: DataFrame, cap: float = CAP, seed: str = SEED, slices: int = SLICES) -> DataFrame:
-    """Sized rows with ``source_size, target, copies``, by the border of their source alone."""
-    out = _ranked(rows, goal, cap, seed, slices)
+def decide(ranked: DataFrame, goal: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Ranked rows with ``copies``, by the border of their source alone."""
     place = F.struct(F.col("b1"), F.col("b2"), F.col("key"), F.col("doc_id"))
-    none = F.lit(-1.0)
     border = F.struct(
-        F.coalesce("b1_", F.when(F.col("target") > 0, F.lit(slices + 1)).otherwise(F.lit(-1))).cast("long").alias("b1"),
+        # No border: everything that can be sampled fits.
+        F.coalesce("b1_", F.lit(slices + 1)).cast("long").alias("b1"),
         F.coalesce("b2_", F.lit(-1)).cast("long").alias("b2"),
-        F.coalesce("last.key", none).alias("key"),
+        F.coalesce("last.key", F.lit(-1.0)).alias("key"),
         F.col("last.doc_id").alias("doc_id"),
     )
-    extra = F.when(F.col("key").isNotNull() & (place <= border), 1).otherwise(0)
-    return out.withColumn("copies", (F.col("base") + extra).cast("long")).drop("base", "key", "b1", "b2", "b1_", "b2_", "last", "imp_size", "imp")
+    out = _by_source(ranked, goal.select("source", border.alias("border")), goal.count() <= FEW_SOURCES)
+    extra = F.when(F.col("key").isNotNull() & (place <= F.col("border")), 1).otherwise(0)
+    return out.withColumn("copies", (F.col("base") + extra).cast("long")).drop("base", "key", "b1", "b2", "border")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED, importance: str | None = None, slices: int = SLICES) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    importance = how.get("importance")
-    _, goal = plan(docs, **how)
-    rest = {k: v for k, v in how.items() if k in ("cap", "seed", "slices")}
-    chosen = decide(_sized(docs, importance), goal, **rest).filter("copies > 0")
+    _, goal = plan(docs, weights, cap, seed, importance, slices)
+    ranked = _ranked(_sized(docs, importance), goal, goal.count() <= FEW_SOURCES, cap, seed, slices)
+    chosen = decide(ranked, goal, slices).filter("copies > 0")
     return chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
-    slim, goal = plan(table(spark, sf_dir, "documents"))
-    return decide(slim, goal).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    ranked, goal = plan(table(spark, sf_dir, "documents"))
+    return decide(ranked, goal).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {"op4_mix_sources": op4_mix_sources}
