@@ -4,7 +4,8 @@ A candidate found by its form is validated (Luhn digit, IBAN remainder, octets,
 and replaced by its image under a keyed permutation of all values of its format. The permutation is a
 Feistel network of eight rounds over the value's number in its format, walked on until it falls back
 into the format, so it can be undone with the key, a pseudonym is valid wherever its original was, and
-equal values get equal pseudonyms in every document however they are punctuated.
+equal values get equal pseudonyms in every document however they are punctuated. (A date keeps its
+order, marks and two-digit fields; whether a one-digit field was written without a zero is not kept.)
 
 Kinds: e-mail (its local part), phone (its national number), card, IBAN, social security number, IPv4,
 date (1900 to 2099), and secrets in known forms (access key ids, quoted tokens, passwords).
