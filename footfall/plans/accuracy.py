@@ -56,7 +56,7 @@ def q_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.view(
     "area_weighted_accuracy", ("cases",),
     """
-SELECT round(sum(area * ok / n) / sum(area), 9) AS accuracy, sum(area) AS area FROM (
+SELECT round(sum(area * ok / n) / sum(area), 9) AS accuracy, CAST(sum(area) AS BIGINT) AS area FROM (
   SELECT stratum, CAST(count_if(truth = prediction) AS DOUBLE) AS ok, count(truth) AS n, CAST(CASE stratum WHEN 'A' THEN 300 WHEN 'N' THEN 500 ELSE 200 END AS BIGINT) AS area FROM {cases} GROUP BY stratum
 ) t""",
     "A21: accuracy weighted by the areas of the strata.",
@@ -151,7 +151,7 @@ FROM {cases} GROUP BY stratum, line""",
 R.view(
     "attribution_loss", ("poi_rows",),
     """
-SELECT tag, count(*) AS groups_, count_if(n > 1) AS merged, sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END) AS lost FROM (SELECT tag, name, count(DISTINCT uid) AS n FROM {poi_rows} GROUP BY tag, name) t GROUP BY tag""",
+SELECT tag, count(*) AS groups_, count_if(n > 1) AS merged, CAST(sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS lost FROM (SELECT tag, name, count(DISTINCT uid) AS n FROM {poi_rows} GROUP BY tag, name) t GROUP BY tag""",
     "A33: how many members merged groups lose.",
 )
 
@@ -204,7 +204,7 @@ R.view(
     """
 SELECT coalesce(d.phase, e.phase) AS phase, d.declared, e.events, e.retries, coalesce(d.declared = e.events, false) AS agrees FROM
   (SELECT 'p' || (user_id % 5) AS phase, count(DISTINCT event_id) AS declared FROM {dispatch_log} WHERE user_id % 7 <> 6 GROUP BY 1) d FULL OUTER JOIN
-  (SELECT phase, sum(n) AS events, sum(n - 1) AS retries FROM (SELECT 'p' || (user_id % 5) AS phase, user_id, count(*) AS n FROM {dispatch_log} GROUP BY 1, 2) t GROUP BY phase) e ON d.phase = e.phase""",
+  (SELECT phase, CAST(sum(n) AS BIGINT) AS events, CAST(sum(n - 1) AS BIGINT) AS retries FROM (SELECT 'p' || (user_id % 5) AS phase, user_id, count(*) AS n FROM {dispatch_log} GROUP BY 1, 2) t GROUP BY phase) e ON d.phase = e.phase""",
     "A50: declared counts against counted events per phase, with retries.",
 )
 

@@ -120,7 +120,7 @@ SELECT reason, count(*) AS n, min(ord) AS first_ord FROM (
 R.view(
     "review_sample", ("facilities",),
     """
-SELECT category, id, n FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY md5(CAST(id AS VARCHAR(20))), id) AS n FROM {facilities}) t WHERE n <= 15""",
+SELECT category, id, CAST(n AS BIGINT) AS n FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY md5(CAST(id AS VARCHAR(20))), id) AS n FROM {facilities}) t WHERE n <= 15""",
     "W18: fifteen per category in a stable pseudo-random order.",
 )
 

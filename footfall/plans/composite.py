@@ -57,7 +57,7 @@ R.view(
 R.view(
     "refinement_priority", ("demand",),
     """
-SELECT id, class, place FROM (SELECT id, class, row_number() OVER (ORDER BY class, price DESC, id) AS place FROM (
+SELECT id, class, CAST(place AS BIGINT) AS place FROM (SELECT id, class, row_number() OVER (ORDER BY class, price DESC, id) AS place FROM (
   SELECT id, price, CASE WHEN price > 490000 THEN 0 WHEN price > 470000 THEN 1 ELSE 2 END AS class FROM {demand} WHERE price > 450000) c) t WHERE place <= 200""",
     "T5: refinement by class, size and point.",
 )

@@ -136,4 +136,15 @@ class Registry:
             return spark.sql(sql, **{t: demo(spark, sf_dir, t) for t in tables})
 
         query.__name__, query.__doc__ = name, doc
-        self.add(name, re.sub(r"\{(\w+)\}", r"\1", sql), tables)(query)
+        self.add(name, _as_bigint(re.sub(r"\{(\w+)\}", r"\1", sql)), tables)(query)
+
+
+def _as_bigint(sql: str) -> str:
+    """``count_if(x)`` as ``count(*) FILTER (WHERE x)``: the former is wider than a long in DuckDB."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(*) FILTER (WHERE {sql[at + len('count_if(') : end - 1]}){sql[end:]}"
+    return sql

@@ -78,7 +78,7 @@ SELECT angle, chord FROM (
 R.view(
     "novelty_pauses", ("dispatch_log",),
     """
-SELECT cell, max(fails) AS most_in_a_row, max(fails) >= 2 AS paused, count(*) AS n FROM (
+SELECT cell, CAST(max(fails) AS BIGINT) AS most_in_a_row, max(fails) >= 2 AS paused, count(*) AS n FROM (
   SELECT cell, sum(CASE WHEN fresh = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY cell, run ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS fails FROM (
     SELECT cell, event_id, fresh, sum(fresh) OVER (PARTITION BY cell ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT user_id AS cell, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, CAST(floor(value / 10.0) AS BIGINT) ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM {dispatch_log}) a) b

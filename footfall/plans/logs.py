@@ -32,7 +32,7 @@ SELECT service, max(n) AS most_in_window FROM (SELECT service, count(*) OVER (PA
 R.view(
     "most_in_flight", LOG,
     """
-SELECT service, max(open_) AS most_in_flight FROM (
+SELECT service, CAST(max(open_) AS BIGINT) AS most_in_flight FROM (
   SELECT service, sum(step) OVER (PARTITION BY service ORDER BY moment, step, event_id ROWS UNBOUNDED PRECEDING) AS open_ FROM (
     SELECT service, event_id, start_ms AS moment, 1 AS step FROM {dispatch_log} UNION ALL SELECT service, event_id, end_ms AS moment, -1 AS step FROM {dispatch_log}) e
 ) t GROUP BY service""",
@@ -75,7 +75,7 @@ SELECT user_id, max(streak) AS longest, min(CASE WHEN streak >= 3 THEN event_id
 R.view(
     "session_leases", LOG,
     """
-SELECT user_id AS session, n, count(*) AS beats, min(start_ms) AS opened, max(start_ms) + 21600000 AS expires FROM (
+SELECT user_id AS session, CAST(n AS BIGINT) AS n, count(*) AS beats, min(start_ms) AS opened, max(start_ms) + 21600000 AS expires FROM (
   SELECT user_id, start_ms, sum(fresh) OVER (PARTITION BY user_id ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS n FROM (
     SELECT user_id, event_id, start_ms, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id) <= 21600000 THEN 0 ELSE 1 END AS fresh FROM {dispatch_log}) g
 ) t GROUP BY user_id, n""",
@@ -202,7 +202,7 @@ SELECT r.task, count(*) AS revisions FROM {revisions} r WHERE NOT EXISTS (SELECT
 R.view(
     "stage_clocks", ("revisions",),
     """
-SELECT task, stage, started, count(*) AS updates FROM (
+SELECT task, stage, CAST(started AS BIGINT) AS started, count(*) AS updates FROM (
   SELECT task, revision, stage, max(CASE WHEN changed THEN n END) OVER (PARTITION BY task ORDER BY n ROWS UNBOUNDED PRECEDING) AS started FROM (
     SELECT task, revision, stage, n, n = 1 OR stage <> lag(stage) OVER (PARTITION BY task ORDER BY n) AS changed FROM (
       SELECT task, revision, stage, row_number() OVER (PARTITION BY task ORDER BY revision, part, supp, price, quantity, stage) AS n FROM {revisions}) a) b

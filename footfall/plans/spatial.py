@@ -220,7 +220,7 @@ R.view(
 R.view(
     "candidate_order", ("facilities",),
     """
-SELECT id, category, place, row_number() OVER (ORDER BY place, category) AS turn FROM (
+SELECT id, category, CAST(place AS BIGINT) AS place, CAST(row_number() OVER (ORDER BY place, category) AS BIGINT) AS turn FROM (
   SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY abs(balance - 1000), id) AS place FROM {facilities}
 ) t WHERE place <= 8""",
     "W2, W3, T2: candidates by closeness to the decision edge, taken in turn across categories.",
