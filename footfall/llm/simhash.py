@@ -5,6 +5,10 @@ half differs in at most one, so the two share a *variant*: that half with one bi
 out. Every distinct fingerprint is indexed under its 64 variants, equal variants meet by key, and
 each meeting is verified on the whole fingerprint.
 
+Texts of a looser likeness (0.8 of their five-word shingles, some seven to ten bits in 64) are found
+with a signature of several such fingerprints: each has its own variants, so a pair has several
+chances to meet, and a meeting is verified on the bits of the whole signature.
+
 Cases: a null text counts as an empty one; texts without words share fingerprint zero; rows with
 a null ``doc_id`` are kept, linked like others and never name a component unless all its ids are
 null; repeated rows come out as often as they come in; extra columns are ignored.
@@ -27,13 +31,16 @@ BUCKET = 2048
 DISTANCE = 2
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the word shingles of ``text`` (ASCII lower case, ASCII white space), as a signed 64-bit integer."""
+def signature(text: str | None, width: int = 3, count: int = 1) -> np.ndarray:
+    """``count`` SimHashes of the word shingles of ``text`` (ASCII lower case, ASCII white space), as signed 64-bit integers.
+
+    The first is built from the shingles' hashes themselves, each other one from a mix of them.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(count, np.int64)
     joined = b" ".join(words)
     if len(words) <= width:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -43,20 +50,41 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)]
     values = np.array(hashes, np.uint64)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((count, 64), np.int64)
     for at in range(0, len(values), 4096):
-        ones += np.unpackbits(values[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.int64)[0])
+        part = values[at : at + 4096]
+        for n in range(count):
+            bits = part if n == 0 else _mixed(part, n)
+            ones[n] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(values), axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def _mixed(x: np.ndarray, n: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * n + 1)) % 2**64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, fp``: the signed fingerprint of each row's whole text."""
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the word shingles of ``text``, as a signed 64-bit integer."""
+    return int(signature(text, width)[0])
+
+
+def _names(count: int) -> list[str]:
+    return [f"f{n}" for n in range(count)]
+
+
+def fingerprints(docs: DataFrame, width: int = 3, count: int = 1) -> DataFrame:
+    """``doc_id, fp, f0 ...``: the fingerprints of each row's whole text, and a name ``fp`` for all of them (the one itself, if one)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, width) for t in pdf["text"]], np.int64)})
+            found = np.array([signature(t, width, count) for t in pdf["text"]], np.int64).reshape(len(pdf), count)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: found[:, n] for n, c in enumerate(_names(count))}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in _names(count)))
+    return out.withColumn("fp", F.col("f0") if count == 1 else F.xxhash64(*_names(count)))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,98 +103,109 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _meet(keys: np.ndarray, fps: np.ndarray, distance: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified links (a forest) among rows sorted by key, and the fingerprints of keys with over ``bucket`` rows."""
+def _meet(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, distance: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified links (a forest) among rows sorted by key, and the ids of keys with over ``bucket`` rows."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(edge)
     group = np.repeat(np.arange(len(size)), size)
     large = size[group] > bucket
-    dense = np.unique(fps[large])
+    dense = np.unique(ids[large])
     rows = np.flatnonzero(~large & (size[group] > 1))
     a, b, step = [], [], 1
     while len(rows):
         rows = rows[rows + step < len(keys)]
         rows = rows[group[rows] == group[rows + step]]
-        near = np.bitwise_count((fps[rows] ^ fps[rows + step]).view(np.uint64)) <= distance
+        near = np.bitwise_count((words[rows] ^ words[rows + step]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= distance
         a.append(rows[near])
         b.append(rows[near] + step)
         step += 1
     if not a:
-        return fps[:0], fps[:0], dense
-    values, at = np.unique(fps, return_inverse=True)
+        return ids[:0], ids[:0], dense
+    values, at = np.unique(ids, return_inverse=True)
     x, y = at[np.concatenate(a)], at[np.concatenate(b)]
     root = _roots(len(values), np.minimum(x, y), np.maximum(x, y))
     hung = np.flatnonzero(root != np.arange(len(values)))
     return values[hung], values[root[hung]], dense
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """``key, fp``: each fingerprint under its 64 one-wildcard half signatures."""
-    half = F.when(F.col("v") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
+def variants(fps: DataFrame, count: int = 1) -> DataFrame:
+    """``key`` and the columns of ``fps``: each row under the 64 one-wildcard half signatures of each fingerprint."""
+    word = F.element_at(F.array(*_names(count)), (F.col("v") / 64).cast("int") + 1)
+    half = F.when(F.col("v") % 64 < 32, word.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(word, 32))
     bit = F.expr("shiftleft(1L, CAST(v % 32 AS INT))")
     key = half.bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.expr("shiftleft(CAST(v AS BIGINT), 32)"))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select(key.alias("key"), "fp")
+    return fps.select("fp", *_names(count), F.explode(F.sequence(F.lit(0), F.lit(64 * count - 1))).alias("v")).select(key.alias("key"), "fp", *_names(count))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """``src, dst``: links between distinct fingerprints ``fp`` that connect all pairs within ``distance`` (at most 2) bits.
+def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, count: int = 1) -> DataFrame:
+    """``src, dst``: links between distinct rows of ``fp, f0 ...`` within ``distance`` bits of the whole signature.
 
-    Not every pair is returned, but every pair is connected: each task returns a forest of the
-    links it has verified. A variant with over ``bucket`` members is settled by `_dense_links`.
+    Not every pair is returned, but every pair that meets is connected: each task returns a forest of the
+    links it has verified. With one fingerprint and up to two bits, all pairs meet. A variant with over
+    ``bucket`` members is settled by `_dense_links`, on two bits of any one fingerprint.
     """
-    if not 0 <= distance <= 2:
-        raise ValueError("two halves guarantee a shared variant up to a distance of 2")
+    if count == 1 and not 0 <= distance <= 2:
+        raise ValueError("links of one fingerprint are complete up to a distance of 2")
+    names = _names(count)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = np.zeros((0, 2 + count), np.int64)
 
-        def out(keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-            a, b, dense = _meet(keys, values, distance, bucket)
+        def out(rows: np.ndarray) -> pd.DataFrame:
+            a, b, dense = _meet(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]), distance, bucket)
             return pd.DataFrame({"src": np.r_[a, dense], "dst": np.r_[b, dense]})
 
         for pdf in batches:
-            keys, values = np.r_[rest_k, pdf["key"].to_numpy()], np.r_[rest_f, pdf["fp"].to_numpy()]
-            if not len(keys):
+            rows = np.concatenate([rest, pdf[["key", "fp", *names]].to_numpy(np.int64)])
+            if not len(rows):
                 continue
-            cut = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0])  # the last key may go on in the next batch
             if cut:
-                yield out(keys[:cut], values[:cut])
-            rest_k, rest_f = keys[cut:], values[cut:]
-            if len(rest_k) > 4 * max(bucket, 1):  # a dense key: hand on all but enough rows to know it by
+                yield out(rows[:cut])
+            rest = rows[cut:]
+            if len(rest) > 4 * max(bucket, 1):  # a dense key: hand on all but enough rows to know it by
                 keep = bucket + 1
-                yield pd.DataFrame({"src": rest_f[keep:], "dst": rest_f[keep:]})
-                rest_k, rest_f = rest_k[:keep], rest_f[:keep]
-        if len(rest_k):
-            yield out(rest_k, rest_f)
+                yield pd.DataFrame({"src": rest[keep:, 1], "dst": rest[keep:, 1]})
+                rest = rest[:keep]
+        if len(rest):
+            yield out(rest)
 
-    met = variants(fps).repartition("key").sortWithinPartitions("key").mapInPandas(run, "src long, dst long").distinct()
+    met = variants(fps, count).repartition("key").sortWithinPartitions("key").mapInPandas(run, "src long, dst long").distinct()
     met = checkpointed(met)
     found = met.filter("src <> dst")
     dense = met.filter("src = dst").select(F.col("src").alias("fp"))
     if dense.isEmpty():
         return found
-    return found.unionByName(_dense_links(dense))
+    crowded = fps.join(dense, "fp", "left_semi")
+    for name in names:
+        own = crowded.select("fp", F.col(name).alias("w"))
+        found = found.unionByName(_dense_links(own, distance if count == 1 else DISTANCE))
+    return found
 
 
-def _dense_links(fps: DataFrame) -> DataFrame:
-    """Exact links among fingerprints that share a crowded variant, without comparing them.
+def _dense_links(fps: DataFrame, distance: int) -> DataFrame:
+    """Exact links within ``distance`` bits of ``w`` among rows that share a crowded variant, without comparing them.
 
-    Each is written once per pair of struck-out bits of the whole fingerprint. Two within two bits
-    share such a key, and those that share one are within two bits, so each is hung on the key's
+    Each is written once per way to strike out that many bits of the whole fingerprint. Two within the
+    distance share such a key, and those that share one are within it, so each is hung on the key's
     least member: a number of rows in proportion to the members.
     """
-    bits = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
-    mask = F.expr("shiftleft(1L, i) | shiftleft(1L, j)")
-    keyed = bits.select("fp", (F.col("i") * 64 + F.col("j")).alias("ij"), F.col("fp").bitwiseAND(F.bitwise_not(mask)).alias("rest"))
+    if distance == 2:
+        bits = fps.select("fp", "w", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "w", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
+        mask = F.expr("shiftleft(1L, i) | shiftleft(1L, j)")
+    else:
+        bits = fps.select("fp", "w", F.explode(F.sequence(F.lit(0), F.lit(63 if distance else 0))).alias("i")).withColumn("j", F.lit(0))
+        mask = F.expr("shiftleft(1L, i)") if distance else F.lit(0).cast("long")
+    keyed = bits.select("fp", (F.col("i") * 64 + F.col("j")).alias("ij"), F.col("w").bitwiseAND(F.bitwise_not(mask)).alias("rest"))
     least = keyed.groupBy("ij", "rest").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return keyed.join(least, ["ij", "rest"]).filter("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = DISTANCE, bucket: int = BUCKET, count: int = 1) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, component_id`` (the least doc_id that links reach)."""
-    marked = checkpointed(fingerprints(docs, width))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(links(distinct.select("fp"), distance, bucket))
+    marked = checkpointed(fingerprints(docs, width, count))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in _names(count)])
+    comps = connected_components(links(distinct.select("fp", *_names(count)), distance, bucket, count))
     member = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
     of = member.join(named, "component").select("fp", "component_id")

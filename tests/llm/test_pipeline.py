@@ -1,6 +1,9 @@
-import corpus_pipeline as C
+import numpy as np
+
 import __spark_entry__ as entry
+import corpus_pipeline as C
 from footfall.llm import decontaminate, langid, mixing
+from footfall.llm.simhash import signature
 from tests.llm.test_mixing import by_hand
 from tests.llm.test_simhash import plain_fingerprint
 from tests.llm.test_tokenbin import want
@@ -23,9 +26,16 @@ def test_stages_against_plain_python(spark):
     assert {r.doc_id for r in one.collect()} == {d for d, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= C.LEAST_SCORE}
 
     two = stage["near_dedup"](spark, one, SF).cache()
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in one.collect()}
+    fps = {r.doc_id: signature(r.text, 3, C.FINGERPRINTS).view(np.uint64).tolist() for r in one.collect()}
+    assert all(f[0] == plain_fingerprint(rows[d].text) for d, f in fps.items())
+
+    def linked(a, b):
+        x = [p ^ q for p, q in zip(a, b, strict=True)]
+        meet = any(min((w & 0xFFFFFFFF).bit_count(), (w >> 32).bit_count()) <= 1 for w in x)
+        return meet and sum(w.bit_count() for w in x) <= C.BITS
+
     ids = sorted(fps)
-    root = union_find([(a, a) for a in ids] + [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    root = union_find([(a, a) for a in ids] + [(a, b) for i, a in enumerate(ids) for b in ids[:i] if linked(fps[a], fps[b])])
     assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(set(root.values()))
 
     three = stage["decontamination"](spark, two, SF).cache()
