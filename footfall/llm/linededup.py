@@ -30,6 +30,8 @@ from footfall.session import checkpointed, table
 MIN_WORDS = 5
 #: Pairs of one partner that meet a copy of its lines in one place.
 PAIRS_A_COPY = 500
+#: Partners of more pairs than that, up to which their table (some 40 bytes a row) is broadcast.
+FEW_CROWDED = 200_000
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -115,10 +117,14 @@ def partners(rows: DataFrame) -> DataFrame:
 def doomed(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``id, gone``: the positions of the lines that each later document loses."""
     pairs = checkpointed(partners(rows))
-    copies = pairs.groupBy("first").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies"))
     # A partner of very many documents is laid out several times, and its pairs are dealt over the copies.
-    dealt = pairs.join(copies, "first").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")))
-    laid = rows.withColumnRenamed("id", "first").join(copies, "first").select("first", F.col("hs").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    crowded = checkpointed(pairs.groupBy("first").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")).filter("copies > 1"))
+    if crowded.count() <= FEW_CROWDED:
+        crowded = F.broadcast(crowded)
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    dealt = pairs.join(crowded, "first", "left").withColumn("copy", F.pmod(F.xxhash64("id"), copies)).drop("copies")
+    earlier = rows.withColumnRenamed("id", "first").join(crowded, "first", "left")
+    laid = earlier.select("first", F.col("hs").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
     both = dealt.join(laid, ["first", "copy"]).select("id", "other").join(rows, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
