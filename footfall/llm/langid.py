@@ -29,6 +29,8 @@ from footfall.session import checkpointed, table
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: Bounds of the training sample: documents a language, windows a document.
 PER_LANGUAGE, WINDOWS = 800, 4
+#: Rows of a batch whose texts are Python objects at one time.
+ROWS_AT_ONCE = 500
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.004, 7
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -182,14 +184,20 @@ def classify(net: ByteConvNet | None, texts: list[str | None], at_once: int = 40
 def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFrame:
     """``keep`` (columns of ``docs``) with ``lang_pred, score``; keep holds neither name."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            langs, scores = classify(net, [None if t is None else t for t in pdf["text_"].astype(object).where(pdf["text_"].notna(), None)])
-            yield pdf.drop(columns="text_").assign(lang_pred=langs, score=scores)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                langs, scores = classify(net, batch.column(batch.num_columns - 1).to_pylist())
+                kept = [batch.column(i) for i in range(batch.num_columns - 1)]  # as they came, never turned into Python objects
+                names = [*batch.schema.names[:-1], "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("text_"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text_").dtypes) + ", lang_pred string, score double"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

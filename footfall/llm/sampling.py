@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.session import checkpointed
+
+#: Labels up to which the table with a row for each is broadcast.
+FEW_LABELS = 100_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, mod 5, is 0 (or there is no id)."""
@@ -17,7 +22,9 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> Dat
     Rows are first thinned to about the bound by the hash alone, so that the ranking that enforces it
     sees no more than a little over ``per_label`` rows of a value, however many there are.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n_"))
+    counts = checkpointed(rows.groupBy(label).agg(F.count("*").alias("n_")))
+    if counts.count() <= FEW_LABELS:
+        counts = F.broadcast(counts)
     share = F.lit(1.3 * per_label) / F.col("n_") + F.lit(50.0) / F.col("n_")
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     thin = rows.join(counts, label).filter(unit < share).drop("n_")

@@ -77,13 +77,16 @@ def _names(count: int) -> list[str]:
 def fingerprints(docs: DataFrame, width: int = 3, count: int = 1) -> DataFrame:
     """``doc_id, fp, f0 ...``: the fingerprints of each row's whole text, and a name ``fp`` for all of them (the one itself, if one)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = np.array([signature(t, width, count) for t in pdf["text"]], np.int64).reshape(len(pdf), count)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: found[:, n] for n, c in enumerate(_names(count))}})
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            # One text at a time is a Python object.
+            found = np.array([signature(t.as_py(), width, count) for t in batch.column(1)], np.int64).reshape(batch.num_rows, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, n]) for n in range(count)]], names=["doc_id", *_names(count)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in _names(count)))
+    out = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _names(count)))
     return out.withColumn("fp", F.col("f0") if count == 1 else F.xxhash64(*_names(count)))
 
 

@@ -30,8 +30,12 @@ from footfall.session import shared_dir, table
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Characters of text that one shard is planned for.
 SHARD_CHARS = 16_000_000
+#: Shards of one write at most; a larger corpus gets larger shards.
+MOST_SHARDS = 4096
 #: Words an encoder remembers before it starts anew.
-MEMO = 600_000
+MEMO = 250_000
+#: Rows of a batch whose texts are Python objects at one time.
+ROWS_AT_ONCE = 500
 MAGIC = b"FFTB0001"
 
 # --------------------------------------------------------------------------- encoding
@@ -153,23 +157,29 @@ class Encoder:
         return out
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, body``: the packed ids of each text and the end id, compressed for the way to the shards."""
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, cuts: tuple[int, ...] = ()) -> DataFrame:
+    """``doc_id, shard, body``: the packed ids of each text and the end id, compressed for the way to the shards.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gc
+    ``cuts`` are the greatest doc_ids of all shards but the last.
+    """
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         import zstandard
 
-        gc.disable()  # the memo is large and holds no cycles
         enc, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "body": [press.compress(b + end) for b in enc.encode(texts)]})
+        end, edges = np.array([end_id], enc.dtype).tobytes(), np.array(cuts, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+                shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(), "left").astype(np.int32)
+                shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+                body = pa.array([press.compress(b + end) for b in enc.encode(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(shard, pa.int32()), body], names=["doc_id", "shard", "body"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, body binary")
+    return rows.mapInArrow(run, "doc_id long, shard int, body binary")
 
 
 # --------------------------------------------------------------------------- index
@@ -309,17 +319,14 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end_id:
     """Encodes ``docs`` into shards under ``out`` and returns the manifest ``shard, docs, ids``."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    shards = min(MOST_SHARDS, max(1, -(-chars // shard_chars)))
     cuts: list[int] = []
     if shards > 1:
         parts = F.array(*[F.lit(i / shards) for i in range(1, shards)])
         found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), parts, F.lit(max(10_000, 20 * shards)))).first()[0] or []
         cuts = sorted(set(found))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    body = encoded(docs, tokenizer, end_id)
-    shard = F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))) if cuts else F.lit(0)
-    body = body.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
-    placed = body.repartition(len(cuts) + 1, "shard") if not hasattr(body, "repartitionById") else body.repartitionById(len(cuts) + 1, F.col("shard"))
+    body = encoded(docs, tokenizer, end_id, tuple(cuts))
+    placed = body.repartitionById(len(cuts) + 1, F.col("shard"))
     ordered = placed.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "body")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
