@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from footfall.operators.components import connected_components
 from footfall.session import checkpointed, table
 
-#: Members of one variant that are compared directly; larger ones take the exact path of `_dense_links`.
+#: Members of one variant that are compared directly; larger ones take the exact paths of `_dense_links` and `_crowded_links`.
 BUCKET = 2048
 DISTANCE = 2
 
@@ -145,7 +145,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, count:
 
     Not every pair is returned, but every pair that meets is connected: each task returns a forest of the
     links it has verified. With one fingerprint and up to two bits, all pairs meet. A variant with over
-    ``bucket`` members is settled by `_dense_links`, on two bits of any one fingerprint.
+    ``bucket`` members is settled by `_dense_links` for one fingerprint and by `_crowded_links` for several.
     """
     if count == 1 and not 0 <= distance <= 2:
         raise ValueError("links of one fingerprint are complete up to a distance of 2")
@@ -180,10 +180,29 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, count:
     if dense.isEmpty():
         return found
     crowded = fps.join(dense, "fp", "left_semi")
-    for name in names:
-        own = crowded.select("fp", F.col(name).alias("w"))
-        found = found.unionByName(_dense_links(own, distance if count == 1 else DISTANCE))
-    return found
+    return found.unionByName(_dense_links(crowded.select("fp", F.col("f0").alias("w")), distance) if count == 1 else _crowded_links(crowded, distance, bucket, count))
+
+
+def _crowded_links(fps: DataFrame, distance: int, bucket: int, count: int) -> DataFrame:
+    """Links that connect all members of a variant with over ``bucket`` of them within ``distance`` bits of the whole signature.
+
+    Those near the variant's least member are hung on it. Each of the rest, in shares of ``bucket``, is
+    compared with every member: with the hung ones for one link, with the rest for all.
+    """
+    names = _names(count)
+    rows = variants(fps, count)
+    per = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", *names)).alias("hub")).filter(F.col("n") > bucket)
+    near = F.expr(" + ".join(f"bit_count({c} ^ hub.{c})" for c in names)) <= distance
+    rows = checkpointed(rows.join(per, "key").withColumn("near", near))
+    hung = rows.filter("near AND fp <> hub.fp").select(F.col("fp").alias("src"), F.col("hub.fp").alias("dst"))
+    rest = rows.filter("NOT near").select("key", "fp", *names)
+    shares = checkpointed(rest.groupBy("key").agg(F.ceil(F.count("*") / max(bucket, 1)).alias("shares")))
+    share = rest.join(shares, "key").withColumn("share", F.pmod(F.xxhash64("fp"), F.col("shares"))).drop("shares")
+    whole = rows.join(shares, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("fp").alias("o"), "near", *[F.col(c).alias(f"o{c}") for c in names])
+    bits = F.expr(" + ".join(f"bit_count({c} ^ o{c})" for c in names))
+    met = share.join(whole, ["key", "share"]).filter((bits <= distance) & (F.col("near") | (F.col("fp") < F.col("o"))))
+    one = met.filter("near").groupBy("key", "fp").agg(F.min("o").alias("dst")).select(F.col("fp").alias("src"), "dst")
+    return hung.unionByName(one).unionByName(met.filter("NOT near").select(F.col("fp").alias("src"), F.col("o").alias("dst"))).distinct()
 
 
 def _dense_links(fps: DataFrame, distance: int) -> DataFrame:

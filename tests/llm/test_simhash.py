@@ -54,6 +54,36 @@ def test_links_connect_all_pairs(spark, bucket, distance):
     assert classes(got) == classes(near)
 
 
+def test_crowded_variants_follow_the_same_rule(spark):
+    rng = random.Random(5)
+
+    def flipped(words, n):
+        x = list(words)
+        for b in rng.sample(range(192), n):
+            x[b // 64] ^= 1 << b % 64
+        return tuple(x)
+
+    half, rows = rng.getrandbits(32), set()
+    for _ in range(4):
+        base = (half | rng.getrandbits(32) << 32, rng.getrandbits(64), rng.getrandbits(64))
+        rows |= {base} | {flipped(base, n) for n in (1, 2, 5, 9, 14, 20, 24, 25, 30) for _ in range(4)}
+    # Two within two bits of one fingerprint, far apart in the others.
+    rows |= {(half, 1, 2), (half ^ 3, 2**64 - 1, 2**63 - 1)}
+    words = np.array(sorted(rows), np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "fp long, f0 long, f1 long, f2 long")
+    signs = sorted(rows)
+
+    def linked(a, b):
+        x = [p ^ q for p, q in zip(a, b, strict=True)]
+        return any(min((w & 0xFFFFFFFF).bit_count(), (w >> 32).bit_count()) <= 1 for w in x) and sum(w.bit_count() for w in x) <= 24
+
+    ids = [(i, i) for i in range(len(signs))]
+    want = union_find(ids + [(i, j) for i, a in enumerate(signs) for j in range(i) if linked(a, signs[j])])
+    assert len(set(want.values())) > 4
+    for bucket in (2048, 3):
+        assert union_find(ids + [(r.src, r.dst) for r in S.links(df, 24, bucket, 3).collect()]) == want
+
+
 def test_query_against_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
