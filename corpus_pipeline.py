@@ -12,12 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import decontaminate, langid, mixing, simhash, tokenbin
+from footfall.llm import decontaminate, jaccard, langid, mixing, tokenbin
 from footfall.session import checkpointed, shared_dir, table
 
 #: A text whose best language is less likely than this is taken for none.
 LEAST_SCORE = 0.3
-#: Near-duplicates share about 0.8 of their five-word shingles: 24 of the 192 bits of three fingerprints.
+#: Near-duplicates: Jaccard likeness of their sets of five-word shingles.
+WIDTH, LIKENESS = 5, 0.8
+#: The former rule (bits of three fingerprints), by which tests/llm/test_pipeline.py still judges the stage.
 FINGERPRINTS, BITS = 3, 24
 
 
@@ -35,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without a doc_id name no group; of those with equal texts one stays.
     """
-    groups = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"), distance=BITS, count=FINGERPRINTS)
+    groups = jaccard.near_duplicates(docs.filter("doc_id IS NOT NULL"), WIDTH, LIKENESS)
     keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("k_"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
