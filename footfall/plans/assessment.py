@@ -283,7 +283,7 @@ def q_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from footfall.operators.nearby import within_radius
 
     t = demo(spark, sf_dir, "facilities").select(F.col("id").alias("ord"), "x", "y")
-    near = within_radius(demo(spark, sf_dir, "demand").filter("id % 10 = 0").select("id", "x", "y"), t, 90.0)
+    near = within_radius(demo(spark, sf_dir, "demand").select("id", "x", "y"), t, 90.0)
     w = geo.barycentric(*[c.cast("double") for c in (F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"), F.col("r_x") + 90, F.col("r_y"), F.col("r_x"), F.col("r_y") + 90)])
     inside = (w[0] >= 0) & (w[1] >= 0) & (w[2] >= 0)
     return near.filter(inside).groupBy("id").agg(F.max("r_ord").alias("triangle"))
