@@ -1,6 +1,13 @@
 """Queries that once read a part of their tables, against plain Python over all rows."""
 
-from footfall.plans import assessment
+from collections import Counter
+from fractions import Fraction
+from math import comb
+
+from pyspark.sql import functions as F
+
+from footfall.functions import stats
+from footfall.plans import accuracy, assessment
 from footfall.plans.demo import demo
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +22,26 @@ def test_point_triangles(spark):
             want[p.id] = max(held)
     assert {r.id: r.triangle for r in assessment.QUERIES["point_triangles"](spark, SF).collect()} == want
     assert any(p % 10 for p in want)
+
+
+def exact(wins, losses):
+    n, low = wins + losses, min(wins, losses)
+    return float(min(Fraction(1), Fraction(2 * sum(comb(n, i) for i in range(low + 1)), 2**n)))
+
+
+def test_sign_test_of_large_counts(spark):
+    pairs = [(0, 0), (0, 3), (1, 0), (5, 9), (40, 70), (900, 1000), (4000, 4100), (9000, 9000)]
+    df = spark.createDataFrame(pairs, "w long, l long").select("w", "l", stats.sign_test(F.col("w"), F.col("l")).alias("p"))
+    assert all(abs(r.p - exact(r.w, r.l)) < 1e-8 for r in df.collect())
+
+
+def test_paired_sign_test(spark):
+    split = {}
+    for r in demo(spark, SF, "cases").collect():
+        c = split.setdefault(r.stratum, Counter())
+        if r.truth is not None:
+            c[r.truth == r.prediction, r.truth == (r.duration <= 850)] += 1
+    want = {s: (c[True, False], c[False, True]) for s, c in split.items()}
+    got = {r.stratum: r for r in accuracy.QUERIES["paired_sign_test"](spark, SF).collect()}
+    assert {s: (r.wins, r.losses) for s, r in got.items()} == want
+    assert all(abs(r.p_value - exact(*want[s])) <= 1e-6 for s, r in got.items())
