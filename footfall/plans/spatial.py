@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import geo
+from footfall.functions.rules import barrier_class, edge_class
 from footfall.operators import nearby
 from footfall.plans.demo import Registry, demo
 from footfall.session import table
@@ -53,11 +54,15 @@ TO_SEGMENT = """sqrt((p.x - (ax + greatest(0.0, least(1.0, ((p.x - ax) * (bx - a
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = demo(spark, sf_dir, "nodes")
-    a = n.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("gx") + 1).alias("gx"), "gy")
-    b = n.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"), "gx", "gy")
+    """Ways in both directions of the grid that may be walked: class not denied, no wall or fence at either end."""
+    from footfall.plans.graphs import ways
+
+    w = ways(spark, sf_dir).filter(edge_class(F.col("highway"), F.col("foot"), F.col("access")) != "denied").select("u", "v")
+    n = demo(spark, sf_dir, "nodes").filter(F.coalesce(barrier_class(F.col("barrier")), F.lit("")) != "denied")
+    a = n.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = n.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
     # x, y: the middle, by which a segment of 60 m is bucketed.
-    return a.join(b, ["gx", "gy"]).select("u", "v", "ax", "ay", "bx", "by", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    return w.join(a, "u").join(b, "v").select("u", "v", "ax", "ay", "bx", "by", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
 
 
 @R.add(
@@ -70,7 +75,7 @@ SELECT id, u, v, m FROM r WHERE n = 1""",
     ("facilities", "nodes"),
 )
 def q_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest edge within 50 m, ties to the lowest edge."""
+    """Nearest usable edge within 50 m, ties to the lowest edge."""
     from pyspark.sql import Window
 
     p = demo(spark, sf_dir, "facilities").filter("x BETWEEN -100 AND 3100 AND y >= -100").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))

@@ -2,12 +2,12 @@
 
 from collections import Counter
 from fractions import Fraction
-from math import comb
+from math import comb, hypot
 
 from pyspark.sql import functions as F
 
 from footfall.functions import stats
-from footfall.plans import accuracy, assessment
+from footfall.plans import accuracy, assessment, spatial
 from footfall.plans.demo import demo
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,24 @@ def test_paired_sign_test(spark):
     got = {r.stratum: r for r in accuracy.QUERIES["paired_sign_test"](spark, SF).collect()}
     assert {s: (r.wins, r.losses) for s, r in got.items()} == want
     assert all(abs(r.p_value - exact(*want[s])) <= 1e-6 for s, r in got.items())
+
+
+def test_edge_attachment(spark):
+    nodes = {(r.gx, r.gy): r for r in demo(spark, SF, "nodes").collect()}
+    edges = []
+    for (gx, gy), a in nodes.items():
+        for b in (nodes.get((gx + 1, gy)), nodes.get((gx, gy + 1))):
+            # Motorways, foot=no and private ways, and walls and fences at an end, are no place to attach to.
+            if b and a.size % 9 not in (5, 7, 8) and not {a.barrier, b.barrier} & {"wall", "fence"}:
+                edges.append((a.id, b.id, a.x, a.y, b.x, b.y))
+    want = {}
+    for p in demo(spark, SF, "facilities").filter("x BETWEEN -100 AND 3100 AND y >= -100").collect():
+        met = []
+        for u, v, ax, ay, bx, by in edges:
+            t = max(0, min(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by - ay)) / 3600))
+            m = round(hypot(p.x - ax - t * (bx - ax), p.y - ay - t * (by - ay)), 6)
+            if m <= 50:
+                met.append((m, u, v))
+        if met:
+            want[p.id] = min(met)
+    assert {r.id: (r.m, r.u, r.v) for r in spatial.QUERIES["edge_attachment"](spark, SF).collect()} == want and want
