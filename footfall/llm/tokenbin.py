@@ -1,11 +1,17 @@
 """Operator 5: token ids in binary shards with a minimal perfect hash index.
 
-Layout of a folder: ``shard-00000.bin`` holds nothing but ids (little-endian, 16 bits where the
-vocabulary allows, else 32), document after document in ascending doc_id order, shard after shard;
-``shard-00000.idx`` maps a doc_id to its place by a minimal perfect hash (bit levels and their ranks)
-whose slots hold a fingerprint of the key and the document's number in the shard; ``manifest`` is a
-Parquet table with a row per shard. Shards and indices are written under a task's own name and moved
-into place, so lost or repeated tasks leave the same files. Paths may be of any scheme pyarrow opens.
+Layout of a folder: a shard's ``.bin`` holds nothing but ids (little-endian, 16 bits where the vocabulary
+allows, else 32), document after document in ascending doc_id order, shard after shard; its ``.key`` holds
+the documents' ids in that order, for readers that go through all of them; its ``.idx`` maps a doc_id to
+its payload by a minimal perfect hash (bit levels with ranks) whose slots hold a fingerprint of the key
+and the document's number, beside the documents' offsets. ``manifest`` is a Parquet table with a row per
+shard, its number of ids and its least and greatest doc_id, by which `lookup` finds a key's shard.
+
+Rows are range-partitioned by (doc_id, text hash), encoded in that order where they land, and a task
+closes a shard once it holds ``shard_chars`` bytes of text: shards are cut by size, not by rows, whatever
+runs of long documents there are. They are written under a task's own name and moved into place, and the
+manifest is written last, so lost or repeated tasks leave the same files and a broken run no manifest.
+Paths may be of any scheme pyarrow opens.
 
 Cases: a null text is encoded as an empty one (its end id alone); rows without a doc_id come first and
 are not in the index; rows that repeat a doc_id are all written, and the index leads to the first of
@@ -15,43 +21,57 @@ them; an empty table gives no shard; extra columns are ignored; texts are never
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.session import shared_dir, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-#: Characters of text that one shard is planned for.
+#: Bytes of text after which a shard is closed.
 SHARD_CHARS = 16_000_000
-#: Shards of one write at most; a larger corpus gets larger shards.
-MOST_SHARDS = 4096
-#: Words an encoder remembers before it starts anew.
-MEMO = 250_000
+#: Pieces of text in each of the two generations that an encoder remembers, and the longest of them.
+MEMO, LONGEST = 250_000, 48
 #: Rows of a batch whose texts are Python objects at one time.
 ROWS_AT_ONCE = 500
-MAGIC = b"FFTB0001"
+MAGIC = b"FFTB0002"
 
 # --------------------------------------------------------------------------- encoding
 
+# Letters and digits below U+0250, and the byte-level splitting rule for texts of such signs alone.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+#: Places where a text may be cut in two without a change of its ids: before one space between letters.
+_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
 class Encoder:
-    """Whole texts to packed ids with the tokenizers library, remembering words it has met.
+    """Whole texts to packed ids with the tokenizers library, remembering the pieces it has met.
 
-    A byte-level tokenizer never joins a word with the space before it to what stands before that
-    space, so its ids for a text are those of its words in turn. Texts with other white space than
-    single spaces and line ends, and tokenizers of other kinds, are encoded as they are.
+    A byte-level tokenizer first splits a text into pieces and encodes each by itself. Texts of common
+    signs are split here by the same rule, and each new piece goes to the library's model; texts with other
+    signs or special tokens, and tokenizers of other kinds, are encoded as they are. Pieces are remembered
+    in two generations: when the younger is full it becomes the older, so those in use are never forgotten.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,124 +82,53 @@ class Encoder:
         self.tok = Tokenizer.from_file(tokenizer)
         kind = json.loads(self.tok.to_str())
         pre = kind.get("pre_tokenizer") or {}
-        self.by_word = kind.get("normalizer") is None and kind.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if max(vocab.values(), default=0) < 65536 else np.dtype("<u4")
-        self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        for piece, i in vocab.items():
-            self.starts[i] = piece.startswith("Ġ")
+        self.by_piece = kind.get("normalizer") is None and kind.get("post_processor") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
+        self.dtype = np.dtype("<u2") if max(self.tok.get_vocab(with_added_tokens=True).values(), default=0) < 65536 else np.dtype("<u4")
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
-        self.memo: dict[str, bytes] = {"": b""}
-
-    _white = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-    _doubled = ("  ", " \n", "\n ", "\n\n", "\0")
-    _tailed = re.compile(r"( [A-Za-zÀ-ɏ]+)([^\w\s']+)")
-
-    def plain(self, text: str) -> bool:
-        """Whether words of ``text`` can be encoded apart: only single spaces or line ends between them."""
-        return not (any(x in text for x in self._doubled) or any(c in text for c in self._white) or any(s in text for s in self.special))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    @staticmethod
-    def _is_word(w: str) -> bool:
-        return w[0] == " " and w[1:].isalpha() and max(w) < "ɐ"
-
-    def _learn(self, units: set[str]) -> None:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        words, tails, rest = set(), {}, []
-        for u in units:
-            if self._is_word(u):
-                words.add(u)
-            elif (m := self._tailed.fullmatch(u)) and self._is_word(m[1]):
-                tails[u] = m.groups()
-                if m[1] not in memo:
-                    words.add(m[1])
-                if m[2] not in memo:
-                    rest.append(m[2])
-            else:
-                rest.append(u)
-        ordered = list(words)
-        for at in range(0, len(ordered), 256):
-            some = ordered[at : at + 256]
-            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(some):  # some piece holds a space elsewhere: one by one
-                rest += some
-                continue
-            body, width = ids.tobytes(), self.dtype.itemsize
-            edges = [*(cuts * width).tolist(), len(body)]
-            for w, a, b in zip(some, edges, edges[1:], strict=False):
-                memo[w] = body[a:b]
-        for u, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[u] = self._pack(e.ids)
-        for u, (word, tail) in tails.items():
-            memo[u] = memo[word] + memo[tail]
-
-    def _known(self, texts: list[str]) -> list[bytes]:
-        units = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.memo[""] = b""
-        get = self.memo.get
-        found = [list(map(get, u)) for u in units]
-        new = {w for u, f in zip(units, found, strict=True) if None in f for w, v in zip(u, f, strict=True) if v is None}
-        if new:
-            self._learn(new)
-            look = self.memo.__getitem__
-            try:
-                found = [list(map(look, u)) if None in f else f for u, f in zip(units, found, strict=True)]
-            except KeyError:  # the memo was started anew in between
-                self._learn({w for u in units for w in u if w not in self.memo})
-                found = [list(map(look, u)) for u in units]
-        return [b"".join(f) for f in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        easy = [i for i, t in enumerate(texts) if self.by_word and self.plain(t)]
-        at = 0
-        while at < len(easy):
-            end, chars = at, 0
-            while end < len(easy) and chars < 1_000_000:
-                chars += len(texts[easy[end]])
-                end += 1
-            for i, ids in zip(easy[at:end], self._known([texts[i] for i in easy[at:end]]), strict=True):
-                out[i] = ids
-            at = end
-        hard = set(range(len(texts))).difference(easy)
-        for i in sorted(hard):
-            out[i] = self._pack(self.tok.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids)
-        return out
-
+        self.signs, self.model = _byte_signs(), self.tok.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, cuts: tuple[int, ...] = ()) -> DataFrame:
-    """``doc_id, shard, body``: the packed ids of each text and the end id, compressed for the way to the shards.
-
-    ``cuts`` are the greatest doc_ids of all shards but the last.
-    """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-
-        enc, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end, edges = np.array([end_id], enc.dtype).tobytes(), np.array(cuts, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-                shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(), "left").astype(np.int32)
-                shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-                body = pa.array([press.compress(b + end) for b in enc.encode(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(shard, pa.int32()), body], names=["doc_id", "shard", "body"])
+    @classmethod
+    def of_worker(cls, tokenizer: str = TOKENIZER) -> Encoder:
+        """The one encoder that a Python process keeps for a tokenizer, with what it has learned."""
+        kept = sys.__dict__.setdefault("_footfall_encoders", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = cls(tokenizer)
+        return kept[tokenizer]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            ids = self.old.get(piece)
+            if ids is None:
+                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))
+                ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in found]).tobytes()
+            self.young[piece] = ids
+
+    def _pieces(self, text: str) -> bytes:
+        pieces = _PIECE.findall(text)
+        try:
+            return b"".join(map(self.young.__getitem__, pieces))
+        except KeyError:
+            pass
+        self._learn([p for p in set(pieces) if p not in self.young])
+        out = b"".join(map(self.young.__getitem__, pieces))
+        if len(self.young) > MEMO:
+            self.old, self.young = {p: v for p, v in self.young.items() if len(p) <= LONGEST}, {}
+        return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, shard int, body binary")
+    def encode(self, text: str, at_once: int = 500_000) -> bytes:
+        """Packed ids of the whole text."""
+        if not self.by_piece or _ODD.search(text) or any(s in text for s in self.special):
+            return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        parts, at = [], 0
+        while len(text) - at > at_once:
+            cut = _CUT.search(text, at + at_once)
+            if not cut:
+                break
+            parts.append(self._pieces(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*parts, self._pieces(text[at:])])
 
 
 # --------------------------------------------------------------------------- index
@@ -240,7 +189,7 @@ def index_bytes(keys: np.ndarray, nulls: int, offsets: np.ndarray, dtype: np.dty
     number, prints = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
     number[slot], prints[slot] = first + nulls, _fingerprint(distinct)
     parts = [np.packbits(x, bitorder="little").tobytes() for x in mph.levels]
-    parts += [number.tobytes(), prints.tobytes(), offsets.astype("<u8").tobytes(), keys.astype("<i8").tobytes()]
+    parts += [number.tobytes(), prints.tobytes(), offsets.astype("<u8").tobytes()]
     head = {"levels": [len(x) for x in mph.levels], "keys": len(distinct), "docs": len(keys) + nulls, "nulls": nulls, "dtype": dtype.str}
     text = json.dumps(head).encode()
     return MAGIC + len(text).to_bytes(4, "little") + text + b"".join(parts)
@@ -262,14 +211,16 @@ class Index:
             return raw[at - size : at]
 
         levels = [np.unpackbits(np.frombuffer(take((x + 7) // 8), np.uint8), bitorder="little")[:x].astype(bool) for x in self.head["levels"]]
-        self.mph, keys, docs = PerfectHash(levels), self.head["keys"], self.head["docs"]
+        self.mph, keys = PerfectHash(levels), self.head["keys"]
         self.number, self.prints = np.frombuffer(take(4 * keys), "<u4"), np.frombuffer(take(4 * keys), "<u4")
-        self.offsets = np.frombuffer(take(8 * (docs + 1)), "<u8").astype(np.int64)
-        self.keys = np.frombuffer(take(8 * (docs - self.head["nulls"])), "<i8")
+        self.offsets = np.frombuffer(take(8 * (self.head["docs"] + 1)), "<u8").astype(np.int64)
         self.dtype = np.dtype(self.head["dtype"])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number in the shard of each key's document; -1 where the stored fingerprint is another's."""
+        """Number in the shard of each key's document; -1 where the stored fingerprint is another's.
+
+        A key that the shard does not hold passes for one it does with a chance of 2 ** -32.
+        """
         slot = self.mph.slots(np.asarray(keys, np.int64))
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == _fingerprint(np.asarray(keys, np.int64)[ok])
@@ -288,18 +239,21 @@ def _place(uri: str):
 class _ShardWriter:
     """Writes one shard under a name of its own and moves it into place when it is whole."""
 
-    def __init__(self, out: str, shard: int, dtype: np.dtype):
+    KINDS = (".bin", ".key", ".idx")
+
+    def __init__(self, out: str, part: int, number: int, dtype: np.dtype):
         self.fs, base = _place(out)
-        self.shard, self.dtype, self.path = shard, dtype, f"{base}/shard-{shard:05d}"
-        self.tmp = f"{self.path}.{uuid.uuid4().hex}"
+        self.part, self.number, self.dtype, self.name = part, number, dtype, f"shard-{part:06d}-{number:06d}"
+        self.path, self.tmp = f"{base}/{self.name}", f"{base}/.{self.name}.{uuid.uuid4().hex}"
         self.fs.create_dir(base, recursive=True)
         self.bin = self.fs.open_output_stream(self.tmp + ".bin")
-        self.keys: list[int] = []
-        self.ends, self.nulls, self.ids = [0], 0, 0
+        self.keys, self.ends = array("q"), array("q", [0])
+        self.nulls, self.ids, self.bytes = 0, 0, 0
 
-    def add(self, key: int | None, body: bytes) -> None:
+    def add(self, key: int | None, body: bytes, size: int) -> None:
         self.bin.write(body)
         self.ids += len(body) // self.dtype.itemsize
+        self.bytes += size
         self.ends.append(self.ids)
         if key is None:
             self.nulls += 1
@@ -308,43 +262,66 @@ class _ShardWriter:
 
     def close(self) -> dict:
         self.bin.close()
+        keys = np.array(self.keys, np.int64)
+        with self.fs.open_output_stream(self.tmp + ".key") as f:
+            f.write(keys.astype("<i8").tobytes())
         with self.fs.open_output_stream(self.tmp + ".idx") as f:
-            f.write(index_bytes(np.array(self.keys, np.int64), self.nulls, np.array(self.ends, np.int64), self.dtype))
-        for kind in (".bin", ".idx"):
+            f.write(index_bytes(keys, self.nulls, np.array(self.ends, np.int64), self.dtype))
+        for kind in self.KINDS:
             self.fs.move(self.tmp + kind, self.path + kind)
-        return {"shard": self.shard, "docs": len(self.ends) - 1, "ids": self.ids}
+        low, high = (int(keys[0]), int(keys[-1])) if len(keys) else (None, None)
+        return {"part": self.part, "number": self.number, "shard": self.name, "docs": len(self.ends) - 1, "ids": self.ids, "low": low, "high": high}
+
+    def discard(self) -> None:
+        """Takes away what a broken task has left under its own name."""
+        self.bin.close()
+        for kind in self.KINDS:
+            try:
+                self.fs.delete_file(self.tmp + kind)
+            except FileNotFoundError:
+                pass
+
+
+MANIFEST = "part int, number int, shard string, docs long, ids long, low long, high long"
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Encodes ``docs`` into shards under ``out`` and returns the manifest ``shard, docs, ids``."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, -(-chars // shard_chars)))
-    cuts: list[int] = []
-    if shards > 1:
-        parts = F.array(*[F.lit(i / shards) for i in range(1, shards)])
-        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), parts, F.lit(max(10_000, 20 * shards)))).first()[0] or []
-        cuts = sorted(set(found))
-    body = encoded(docs, tokenizer, end_id, tuple(cuts))
-    placed = body.repartitionById(len(cuts) + 1, F.col("shard"))
-    ordered = placed.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "body")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        open_press, dtype, writer = zstandard.ZstdDecompressor(), Encoder(tokenizer).dtype, None
-        for pdf in batches:
-            for key, raw, number in zip(pdf["doc_id"].astype("Int64"), pdf["body"], pdf["shard"], strict=True):
-                if writer is None or writer.shard != number:
-                    if writer is not None:
-                        yield pd.DataFrame([writer.close()])
-                    writer = _ShardWriter(out, number, dtype)
-                writer.add(None if key is pd.NA else int(key), open_press.decompress(raw))
-        if writer is not None:
-            yield pd.DataFrame([writer.close()])
-
-    ordered.mapInPandas(run, "shard int, docs long, ids long").write.mode("overwrite").parquet(f"{out}/manifest")
-    return spark.read.parquet(f"{out}/manifest")
+    """Encodes ``docs`` into shards under ``out`` and returns the manifest, a row per shard in the order (part, number)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Copies of one row may be a large share of all: their order is free, so their places in the input deal them out.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("m")]
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-size // shard_chars)), *order)
+    ordered = placed.sortWithinPartitions(*order).select("doc_id", "text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        enc, part, number, writer = Encoder.of_worker(tokenizer), TaskContext.get().partitionId(), 0, None
+        end, schema = np.array([end_id], enc.dtype).tobytes(), pa.schema([("part", pa.int32()), ("number", pa.int32()), ("shard", pa.string()), *[(c, pa.int64()) for c in ("docs", "ids", "low", "high")]])
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([writer.close()], schema)
+
+        try:
+            for batch in batches:
+                for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                    text = value.as_py() or ""  # one text at a time is a Python object
+                    if writer is not None and writer.bytes >= shard_chars:
+                        done, writer, number = closed(), None, number + 1
+                        yield done
+                    if writer is None:
+                        writer = _ShardWriter(out, part, number, enc.dtype)
+                    writer.add(key.as_py(), enc.encode(text) + end, len(text))
+            if writer is not None:
+                done, writer = closed(), None
+                yield done
+        finally:
+            if writer is not None:
+                writer.discard()
+
+    ordered.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
+    return docs.sparkSession.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 def read_shards(spark: SparkSession, out: str, at_once: int = 8_000_000) -> DataFrame:
@@ -352,50 +329,62 @@ def read_shards(spark: SparkSession, out: str, at_once: int = 8_000_000) -> Data
 
     ``found`` tells whether the index leads from the doc_id to a document of that doc_id.
     """
-    order = Window.orderBy("shard")  # one row per shard
-    manifest = spark.read.parquet(f"{out}/manifest").withColumn("base", F.sum("ids").over(order) - F.col("ids"))
+    order = Window.orderBy("part", "number")  # one row per shard
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").withColumn("base", F.sum("ids").over(order) - F.col("ids"))
     n = max(1, manifest.count())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for number, base in zip(pdf["shard"].tolist(), pdf["base"].tolist(), strict=True):
-                fs, folder = _place(out)
-                path = f"{folder}/shard-{number:05d}"
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        fs, folder = _place(out)
+        for batch in batches:
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{folder}/{name}"
                 with fs.open_input_stream(path + ".idx") as f:
                     index = Index(f.read())
-                place = index.find(index.keys)
-                nulls, docs, width = index.head["nulls"], index.head["docs"], index.dtype.itemsize
-                found = np.r_[np.zeros(nulls, bool), (place >= nulls) & (index.keys[place - nulls] == index.keys)] if len(place) else np.zeros(nulls, bool)
-                ids = pd.array([None] * nulls + index.keys.tolist(), "Int64")
+                with fs.open_input_stream(path + ".key") as f:
+                    keys = np.frombuffer(f.read(), "<i8")
+                place, nulls, docs, width = index.find(keys), index.head["nulls"], index.head["docs"], index.dtype.itemsize
+                found = np.r_[np.zeros(nulls, bool), (place >= nulls) & (keys[place - nulls] == keys)] if len(keys) else np.zeros(nulls, bool)
+                ids = pa.array(np.r_[np.zeros(nulls, np.int64), keys], mask=np.arange(docs) < nulls)
                 with fs.open_input_stream(path + ".bin") as f:
                     at = 0
                     while at < docs:
                         end = max(at + 1, int(np.searchsorted(index.offsets, index.offsets[at] + at_once, "right")) - 1)
-                        raw = f.read(int(index.offsets[end] - index.offsets[at]) * width)
-                        marks = ((index.offsets[at : end + 1] - index.offsets[at]) * width).tolist()
-                        crc = [zlib.crc32(np.frombuffer(raw[a:b], index.dtype).astype("<u4").tobytes()) for a, b in zip(marks, marks[1:], strict=False)]
-                        yield pd.DataFrame(
-                            {"doc_id": ids[at:end], "start": index.offsets[at:end] + base, "n_tokens": np.diff(index.offsets[at : end + 1]), "ids_crc32": crc, "found": found[at:end]}
-                        )
+                        wide = np.frombuffer(f.read(int(index.offsets[end] - index.offsets[at]) * width), index.dtype).astype("<u4")
+                        raw, marks = memoryview(wide).cast("B"), ((index.offsets[at : end + 1] - index.offsets[at]) * 4).tolist()
+                        crc = [zlib.crc32(raw[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
+                        columns = [ids[at:end], pa.array(index.offsets[at:end] + base), pa.array(np.diff(index.offsets[at : end + 1])), pa.array(crc, pa.int64()), pa.array(found[at:end])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
                         at = end
 
-    return manifest.select("shard", "base").repartition(n, "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean")
+    return manifest.select("shard", "base").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean")
 
 
-def lookup(out: str, shard: int, keys: list[int]) -> list[np.ndarray | None]:
-    """The ids of each key's document in one shard, each by a seek; None for a key that the shard has not."""
+def lookup(spark: SparkSession, out: str, keys: list[int]) -> list[np.ndarray | None]:
+    """The ids of each key's document, found over all shards: the manifest's key ranges name its shard, a seek its payload.
+
+    None for a key that no shard has. For some keys at a time; join with `read_shards` for many.
+    """
     fs, folder = _place(out)
-    with fs.open_input_file(f"{folder}/shard-{shard:05d}.idx") as f:
-        index = Index(f.read())
-    found: list[np.ndarray | None] = []
-    with fs.open_input_file(f"{folder}/shard-{shard:05d}.bin") as f:
-        for key, n in zip(keys, index.find(np.array(keys, np.int64)).tolist(), strict=True):
-            if n < 0 or index.keys[n - index.head["nulls"]] != key:
-                found.append(None)
-                continue
+    wanted = spark.createDataFrame([(int(k),) for k in dict.fromkeys(keys)], "key long")
+    ranges = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").filter("low IS NOT NULL")
+    met = ranges.join(F.broadcast(wanted), F.col("key").between(F.col("low"), F.col("high"))).select("key", "part", "number", "shard").orderBy("part", "number").collect()
+    found: dict[int, np.ndarray] = {}
+    kept: dict[str, Index] = {}
+    for key, _, _, name in met:
+        if key in found:
+            continue  # an earlier shard has it
+        if name not in kept:
+            with fs.open_input_file(f"{folder}/{name}.idx") as f:
+                kept[name] = Index(f.read())
+        index = kept[name]
+        n = int(index.find(np.array([key], np.int64))[0])
+        if n >= 0:
             a, b = (int(x) * index.dtype.itemsize for x in index.offsets[n : n + 2])
-            found.append(np.frombuffer(f.read_at(b - a, a), index.dtype))
-    return found
+            with fs.open_input_file(f"{folder}/{name}.bin") as f:
+                found[key] = np.frombuffer(f.read_at(b - a, a), index.dtype)
+    return [found.get(int(k)) for k in keys]
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_real_tokenizer_as_a_version(spark, odd_docs):
 
     @F.pandas_udf("long")
     def bpe(text: pd.Series) -> pd.Series:
-        return pd.Series([len(b) // 2 for b in Encoder().encode(text.fillna("").tolist())])
+        return pd.Series([len(Encoder.of_worker().encode(t)) // 2 for t in text.fillna("")])
 
     counts = R.counted(odd_docs, {"tokens": F.col("text")}, {"bpe": bpe, "words-1": R.word_count})
     got = {(r.doc_id, r.version): r.tokens for r in counts.filter("doc_id < 5").collect()}

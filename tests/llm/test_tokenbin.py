@@ -1,3 +1,4 @@
+import random
 import tempfile
 import zlib
 
@@ -27,10 +28,24 @@ def test_encoder_is_the_library(monkeypatch):
     ]
     enc = T.Encoder()
     for _ in range(2):
-        assert [list(np.frombuffer(b, enc.dtype)) for b in enc.encode(texts)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
-    monkeypatch.setattr(T, "MEMO", 10)  # the memo starts anew all the time
+        assert [np.frombuffer(enc.encode(t), enc.dtype).tolist() for t in texts] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(T, "MEMO", 10)  # the generations change all the time
     small = T.Encoder()
-    assert small.encode(texts * 3) == enc.encode(texts * 3)
+    assert [small.encode(t) for t in texts * 3] == [enc.encode(t) for t in texts * 3]
+
+
+def test_long_texts_and_random_signs():
+    rng = random.Random(5)
+    signs = "aB \n.,'\t-9²É÷ßz  \r  "
+    enc = T.Encoder()
+    for n in (3, 30, 300, 3000):
+        for _ in range(20):
+            text = "".join(rng.choice(signs) for _ in range(n))
+            want_ids = TOK.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want_ids
+            assert np.frombuffer(enc.encode(text, at_once=50), enc.dtype).tolist() == want_ids  # cut in many parts
+    text = "x" * 30_000 + " some words" * 5000
+    assert np.frombuffer(enc.encode(text, at_once=1000), enc.dtype).tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
 def test_round_trip(spark):
@@ -42,14 +57,28 @@ def test_round_trip(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert list(got[["doc_id", "start", "n_tokens", "ids_crc32"]].itertuples(index=False, name=None)) == want(rows)
     assert got["found"].all()
-    first = sorted(r.doc_id for r in docs.collect())[0]
-    ids, none = T.lookup(out, 0, [first, -5])
-    assert none is None and ids.tolist()[:-1] == TOK.encode(dict(rows)[first], add_special_tokens=False).ids
+    some = [k for k, _ in rows][::17]
+    *ids, none = T.lookup(spark, out, [*some, -5])  # over all shards, without being told which
+    assert none is None and [i.tolist()[:-1] for i in ids] == [TOK.encode(dict(rows)[k], add_special_tokens=False).ids for k in some]
+
+
+def test_one_huge_text_and_very_many_equal_ids(spark):
+    huge = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, huge)] + [(7, f"copy {i % 3}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    manifest = T.write_shards(docs, out, shard_chars=10_000).collect()
+    assert max(m.docs for m in manifest) < 3000  # neither the copies of one id nor the long text gather what is beside them
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in T.read_shards(spark, out).collect())
+    assert [d for *_, d in got] == sorted(k for k, _ in rows) and all(a + n == b for (a, n, _), (b, _, _) in zip(got, got[1:]))
+    ids, small, none = T.lookup(spark, out, [299, 7, 12_345])
+    assert none is None and small.tolist()[:-1] in [TOK.encode(f"{t}", add_special_tokens=False).ids for t in ("text 7", "copy 0", "copy 1", "copy 2")]
+    assert ids.tolist()[:-1] == TOK.encode("text 299", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash(n):
-    keys = np.random.default_rng(n).permutation(10**9)[:0] if n == 0 else np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
+    keys = np.zeros(0, np.int64) if n == 0 else np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
     mph = T.PerfectHash.build(keys)
     assert sorted(mph.slots(keys).tolist()) == list(range(len(keys)))
     raw = T.index_bytes(keys, 0, np.arange(len(keys) + 1), np.dtype("<u2"))
@@ -75,4 +104,4 @@ def test_other_tokenizers_are_encoded_as_they_are():
     enc = T.Encoder("word_bpe_49k.json")
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     text = "Some Words, here.\nAnd there"
-    assert list(np.frombuffer(enc.encode([text])[0], enc.dtype)) == lib.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(enc.encode(text), enc.dtype)) == lib.encode(text, add_special_tokens=False).ids
