@@ -22,6 +22,16 @@ def test_threshold_is_exact(spark, few):
     assert {(r.doc_id, r.item_id): r.shared for r in got} == {(10, 1): 11, (11, 1): 9, (None, 1): 11, (15, 1): 11}
 
 
+def test_short_items_and_shared_ids(spark):
+    items = spark.createDataFrame([(1, "Too short!"), (2, "one"), (3, ITEM)], "item_id long, text string")
+    half = ITEM.split()
+    docs = [(1, "this is too short, they say"), (2, "short too"), (3, "and one more"), (4, " ".join(half[:9])), (4, " ".join(half[5:])), (4, ITEM), (5, "ones")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.contaminated(df, items).collect()
+    assert {(r.doc_id, r.item_id): r.shared for r in got} == {(1, 1): 1, (3, 2): 1, (4, 3): 11}
+    assert sorted(r.text for r in D.clean(df, items).collect()) == sorted([docs[1][1], docs[3][1], docs[4][1], docs[6][1]])
+
+
 def test_sketches_lose_nothing(spark):
     """A sketch meets every set that holds the threshold's share of the item."""
     items = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(5 + 3 * i))) for i in range(1, 30)], "item_id long, text string")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from footfall.llm import jaccard as J
 from tests.test_operators import union_find
@@ -26,10 +28,31 @@ def test_stage_against_all_pairs(spark):
     for sf in ("sf0.001", "sf0.01"):
         docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
         want = by_hand({r.doc_id: r.text for r in docs.collect()})
-        got = C.near_duplicates(spark, docs, f"/root/testdata/{sf}")
+        got = dict(C.STAGES)["near_dedup"](spark, docs, f"/root/testdata/{sf}")
         assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_shingle_sets_are_those_of_the_words(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", " ", "one", "One", "a b c d", "a b c d e", "a  b\nc\td e f", "d c b a", "x" * 300 + " y", "é b c d e"]
+    texts += [" ".join(rng.choice("ab cd e Ef gh".split()) for _ in range(rng.randrange(60))) for _ in range(60)]
+    want = [plain_set(t) for t in texts]
+    for piece in (1 << 20, 64, 7):  # long texts are cut at white space
+        monkeypatch.setattr(J, "PIECE", piece)
+        got = J.shingle_sets([t.encode() for t in texts])
+        assert [len(g) for g in got] == [len(w) for w in want]
+        for a in range(len(texts)):
+            assert all(len(np.intersect1d(got[a], got[b])) == len(want[a] & want[b]) for b in range(a))
+
+
+def test_rows_that_stand_for_their_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text, "a"), (None, text, "b"), (2, text + " more", "c"), (2, "quite another text of its own here", "d"), (2, "quite another text of its own here", "d"),
+            (None, "no id but words that nobody else has", "e"), (None, "no id and other words than the one above", "f"), (None, None, "g"), (9, "", "h")]
+    got = J.representatives(spark.createDataFrame(rows, "doc_id long, text string, extra string")).collect()
+    assert sorted(r.extra for r in got) == ["c", "d", "e", "f", "h"]
+
+
 def test_chains_copies_and_passages(spark, monkeypatch):
     monkeypatch.setattr(J, "SHARE", 3)  # crowded keys are compared in shares
     rng = random.Random(3)

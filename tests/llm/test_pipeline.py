@@ -1,13 +1,12 @@
-import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from footfall.llm import decontaminate, langid, mixing
-from footfall.llm.simhash import signature
+from footfall.llm import pipeline as P
+from tests.llm.test_jaccard import by_hand as groups
 from tests.llm.test_mixing import by_hand
-from tests.llm.test_simhash import plain_fingerprint
 from tests.llm.test_tokenbin import want
-from tests.test_operators import union_find
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,20 +22,11 @@ def test_stages_against_plain_python(spark):
     net = langid.train(docs)
     rows = {r.doc_id: r for r in docs.collect()}
     langs, scores = langid.classify(net, [r.text for r in rows.values()])
-    assert {r.doc_id for r in one.collect()} == {d for d, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= C.LEAST_SCORE}
+    assert {r.doc_id for r in one.collect()} == {d for d, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= P.LEAST_SCORE}
 
     two = stage["near_dedup"](spark, one, SF).cache()
-    fps = {r.doc_id: signature(r.text, 3, C.FINGERPRINTS).view(np.uint64).tolist() for r in one.collect()}
-    assert all(f[0] == plain_fingerprint(rows[d].text) for d, f in fps.items())
-
-    def linked(a, b):
-        x = [p ^ q for p, q in zip(a, b, strict=True)]
-        meet = any(min((w & 0xFFFFFFFF).bit_count(), (w >> 32).bit_count()) <= 1 for w in x)
-        return meet and sum(w.bit_count() for w in x) <= C.BITS
-
-    ids = sorted(fps)
-    root = union_find([(a, a) for a in ids] + [(a, b) for i, a in enumerate(ids) for b in ids[:i] if linked(fps[a], fps[b])])
-    assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(set(root.values()))
+    kept = set(groups({r.doc_id: r.text for r in one.collect()}).values())
+    assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(kept)
 
     three = stage["decontamination"](spark, two, SF).cache()
     hits = {r.doc_id for r in decontaminate.contaminated(two, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
@@ -53,14 +43,23 @@ def test_stages_against_plain_python(spark):
 
 
 def test_odd_input(spark, odd_docs, no_docs):
-    for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs):
+    for docs in (odd_docs, no_docs):
         for name, f in C.STAGES:
             out = f(spark, docs, SF)
             if name != "token_binary":
-                assert out.columns == docs.columns
+                assert out.columns == docs.columns  # columns named score, size and key among them
             out.count()
 
 
+def test_rows_without_an_id_or_with_one_id_are_judged_by_themselves(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first().text
+    words = item.split()
+    rows = [(None, f"before {item} after"), (None, "a clean text without any id at all"), (4, " ".join(words[: len(words) // 2 + 2])), (4, " ".join(words[len(words) // 2 - 2 :])), (4, "clean words under a shared id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = dict(C.STAGES)["decontamination"](spark, docs, SF).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in rows[1:])
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
