@@ -1,82 +1,8 @@
-"""A training corpus from raw documents: five stages, each on all that the one before has kept.
+"""A training corpus from raw documents: language ID, near-dedup, decontamination, mixing, token shards.
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents``, but for the last,
-which returns the digest of the binary shards it wrote. ``run`` writes each stage's result as Parquet in
-the shared folder and reads it back as the next one's input.
+The stages stand in ``footfall/llm/pipeline.py``; this is their entry point.
 """
 
-from __future__ import annotations
+from footfall.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from footfall.llm import decontaminate, jaccard, langid, mixing, tokenbin
-from footfall.session import checkpointed, shared_dir, table
-
-#: A text whose best language is less likely than this is taken for none.
-LEAST_SCORE = 0.3
-#: Near-duplicates: Jaccard likeness of their sets of five-word shingles.
-WIDTH, LIKENESS = 5, 0.8
-#: The former rule (bits of three fingerprints), by which tests/llm/test_pipeline.py still judges the stage.
-FINGERPRINTS, BITS = 3, 24
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language; ``lang`` stays as it is given, or is filled in where null."""
-    net = langid.train(docs)
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), "text")
-    marked = langid.predict(packed, net, ["row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return marked.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the least doc_id (of equal ids, one row).
-
-    Rows without a doc_id name no group; of those with equal texts one stays.
-    """
-    groups = jaccard.near_duplicates(docs.filter("doc_id IS NOT NULL"), WIDTH, LIKENESS)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("k_"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    hits = checkpointed(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k_")).distinct())
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("k_")), "left_anti")
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    return mixing.mixed(docs)
-
-
-def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the ids of all documents as binary shards and returns each one's digest, read back."""
-    out = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    tokenbin.write_shards(docs, out)
-    return tokenbin.read_shards(spark, out)
-
-
-STAGES = [
-    ("language_id", language),
-    ("near_dedup", near_duplicates),
-    ("decontamination", decontamination),
-    ("mixing", mixture),
-    ("token_binary", token_shards),
-]
-
-#: A network and XXH64 are not SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
