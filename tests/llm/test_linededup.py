@@ -5,22 +5,31 @@ from footfall.llm import linededup as L
 
 
 def by_hand(docs, min_words):
-    """Each document against the earliest holder of each of its lines, in plain Python."""
-    lines = {d: [x.strip() for x in t.split("\n")] for d, t in docs.items() if t}
-    first = {}
-    for d in sorted(lines):
-        for x in lines[d]:
-            if x:
-                first.setdefault(x, d)
+    """Every pair of documents, in plain Python: what lies in a run of equal lines with enough words goes from the later one."""
+    lines = {d: [(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in docs.items() if t}
     out = {}
-    for d in docs:
-        if d not in lines:
-            out[d] = docs[d]
+    for d, text in docs.items():
+        own, gone = lines.get(d, []), set()
+        for p in (p for p in lines if p < d):
+            other = [x for _, x in lines[p]]
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    if own[i][1] == other[j] and not (i and j and own[i - 1][1] == other[j - 1]):
+                        n = 0
+                        while i + n < len(own) and j + n < len(other) and own[i + n][1] == other[j + n]:
+                            n += 1
+                        if sum(len(x.split()) for _, x in own[i : i + n]) >= min_words:
+                            gone |= {own[k][0] for k in range(i, i + n)}
+        if not gone:
+            out[d] = text
             continue
-        gone = set()
-        for p in {first[x] for x in lines[d] if x} - {d}:
-            gone |= set(L.common_blocks([hash(x) for x in lines[d]], [len(x.split()) for x in lines[d]], [hash(x) for x in lines[p]], min_words))
-        out[d] = "\n".join(x for i, x in enumerate(docs[d].split("\n")) if i not in gone)
+        kept = []
+        for i, x in enumerate(text.split("\n")):
+            beside = [max((k for k, _ in own if k < i), default=None), min((k for k, _ in own if k > i), default=None)]
+            if i in gone or not x.strip() and all(k in gone for k in beside if k is not None):
+                continue
+            kept.append(x)
+        out[d] = "\n".join(kept)
     return out
 
 
@@ -44,10 +53,25 @@ def test_blocks_need_words():
     assert L.common_blocks([1, 2, 3], [2, 3, 9], [1, 2, 7], 5) == [0, 1]
 
 
+def test_a_block_of_lines_first_seen_apart(spark):
+    docs = {1: "aa bb cc\nx1", 2: "dd ee ff\nx2", 3: "aa bb cc\ndd ee ff", 4: "aa bb cc\n\ndd ee ff\nown", 5: "dd ee ff\naa bb cc\nx1 x2\ndd ee ff"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.deduplicated(df).collect()}
+    assert got == by_hand(docs, 5) and got[4] == "own" and got[5] == docs[5]
+
+
+def test_moved_and_repeated_blocks():
+    words = [5] * 4
+    assert L.overlap([1, 2, 3, 4], words, [3, 4, 9, 1, 2], 5) == [0, 1, 2, 3]
+    assert L.overlap([1, 1, 7, 1], words, [1], 5) == [0, 1, 3]
+    assert L.overlap([1, 2, 3], [2, 2, 2], [1, 2, 9, 2, 3], 5) == []
+    assert L.overlap([1] * 20_000, [5] * 20_000, [1], 5) == list(range(20_000))
+
+
 def test_against_plain_python(spark, monkeypatch):
     monkeypatch.setattr(L, "PAIRS_A_COPY", 3)  # crowded partners are laid out several times
     rng = random.Random(2)
-    pool = [f"line number {i} has seven words here" for i in range(60)] + ["", "Les.", "short one"]
+    pool = [f"line number {i} has seven words here" for i in range(40)] + ["", " ", "Les.", "short one", "three words here", "and two"] * 3
     docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for i in range(80)}
     docs |= {100 + i: docs[3] for i in range(40)}  # a group of copies
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
@@ -75,6 +99,8 @@ def test_query_against_plain_python(spark):
 def test_odd_input(spark, odd_docs, no_docs):
     got = L.deduplicated(odd_docs).collect()
     assert len(got) == odd_docs.count()
-    text = {r.doc_id: r.text for r in got}
+    text = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    twins = spark.createDataFrame([(None, "one two three four five"), (1, "one two three four five"), (None, "six seven eight nine ten"), (None, "x\nsix seven eight nine ten")], "doc_id long, text string")
+    assert sorted(r.text for r in L.deduplicated(twins).collect())[:1] == [""] and sum(r.removed for r in L.deduplicated(twins).collect()) == 2
     assert text[5] == "" and text[1] is None and text[2] == "" and text[0].startswith("The cat") and text[3] == "   \n\t "
     assert L.deduplicated(no_docs).count() == 0
