@@ -15,7 +15,6 @@ out as often as they come in; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,11 @@ PER_LANGUAGE, WINDOWS = 800, 4
 #: Rows of a batch whose texts are Python objects at one time.
 ROWS_AT_ONCE = 500
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.004, 7
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether the text holds a letter (a sign of Unicode's categories L)."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +138,7 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: in
         for pdf in batches:
             langs, rows = [], []
             for key, text, lang in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["lang"], strict=True):
-                if not text or not LETTER.search(text):
+                if not has_letter(text):
                     continue
                 w = windows(text)[0]
                 for i in sorted(np.random.default_rng(key % 2**32).permutation(len(w))[:most].tolist()):
@@ -159,7 +162,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = WINDOWS
 def classify(net: ByteConvNet | None, texts: list[str | None], at_once: int = 4096) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    todo = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
+    todo = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
     at = 0
     while at < len(todo):
         some, rows, held, count = [], [], [], 0

@@ -4,11 +4,16 @@ A candidate found by its form is validated (Luhn digit, IBAN remainder, octets,
 and replaced by its image under a keyed permutation of all values of its format. The permutation is a
 Feistel network of eight rounds over the value's number in its format, walked on until it falls back
 into the format, so it can be undone with the key, a pseudonym is valid wherever its original was, and
-equal values get equal pseudonyms in every document however they are punctuated. (A date keeps its
-order, marks and two-digit fields; whether a one-digit field was written without a zero is not kept.)
+equal values get equal pseudonyms in every document however they are punctuated: a date in any order of
+its fields, a number of the country +1 with or without it. (A date keeps its order, marks and two-digit
+fields; whether a one-digit field was written without a zero is not kept. Days above 12 are permuted
+among themselves, so that a month-first date stays one.)
 
-Kinds: e-mail (its local part), phone (its national number), card, IBAN, social security number, IPv4,
-date (1900 to 2099), and secrets in known forms (access key ids, quoted tokens, passwords).
+Kinds: e-mail (its local part), phone (its national number), card (of a known issuer range), IBAN (of its
+country's length), social security number, IPv4 (not a version number), date (1900 to 2099), and secrets
+in known forms (access key ids, quoted tokens, passwords). The key is the caller's: who has it can undo
+every pseudonym, so there is no default but in the registered query, which takes ``spark.footfall.pii.key``
+or, where that is unset, a key for demonstration.
 
 Cases: a null text stays null and an empty one empty; texts of any length are read whole; rows without
 a doc_id and repeated rows are treated like others; extra columns are ignored.
@@ -27,7 +32,12 @@ from pyspark.sql import functions as F
 
 from footfall.session import table
 
-KEY = b"replace this key in production"
+DEMO_KEY = b"replace this key in production"
+# Lengths of an IBAN by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
 FIRST, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 FORMS = re.compile(
@@ -37,8 +47,8 @@ FORMS = re.compile(
       | (?P<ymd>(?<![\d./-])\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}(?![\d/-]|\.\d))
       | (?P<dmy>(?<![\d./-])\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}(?![\d/-]|\.\d))
       | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-      | (?P<ipv4>(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
-      | (?P<phone>\+\d{1,3}[\ .-]?\(?\d{2,4}\)?(?:[\ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)\ ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
+      | (?P<ipv4>(?<![\dv])(?<!\d\.)(?<!ersion\ )(?<!uild\ )(?<!elease\ )\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
+      | (?P<phone>\+1[\ .-]?\(?\d{3}\)?[\ .-]?\d{3}[\ .-]?\d{4}(?!\d)|\+(?!1[\ .(-])\d{1,3}[\ .-]?\(?\d{2,4}\)?(?:[\ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)\ ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
       | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<s3>[\ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[\ -])\d{6}(?P=s4)\d{5})(?!\d))""",
     re.X,
 )
@@ -116,12 +126,18 @@ def _email(t: str, key: bytes, back: bool) -> str:
     return f"{_by_class(local, key, 'email', back)}@{domain}"
 
 
+def _issued(x: int, n: int) -> bool:
+    """Whether a number of ``n`` digits begins as cards of the large issuers do (3 to 6, or 2221 to 2720)."""
+    lead = x // 10 ** (n - 4)
+    return 3000 <= lead < 7000 or 2221 <= lead <= 2720
+
+
 def _card(t: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", t)
-    if luhn(d) or d[0] == "0":
-        return None
     n = len(d) - 1
-    body = str(_walk(int(d[:-1]), 10**n, key, "card", back, lambda x: x >= 10 ** (n - 1)))
+    if luhn(d) or not _issued(int(d[:-1]), n):
+        return None
+    body = str(_walk(int(d[:-1]), 10**n, key, "card", back, lambda x: _issued(x, n)))
     return _refill(t, body + str(-luhn(body + "0") % 10))
 
 
@@ -130,7 +146,9 @@ def _phone(t: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", t[len(country) :])
     if not 7 <= len(d) <= 14:
         return None
-    return country + _refill(t[len(country) :], str(permute(int(d), 10 ** len(d), key, f"tel{country}", back)).zfill(len(d)))
+    # Ten digits without a country are those of +1.
+    home = country or ("+1" if len(d) == 10 else "")
+    return country + _refill(t[len(country) :], str(permute(int(d), 10 ** len(d), key, f"tel{home}", back)).zfill(len(d)))
 
 
 def _ssn(t: str, key: bytes, back: bool) -> str | None:
@@ -152,7 +170,7 @@ def _ipv4(t: str, key: bytes, back: bool) -> str | None:
 
 def _iban(t: str, key: bytes, back: bool) -> str | None:
     plain = t.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
+    if len(plain) != IBAN_LENGTHS.get(plain[:2], len(plain)) or not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
         return None
     body = _by_class(plain[4:], key, "iban" + plain[:2], back)
     check = 98 - _iban_rest(plain[:2] + "00" + body)
@@ -170,12 +188,10 @@ def _date(t: str, key: bytes, back: bool) -> str | None:
     if not FIRST <= was < FIRST + timedelta(DAYS):
         return None
 
-    # A day above 12 in second place reads as month-first, so such a form stays among such days.
     def ok(x: int) -> bool:
-        return order != (2, 0, 1) or (FIRST + timedelta(x)).day > 12
+        return ((FIRST + timedelta(x)).day > 12) == (was.day > 12)
 
-    x = (was - FIRST).days
-    new = FIRST + timedelta(_walk(x, DAYS, key, "date" if order != (2, 0, 1) else "mdy", back, ok))
+    new = FIRST + timedelta(_walk((was - FIRST).days, DAYS, key, "date", back, ok))
     fields = {order[0]: f"{new.year}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
     mark = t[len(parts[0])]
     return mark.join(fields[i] if len(parts[i]) >= 2 else str(int(fields[i])) for i in range(3))
@@ -194,7 +210,7 @@ RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {
 }
 
 
-def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, list[str]]:
+def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[str]]:
     """The text with pseudonyms, and the kind of each value replaced, in order."""
     if not text or not HINT.search(text):
         return text, []
@@ -211,7 +227,7 @@ def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tupl
     return FORMS.sub(swap, text), kinds
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, kinds``: every whole text with its personal values replaced."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +241,8 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of personal values."""
-    return pseudonyms(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("kinds").alias("replaced"), F.concat_ws(",", F.array_sort(F.array_distinct("kinds"))).alias("kinds"))
+    key = spark.conf.get("spark.footfall.pii.key", "").encode() or DEMO_KEY
+    return pseudonyms(table(spark, sf_dir, "documents"), key).select("doc_id", "text", F.size("kinds").alias("replaced"), F.concat_ws(",", F.array_sort(F.array_distinct("kinds"))).alias("kinds"))
 
 
 QUERIES = {"op6_pii_pseudonyms": op6_pii_pseudonyms}

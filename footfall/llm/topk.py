@@ -6,8 +6,8 @@ scatter their weighted postings into a dense score array, the k best are selecte
 the blocks' selections are merged.
 
 Cases: a vector that is null, empty, or holds a null or non-finite component takes no part, nor does
-one without an id. Of rows that repeat an id, the least vector stands for all. Vectors of unequal
-length score over the terms they share. Scores are 64-bit integers and wrap beyond that. Ties go to
+one without an id. Rows that repeat an id are rows of their own: each is a candidate for the other, and
+each asks if the id does. Vectors of unequal length score over the terms they share. Scores are 64-bit integers and wrap beyond that. Ties go to
 the smaller id; a query with fewer than k candidates returns all; extra columns are ignored.
 """
 
@@ -52,14 +52,14 @@ def _select(score: np.ndarray, k: int) -> np.ndarray:
 
 def _block_top(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of one block for each of the queries."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+    empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("asker", "query_id", "vec_id", "score")})
     if queries.empty or rows.empty:
         return empty
-    rows = rows.sort_values("vec_id")
-    ids = rows["vec_id"].to_numpy()
+    rows = rows.sort_values(["vec_id", "rid"])
+    ids, own = rows["vec_id"].to_numpy(), rows["rid"].to_numpy()
     postings = _postings([np.asarray(v) for v in rows["weights"]])
-    q, v, s = [], [], []
-    for query, weights in zip(queries["vec_id"].tolist(), queries["weights"], strict=True):
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for asker, query, weights in zip(queries["rid"].tolist(), queries["vec_id"].tolist(), queries["weights"], strict=True):
         score = np.zeros(len(ids), np.int64)
         for term in np.flatnonzero(weights):
             if term < len(postings):
@@ -68,16 +68,15 @@ def _block_top(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) ->
                     score += weights[term] * weight
                 else:
                     score[held] += weights[term] * weight
-        others = np.flatnonzero(ids != query)
+        others = np.flatnonzero(own != asker)
         best = others[_select(score[others], k)] if len(others) < len(ids) else _select(score, k)
-        q.append(np.full(len(best), query, np.int64))
-        v.append(ids[best])
-        s.append(score[best])
-    return pd.DataFrame({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
+        for part, found in zip(out, (np.full(len(best), asker, np.int64), np.full(len(best), query, np.int64), ids[best], score[best]), strict=True):
+            part.append(found)
+    return pd.DataFrame({c: np.concatenate(part) for c, part in zip(("asker", "query_id", "vec_id", "score"), out, strict=True)})
 
 
 def sparse_rows(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """``vec_id, weights``: floor(scale * x) of every component, one row per id; unusable vectors are left out."""
+    """``vec_id, weights``: floor(scale * x) of every component of every row; unusable vectors are left out."""
     x = F.col("v").cast("array<double>")
     usable = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
 
@@ -86,28 +85,28 @@ def sparse_rows(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "weights": [np.clip(np.floor(scale * np.asarray(v, np.float64)), -(2.0**62), 2.0**62).astype(np.int64) for v in pdf["v"]]})
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable)
-    return rows.select("vec_id", x.alias("v")).mapInPandas(run, "vec_id long, weights array<long>").groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    return rows.select("vec_id", x.alias("v")).mapInPandas(run, "vec_id long, weights array<long>")
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK, queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest inner products of each query row over all other rows.
 
-    ``rows`` has ``vec_id, weights`` and unique ids. Rows are dealt into blocks of about ``block``
-    candidates and ``queries_at_once`` queries by a hash of the id; every pair of blocks meets in one
+    ``rows`` has ``vec_id, weights``. They are numbered, written, and dealt into blocks of about ``block``
+    candidates and ``queries_at_once`` queries by a hash of the number; every pair of blocks meets in one
     task, whose memory the two sizes bound, and hands on k rows per query.
     """
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.withColumn("rid", F.monotonically_increasing_id()))
     n, nq = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, groups = max(1, -(-n // block)), max(1, -(-nq // queries_at_once))
-    deal = F.xxhash64("vec_id")
-    cands = rows.select("vec_id", "weights", F.pmod(deal, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    asks = rows.filter(is_query).select("vec_id", "weights", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(deal, F.lit(groups)).alias("g"))
+    deal = F.xxhash64("rid")
+    cands = rows.select("rid", "vec_id", "weights", F.pmod(deal, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    asks = rows.filter(is_query).select("rid", "vec_id", "weights", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(deal, F.lit(groups)).alias("g"))
     part = (
         asks.groupBy("b", "g")
         .cogroup(cands.groupBy("b", "g"))
-        .applyInPandas(lambda key, a, c: _block_top(key, a, c, k), "query_id long, vec_id long, score long")
+        .applyInPandas(lambda key, a, c: _block_top(key, a, c, k), "asker long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -120,16 +119,16 @@ QUERIES = {"op1_exact_topk": op1_exact_topk}
 SQL = {
     "op1_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+  FROM v q JOIN v c ON c.rid <> q.rid WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 }

@@ -60,3 +60,35 @@ def test_odd_input(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in got} <= {"und", "en", "de"}
     assert L.train(no_docs) is None
     assert {r.lang_pred for r in L.predict(odd_docs, None, ["doc_id"]).collect()} == {"und"}
+
+
+def test_signs_that_are_no_letters(spark):
+    net = L.ByteConvNet(["a", "b"])
+    langs, scores = L.classify(net, ["½ ² Ⅷ", "123 _ !", "", None, "x", "é", "字"])
+    assert langs[:4] == ["und"] * 4 and all(x in ("a", "b") for x in langs[4:]) and scores[:4].tolist() == [0] * 4
+
+
+def test_forward_pass_against_plain_loops():
+    """One text at a time, one filter at one place at a time."""
+    import math
+
+    net = L.ByteConvNet(["a", "b", "c"], seed=3)
+    net.p["shift"] += [0.1, -0.2, 0.3]
+    texts = ["Some words, Ünd mehr.", "x" * 300 + " long enough for two windows " * 3]
+    for text, lang, score in zip(texts, *L.classify(net, texts), strict=True):
+        rows, held = L.windows(text)
+        logs, means = [0.0] * 3, [0.0] * 3
+        for row, n in zip(rows.tolist(), held.tolist(), strict=True):
+            act = []
+            for f in range(net.p["conv"].shape[1]):
+                best = max(
+                    sum(float(net.p["embed"][row[at + k], e]) * float(net.p["conv"][k * L.EMBED + e, f]) for k in range(max(L.WIDTHS)) for e in range(L.EMBED)) for at in range(L.WINDOW - max(L.WIDTHS) + 1)
+                )
+                act.append(max(0.0, best + float(net.p["bias"][f])))
+            z = [sum(a * float(net.p["out"][f, c]) for f, a in enumerate(act)) + float(net.p["shift"][c]) for c in range(3)]
+            p = [math.exp(v - max(z)) for v in z]
+            p = [v / sum(p) for v in p]
+            for c in range(3):
+                logs[c] += n * math.log(p[c] + 1e-9)
+                means[c] += n * p[c] / int(held.sum())
+        assert lang == "abc"[logs.index(max(logs))] and abs(score - means["abc".index(lang)]) < 1e-4

@@ -32,7 +32,14 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf")]), (None, [1.0]), (6, [1.0]), (6, [1.0]), (100, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = topk.top_k(topk.sparse_rows(df), F.col("vec_id") % 100 == 0)
-    assert sorted(map(tuple, got.collect())) == [(0, 1, 6, 1024 * 1024), (0, 2, 100, 0), (100, 1, 0, 0), (100, 2, 6, 0)]
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 6, 1024 * 1024), (0, 2, 6, 1024 * 1024), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 6, 0), (100, 3, 6, 0)]
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0]), (0, [2.0]), (0, [2.0]), (3, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score >> 20) for r in topk.top_k(topk.sparse_rows(df), F.col("vec_id") % 100 == 0, k=2).collect())
+    assert got == sorted([(0, 1, 3, 5), (0, 2, 0, 2), (0, 1, 3, 10), (0, 2, 0, 4), (0, 1, 3, 10), (0, 2, 0, 4)])
 
 
 def test_empty(spark):
