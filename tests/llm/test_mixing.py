@@ -35,18 +35,18 @@ def test_query_matches_sql(spark):
 
 
 def by_hand(docs, seed=M.SEED):
-    """Copies of each (doc_id, source, size) by sorting every source whole."""
+    """Copies of each (doc_id, source, size, text) by sorting every source whole."""
     sizes = {}
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         sizes[s] = sizes.get(s, 0) + n
     target, out = waterfill(sizes), {}
     for s in sizes:
         want = min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0
         base, pi, order = int(want), want - int(want), []
-        for d, src, n in docs:
+        for d, src, n, text in docs:
             if src == s:
                 out[d] = base
-                u = (int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"{seed}:{d}:{hashlib.md5((text or str()).encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 if pi > 0 and n:
                     order.append(((u / (1 - u)) / (pi / (1 - pi)), d, n))
         room, upto = target[s] - base * sizes[s], 0
@@ -60,9 +60,9 @@ def by_hand(docs, seed=M.SEED):
 
 @pytest.mark.parametrize("slices", [1024, 2])
 def test_border_is_found_without_sorting_a_source(spark, slices):
-    docs = [(i, "abc"[i % 7 % 3], (i * 37) % 50) for i in range(400)]
-    df = spark.createDataFrame([(d, " ".join(["w"] * n), s) for d, s, n in docs], "doc_id long, text string, source string")
-    ranked, goal = M.plan(df, slices=slices)
+    docs = [(i, "abc"[i % 7 % 3], (i * 37) % 50, " ".join(["w"] * ((i * 37) % 50))) for i in range(400)]
+    df = spark.createDataFrame([(d, text, s) for d, s, _, text in docs], "doc_id long, text string, source string")
+    ranked, goal, _ = M.plan(df, slices=slices)
     got = {r.doc_id: r.copies for r in M.decide(ranked, goal, slices).collect()}
     assert got == by_hand(docs)
 
@@ -74,8 +74,21 @@ def test_importance_makes_documents_likelier(spark):
     assert n[True, "t"] > 2 * n[False, "t"] and max(r["count"] for r in M.mixed(df, importance="w").groupBy("doc_id").count().collect()) <= 3
 
 
+def test_rows_without_an_id_draw_for_themselves(spark):
+    """Half of a source is one row many times over, without an id: the source still meets its target."""
+    rows = [(None, "a b c d", "s")] * 500 + [(i, f"a b c {i}", "s") for i in range(500)] + [(1000 + i, f"x y {i}", "t") for i in range(400)] + [(None, f"only {i}", "t") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    df = M.checkpointed(df)
+    ranked, goal, _ = M.plan(df)
+    target = {r.source: r.target for r in goal.collect()}
+    taken = {r.source: r.n for r in M.decide(ranked, goal).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    assert all(abs(taken[s] - target[s]) <= 4 for s in "st")
+    got = sorted(str(r) for r in M.mixed(df).collect())
+    assert got == sorted(str(r) for r in M.mixed(M.checkpointed(df.repartition(3))).collect()) and len(got) > 900
+
+
 def test_odd_input(spark, odd_docs, no_docs):
-    ranked, goal = M.plan(odd_docs)
+    ranked, goal, _ = M.plan(odd_docs)
     rows = M.decide(ranked, goal).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.copies <= 3 for r in rows)
     words = {r.doc_id: r.size for r in rows}

@@ -33,7 +33,7 @@ def test_stages_against_plain_python(spark):
     assert three.columns == columns and {r.doc_id for r in three.collect()} == {r.doc_id for r in two.collect()} - hits
 
     four = stage["mixing"](spark, three, SF).cache()
-    copies = by_hand([(r.doc_id, r.source, len(r.text.split())) for r in three.collect()])
+    copies = by_hand([(r.doc_id, r.source, len(r.text.split()), r.text) for r in three.collect()])
     assert four.columns == columns and {r.doc_id: r["count"] for r in four.groupBy("doc_id").count().collect()} == {d: n for d, n in copies.items() if n}
 
     five = stage["token_binary"](spark, four, SF).collect()
