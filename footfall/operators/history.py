@@ -5,39 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.operators import ordered
 
-def pagination(rows: DataFrame, seq: str = "seq", page: str = "page", uid: str = "uid", limit: int = 150) -> DataFrame:
+
+def pagination(rows: DataFrame, totals: DataFrame, seq: str = "seq", page: str = "page", uid: str = "uid", limit: int = 150, last_page: int = 20) -> DataFrame:
     """The state of every page of a sequence as its pages come in order.
 
-    A page that repeats another's set of members, or holds members of an earlier page, is an anomaly.
+    ``totals`` has ``seq, page, total``: what the source reported with each page (null where it did not). A page that
+    repeats another's set of members, or holds members of an earlier page, is an anomaly; a total that reached ``limit``
+    may have been cut; one that changed leaves the sequence uncertain. A sequence is complete at the page by which as
+    many members came as the total names, with nothing else against it; ``last_page`` ends it whatever came.
     """
     own = rows.select(F.col(seq).alias("seq"), F.col(page).alias("page"), F.col(uid).alias("uid"))
-    firsts = Window.partitionBy("seq", "uid")
-    seen = own.withColumn("first_page", F.min("page").over(firsts))
+    firsts = own.groupBy("seq", "uid").agg(F.min("page").alias("first_page"))
     # The fingerprint is order-free sums of hashes, so a page is never gathered.
-    distinct = seen.groupBy("seq", "page", "uid").agg(F.count("*").alias("n"), F.min("first_page").alias("first_page"))
+    distinct = own.groupBy("seq", "page", "uid").agg(F.count("*").alias("n")).join(firsts, ["seq", "uid"])
     pages = distinct.groupBy("seq", "page").agg(
         F.sum("n").alias("rows_"), F.count_if(F.col("first_page") < F.col("page")).alias("overlap"),
         F.concat_ws("-", F.count("*"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("x"), "uid"))).alias("print"),
     )
+    told = totals.select(F.col(seq).alias("seq"), F.col(page).alias("page"), "total")
     order = Window.partitionBy("seq").orderBy("page")
-    total = F.col("rows_") % 97
-    out = pages.select(
-        "seq", "page", F.sum("rows_").over(order).alias("returned"), "overlap",
-        (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1).alias("repeated"),
-        F.coalesce(total != F.lag(total).over(order), F.lit(False)).alias("total_changed"),
+    before = F.last("total", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = pages.join(told, ["seq", "page"], "left").select(
+        "seq", "page", "total", F.sum("rows_").over(order).alias("returned"), "overlap",
+        (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1).alias("repeated"), F.coalesce(F.col("total") != before, F.lit(False)).alias("total_changed"),
     )
-    stop = F.when((F.col("overlap") > 0) | F.col("repeated"), "pagination_anomaly").when(F.col("returned") >= limit, "possible_truncation").when(F.col("total_changed"), "pagination_uncertain")
+    stop = (
+        F.when((F.col("overlap") > 0) | F.col("repeated"), "pagination_anomaly")
+        .when(F.col("total") >= limit, "possible_truncation")
+        .when(F.col("total_changed"), "pagination_uncertain")
+        .when(F.col("returned") >= F.col("total"), "completed")
+        .when(F.col("page") >= last_page, "page_limit")
+    )
     return out.withColumn("stop_reason", stop)
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Gaps and islands: intervals of a key that overlap or touch become one."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("new_", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    island = F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island_", island).groupBy(key, "island_").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("island_")
+def merge_intervals(rows: DataFrame, key: str, start: str, end: str, bucket: int = 3_600_000) -> DataFrame:
+    """Gaps and islands: intervals of a key that overlap or touch become one; windows stay within buckets of the start."""
+    place = F.floor(F.col(start) / bucket)
+    reach = ordered.running(rows.select(key, start, end), key, [start, end], F.col(end), "reach_", place, "max", own=False)
+    new = F.when(F.col("reach_").isNull() | (F.col(start) > F.col("reach_")), 1).otherwise(0)
+    marked = ordered.running(reach.withColumn("new_", new), key, [start, end], F.col("new_"), "island_", place)
+    return marked.groupBy(key, "island_").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("island_")
 
 
 def digest(columns: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import geo, rules
-from footfall.operators import graph, grid
+from footfall.operators import evidence, graph, grid
 from footfall.operators.components import connected_components
 from footfall.plans.demo import Registry, demo
 from footfall.plans.graphs import seeds, ways
@@ -289,14 +289,17 @@ def q_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter(inside).groupBy("id").agg(F.max("r_ord").alias("triangle"))
 
 
-R.view(
+@R.twin(
     "edge_crossing_candidates", ("ray_samples",),
     """
 SELECT angle, count(*) AS candidates, min(radius) AS first_r FROM (
   SELECT angle, radius, radius - lag(radius) OVER (PARTITION BY angle ORDER BY radius) AS step FROM (SELECT DISTINCT angle, radius FROM {ray_samples} WHERE label) d
 ) t WHERE step IS NULL OR step >= 25 GROUP BY angle""",
-    "M16: crossing candidates at least 25 m apart.",
-)
+)
+def q_edge_crossing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossing candidates at least 25 m apart."""
+    return evidence.spaced_candidates(demo(spark, sf_dir, "ray_samples"))
+
 
 R.view(
     "domain_minus_coverage", ("demand",),

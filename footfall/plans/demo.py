@@ -124,6 +124,11 @@ class Registry:
 
         return put
 
+    def twin(self, name: str, tables: tuple[str, ...], sql: str) -> Callable[[Query], Query]:
+        """Registers the decorated function, whose plan is its own, beside an SQL text that names demo tables in braces."""
+        sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)  # doubles, not decimals
+        return self.add(name, _as_bigint(re.sub(r"\{(\w+)\}", r"\1", sql)), tables)
+
     def view(self, name: str, tables: tuple[str, ...], sql: str, doc: str) -> None:
         """Registers a query that is one SQL text in the common part of both dialects, over demo tables.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.functions import geo
+from footfall.operators import evidence
 from footfall.plans.demo import Registry, demo
 
 R = Registry()
@@ -14,34 +15,43 @@ RAYS = ("ray_samples",)
 #: One row per (angle, radius): agreeing samples keep their label, conflicting ones have none.
 SAMPLES = "SELECT angle, radius, CASE WHEN bool_and(label) THEN true WHEN NOT bool_or(label) THEN false END AS label FROM {ray_samples} GROUP BY angle, radius"
 
-R.view(
+@R.twin(
     "ray_brackets", RAYS,
     f"""
 SELECT angle, before_r, radius, radius - before_r AS width FROM (
   SELECT angle, radius, label, lag(label) OVER (PARTITION BY angle ORDER BY radius) AS before_l, lag(radius) OVER (PARTITION BY angle ORDER BY radius) AS before_r FROM ({SAMPLES}) s WHERE label IS NOT NULL
 ) t WHERE label <> before_l""",
-    "W11: neighbouring samples of opposite label along every ray.",
-)
+)
+def q_ray_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring samples of opposite label along every ray."""
+    return evidence.ray_brackets(evidence.agreed_samples(demo(spark, sf_dir, "ray_samples")))
+
 
-R.view(
+@R.twin(
     "ray_scan", RAYS,
     f"""
 SELECT angle, count_if(label <> before_l) AS crossings, count_if(label IS NULL) AS failed, count_if(label IS NOT NULL AND before_l IS NOT NULL) AS adjacent FROM (
   SELECT angle, radius, label, lag(label) OVER (PARTITION BY angle ORDER BY radius) AS before_l FROM ({SAMPLES}) s
 ) t GROUP BY angle""",
-    "W12: crossings where a failed sample breaks adjacency.",
-)
+)
+def q_ray_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings where a failed sample breaks adjacency."""
+    return evidence.ray_scan(evidence.agreed_samples(demo(spark, sf_dir, "ray_samples")))
+
 
-R.view(
+@R.twin(
     "angular_neighbours", RAYS,
     """
 SELECT angle, edge_r, coalesce(lead(edge_r) OVER (ORDER BY angle), first_value(edge_r) OVER (ORDER BY angle)) AS next_r, abs(edge_r - coalesce(lead(edge_r) OVER (ORDER BY angle), first_value(edge_r) OVER (ORDER BY angle))) > 50 AS jump FROM (
   SELECT angle, max(CASE WHEN label THEN radius END) AS edge_r FROM {ray_samples} GROUP BY angle
 ) t""",
-    "W13: radial jumps between angular neighbours, wrapping around.",
-)
+)
+def q_angular_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radial jumps between angular neighbours, wrapping around."""
+    return evidence.angular_neighbours(demo(spark, sf_dir, "ray_samples"))
+
 
-R.view(
+@R.twin(
     "radial_boundary", RAYS,
     f"""
 SELECT angle, last_in, first_out, CASE WHEN last_in IS NULL THEN 'unknown' WHEN first_out IS NULL THEN 'truncated' ELSE 'closed' END AS state, CASE WHEN first_out IS NOT NULL THEN (last_in + first_out) / 2.0 ELSE last_in END AS boundary_r,
@@ -50,10 +60,13 @@ FROM (
   SELECT angle, max(CASE WHEN label THEN radius END) AS last_in, min(CASE WHEN NOT label AND radius > top THEN radius END) AS first_out FROM (
     SELECT angle, radius, label, max(CASE WHEN label THEN radius END) OVER (PARTITION BY angle) AS top FROM ({SAMPLES}) s) a GROUP BY angle
 ) t""",
-    "M14: last reachable sample, boundary radius, sector area and state of every ray.",
-)
+)
+def q_radial_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last reachable sample, boundary radius, sector area and state of every ray."""
+    return evidence.radial_boundary(evidence.agreed_samples(demo(spark, sf_dir, "ray_samples")), 0.392699)
 
-R.view(
+
+@R.twin(
     "polar_nodes", RAYS,
     f"""
 SELECT angle, mid, width FROM (
@@ -62,20 +75,26 @@ SELECT angle, mid, width FROM (
       SELECT angle, radius, label, lag(label) OVER (PARTITION BY angle ORDER BY radius) AS before_l, lag(radius) OVER (PARTITION BY angle ORDER BY radius) AS before_r FROM ({SAMPLES}) s WHERE label IS NOT NULL) b
   ) c WHERE label <> before_l
 ) t WHERE n = 1""",
-    "W24: the best bracket of every angle.",
-)
+)
+def q_polar_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best bracket of every angle."""
+    return evidence.polar_nodes(evidence.agreed_samples(demo(spark, sf_dir, "ray_samples")))
+
 
-R.view(
+@R.twin(
     "next_direction", RAYS,
     """
 SELECT angle, chord FROM (
   SELECT angle, CASE WHEN nxt > angle THEN nxt - angle ELSE nxt + 16 - angle END AS chord, row_number() OVER (ORDER BY CASE WHEN nxt > angle THEN nxt - angle ELSE nxt + 16 - angle END DESC, angle) AS n FROM (
-    SELECT angle, coalesce(lead(angle) OVER (ORDER BY angle), first_value(angle) OVER (ORDER BY angle)) AS nxt FROM (SELECT DISTINCT angle FROM {ray_samples} WHERE angle % 5 <> 2) d) e
+    SELECT angle, coalesce(lead(angle) OVER (ORDER BY angle), first_value(angle) OVER (ORDER BY angle)) AS nxt FROM (SELECT DISTINCT angle FROM {ray_samples} WHERE label) d) e
 ) t WHERE n <= 3""",
-    "W25: widest gaps between attempted directions.",
-)
+)
+def q_next_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widest gaps between attempted directions."""
+    return evidence.next_directions(demo(spark, sf_dir, "ray_samples").filter("label"), 16)
+
 
-R.view(
+@R.twin(
     "novelty_pauses", ("dispatch_log",),
     """
 SELECT cell, CAST(max(fails) AS BIGINT) AS most_in_a_row, max(fails) >= 2 AS paused, count(*) AS n FROM (
@@ -83,60 +102,88 @@ SELECT cell, CAST(max(fails) AS BIGINT) AS most_in_a_row, max(fails) >= 2 AS pau
     SELECT cell, event_id, fresh, sum(fresh) OVER (PARTITION BY cell ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT user_id AS cell, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, CAST(floor(value / 10.0) AS BIGINT) ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM {dispatch_log}) a) b
 ) t GROUP BY cell""",
-    "W22: repeats count as failures until something new comes; two in a row pause a cell.",
-)
+)
+def q_novelty_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats count as failures until something new comes; two in a row pause a cell."""
+    return evidence.novelty_pauses(demo(spark, sf_dir, "dispatch_log"), "user_id", F.floor(F.col("value") / 10.0), "event_id")
 
-R.view(
+
+@R.twin(
     "edge_per_cell", ("demand",),
     """
 SELECT ix, iy, id, width FROM (
   SELECT ix, iy, id, price AS width, row_number() OVER (PARTITION BY ix, iy ORDER BY price DESC, id) AS n FROM {demand}
 ) t WHERE n = 1 AND width > 200000""",
-    "W23, T4: the widest edge of every cell.",
-)
+)
+def q_edge_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest edge of every cell."""
+    return evidence.widest_per_cell(demo(spark, sf_dir, "demand"), ["ix", "iy"], "id", "price", 200_000)
+
 
-R.view(
+@R.twin(
     "probe_selection", ("demand",),
     """
 SELECT verdict, count(*) AS n, min(id) AS first_id FROM (
   SELECT id, CASE WHEN price < 20000 THEN 'invalid' WHEN id % 4 = 0 THEN 'cached' WHEN row_number() OVER (PARTITION BY price >= 20000 AND id % 4 <> 0 ORDER BY price DESC, id) <= 100 THEN 'selected' ELSE 'over_quota' END AS verdict FROM {demand}
 ) t GROUP BY verdict""",
-    "W26, M15: probes within quota, with a named reason for the others.",
-)
+)
+def q_probe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes within quota, with a named reason for the others."""
+    done = evidence.select_probes(demo(spark, sf_dir, "demand"), "id", "price", F.col("price") < 20_000, F.col("id") % 4 == 0, 100)
+    return done.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
 
-R.view(
+@R.twin(
     "observation_layer", ("routes",),
     """
 SELECT origin, facility, count(*) AS n, count(DISTINCT duration) AS durations, count(DISTINCT duration) > 1 AS conflict, bool_or(duration <= 900) AND bool_or(duration > 900) AS crosses, CASE WHEN count(DISTINCT duration) = 1 THEN min(duration) END AS consensus
 FROM {routes} WHERE endpoint_verified AND reason = 'ok' GROUP BY origin, facility""",
-    "A31, M19: usable observations by endpoint, with conflicts, crossings and consensus.",
-)
+)
+def q_observation_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable observations by endpoint, with conflicts, crossings and consensus."""
+    usable = F.col("endpoint_verified") & (F.col("reason") == "ok")
+    return evidence.observation_layer(demo(spark, sf_dir, "routes"), usable, "origin", "facility", "duration")
 
-R.view(
+
+@R.twin(
     "event_issues", ("routes",),
     """
 SELECT issue, count(*) AS n FROM (
   SELECT 'endpoint_unverified' AS issue FROM {routes} WHERE NOT endpoint_verified UNION ALL SELECT 'upstream_' || reason FROM {routes} WHERE reason <> 'ok' UNION ALL SELECT 'origin_offset' FROM {routes} WHERE origin_offset > 20 UNION ALL SELECT 'zero_duration' FROM {routes} WHERE duration = 0
 ) t GROUP BY issue""",
-    "A31, P25: how often each issue makes an event unusable.",
-)
+)
+def q_event_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each issue makes an event unusable."""
+    r = F.col("reason")
+    return evidence.issue_counts(
+        demo(spark, sf_dir, "routes"), endpoint=F.when(~F.col("endpoint_verified"), "endpoint_unverified"), upstream=F.when(r != "ok", F.concat(F.lit("upstream_"), r)),
+        offset=F.when(F.col("origin_offset") > 20, "origin_offset"), zero=F.when(F.col("duration") == 0, "zero_duration"),
+    )
+
 
-R.view(
+@R.twin(
     "exact_lookup", ("demand", "routes"),
     """
 SELECT d.id, count(r.line) AS observations, CASE WHEN count(r.line) = 0 THEN 'unknown' WHEN bool_or(r.duration <= 900) AND bool_or(r.duration > 900) THEN 'conflict' WHEN bool_or(r.duration <= 900) THEN 'reachable' ELSE 'unreachable' END AS state
 FROM {demand} d LEFT JOIN {routes} r ON r.origin = d.id AND r.reason = 'ok' GROUP BY d.id""",
-    "J24, J29: exact observations of a point, conflicts first, none as unknown.",
-)
+)
+def q_exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact observations of a point, conflicts first, none as unknown."""
+    return evidence.exact_lookup(demo(spark, sf_dir, "demand"), demo(spark, sf_dir, "routes").filter("reason = 'ok'"), "id", "origin", "duration")
+
 
-R.view(
+@R.twin(
     "contradictions", ("demand", "routes"),
     """
 SELECT kind, count(*) AS n FROM (
   SELECT CASE WHEN abs(d.ix) + abs(d.iy) <= 30 AND r.duration > 900 THEN 'negative_inside' WHEN abs(d.ix) + abs(d.iy) > 34 AND r.duration <= 900 THEN 'positive_outside' ELSE 'consistent' END AS kind FROM {demand} d JOIN {routes} r ON r.origin = d.id WHERE r.endpoint_verified
 ) t GROUP BY kind""",
-    "J28, M23: evidence that contradicts an estimate.",
-)
+)
+def q_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that contradicts an estimate."""
+    reach = F.abs("ix") + F.abs("iy")
+    observed = demo(spark, sf_dir, "demand").join(demo(spark, sf_dir, "routes").filter("endpoint_verified").withColumnRenamed("origin", "id"), "id")
+    return evidence.contradictions(observed, reach <= 30, reach > 34, "duration")
 
 
 @R.add(
