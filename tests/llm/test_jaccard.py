@@ -55,6 +55,7 @@ def test_rows_that_stand_for_their_group(spark):
 
 def test_chains_copies_and_passages(spark, monkeypatch):
     monkeypatch.setattr(J, "SHARE", 3)  # crowded keys are compared in shares
+    monkeypatch.setattr(J, "CROSS", 0.2)  # hubs take several turns
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(30)]
     docs = {}
