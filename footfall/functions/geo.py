@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-# Fixed values of the shifted national frame.
+# Fixed values of the shifted national frame: the ellipsoid, the frame's window, and of each offset (longitude, latitude)
+# the polynomial in 1, x, y, x², xy, √|x| and the waves as (amplitude, what they run along, turns of π per degree).
 SHIFT_A, SHIFT_E2 = 6378245.0, 0.00669342162296594323
-EARTH_M, METRES_A_DEGREE = 6371000.0, 111320.0
+FRAME = (72.004, 137.8347, 0.8293, 55.8271)
+LNG_TERMS, LAT_TERMS = (300.0, 1.0, 2.0, 0.1, 0.1, 0.1), (-100.0, 2.0, 3.0, 0.0, 0.1, 0.2)
+LAT_Y2 = 0.2
+COMMON_WAVES = ((20.0, "x", 6.0), (20.0, "x", 2.0))
+LNG_WAVES = ((20.0, "x", 1.0), (40.0, "x", 1 / 3), (150.0, "x", 1 / 12), (300.0, "x", 1 / 30))
+LAT_WAVES = ((20.0, "y", 1.0), (40.0, "y", 1 / 3), (160.0, "y", 1 / 12), (320.0, "y", 1 / 30))
+EARTH_M = 6371008.8
+METRES_A_DEGREE = EARTH_M * math.pi / 180
 
 
 def planar(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -31,24 +44,67 @@ def from_local(x: Column, y: Column, lng0: Column, lat0: Column) -> tuple[Column
     return F.round(lng0 + x / (METRES_A_DEGREE * F.cos(F.radians(lat0))), 6), F.round(lat0 + y / METRES_A_DEGREE, 6)
 
 
-def _shift(lng: Column, lat: Column) -> tuple[Column, Column]:
-    pi = F.lit(3.14159265358979324)
-    x, y = lng - 105.0, lat - 35.0
-    wave = (20.0 * F.sin(6.0 * x * pi) + 20.0 * F.sin(2.0 * x * pi)) * 2.0 / 3.0
-    dlat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x)) + wave
-    dlat = dlat + (20.0 * F.sin(y * pi) + 40.0 * F.sin(y / 3.0 * pi)) * 2.0 / 3.0 + (160.0 * F.sin(y / 12.0 * pi) + 320.0 * F.sin(y * pi / 30.0)) * 2.0 / 3.0
-    dlng = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x)) + wave
-    dlng = dlng + (20.0 * F.sin(x * pi) + 40.0 * F.sin(x / 3.0 * pi)) * 2.0 / 3.0 + (150.0 * F.sin(x / 12.0 * pi) + 300.0 * F.sin(x / 30.0 * pi)) * 2.0 / 3.0
-    rad = lat / 180.0 * pi
-    magic = 1 - SHIFT_E2 * F.sin(rad) * F.sin(rad)
-    root = F.sqrt(magic)
-    return dlng * 180.0 / (SHIFT_A / root * F.cos(rad) * pi), dlat * 180.0 / ((SHIFT_A * (1 - SHIFT_E2)) / (magic * root) * pi)
+def _offset(terms: tuple, waves: tuple, y2: float, x, y, sin, root):
+    """One offset of the shifted frame at (x, y) degrees from its origin, for Columns and arrays alike."""
+    one, ax, ay, axx, axy, ar = terms
+    out = one + ax * x + ay * y + axx * x * x + axy * x * y + ar * root + y2 * y * y
+    for height, along, turns in (*COMMON_WAVES, *waves):
+        out = out + height * 2.0 / 3.0 * sin((x if along == "x" else y) * (turns * math.pi))
+    return out
+
+
+def _shift(lng, lat, sin, cos, sqrt, absolute):
+    """Degrees by which the shifted frame lies off at a place."""
+    x, y, rad = lng - 105.0, lat - 35.0, lat * (math.pi / 180)
+    root = sqrt(absolute(x))
+    east = _offset(LNG_TERMS, LNG_WAVES, 0.0, x, y, sin, root)
+    north = _offset(LAT_TERMS, LAT_WAVES, LAT_Y2, x, y, sin, root)
+    w2 = 1 - SHIFT_E2 * sin(rad) * sin(rad)  # squared scale of the ellipsoid at this latitude
+    degree = 180 / math.pi
+    return east * degree * sqrt(w2) / (SHIFT_A * cos(rad)), north * degree * w2 * sqrt(w2) / (SHIFT_A * (1 - SHIFT_E2))
+
+
+def valid_place(lng: Column, lat: Column) -> Column:
+    """finite degrees of a place on Earth."""
+    return F.coalesce(lng.between(-180, 180) & lat.between(-90, 90), F.lit(False))  # NaN is beyond every bound
+
+
+def in_frame(lng: Column, lat: Column) -> Column:
+    """inside the window in which the frame is shifted."""
+    return lng.between(FRAME[0], FRAME[1]) & lat.between(FRAME[2], FRAME[3])
 
 
 def wgs84_to_gcj02(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """the shifted frame; places outside its window pass through, invalid ones become null."""
+    dx, dy = _shift(lng, lat, F.sin, F.cos, F.sqrt, F.abs)
+    ok, inside = valid_place(lng, lat), in_frame(lng, lat)
+    return F.when(ok, F.when(inside, lng + dx).otherwise(lng)), F.when(ok, F.when(inside, lat + dy).otherwise(lat))
+
+
+@F.pandas_udf(StructType().add("lng", DoubleType()).add("lat", DoubleType()))
+def _unshifted(lng: pd.Series, lat: pd.Series) -> pd.DataFrame:
+    x0, y0 = lng.to_numpy(float), lat.to_numpy(float)
+    x, y = x0.copy(), y0.copy()
+    for _ in range(10):
+        inside = (x >= FRAME[0]) & (x <= FRAME[1]) & (y >= FRAME[2]) & (y <= FRAME[3])
+        dx, dy = _shift(x, y, np.sin, np.cos, np.sqrt, np.abs)
+        off_x, off_y = x + np.where(inside, dx, 0) - x0, y + np.where(inside, dy, 0) - y0
+        x, y = x - off_x, y - off_y
+        if np.nanmax(np.abs(np.r_[off_x, off_y, 0.0])) < 1e-10:
+            break
+    return pd.DataFrame({"lng": x, "lat": y})
+
+
+def gcj02_to_wgs84(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """Back from the shifted frame by ten steps at most, in Arrow batches (as an expression each step would multiply the last)."""
+    ok = valid_place(lng, lat)
+    place = _unshifted(F.when(ok, lng), F.when(ok, lat))
+    return F.when(ok, place["lng"]), F.when(ok, place["lat"])
+
+
+def bd09_to_wgs84(lng: Column, lat: Column) -> tuple[Column, Column]:
     """F1."""
-    dx, dy = _shift(lng, lat)
-    return lng + dx, lat + dy
+    return gcj02_to_wgs84(*bd09_to_gcj02(lng, lat))
 
 
 def gcj02_to_bd09(lng: Column, lat: Column) -> tuple[Column, Column]:
@@ -140,3 +196,15 @@ def ring_area(ring: Column) -> Column:
 def halton(index: Column, base: int, digits: int = 20) -> Column:
     """the radical inverse of an index, digit by digit."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(digits - 1)), F.lit(0.0), lambda s, k: s + F.floor(index / F.pow(F.lit(float(base)), k)) % base / F.pow(F.lit(float(base)), k + 1))
+
+
+def with_corners(points: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """points of the unit square (struct u, v) laid over a box, after its four corners."""
+    corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x in (x0, x1) for y in (y0, y1)])
+    return F.concat(corners, F.transform(points, lambda p: F.struct((x0 + p["u"] * (x1 - x0)).alias("x"), (y0 + p["v"] * (y1 - y0)).alias("y"))))
+
+
+def radial_points(rays: int, radii: list[float]) -> Column:
+    """points on evenly spaced rays around an origin."""
+    each = [(k * 2 * math.pi / rays, r) for k in range(rays) for r in radii]
+    return F.array(*[F.struct(F.lit(r * math.cos(a)).alias("x"), F.lit(r * math.sin(a)).alias("y")) for a, r in each])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from footfall.functions.text import yes
+
 # Fixed values of the walking rules.
 THRESHOLD_M, TOLERANCE_M, REACH_S, ENDPOINT_TOLERANCE_M = 1000.0, 100.0, 900.0, 20.0
 # Fixed value lists of the walkability classes.
@@ -34,9 +36,10 @@ def category_service(verdict: Column, complete: Column) -> Column:
 
 def number_text(value: Column, lo: float, hi: float, scientific: bool = False) -> Column:
     """A plain (or scientific) decimal string inside a range, as a double; else null."""
-    form = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$" if scientific else r"^[+-]?\d+(\.\d+)?$"
+    plain = r"[+-]?(\d+(\.\d*)?|\.\d+)"
+    form = f"^{plain}([eE][+-]?\\d+)?$" if scientific else f"^{plain}$"
     text = F.trim(value.cast("string"))
-    number = F.expr("try_cast(null as double)") if value is None else text.try_cast("double")
+    number = text.try_cast("double")
     return F.when(text.rlike(form) & (F.length(text) <= 64) & number.between(lo, hi), number)
 
 
@@ -57,6 +60,18 @@ def barrier_class(barrier: Column) -> Column:
     return F.when(barrier.isNull() | barrier.isin("", "no", "none"), None).when(barrier.isin(*BLOCKING_BARRIERS), "denied").when(barrier.isin(*PASSABLE_BARRIERS), "allowed").otherwise("possible")
 
 
+#: Roads that a bridge may carry on foot.
+WALKED_HIGHWAYS = ("footway", "path", "pedestrian", "steps", "residential", "living_street", "service", "unclassified", "tertiary", "secondary", "primary", "cycleway")
+
+
+def walkable_bridge(bridge: Column, tunnel: Column, foot: Column, access: Column, highway: Column) -> Column:
+    """A bridge, not a tunnel, that people may walk: foot says so, or nothing bars them and its road is one that is walked."""
+    welcome = F.coalesce(foot.isin(*ALLOWED_FOOT), F.lit(False))
+    barred = F.coalesce(foot.isin(*DENIED_FOOT), F.lit(False)) | (F.coalesce(access.isin(*DENIED_ACCESS), F.lit(False)) & ~welcome)
+    by_road = F.coalesce(highway.isin(*WALKED_HIGHWAYS), F.lit(False)) & (F.coalesce(foot, F.lit("")) != "use_sidepath")
+    return yes(bridge) & ~yes(tunnel) & ~barred & (welcome | by_road)
+
+
 def usable_route(verified: Column, duration: Column, same_point: Column) -> Column:
     """Endpoint verified, a duration, and no zero duration to another place."""
     return F.coalesce(verified, F.lit(False)) & duration.isNotNull() & ~((duration == 0) & ~same_point)
@@ -95,9 +110,9 @@ def admission(new_calls: Column, reusable: Column, task_left: Column, daily_left
 
 
 def checkup_status(boundary: Column, facilities: Column, analysis: Column) -> Column:
-    """Insufficient if a stage failed, else partial."""
-    failed = reduce(lambda a, b: a | b, [c == "failed" for c in (boundary, facilities, analysis)])
-    return F.when(failed, "insufficient_data").otherwise("partial")
+    """Insufficient if the boundary's quality is, or if a later stage failed; else partial."""
+    unusable = reduce(lambda a, b: a | b, [c == "failed" for c in (facilities, analysis)])
+    return F.when((boundary == "insufficient") | unusable, "insufficient").otherwise("partial")
 
 
 def issues(*tests: tuple[str, Column]) -> Column:

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Full-width forms and their plain counterparts.
 WIDE, PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　", "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
 def canonical(text: Column) -> Column:
-    """half-width, lower case, letters and digits alone."""
-    return F.regexp_replace(F.lower(F.translate(text, WIDE, PLAIN)), r"[^\p{L}\p{N}]", "")
+    """compatibility form, case folded, without white space, brackets, commas, stops and middle dots.
+
+    Texts of plain or full-width signs stay in the JVM; only the others go through Python.
+    """
+    easy = text.rlike(r"^[\x00-\x7F\uFF01-\uFF5E\u3000]*$")
+    folded = F.when(easy, F.lower(F.translate(text, WIDE, PLAIN))).otherwise(_folded(F.when(~easy, text)))
+    return F.regexp_replace(folded, r"[\s\u00A0\u3000()（）,，.。·]+", "")
+
+
+def numbered_gate(text: Column) -> Column:
+    """a name that ends in the number of a gate."""
+    return text.rlike(r"\d+号门")
 
 
 def tags(text: Column) -> Column:
@@ -31,13 +50,14 @@ def redact(text: Column) -> Column:
 
 
 def width_metres(text: Column) -> Column:
-    """A width given as a number, with or without a unit of metres; else null."""
-    return F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*(?:m|metres?|meters?)?\s*$", 1).try_cast("double")
+    """A width given as a number, with or without ``m``, above 0 and up to 1000; else null."""
+    width = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*m?\s*$", 1).try_cast("double")
+    return F.when((width > 0) & (width <= 1000), width)
 
 
 def yes(text: Column) -> Column:
     """Does a tag say yes in any form but no?"""
-    return F.coalesce(~F.lower(text).isin("no", "false", "0", ""), F.lit(False))
+    return F.coalesce(~F.lower(text).isin("no", "0", "false", "none", ""), F.lit(False))
 
 
 def path_points(path: Column) -> Column:
@@ -47,15 +67,31 @@ def path_points(path: Column) -> Column:
     return F.transform(kept, lambda p: F.struct(F.split_part(p, F.lit(","), F.lit(1)).try_cast("double").alias("lng"), F.split_part(p, F.lit(","), F.lit(2)).try_cast("double").alias("lat")))
 
 
-def upstream_reason(status: Column) -> Column:
-    """the reason behind an upstream status; null for success."""
-    known = {0: None, 1: "server_error", 2: "invalid_parameter", 3: "verification_failed", 4: "quota_exhausted", 5: "invalid_key", 302: "daily_quota", 401: "rate_limit"}
-    out = None
-    for code, reason in known.items():
-        out = F.when(status == code, reason) if out is None else out.when(status == code, reason)
-    return out.otherwise(F.concat(F.lit("upstream_"), status.cast("string")))
+def upstream_reason(http: Column, status: Column, result_type: Column | None = None) -> Column:
+    """the reason behind an answer, by its HTTP status, then by the status in it; null for success."""
+    kind = F.coalesce(result_type, F.lit("poi_type")) if result_type is not None else F.lit("poi_type")
+    return (
+        F.when(http == 429, "rate_limit")
+        .when(http.isin(401, 403), "permission")
+        .when(http >= 500, "upstream_error")
+        .when(F.coalesce(http, F.lit(0)) != 200, "http_error")
+        .when(status.isNull(), "invalid_response")
+        .when(status.isin(401, 402), "rate_limit")
+        .when(status.isin(4, 302), "quota")
+        .when(status.isin(3, 5) | status.between(200, 299), "permission")
+        .when(status == 2, "parameter_error")
+        .when(status == 1, "upstream_error")
+        .when(status != 0, "source_error")
+        .when(kind != "poi_type", "non_poi_response")
+    )
 
 
 def percent_text(share: Column) -> Column:
     """one decimal and a percent sign; a dash for unknown."""
     return F.when(share.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", F.round(share * 100, 1)), F.lit("%")))
+
+
+def area_text(square_metres: Column) -> Column:
+    """whole square metres up to a hectare, else hectares with one decimal; a dash for unknown."""
+    hectares = F.concat(F.format_string("%.1f", F.round(square_metres / 10_000, 1)), F.lit(" ha"))
+    return F.when(square_metres.isNull(), "—").when(square_metres < 10_000, F.concat(F.format_string("%.0f", F.round(square_metres)), F.lit(" m²"))).otherwise(hectares)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import geo, rules
-from footfall.operators import evidence, graph, grid
+from footfall.operators import evidence, graph, grid, verification
 from footfall.operators.components import connected_components
 from footfall.plans.demo import Registry, demo
 from footfall.plans.graphs import seeds, ways
@@ -45,82 +45,114 @@ def q_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "checkup_states",
-    """SELECT CASE WHEN o_orderstatus = 'F' AND o_orderkey % 6 = 0 OR o_orderpriority = '1-URGENT' THEN 'insufficient_data' ELSE 'partial' END AS status, count(*) AS n FROM orders GROUP BY 1""",
+    """SELECT CASE WHEN o_orderstatus = 'F' AND o_orderkey % 6 = 0 OR o_orderpriority = '1-URGENT' THEN 'insufficient' ELSE 'partial' END AS status, count(*) AS n FROM orders GROUP BY 1""",
 )
 def q_checkup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of a check-up from its stages."""
     t = demo(spark, sf_dir, "tasks")
-    stage = F.when(F.expr("status = 'F' AND task % 6 = 0"), "failed").otherwise("done")
-    other = F.when(F.col("priority") == "1-URGENT", "failed").otherwise("done")
-    return t.groupBy(rules.checkup_status(stage, other, F.lit("done")).alias("status")).agg(F.count("*").alias("n"))
+    quality = F.when(F.expr("status = 'F' AND task % 6 = 0"), "insufficient").otherwise("usable")
+    later = F.when(F.col("priority") == "1-URGENT", "failed").otherwise("done")
+    return t.groupBy(rules.checkup_status(quality, later, F.lit("done")).alias("status")).agg(F.count("*").alias("n"))
 
 
-R.view(
+@R.twin(
     "retry_eligibility", ("tasks", "revisions"),
     """
 SELECT verdict, count(*) AS n FROM (
   SELECT t.task, CASE WHEN r.task IS NULL THEN 'nothing_to_continue' WHEN t.status = 'O' THEN 'in_progress' WHEN r.last_stage = 'A' THEN 'not_needed' ELSE 'eligible' END AS verdict
-  FROM {tasks} t LEFT JOIN (SELECT task, max(stage) AS last_stage FROM {revisions} GROUP BY task) r ON r.task = t.task
+  FROM {tasks} t LEFT JOIN (SELECT task, max(stage) AS last_stage FROM {revisions} WHERE task % 3 <> 0 GROUP BY task) r ON r.task = t.task
 ) v GROUP BY verdict""",
-    "P28: which tasks may be retried.",
-)
+)
+def q_retry_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tasks may be retried."""
+    # Every third task has stored nothing yet.
+    done = verification.retry_eligibility(demo(spark, sf_dir, "tasks"), demo(spark, sf_dir, "revisions").filter("task % 3 <> 0"), "task", "stage", F.col("status") == "O", "A")
+    return done.groupBy("verdict").agg(F.count("*").alias("n"))
+
 
-R.view(
+@R.twin(
     "stale_retrievals", ("facilities",),
     """
 SELECT category, count_if(was AND NOT now_) AS left_, count_if(now_ AND NOT was) AS entered, bool_or(was AND NOT now_) OR bool_or(now_ AND NOT was) AS stale FROM (
   SELECT category, x * x + y * y <= 1440000 AS was, (x - 60) * (x - 60) + y * y <= 1500000 AS now_ FROM {facilities}
 ) t GROUP BY category""",
-    "P24: retrievals made stale by a boundary that grew or lost a counted facility.",
-)
+)
+def q_stale_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrievals made stale by a boundary that grew or lost a counted facility."""
+    return verification.stale_retrievals(demo(spark, sf_dir, "facilities"), "category", F.expr("x * x + y * y <= 1440000"), F.expr("(x - 60) * (x - 60) + y * y <= 1500000"))
 
-R.view(
+
+@R.twin(
     "evaluated_majors", ("poi_rows",),
     """
 SELECT tag AS major, count(DISTINCT uid) AS found, bool_and(seq % 50 <> 0) AS complete, bool_and(seq % 50 <> 0) OR count(DISTINCT uid) > 0 AS evaluated FROM {poi_rows} GROUP BY tag""",
-    "P21: majors that can be evaluated.",
-)
+)
+def q_evaluated_majors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majors that can be evaluated."""
+    return verification.evaluated_majors(demo(spark, sf_dir, "poi_rows"), "tag", "uid", F.col("seq") % 50 != 0)
+
 
-R.view(
+@R.twin(
     "snapshot_summaries", ("revisions",),
     """SELECT task, count(*) AS revisions, count(DISTINCT stage) AS stages, max(revision) AS latest, round(sum(price), 2) AS total_price FROM {revisions} GROUP BY task""",
-    "P6: scalar summary of every snapshot.",
-)
+)
+def q_snapshot_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar summary of every snapshot."""
+    return verification.snapshot_summary(demo(spark, sf_dir, "revisions"), "task", "stage", "revision", "price")
 
-R.view(
+
+@R.twin(
     "entrance_summary", ("nodes",),
     """SELECT count(*) AS entrances, count_if(coalesce(barrier IN ('wall', 'fence'), false)) AS unresolved, count_if(barrier IS NULL) AS open_, count(DISTINCT barrier) AS kinds FROM {nodes}""",
-    "A17: entrance counts by state.",
-)
+)
+def q_entrance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entrance counts by state."""
+    return verification.entrance_summary(demo(spark, sf_dir, "nodes"), "barrier", F.col("barrier").isin("wall", "fence"))
+
 
-R.view(
+@R.twin(
     "spot_check_summary", ("cases",),
     """
 SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN duration > 1500 THEN 'beyond' WHEN truth IS NULL THEN 'inconclusive' WHEN truth = prediction THEN 'agree' WHEN abs(duration - 900) <= 60 THEN 'resolved' ELSE 'conflict' END AS outcome FROM {cases}) t GROUP BY outcome""",
-    "A36: outcomes of spot checks.",
-)
+)
+def q_spot_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of spot checks."""
+    outcome = verification.spot_check_outcome(F.col("truth"), F.col("prediction"), F.col("duration"))
+    return demo(spark, sf_dir, "cases").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
-R.view(
+
+@R.twin(
     "zone_status_counts", ("facilities",),
     """SELECT category, count_if(balance < 0) AS gap, count_if(balance BETWEEN 0 AND 5000) AS unknown, count_if(balance > 5000) AS covered FROM {facilities} GROUP BY category""",
-    "A41: counts by category and status.",
-)
+)
+def q_zone_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by category and status."""
+    balance = F.col("balance")
+    return verification.status_counts(demo(spark, sf_dir, "facilities"), "category", gap=balance < 0, unknown=balance.between(0, 5000), covered=balance > 5000)
+
 
-R.view(
+@R.twin(
     "plan_ledger_join", ("demand", "routes"),
     """
 SELECT CASE WHEN r.n IS NULL THEN 'missing' WHEN r.durations > 1 THEN 'conflict' WHEN r.fastest <= 900 THEN 'reachable' ELSE 'unreachable' END AS label, count(*) AS n
 FROM {demand} d LEFT JOIN (SELECT origin, count(*) AS n, count(DISTINCT duration <= 900) AS durations, min(duration) AS fastest FROM {routes} WHERE reason = 'ok' AND endpoint_verified GROUP BY origin) r ON r.origin = d.id GROUP BY 1""",
-    "J19: planned points labelled from the ledger.",
-)
+)
+def q_plan_ledger_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned points labelled from the ledger."""
+    ledger = demo(spark, sf_dir, "routes").filter("reason = 'ok' AND endpoint_verified")
+    return verification.plan_against_ledger(demo(spark, sf_dir, "demand"), ledger, "id", "origin", "duration").groupBy("label").agg(F.count("*").alias("n"))
 
-R.view(
+
+@R.twin(
     "verification_carry_over", ("routes", "nodes"),
     """
 SELECT CASE WHEN n.id IS NULL THEN 'entrance_gone' WHEN n.barrier IN ('wall', 'fence') THEN 'unresolved' ELSE 'valid' END AS entrance, r.reason, count(*) AS n
-FROM {routes} r LEFT JOIN {nodes} n ON n.id = r.facility * 13 + r.line GROUP BY 1, 2""",
-    "J22, M24: earlier verification under the new state of entrances.",
-)
+FROM {routes} r LEFT JOIN {nodes} n ON n.id = r.facility * 23 + r.line GROUP BY 1, 2""",
+)
+def q_verification_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier verification under the new state of entrances."""
+    before = demo(spark, sf_dir, "routes").withColumn("id", F.col("facility") * 23 + F.col("line"))
+    return verification.carried_over(before, demo(spark, sf_dir, "nodes"), "id", "barrier", F.col("barrier").isin("wall", "fence")).groupBy("entrance", "reason").agg(F.count("*").alias("n"))
 
 
 @R.add(
@@ -274,7 +306,7 @@ def q_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "point_triangles",
     """
-WITH t AS (SELECT a.id AS ord, a.x AS ax, a.y AS ay, a.x + 90 AS bx, a.y AS by_, a.x AS cx, a.y + 90 AS cy FROM facilities a), p AS (SELECT id, x, y FROM demand WHERE id % 10 = 0)
+WITH t AS (SELECT a.id AS ord, a.x AS ax, a.y AS ay, a.x + 90 AS bx, a.y AS by_, a.x AS cx, a.y + 90 AS cy FROM facilities a), p AS (SELECT id, x, y FROM demand)
 SELECT p.id, max(t.ord) AS triangle FROM p JOIN t ON p.x >= t.ax AND p.y >= t.ay AND (p.x - t.ax) + (p.y - t.ay) <= 90 GROUP BY p.id""",
     ("facilities", "demand"),
 )
@@ -301,14 +333,21 @@ def q_edge_crossing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.spaced_candidates(demo(spark, sf_dir, "ray_samples"))
 
 
-R.view(
+@R.twin(
     "domain_minus_coverage", ("demand",),
     """SELECT count(*) AS cells, count(*) * 2500 AS area_m2 FROM (SELECT DISTINCT ix, iy FROM {demand}) d WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT ix, iy FROM {demand} WHERE owner % 10 = 0) x WHERE x.ix = d.ix AND x.iy = d.iy)""",
-    "M6: assessment domain less excluded cells.",
-)
+)
+def q_domain_minus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: assessment domain less excluded cells."""
+    d = demo(spark, sf_dir, "demand")
+    return verification.domain_less(d, d.filter("owner % 10 = 0"), ["ix", "iy"], 2500)
 
-R.view(
+
+@R.twin(
     "dataset_boundary_hits", ("nodes",),
     """SELECT gy, bool_or(gx = 49 OR gx = 0) AS hits_boundary, count_if(gx = 49 OR gx = 0) AS boundary_nodes FROM {nodes} GROUP BY gy""",
-    "G13: does a reachable network touch the edge of the dataset?",
-)
+)
+def q_dataset_boundary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a reachable network touch the edge of the dataset?"""
+    return verification.boundary_hits(demo(spark, sf_dir, "nodes"), "gy", F.col("gx").isin(0, 49))
+

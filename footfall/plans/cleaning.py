@@ -22,45 +22,71 @@ DICTIONARY = [
     {"key": "waste", "names": ["cold ring"], "tags": [], "excludes": [], "priority": 9, "negative": True},
 ]
 
+#: Words of the keyword classifier, and the lookup of minor categories.
+WORDS = [
+    {"key": "tool", "include": ["widget", "gizmo"], "exclude": ["hot"], "priority": 1},
+    {"key": "ring", "include": ["ring"], "priority": 1},
+    {"key": "gear", "include": ["gear", "small gear"], "priority": 1},
+    {"key": "bolt", "include": ["bolt"], "priority": 3},
+    {"key": "waste", "include": ["red"], "priority": 9, "negative": True},
+    {"key": "later", "include": ["blue"], "priority": 9, "gated": True},
+]
+LOOKUP = [
+    ("ECONOMY", "daily", "living"), ("STANDARD", "daily", "living"), ("MEDIUM", "health", "care"), ("LARGE", "culture", "leisure"), ("PROMO", "sport", "leisure"),
+    ("SMALL", "school", "learning"), ("NONE", "none", "none"),
+]
+
 
 @R.add(
     "rule_classifier",
     """
-WITH p AS (SELECT p_partkey AS id, p_name AS n, p_type AS t FROM part),
+WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 29 = 0 THEN p_name || ' 3号门' ELSE p_name END AS n, CASE p_partkey % 3 WHEN 0 THEN p_type || '；steelworks' WHEN 1 THEN p_type || ' | OTHER' ELSE p_type END AS g FROM part),
+q AS (SELECT *, list_distinct(list_filter(list_transform(string_split_regex(g, '[;；,，|>]'), lambda v: trim(v)), lambda v: v <> '')) AS t FROM p),
 h AS (
-  SELECT *, (contains(n, 'widget') OR contains(n, 'gizmo')) AND NOT contains(n, 'hot') AS n1, t IN ('ECONOMY', 'STANDARD') AND NOT contains(n, 'hot') AS t1,
-    contains(n, 'bolt') OR contains(n, 'ring') AS n2, t = 'MEDIUM' AS t2, contains(n, 'gear') AND NOT contains(n, 'small') AS n3, t IN ('LARGE', 'PROMO') AND NOT contains(n, 'small') AS t3, contains(n, 'cold ring') AS n4 FROM p
+  SELECT *, (contains(n, 'widget') OR contains(n, 'gizmo')) AND NOT contains(n, 'hot') AS n1, list_has_any(t, ['ECONOMY', 'STANDARD']) AND NOT contains(n, 'hot') AS t1,
+    contains(n, 'bolt') OR contains(n, 'ring') AS n2, list_has_any(t, ['MEDIUM']) AS t2, contains(n, 'gear') AND NOT contains(n, 'small') AS n3, list_has_any(t, ['LARGE', 'PROMO']) AND NOT contains(n, 'small') AS t3, contains(n, 'cold ring') AS n4 FROM q
 ), s AS (
-  SELECT *, CASE WHEN contains(n, 'steel') THEN 'excluded' WHEN contains(n || ' ' || t, 'green') THEN 'needs_review' WHEN n4 THEN 'excluded'
+  SELECT *, CASE WHEN contains(n, 'steel') OR regexp_matches(n, '\\d+号门') THEN 'excluded' WHEN contains(n || ' ' || g, 'green') THEN 'needs_review' WHEN n4 THEN 'excluded'
     WHEN NOT (n3 OR t3) AND (n1 OR t1) AND (n2 OR t2) THEN 'needs_review'
     WHEN (n3 OR t3) THEN CASE WHEN t3 THEN 'accepted' ELSE 'needs_review' END WHEN t1 OR t2 THEN 'accepted' ELSE 'needs_review' END AS status FROM h
 )
 SELECT id, status, CASE WHEN status = 'accepted' THEN CASE WHEN n3 OR t3 THEN 'machines' WHEN n2 OR t2 THEN 'hardware' ELSE 'tools' END END AS category FROM s""",
 )
 def q_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary classification with excludes, review words, priorities and tag evidence."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_type").alias("tags"))
-    return entity.rule_classifier(rows, DICTIONARY, ["steel"], ["green"], ["CONFLICT"]).select("id", "status", "category")
+    """Dictionary classification with excludes, review words, gates, tags of several parts, parent tags and priorities."""
+    gate = F.when(F.col("p_partkey") % 29 == 0, F.concat("p_name", F.lit(" 3号门"))).otherwise(F.col("p_name"))
+    tag = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("；steelworks"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_type", F.lit(" | OTHER"))).otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), gate.alias("name"), F.array(tag).alias("tags"))
+    return entity.rule_classifier(rows, DICTIONARY, ["steel"], ["green"], ["CONFLICT"], parents=["steelworks"]).select("id", "status", "category")
 
 
-R.view(
+@R.twin(
     "keyword_classifier", POI,
     """
-SELECT uid, CASE WHEN ties = 1 THEN key END AS category, score AS confidence FROM (
-  SELECT uid, key, least(1e0, length(key) / 4e0) AS score, row_number() OVER (PARTITION BY uid ORDER BY length(key) DESC, key) AS n, count(*) OVER (PARTITION BY uid, length(key)) AS ties FROM (
-    SELECT DISTINCT p.uid, k.key FROM {poi_rows} p JOIN (SELECT 'bolt' AS key UNION ALL SELECT 'ring' UNION ALL SELECT 'gear' UNION ALL SELECT 'widget' UNION ALL SELECT 'gizmo' UNION ALL SELECT 'red' UNION ALL SELECT 'small') k ON contains(p.name, k.key)) d
-) t WHERE n = 1""",
-    "C2, C3: longest keyword wins, a tie gives none, confidence by length.",
-)
-
-R.view(
+WITH p AS (SELECT DISTINCT uid, name FROM {poi_rows}),
+k AS (SELECT 'tool' AS key, 'widget' AS word, 1 AS prio, false AS neg UNION ALL SELECT 'tool', 'gizmo', 1, false UNION ALL SELECT 'ring', 'ring', 1, false UNION ALL SELECT 'gear', 'gear', 1, false UNION ALL SELECT 'gear', 'small gear', 1, false
+  UNION ALL SELECT 'bolt', 'bolt', 3, false UNION ALL SELECT 'waste', 'red', 9, true),
+h AS (SELECT p.uid, k.* FROM p JOIN k ON contains(p.name, k.word) WHERE NOT contains(p.name, 'cold') AND NOT (k.key = 'tool' AND contains(p.name, 'hot')) AND NOT (k.key = 'ring' AND contains(p.name, 'gear'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY prio DESC, length(word) DESC, key, word) AS n FROM h)
+SELECT p.uid, CASE WHEN NOT r.neg THEN r.key END AS category, r.word AS keyword, coalesce(r.neg, false) AS negative, coalesce(least(1e0, length(r.word) / 4e0), 0e0) AS confidence FROM p LEFT JOIN r ON r.uid = p.uid AND r.n = 1""",
+)
+def q_keyword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by priority and length, with excludes, shadowing, gates and negative categories."""
+    rows = demo(spark, sf_dir, "poi_rows").select("uid", "name").distinct()
+    return entity.keyword_classifier(rows, "uid", "name", WORDS, ["cold"], {"ring": "gear"})
+
+
+@R.twin(
     "category_lookup", POI,
     """
 SELECT d.major, d.display, count(DISTINCT p.uid) AS facilities FROM (
   SELECT 'ECONOMY' AS minor, 'daily' AS major, 'living' AS display UNION ALL SELECT 'STANDARD', 'daily', 'living' UNION ALL SELECT 'MEDIUM', 'health', 'care' UNION ALL SELECT 'LARGE', 'culture', 'leisure' UNION ALL SELECT 'PROMO', 'sport', 'leisure' UNION ALL SELECT 'SMALL', 'school', 'learning' UNION ALL SELECT 'NONE', 'none', 'none'
 ) d LEFT JOIN {poi_rows} p ON p.tag = d.minor GROUP BY d.major, d.display""",
-    "C4, A2: majors and display groups by lookup, with zero counts.",
-)
+)
+def q_category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4, A2: majors and display groups by lookup, with zero counts."""
+    lookup = spark.createDataFrame(LOOKUP, "minor string, major string, display string")
+    return entity.display_counts(lookup, demo(spark, sf_dir, "poi_rows"), "minor", "tag", "uid")
 
 
 @R.add(
@@ -77,12 +103,17 @@ def q_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "entity_merge",
-    """SELECT uid, count(*) AS observations, array_to_string(list_sort(list(DISTINCT name)), '|') AS names, array_to_string(list_sort(list(DISTINCT tag)), '|') AS tags, false AS name_conflict, false AS location_conflict, false AS tag_conflict, min(seq) AS first_seq FROM poi_rows GROUP BY uid""",
+    r"""
+WITH o AS (SELECT CAST(CAST(floor(ord / 3.0) AS BIGINT) % 400 AS VARCHAR) AS uid, CASE WHEN ord % 5 = 0 THEN upper(name) || ' (1)' ELSE name END AS name, tag, x, y, seq FROM poi_rows)
+SELECT uid, count(*) AS observations, array_to_string(list_sort(list(DISTINCT name)), '|') AS names, array_to_string(list_sort(list(DISTINCT tag)), '|') AS tags,
+  count(DISTINCT regexp_replace(lower(name), '[\s()]+', '', 'g')) > 1 AS name_conflict, count(DISTINCT x * 100000 + y) > 1 AS location_conflict, count(DISTINCT tag) > 1 AS tag_conflict, min(seq) AS first_seq FROM o GROUP BY uid""",
     POI,
 )
 def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: entities merged by uid with their conflicts."""
-    return entity.merge_entities(demo(spark, sf_dir, "poi_rows")).withColumn("names", F.concat_ws("|", "names")).withColumn("tags", F.concat_ws("|", "tags"))
+    """A1: entities merged by uid with their conflicts (ids here are shared by several records)."""
+    name = F.when(F.col("ord") % 5 == 0, F.concat(F.upper("name"), F.lit(" (1)"))).otherwise(F.col("name"))
+    rows = demo(spark, sf_dir, "poi_rows").withColumn("uid", (F.floor(F.col("ord") / 3) % 400).cast("string")).withColumn("name", name)
+    return entity.merge_entities(rows).withColumn("names", F.concat_ws("|", "names")).withColumn("tags", F.concat_ws("|", "tags"))
 
 
 @R.add(
@@ -99,70 +130,164 @@ def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.possible_duplicates(rows)
 
 
-R.view(
+@R.twin(
     "retrieval_statistics", POI,
     """
 SELECT count(*) AS raw_rows, count(DISTINCT uid) AS merged, count_if(x * x + y * y > 4000000) AS outside, count_if(tag = 'SMALL') AS invalid, count(DISTINCT CASE WHEN x * x + y * y <= 4000000 AND tag <> 'SMALL' THEN uid END) AS accepted, count(DISTINCT seq * 100 + page) AS pages FROM {poi_rows}""",
-    "A3, M12: the retrieval statistics block.",
-)
+)
+def q_retrieval_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retrieval statistics block."""
+    return entity.retrieval_statistics(demo(spark, sf_dir, "poi_rows"), "uid", F.expr("x * x + y * y > 4000000"), F.col("tag") == "SMALL", ["seq", "page"])
+
+
+@R.twin("source_attribution", POI, "SELECT seq AS source, count(DISTINCT page) AS pages, count_if(page = 1) AS live, min(ord) AS first_seen FROM {poi_rows} GROUP BY seq",
+)
+def q_source_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: pages, live pages and first sight per source."""
+    return entity.source_attribution(demo(spark, sf_dir, "poi_rows"), "seq", "page", F.col("page") == 1, "ord")
 
-R.view("source_attribution", POI, "SELECT seq AS source, count(DISTINCT page) AS pages, count_if(page = 1) AS live, min(ord) AS first_seen FROM {poi_rows} GROUP BY seq", "A4: pages, live pages and first sight per source.")
 
-R.view(
+@R.twin(
     "quarantine_split", POI,
     """
 SELECT reason, count(*) AS n, min(ord) AS first_ord FROM (
   SELECT ord, CASE WHEN tag = 'SMALL' THEN 'invalid_category' WHEN x * x + y * y > 6000000 THEN 'outside_window' WHEN name LIKE 'cold%' THEN 'needs_review' ELSE 'accepted' END AS reason FROM {poi_rows}
 ) t GROUP BY reason""",
-    "P4, P9, P13, U1: every row kept under a named reason.",
-)
+)
+def q_quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row kept under a named reason."""
+    split = entity.split_by_reason(demo(spark, sf_dir, "poi_rows"), invalid_category=F.col("tag") == "SMALL", outside_window=F.expr("x * x + y * y > 6000000"), needs_review=F.col("name").startswith("cold"))
+    return split.groupBy("reason").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+
 
-R.view(
+@R.twin(
     "review_sample", ("facilities",),
     """
-SELECT category, id, CAST(n AS BIGINT) AS n FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY md5(CAST(id AS VARCHAR(20))), id) AS n FROM {facilities}) t WHERE n <= 15""",
-    "W18: fifteen per category in a stable pseudo-random order.",
-)
+SELECT category, id, CAST(n AS BIGINT) AS n FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY sha256(CAST(id AS VARCHAR(20))), id) AS n, balance FROM {facilities}) t WHERE n <= 15 OR balance < -990""",
+)
+def q_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen per category in a stable pseudo-random order, and the disputed ones."""
+    return entity.review_sample(demo(spark, sf_dir, "facilities"), "category", "id", 15, F.col("balance") < -990).select("category", "id", "n")
+
 
-R.view(
+@R.twin(
     "search_plan", ("facilities", "demand"),
     """
 SELECT t.tx, t.ty, c.category, k.keyword, t.n FROM (SELECT CAST(floor(ix / 20e0) AS BIGINT) AS tx, CAST(floor(iy / 20e0) AS BIGINT) AS ty, count(*) AS n FROM {demand} GROUP BY 1, 2) t CROSS JOIN (SELECT DISTINCT category FROM {facilities}) c CROSS JOIN (SELECT 'primary' AS keyword UNION ALL SELECT 'secondary') k""",
-    "J1: tiles x categories x keywords (dimension tables of bounded size).",
-)
+)
+def q_search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles x categories x keywords (dimension tables of bounded size)."""
+    return entity.search_plan(demo(spark, sf_dir, "demand"), "ix", "iy", 20.0, demo(spark, sf_dir, "facilities").select("category"), ["primary", "secondary"])
+
 
-R.view(
+@R.twin(
     "coarse_plan", ("facilities", "demand"),
     """
 SELECT b.bx, b.by_ AS by_, c.category FROM (SELECT 0 AS bx, 0 AS by_ UNION ALL SELECT 0, 1 UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1) b CROSS JOIN (SELECT category, count(*) AS n FROM {facilities} GROUP BY category) c
 WHERE EXISTS (SELECT 1 FROM {demand} d WHERE CASE WHEN d.ix >= 0 THEN 1 ELSE 0 END = b.bx AND CASE WHEN d.iy >= 0 THEN 1 ELSE 0 END = b.by_)""",
-    "J2, P12: first-round blocks that meet the domain.",
-)
+)
+def q_coarse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-round blocks that meet the domain."""
+    return entity.coarse_plan(demo(spark, sf_dir, "demand"), "ix", "iy", demo(spark, sf_dir, "facilities").select("category"))
+
 
-R.view(
+@R.twin(
     "arm_comparison", POI,
     """
 SELECT coalesce(b.tag, a.tag) AS category, count_if(a.uid IS NULL) AS missing, count_if(b.uid IS NULL) AS added, count_if(a.uid IS NOT NULL AND b.uid IS NOT NULL) AS both_, round(count_if(a.uid IS NOT NULL AND b.uid IS NOT NULL) / CAST(nullif(count(b.uid), 0) AS DOUBLE), 9) AS recall
 FROM (SELECT DISTINCT uid, tag FROM {poi_rows} WHERE seq % 2 = 0) b FULL OUTER JOIN (SELECT DISTINCT uid, tag FROM {poi_rows} WHERE seq % 3 = 0) a ON a.uid = b.uid AND a.tag = b.tag GROUP BY 1""",
-    "J23, U2: missing, added and shared entities of an arm.",
-)
+)
+def q_arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing, added and shared entities of an arm."""
+    rows = demo(spark, sf_dir, "poi_rows")
+    return entity.compare_arms(rows.filter("seq % 2 = 0"), rows.filter("seq % 3 = 0"), "uid", "tag")
+
 
-R.view(
+@R.twin(
     "set_differences", ("facilities",),
     """
 SELECT 'requested_only' AS side, category FROM (SELECT category FROM {facilities} WHERE id % 2 = 0 EXCEPT SELECT category FROM {facilities} WHERE category < 'F') a
 UNION ALL SELECT 'both', category FROM (SELECT category FROM {facilities} INTERSECT SELECT category FROM {facilities} WHERE category < 'F') b""",
-    "U5, U6: requested minus core, and both.",
-)
+)
+def q_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested minus core, and both."""
+    rows = demo(spark, sf_dir, "facilities")
+    return entity.requested_categories(rows.filter("id % 2 = 0"), rows.filter("category < 'F'"), "category")
 
 
 @R.add(
     "canonical_names",
-    r"""SELECT regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '', 'g') AS canonical, count(*) AS n FROM part GROUP BY 1""",
+    r"""SELECT regexp_replace(lower(nfc_normalize(v)), '[\s()（）,，.。·]+', '', 'g') AS canonical, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' (2)' WHEN 1 THEN p_name || '·Ä' ELSE replace(p_name, ' ', '-') || '.' END AS v FROM part) GROUP BY 1""",
 )
 def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """names by canonical form."""
-    return table(spark, sf_dir, "part").groupBy(text.canonical(F.col("p_name")).alias("canonical")).agg(F.count("*").alias("n"))
+    """names by canonical form; hyphens and signs stay, spaces, brackets and stops go."""
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    v = F.when(k == 0, F.concat(F.upper(name), F.lit(" (2)"))).when(k == 1, F.concat(name, F.lit("·Ä"))).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit(".")))
+    return table(spark, sf_dir, "part").groupBy(text.canonical(v).alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@R.add(
+    "text_rules",
+    r"""
+WITH e AS (SELECT event_id, event_id % 11 AS k, value, user_id FROM events),
+w AS (SELECT *, CASE k WHEN 0 THEN '' WHEN 1 THEN CAST(value AS VARCHAR) || ' ft' WHEN 2 THEN '0' WHEN 3 THEN ' 1200 m' WHEN 4 THEN NULL ELSE CAST(CAST(round(value * 4) AS BIGINT) AS VARCHAR) || CASE WHEN k % 2 = 0 THEN ' m' ELSE '' END END AS v,
+  CASE k WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 503 WHEN 3 THEN 404 ELSE 200 END AS http, CASE user_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 401 WHEN 6 THEN 402 WHEN 7 THEN 240 ELSE 77 END AS code FROM e)
+SELECT event_id, CASE WHEN regexp_full_match(v, '\s*\d+\s*m?\s*') AND CAST(regexp_extract(v, '\d+') AS DOUBLE) BETWEEN 0.001 AND 1000 THEN CAST(regexp_extract(v, '\d+') AS DOUBLE) END AS width_m,
+  CASE WHEN http = 429 THEN 'rate_limit' WHEN http = 403 THEN 'permission' WHEN http = 503 THEN 'upstream_error' WHEN http = 404 THEN 'http_error' WHEN code IN (401, 402) THEN 'rate_limit' WHEN code = 4 THEN 'quota' WHEN code IN (3, 240) THEN 'permission'
+    WHEN code = 2 THEN 'parameter_error' WHEN code = 1 THEN 'upstream_error' WHEN code = 77 THEN 'source_error' END AS reason,
+  printf('%.1f', round(round(value) / 200 * 100, 1)) || '%' AS share, CASE WHEN round(value) * 400 < 10000 THEN printf('%.0f', round(value) * 400) || ' m²' ELSE printf('%.1f', round(round(value) * 400 / 10000, 1)) || ' ha' END AS area FROM w""",
+)
+def q_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """widths within bounds, reasons behind answers, shares and areas as text."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 11)
+    k, value, u = F.col("k"), F.col("value"), F.col("user_id") % 9
+    whole = F.concat(F.round(value * 4).cast("long").cast("string"), F.when(k % 2 == 0, " m").otherwise(""))
+    v = F.when(k == 0, "").when(k == 1, F.concat(value.cast("string"), F.lit(" ft"))).when(k == 2, "0").when(k == 3, " 1200 m").when(k == 4, None).otherwise(whole)
+    http = F.when(k == 0, 429).when(k == 1, 403).when(k == 2, 503).when(k == 3, 404).otherwise(200)
+    code = F.element_at(F.array(*[F.lit(c) for c in (0, 1, 2, 3, 4, 401, 402, 240, 77)]), (u + 1).cast("int"))
+    return e.select("event_id", text.width_metres(v).alias("width_m"), text.upstream_reason(http, code).alias("reason"), text.percent_text(F.round(value) / 200).alias("share"), text.area_text(F.round(value) * 400).alias("area"))
+
+
+@R.add(
+    "route_paths",
+    """
+WITH p AS (SELECT o_orderkey AS id, [o_custkey % 90, o_custkey % 90, o_orderkey % 80, o_orderkey % 80, o_custkey % 90] AS xs FROM orders),
+k AS (SELECT id, list_filter(range(1, 6), lambda i: i = 1 OR xs[i] <> xs[i - 1]) AS places, xs FROM p)
+SELECT id, len(places) AS points, CAST(list_sum(list_transform(places, lambda i: xs[i])) AS DOUBLE) AS lng_sum, CAST(xs[places[len(places)]] AS DOUBLE) / 2 AS last_lat FROM k""",
+)
+def q_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """points of a route's path, consecutive repeats left out."""
+    o = table(spark, sf_dir, "orders")
+    xs = [F.col("o_custkey") % 90, F.col("o_custkey") % 90, F.col("o_orderkey") % 80, F.col("o_orderkey") % 80, F.col("o_custkey") % 90]
+    path = F.concat_ws(";", *[F.concat(x.cast("string"), F.lit(","), (x / 2).cast("string")) for x in xs])
+    points = o.select(F.col("o_orderkey").alias("id"), text.path_points(path).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, q: s + q["lng"])
+    return points.select("id", F.size("p").cast("long").alias("points"), total.alias("lng_sum"), F.element_at("p", -1)["lat"].alias("last_lat"))
+
+
+@R.add(
+    "frame_shift",
+    """
+WITH p AS (SELECT id, CASE WHEN id % 10 = 0 THEN -70 ELSE 116 END + x / 100000.0 AS lng, 39 + y / 100000.0 AS lat FROM facilities),
+s AS (SELECT *, lng - 105 AS a, lat - 35 AS b, radians(lat) AS r, lng BETWEEN 72.004 AND 137.8347 AS shifted FROM p),
+w AS (SELECT *, (20 * sin(6 * a * pi()) + 20 * sin(2 * a * pi())) * 2 / 3 AS both_, 1 - 0.00669342162296594323 * sin(r) ** 2 AS m FROM s),
+o AS (SELECT *,
+  300 + a + 2 * b + 0.1 * a * a + 0.1 * a * b + 0.1 * sqrt(abs(a)) + both_ + (20 * sin(a * pi()) + 40 * sin(a * pi() / 3)) * 2 / 3 + (150 * sin(a * pi() / 12) + 300 * sin(a * pi() / 30)) * 2 / 3 AS east,
+  -100 + 2 * a + 3 * b + 0.2 * b * b + 0.1 * a * b + 0.2 * sqrt(abs(a)) + both_ + (20 * sin(b * pi()) + 40 * sin(b * pi() / 3)) * 2 / 3 + (160 * sin(b * pi() / 12) + 320 * sin(b * pi() / 30)) * 2 / 3 AS north FROM w)
+SELECT id, round(CASE WHEN shifted THEN lng + east * 180 / (6378245.0 / sqrt(m) * cos(r) * pi()) ELSE lng END, 7) AS lng, round(CASE WHEN shifted THEN lat + north * 180 / (6378245.0 * (1 - 0.00669342162296594323) / (m * sqrt(m)) * pi()) ELSE lat END, 7) AS lat,
+  round(lng, 5) AS back_lng, round(lat, 5) AS back_lat, true AS near_again FROM o""",
+    ("facilities",),
+)
+def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into the shifted frame and back, through the offset frame too; places outside the window pass through."""
+    c = F.col
+    p = demo(spark, sf_dir, "facilities").select("id", (F.when(c("id") % 10 == 0, -70).otherwise(116) + c("x") / 100000.0).alias("lng"), (39 + c("y") / 100000.0).alias("lat"))
+    lng, lat = geo.wgs84_to_gcj02(c("lng"), c("lat"))
+    g = p.select("id", "lng", "lat", lng.alias("gx"), lat.alias("gy"))
+    back, twice = geo.gcj02_to_wgs84(c("gx"), c("gy")), geo.bd09_to_wgs84(*geo.gcj02_to_bd09(c("gx"), c("gy")))
+    # The offset frame and its inverse are each other's to some metres at most (their correction terms do not cancel).
+    near = (F.abs(twice[0] - c("lng")) < 2e-5) & (F.abs(twice[1] - c("lat")) < 2e-5)
+    return g.select("id", F.round("gx", 7).alias("lng"), F.round("gy", 7).alias("lat"), F.round(back[0], 5).alias("back_lng"), F.round(back[1], 5).alias("back_lat"), near.alias("near_again"))
 
 
 @R.add(
@@ -177,12 +302,18 @@ def q_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "coordinate_validation",
-    r"""SELECT event_id, CASE WHEN regexp_full_match(trim(v), '[+-]?\d+(\.\d+)?') AND CAST(v AS DOUBLE) BETWEEN 5 AND 60 THEN CAST(v AS DOUBLE) END AS lng FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS v FROM events) WHERE NOT contains(v, 'n/a') OR true""",
+    r"""
+WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.' WHEN 2 THEN ' +' || CAST(value AS VARCHAR) WHEN 3 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'e0' WHEN 4 THEN '.5e2' ELSE CAST(value AS VARCHAR) END AS v FROM events),
+f AS (SELECT event_id, trim(v) AS v, regexp_full_match(trim(v), '[+-]?(\d+(\.\d*)?|\.\d+)') AS plain, regexp_full_match(trim(v), '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') AS sci FROM e)
+SELECT event_id, CASE WHEN plain AND TRY_CAST(v AS DOUBLE) BETWEEN 5 AND 60 THEN TRY_CAST(v AS DOUBLE) END AS lng, CASE WHEN sci AND TRY_CAST(v AS DOUBLE) BETWEEN 5 AND 60 THEN TRY_CAST(v AS DOUBLE) END AS endpoint FROM f""",
 )
 def q_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decimal strings inside a range as numbers, all others null."""
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("value").cast("string")).alias("v"))
-    return e.select("event_id", rules.number_text(F.col("v"), 5, 60).alias("lng"))
+    """Decimal (and, for endpoints, scientific) strings inside a range as numbers, all others null."""
+    k, value = F.col("event_id") % 6, F.col("value")
+    whole = F.floor(value).cast("string")
+    v = F.when(k == 0, "n/a").when(k == 1, F.concat(whole, F.lit("."))).when(k == 2, F.concat(F.lit(" +"), value.cast("string"))).when(k == 3, F.concat(whole, F.lit("e0"))).when(k == 4, ".5e2").otherwise(value.cast("string"))
+    e = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    return e.select("event_id", rules.number_text(F.col("v"), 5, 60).alias("lng"), rules.number_text(F.col("v"), 5, 60, scientific=True).alias("endpoint"))
 
 
 @R.add(
@@ -197,7 +328,7 @@ def q_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "geo_round_trip",
-    """SELECT id, round(120 + x / (111320.0 * cos(radians(30.0))), 6) AS lng, round(30 + y / 111320.0, 6) AS lat FROM (SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM facilities)""",
+    """SELECT id, round(120 + x / ((6371008.8 * pi() / 180) * cos(radians(30.0))), 6) AS lng, round(30 + y / (6371008.8 * pi() / 180), 6) AS lat FROM (SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM facilities)""",
     ("facilities",),
 )
 def q_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +341,7 @@ def q_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     "nearest_by_haversine",
     """
 WITH p AS (SELECT id, category, 120 + x / 100000.0 AS lng, 30 + y / 100000.0 AS lat FROM facilities),
-d AS (SELECT id, category, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - 30.0) / 2), 2) + cos(radians(30.0)) * cos(radians(lat)) * pow(sin(radians(lng - 120.0) / 2), 2)))) AS m FROM p),
+d AS (SELECT id, category, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - 30.0) / 2), 2) + cos(radians(30.0)) * cos(radians(lat)) * pow(sin(radians(lng - 120.0) / 2), 2)))) AS m FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY m, id) AS n FROM d)
 SELECT category, CAST(n AS INTEGER) AS n, id, round(m, 3) AS m FROM r WHERE n <= 5""",
     ("facilities",),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import rules
-from footfall.operators import areas, entity
+from footfall.operators import areas, entity, rasters
 from footfall.plans.demo import Registry, demo
 from footfall.plans.scoring import BASE, CELLS, cell_verdicts
 
@@ -48,19 +48,26 @@ def q_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("category", F.col("covered_cells").alias("covered"), F.col("gap_cells").alias("gap"), F.col("unknown_cells").alias("unknown"), status.alias("status"))
 
 
-R.view(
+@R.twin(
     "service_sources", ("facilities",),
     """SELECT source, category, count(*) AS n FROM (SELECT 'counted' AS source, category FROM {facilities} WHERE x * x + y * y <= 1000000 UNION ALL SELECT 'nearby', category FROM {facilities} WHERE x * x + y * y > 1000000 AND x * x + y * y <= 1440000) u GROUP BY source, category""",
-    "U8: counted and nearby facilities that may serve.",
-)
+)
+def q_service_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: counted and nearby facilities that may serve."""
+    square = F.expr("x * x + y * y")
+    return rasters.service_sources(demo(spark, sf_dir, "facilities"), "category", square <= 1_000_000, square <= 1_440_000)
+
 
-R.view(
+@R.twin(
     "refinement_priority", ("demand",),
     """
 SELECT id, class, CAST(place AS BIGINT) AS place FROM (SELECT id, class, row_number() OVER (ORDER BY class, price DESC, id) AS place FROM (
-  SELECT id, price, CASE WHEN price > 490000 THEN 0 WHEN price > 470000 THEN 1 ELSE 2 END AS class FROM {demand} WHERE price > 450000) c) t WHERE place <= 200""",
-    "T5: refinement by class, size and point.",
-)
+  SELECT id, price, CASE WHEN price > 490000 THEN 0 WHEN price > 470000 THEN 1 ELSE 2 END AS class FROM {demand}) c) t WHERE place <= 200""",
+)
+def q_refinement_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: refinement by class, size and point."""
+    class_ = F.when(F.col("price") > 490_000, 0).when(F.col("price") > 470_000, 1).otherwise(2)
+    return rasters.refinement_order(demo(spark, sf_dir, "demand"), class_, "price", "id", 200)
 
 
 @R.add(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import geo
 from footfall.functions.rules import barrier_class, edge_class
-from footfall.operators import nearby
+from footfall.operators import nearby, rasters
 from footfall.plans.demo import Registry, demo
 from footfall.session import table
 
@@ -48,7 +48,8 @@ def q_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries(spark, sf_dir).select("area_id", F.abs(geo.ring_area(F.col("ring"))).alias("area_m2"))
 
 
-SEGMENTS = "seg AS (SELECT a.id AS u, b.id AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nodes a JOIN nodes b ON b.gx = a.gx + 1 AND b.gy = a.gy)"
+SEGMENTS = """seg AS (SELECT a.id AS u, b.id AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nodes a JOIN nodes b ON (b.gx = a.gx + 1 AND b.gy = a.gy) OR (b.gx = a.gx AND b.gy = a.gy + 1)
+  WHERE a.size % 9 NOT IN (5, 7, 8) AND coalesce(a.barrier, '') NOT IN ('wall', 'fence') AND coalesce(b.barrier, '') NOT IN ('wall', 'fence'))"""
 TO_SEGMENT = """sqrt((p.x - (ax + greatest(0.0, least(1.0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / CAST((bx - ax) ** 2 + (by_ - ay) ** 2 AS DOUBLE))) * (bx - ax))) ** 2
   + (p.y - (ay + greatest(0.0, least(1.0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / CAST((bx - ax) ** 2 + (by_ - ay) ** 2 AS DOUBLE))) * (by_ - ay))) ** 2)"""
 
@@ -68,7 +69,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "edge_attachment",
     f"""
-WITH {SEGMENTS}, p AS (SELECT id, x + 0.0 AS x, y + 0.0 AS y FROM facilities WHERE x BETWEEN -100 AND 3100 AND y >= -100),
+WITH {SEGMENTS}, p AS (SELECT id, x + 0.0 AS x, y + 0.0 AS y FROM facilities),
 d AS (SELECT p.id, u, v, round({TO_SEGMENT}, 6) AS m FROM p JOIN seg ON abs(p.x - (ax + bx) / 2.0) <= 90 AND abs(p.y - (ay + by_) / 2.0) <= 90),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, u, v) AS n FROM d WHERE m <= 50)
 SELECT id, u, v, m FROM r WHERE n = 1""",
@@ -78,7 +79,7 @@ def q_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest usable edge within 50 m, ties to the lowest edge."""
     from pyspark.sql import Window
 
-    p = demo(spark, sf_dir, "facilities").filter("x BETWEEN -100 AND 3100 AND y >= -100").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = demo(spark, sf_dir, "facilities").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     near = nearby.within_radius(p, segments(spark, sf_dir), 80.0)  # 50 m and half a segment
     m = F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 6)
     met = near.select("id", F.col("r_u").alias("u"), F.col("r_v").alias("v"), m.alias("m")).filter("m <= 50")
@@ -186,64 +187,97 @@ def q_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("d", d).filter("d < 120").groupBy("gi", "gj").agg(F.round(F.sum(geo.biweight(F.col("d"))), 6).alias("per_hectare"))
 
 
-R.view("grid_clusters", ("facilities",), "SELECT CAST(floor(x / 250e0) AS BIGINT) AS cx, CAST(floor(y / 250e0) AS BIGINT) AS cy, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, min(id) AS first_id, count(DISTINCT category) AS categories FROM {facilities} GROUP BY 1, 2", "A37: clusters on a ground grid with centroid and members.")
+@R.twin(
+    "grid_clusters", ("facilities",),
+    "SELECT CAST(floor(x / 250e0) AS BIGINT) AS cx, CAST(floor(y / 250e0) AS BIGINT) AS cy, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, min(id) AS first_id, count(DISTINCT category) AS categories FROM {facilities} GROUP BY 1, 2",
+)
+def q_grid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters on a ground grid with centroid and members."""
+    return rasters.grid_clusters(demo(spark, sf_dir, "facilities"), 250.0, "id", "category")
+
 
-R.view(
+@R.twin(
     "service_raster", ("demand",),
     """
 SELECT gi, gj, round(sum(w * CASE WHEN price < 150000 THEN 1e0 ELSE 0e0 END) / sum(w), 9) AS covered, round(sum(w * CASE WHEN price >= 350000 THEN 1e0 ELSE 0e0 END) / sum(w), 9) AS gap, round(sum(w * price) / sum(w), 6) AS mean_value FROM (
   SELECT CAST(floor(x / 100e0) AS BIGINT) AS gi, CAST(floor(y / 100e0) AS BIGINT) AS gj, price, 1e0 / (1e0 + abs(x % 100) + abs(y % 100)) AS w FROM {demand}
 ) t GROUP BY gi, gj""",
-    "A39: kernel-weighted shares and mean on a raster.",
-)
+)
+def q_service_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel-weighted shares and mean on a raster."""
+    weight = 1.0 / (1.0 + F.abs(F.col("x") % 100) + F.abs(F.col("y") % 100))
+    return rasters.service_raster(demo(spark, sf_dir, "demand"), 100.0, weight, F.col("price") < 150_000, F.col("price") >= 350_000, F.col("price"))
+
 
-R.view(
+@R.twin(
     "cell_set_metrics", ("demand",),
     """
 SELECT count_if(p AND t) / CAST(nullif(count_if(p OR t), 0) AS DOUBLE) AS iou, count_if(p AND NOT t) AS false_cells, count_if(t AND NOT p) AS missed_cells, count(*) AS cells FROM (
   SELECT coalesce(a.hit, false) AS p, coalesce(b.hit, false) AS t FROM (SELECT DISTINCT ix, iy, true AS hit FROM {demand} WHERE price < 250000) a FULL OUTER JOIN (SELECT DISTINCT ix, iy, true AS hit FROM {demand} WHERE price < 300000 AND owner % 2 = 0) b ON a.ix = b.ix AND a.iy = b.iy
 ) c""",
-    "A43, A44: overlap, false and missed cells of two cell sets.",
-)
+)
+def q_cell_set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap, false and missed cells of two cell sets."""
+    d = demo(spark, sf_dir, "demand")
+    return rasters.cell_set_metrics(d.filter("price < 250000"), d.filter("price < 300000 AND owner % 2 = 0"), ["ix", "iy"])
+
 
-R.view(
+@R.twin(
     "region_strata", ("demand",),
     """
 SELECT stratum, count(*) AS cells FROM (
   SELECT CASE WHEN n AND o THEN 'interior' WHEN n THEN 'only_new' WHEN o THEN 'only_old' ELSE 'exterior' END AS stratum FROM (
     SELECT ix, iy, bool_or(price < 200000) AS n, bool_or(price BETWEEN 150000 AND 300000) AS o FROM {demand} GROUP BY ix, iy) a
 ) t GROUP BY stratum""",
-    "U4: strata of two regions on cells.",
-)
+)
+def q_region_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: strata of two regions on cells."""
+    strata = rasters.region_strata(demo(spark, sf_dir, "demand"), ["ix", "iy"], F.col("price") < 200_000, F.col("price").between(150_000, 300_000))
+    return strata.groupBy("stratum").agg(F.count("*").alias("cells"))
+
 
-R.view(
+@R.twin(
     "obstacle_cells", ("nodes",),
     "SELECT CAST(floor(x / 120e0) AS BIGINT) AS cx, CAST(floor(y / 120e0) AS BIGINT) AS cy, count_if(coalesce(barrier IN ('wall', 'fence'), false)) AS blocked, count(*) AS n, round(count_if(coalesce(barrier IN ('wall', 'fence'), false)) / CAST(count(*) AS DOUBLE), 9) AS share FROM {nodes} GROUP BY 1, 2",
-    "J18, M22, A35: cells with obstacles and their share.",
-)
+)
+def q_obstacle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with obstacles and their share."""
+    return rasters.blocked_cells(demo(spark, sf_dir, "nodes"), 120.0, F.col("barrier").isin("wall", "fence"))
+
 
-R.view(
+@R.twin(
     "candidate_order", ("facilities",),
     """
 SELECT id, category, CAST(place AS BIGINT) AS place, CAST(row_number() OVER (ORDER BY place, category) AS BIGINT) AS turn FROM (
   SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY abs(balance - 1000), id) AS place FROM {facilities}
 ) t WHERE place <= 8""",
-    "W2, W3, T2: candidates by closeness to the decision edge, taken in turn across categories.",
-)
+)
+def q_candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by closeness to the decision edge, taken in turn across categories."""
+    return rasters.candidates_in_turn(demo(spark, sf_dir, "facilities"), "category", "id", F.abs(F.col("balance") - 1000), 8)
+
 
-R.view(
+@R.twin(
     "coverage_report", ("facilities", "demand"),
     """
 SELECT coalesce(a.category, b.category) AS category, coalesce(a.n, 0) AS facilities, b.area AS area, CASE WHEN a.n IS NULL THEN 'no_facilities' WHEN b.area IS NULL THEN 'not_analysed' END AS limitation
-FROM (SELECT category, count(*) AS n FROM {facilities} WHERE id % 7 <> 0 GROUP BY category) a FULL OUTER JOIN (SELECT CASE owner % 6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'FURNITURE' WHEN 2 THEN 'MACHINERY' WHEN 3 THEN 'HOUSEHOLD' ELSE 'OTHER' END AS category, count(DISTINCT ix * 1000 + iy) * 2500 AS area FROM {demand} GROUP BY 1) b ON a.category = b.category""",
-    "J21, M11, A40: area evidence and score rows by category, with limitations.",
-)
+FROM (SELECT category, count(*) AS n FROM {facilities} GROUP BY category) a FULL OUTER JOIN (SELECT CASE owner % 6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'FURNITURE' WHEN 2 THEN 'MACHINERY' WHEN 3 THEN 'HOUSEHOLD' ELSE 'OTHER' END AS category, count(DISTINCT ix * 1000 + iy) * 2500.0 AS area FROM {demand} GROUP BY 1) b ON a.category = b.category""",
+)
+def q_coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area evidence and score rows by category, with limitations."""
+    names = F.create_map(*[F.lit(v) for k, c in enumerate(("BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")) for v in (k, c)])
+    cells = demo(spark, sf_dir, "demand").withColumn("category", F.coalesce(F.try_element_at(names, (F.col("owner") % 6).cast("int")), F.lit("OTHER")))
+    return rasters.coverage_report(demo(spark, sf_dir, "facilities"), cells, "category", ["ix", "iy"], 2500)
+
 
-R.view(
+@R.twin(
     "route_assessment", ("routes",),
     """
 SELECT origin, major, min_by(facility, distance_m * 100000 + facility) AS facility, min(distance_m) AS distance_m FROM (
   SELECT origin, facility, facility % 5 AS major, distance_m, row_number() OVER (PARTITION BY origin, facility % 5 ORDER BY distance_m, facility, line, duration) AS n FROM {routes}
 ) t WHERE n <= 3 AND distance_m <= 1000 GROUP BY origin, major""",
-    "J25, W2: first route within the rule among the closest candidates of each category.",
-)
+)
+def q_route_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First route within the rule among the closest candidates of each category."""
+    return rasters.route_assessment(demo(spark, sf_dir, "routes"), "origin", "facility", F.col("facility") % 5, "distance_m", ["line", "duration"])
+
