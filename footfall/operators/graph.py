@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,35 +50,50 @@ def audit(nodes: DataFrame, edges: DataFrame, speed: float = 1.3) -> DataFrame:
     )
 
 
+#: Nodes of a frontier (some 40 bytes each) up to which it is broadcast to what is known already.
+FEW = 200_000
+
+
+def _least(rows: DataFrame, on: list[str]) -> DataFrame:
+    return rows.groupBy(*on, "node").agg(F.min(F.struct("cost", "owner")).alias("b")).select(*on, "node", "b.cost", "b.owner")
+
+
 def shortest_paths(edges: DataFrame, seeds: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys, node, cost, owner``: least cost from any seed up to ``cutoff``, and the seed's owner.
 
-    ``edges`` has ``keys, u, v, length``, ``seeds`` has ``keys, node, cost, owner``. Every round extends the
-    nodes that improved over their edges and keeps the least (cost, owner) of each node, so ties go to the
-    lesser owner. A round is one join and one aggregation however many seeds and graphs there are; the
-    cutoff bounds the rounds. Lineage is cut in the shared folder each round.
+    ``edges`` has ``keys, u, v, length`` (keys that it lacks are the seeds' alone: one graph for all of them),
+    ``seeds`` has ``keys, node, cost, owner``. Every round extends the nodes that improved over their edges and keeps
+    of what they reach the nodes that improve in turn, so ties go to the lesser owner. Only these are written: what is
+    known is a list of such rounds, looked up by the frontier and folded now and then. The cutoff bounds the rounds,
+    however many seeds and graphs there are.
     """
     on = list(keys)
-    best = seeds.filter(F.col("cost") <= cutoff).groupBy(*on, "node").agg(F.min(F.struct("cost", "owner")).alias("b"))
-    best = checkpointed(best.select(*on, "node", "b.cost", "b.owner"))
-    front = best
+    shared = [k for k in on if k in edges.columns]
+    front = checkpointed(_least(seeds.filter(F.col("cost") <= cutoff), on))
+    known = [front]
     while not front.isEmpty():
-        step = front.withColumnRenamed("node", "u").join(edges.select(*on, "u", "v", "length"), [*on, "u"])
-        found = step.select(*on, F.col("v").alias("node"), (F.col("cost") + F.col("length")).alias("cost"), "owner").filter(F.col("cost") <= cutoff)
-        found = found.withColumn("fresh", F.lit(1)).unionByName(best.withColumn("fresh", F.lit(0)))
-        both = found.groupBy(*on, "node").agg(F.min(F.struct("cost", "owner", "fresh")).alias("b"))
-        now = checkpointed(both.select(*on, "node", "b.cost", "b.owner", "b.fresh"))
-        best, front = now.drop("fresh"), now.filter("fresh = 1").drop("fresh")
-    return best
-
-
-def entrance_seeds(entrances: DataFrame) -> DataFrame:
+        step = front.withColumnRenamed("node", "u").join(edges.select(*shared, "u", "v", "length"), [*shared, "u"])
+        found = checkpointed(_least(step.select(*on, F.col("v").alias("node"), (F.col("cost") + F.col("length")).alias("cost"), "owner").filter(F.col("cost") <= cutoff), on))
+        wanted = found.select(*on, "node")
+        wanted = F.broadcast(wanted) if found.count() <= FEW else wanted
+        whole = reduce(DataFrame.unionByName, known)
+        had = whole.join(wanted, [*on, "node"], "left_semi").groupBy(*on, "node").agg(F.min(F.struct("cost", "owner")).alias("had"))
+        better = F.col("had").isNull() | (F.struct("cost", "owner") < F.col("had"))
+        front = checkpointed(found.join(had, [*on, "node"], "left").filter(better).drop("had"))
+        known.append(front)
+        if len(known) > 8:
+            known = [checkpointed(_least(reduce(DataFrame.unionByName, known), on))]
+    return checkpointed(_least(reduce(DataFrame.unionByName, known), on))
+
+
+def entrance_seeds(entrances: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Least cost and its owner at each end of the edges that entrances stand on.
 
-    ``entrances`` has ``owner, u, v, along_m, length``.
+    ``entrances`` has ``keys, owner, u, v, along_m, length, off_m`` (metres from the entrance to its edge).
     """
-    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("along_m").alias("cost")), F.struct(F.col("v").alias("node"), (F.col("length") - F.col("along_m")).alias("cost"))))
-    return entrances.select("owner", ends.alias("e")).groupBy("e.node").agg(F.min(F.struct("e.cost", "owner")).alias("b")).select("node", "b.cost", "b.owner")
+    off = F.col("off_m") if "off_m" in entrances.columns else F.lit(0.0)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), (off + F.col("along_m")).alias("cost")), F.struct(F.col("v").alias("node"), (off + F.col("length") - F.col("along_m")).alias("cost"))))
+    return _least(entrances.select(*keys, "owner", ends.alias("e")).select(*keys, "owner", "e.node", "e.cost"), list(keys))
 
 
 def reverse_field(view_edges: DataFrame, seeds: DataFrame, cutoff: float) -> DataFrame:
@@ -103,6 +120,22 @@ def reachable_intervals(edges: DataFrame, field: DataFrame, cutoff: float) -> Da
     return edges.join(starts, "u").select("u", "v", "length", reach.alias("reach_m")).withColumn("whole", F.col("reach_m") >= F.col("length")).filter("reach_m > 0")
 
 
+def reachable_network(edges: DataFrame, field: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, a, b, length, reach_m, whole``: what of every way is within reach of each key's origin.
+
+    A directed edge is covered from its start; the opposite edge's stretch is mirrored onto the same way (a < b), and the
+    stretches from the two ends are merged: they touch in the middle or leave a gap there, so their union is told by sums.
+    """
+    on = list(keys)
+    starts = field.select(*on, F.col("node").alias("u"), F.col("cost").alias("c_"))
+    reach = F.least(F.col("length"), F.lit(float(cutoff)) - F.col("c_"))
+    met = edges.join(starts, "u").withColumn("reach", reach).filter("reach > 0")
+    low = F.col("u") < F.col("v")
+    ways = met.groupBy(*on, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "length").agg(F.max(F.when(low, F.col("reach"))).alias("from_a"), F.max(F.when(~low, F.col("reach"))).alias("from_b"))
+    both = F.coalesce("from_a", F.lit(0.0)) + F.coalesce("from_b", F.lit(0.0))
+    return ways.select(*on, "a", "b", "length", F.least("length", both).alias("reach_m"), (both >= F.col("length")).alias("whole"))
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Undirected chains of nodes of degree 2 joined to one edge each: ``chain, length, edges``.
 

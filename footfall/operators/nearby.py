@@ -8,10 +8,13 @@ memory, and adaptive execution splits crowded squares.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.geo import planar
+from footfall.functions.geo import planar, segment_distance
+from footfall.session import checkpointed
 
 
 def bucket(c: Column, size: float) -> Column:
@@ -61,3 +64,40 @@ def shared_edges(cells: DataFrame, key: str = "cell") -> DataFrame:
     # A unit edge belongs to two cells at most, so the group of each is at most two rows.
     met = units.groupBy("o", "p", "q").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b")
     return met.groupBy("a", "b").agg((F.count("*") * 25).alias("length_m"))
+
+
+def nearest_unbounded(points: DataFrame, shapes: DataFrame, key: str, measure: Callable[[], Column], reach: float, start: float, grow: float = 4.0) -> DataFrame:
+    """``key, m``: the distance of every point to its nearest shape, however far.
+
+    ``shapes`` have ``x, y`` in their middle and reach ``reach`` around it; ``measure`` gives the true distance over the
+    columns of both. Points that find nothing within a radius go on with one ``grow`` times as wide, so most are done at once;
+    a shape measured at ``m`` is the nearest once the radius is ``m + reach``. Shapes are counted by then, so the last rounds end.
+    """
+    left, radius, done = checkpointed(points), float(start), None
+    if shapes.isEmpty():
+        return points.select(key, F.lit(None).cast("double").alias("m")).limit(0)
+    while not left.isEmpty():
+        met = within_radius(left, shapes, radius).groupBy(key).agg(F.min(measure()).alias("m"))
+        sure = checkpointed(met.filter(F.col("m") <= radius - reach))
+        done = sure if done is None else done.unionByName(sure)
+        left = checkpointed(left.join(sure.select(key), key, "left_anti"))
+        radius *= grow
+    return done if done is not None else points.select(key, F.lit(None).cast("double").alias("m")).limit(0)
+
+
+def resolve_entrances(facilities: DataFrame, candidates: DataFrame, segments: DataFrame, limit_m: float, reach: float, ambiguous_m: float) -> DataFrame:
+    """``id, entrance``: which of two candidates (``id, k, x, y``; k 0 the place, 1 the navigation point) a facility is entered by.
+
+    Each candidate is attached to its nearest segment within the limit. One alone wins; two on one segment agree; two that
+    are about as near are ambiguous; else the nearer wins.
+    """
+    at = [F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]
+    edge = F.struct(F.round(segment_distance(*at), 6).alias("m"), F.col("r_u").alias("u"), F.col("r_v").alias("v"))
+    met = within_radius(candidates, segments, limit_m + reach).select("id", "k", edge.alias("e")).filter(F.col("e.m") <= limit_m)
+    best = met.groupBy("id", "k").agg(F.min("e").alias("e")).groupBy("id").agg(F.max(F.when(F.col("k") == 0, F.col("e"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("e"))).alias("b"))
+    a, b = F.col("a.m"), F.col("b.m")
+    same = (F.col("a.u") == F.col("b.u")) & (F.col("a.v") == F.col("b.v"))
+    entrance = (
+        F.when(a.isNull() & b.isNull(), "no_edge").when(b.isNull(), "place").when(a.isNull(), "navigation").when(same, "agree").when(F.abs(a - b) <= ambiguous_m, "ambiguous").when(b < a, "navigation").otherwise("place")
+    )
+    return facilities.join(best, "id", "left").select("id", entrance.alias("entrance"))

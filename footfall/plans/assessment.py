@@ -9,7 +9,7 @@ from footfall.functions import geo, rules
 from footfall.operators import evidence, graph, grid, verification
 from footfall.operators.components import connected_components
 from footfall.plans.demo import Registry, demo
-from footfall.plans.graphs import seeds, ways
+from footfall.plans.graphs import SEEDS, WAYS, seeds, ways
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -208,21 +208,29 @@ def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "cells_of_areas",
     """
-WITH b AS (SELECT n_nationkey AS area_id, (n_nationkey % 5) * 700 - 1400 AS cx, CAST(floor(n_nationkey / 5) AS BIGINT) * 700 - 1400 AS cy, 400 + (n_nationkey % 3) * 50 AS r FROM nation)
-SELECT area_id, count(*) AS cells FROM b, unnest(range(-10, 10)) AS p(i), unnest(range(-10, 10)) AS q(j)
+WITH b AS (SELECT id AS area_id, x AS cx, y AS cy, 100 + (id % 3) * 25 AS r FROM facilities)
+SELECT area_id, count(*) AS cells FROM b, unnest(range(-4, 5)) AS p(i), unnest(range(-4, 5)) AS q(j)
 WHERE abs((CAST(floor(cx / 50.0) AS BIGINT) + i) * 50 + 25 - cx) + abs((CAST(floor(cy / 50.0) AS BIGINT) + j) * 50 + 25 - cy) <= r GROUP BY area_id""",
+    ("facilities",),
 )
 def q_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose centre lies in an area's polygon."""
-    from footfall.plans.spatial import boundaries
+    """Cells whose centre lies in an area's polygon."""
+    from footfall.plans.spatial import catchments
 
-    areas = boundaries(spark, sf_dir)
-    cells = grid.cells_covering(areas, 50.0, [F.col("x") - 500, F.col("y") - 500, F.col("x") + 450, F.col("y") + 450])
+    cells = grid.cells_covering(catchments(spark, sf_dir), 50.0, [F.col("x") - 200, F.col("y") - 200, F.col("x") + 200, F.col("y") + 200])
     inside = cells.filter(geo.in_ring((F.col("cx") * 50 + 25).cast("double"), (F.col("cy") * 50 + 25).cast("double"), F.col("ring")))
     return inside.groupBy("area_id").agg(F.count("*").alias("cells"))
 
 
-@R.add("sample_verdicts")
+@R.add(
+    "sample_verdicts",
+    f"""WITH RECURSIVE {WAYS}, {SEEDS},
+walk AS (SELECT view, node, cost FROM seeds, (SELECT DISTINCT view FROM views) UNION SELECT w.view, e.u, w.cost + e.length FROM walk w JOIN views e ON e.view = w.view AND e.v = w.node WHERE w.cost + e.length <= 400),
+best AS (SELECT view, node, min(cost) AS cost FROM walk GROUP BY view, node),
+s AS (SELECT u, v, min(CASE WHEN b.view = 'allowed' THEN b.cost + CASE WHEN b.node = u THEN 20 ELSE 40 END END) AS a, min(CASE WHEN b.view = 'possible' THEN b.cost + CASE WHEN b.node = u THEN 20 ELSE 40 END END) AS p FROM ways LEFT JOIN best b ON b.node = u OR b.node = v GROUP BY u, v)
+SELECT CASE WHEN a <= 300 THEN 'covered' WHEN coalesce(p, 1e9) > 300 THEN 'gap' ELSE 'unknown' END AS verdict, count(*) AS n FROM s GROUP BY 1""",
+    ("nodes",),
+)
 def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of edge samples from both views: allowed within reach is covered, beyond reach even if possible is a gap."""
     edges = graph.views(demo(spark, sf_dir, "nodes"), graph.directed_edges(ways(spark, sf_dir)))

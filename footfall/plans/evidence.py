@@ -229,12 +229,12 @@ def q_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "halton_points",
-    "SELECT CAST(i AS INTEGER) AS i, round(list_sum(list_transform(range(12), lambda k: (floor(i / 2.0 ** k) % 2) / 2.0 ** (k + 1))), 9) AS u, round(list_sum(list_transform(range(12), lambda k: (floor(i / 3.0 ** k) % 3) / 3.0 ** (k + 1))), 9) AS v FROM (SELECT DISTINCT p_size AS i FROM part)",
+    "SELECT CAST(i AS INTEGER) AS i, round(list_sum(list_transform(range(16), lambda k: (floor(i / 2.0 ** k) % 2) / 2.0 ** (k + 1))), 9) AS u, round(list_sum(list_transform(range(16), lambda k: (floor(i / 3.0 ** k) % 3) / 3.0 ** (k + 1))), 9) AS v FROM (SELECT p_partkey AS i FROM part)",
 )
 def q_halton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """low-discrepancy points for the sizes that occur."""
-    i = demo(spark, sf_dir, "nodes").select(F.col("size").cast("int").alias("i")).distinct()
-    return i.select("i", F.round(geo.halton(F.col("i"), 2, 12), 9).alias("u"), F.round(geo.halton(F.col("i"), 3, 12), 9).alias("v"))
+    """low-discrepancy points, one for every node."""
+    i = demo(spark, sf_dir, "nodes").select(F.col("id").cast("int").alias("i"))
+    return i.select("i", F.round(geo.halton(F.col("i"), 2, 16), 9).alias("u"), F.round(geo.halton(F.col("i"), 3, 16), 9).alias("v"))
 
 
 @R.add(

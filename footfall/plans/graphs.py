@@ -63,10 +63,19 @@ def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("view").agg(F.count("*").alias("edges"), F.countDistinct("u").alias("sources"), F.sum("length").alias("length"))
 
 
-@R.add("graph_audit", f"WITH {WAYS} SELECT count(*) AS edges, 0::BIGINT AS missing_ends, 0::BIGINT AS length_mismatch, 0::BIGINT AS cost_mismatch FROM edges", NODES)
+@R.add(
+    "graph_audit",
+    f"""WITH {WAYS},
+d AS (SELECT CASE WHEN u % 101 = 3 THEN u + 1000000 ELSE u END AS u, v, CASE WHEN v % 97 = 5 THEN length + 3 ELSE length END AS length, u % 89 = 7 AS slow FROM edges)
+SELECT count(*) AS edges, count(*) FILTER (WHERE u >= 1000000) AS missing_ends, count(*) FILTER (WHERE u < 1000000 AND v % 97 = 5) AS length_mismatch, count(*) FILTER (WHERE v % 97 = 5 OR slow) AS cost_mismatch FROM d""",
+    NODES,
+)
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrity counts of the graph."""
-    return graph.audit(demo(spark, sf_dir, "nodes"), graph.directed_edges(ways(spark, sf_dir)))
+    """Integrity counts of a graph with planted defects: lost ends, wrong lengths, wrong costs."""
+    edges = graph.directed_edges(ways(spark, sf_dir))
+    cost = F.when(F.col("u") % 89 == 7, F.col("travel_time_s") + 9).otherwise(F.col("travel_time_s"))
+    bad = edges.withColumn("travel_time_s", cost).withColumn("length", F.when(F.col("v") % 97 == 5, F.col("length") + 3).otherwise(F.col("length")))
+    return graph.audit(demo(spark, sf_dir, "nodes"), bad.withColumn("u", F.when(F.col("u") % 101 == 3, F.col("u") + 1_000_000).otherwise(F.col("u"))))
 
 
 def open_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +85,25 @@ def open_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(n.withColumnRenamed("id", "u"), "u", "left_semi").join(n.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("u").alias("src"), F.col("v").alias("dst"))
 
 
-@R.add("component_sizes")
+LINKS = """links AS (SELECT a.id AS src, b.id AS dst FROM nodes a JOIN nodes b ON (b.gx = a.gx + 1 AND b.gy = a.gy) OR (b.gx = a.gx AND b.gy = a.gy + 1) WHERE a.size % 10 > 2 AND b.size % 10 > 2),
+both_ AS (SELECT src, dst FROM links UNION ALL SELECT dst, src FROM links)"""
+
+
+@R.add(
+    "component_sizes",
+    f"""WITH RECURSIVE {LINKS},
+lab(r, node, label) AS (
+  SELECT 0, src, least(src, min(dst)) FROM both_ GROUP BY src
+  UNION ALL
+  SELECT r, node, label FROM (
+    SELECT l.r + 1 AS r, l.node, least(l.label, min(m.label)) AS label, bool_or(m.label < l.label) AS moved FROM lab l JOIN both_ e ON e.src = l.node JOIN lab m ON m.node = e.dst GROUP BY l.r, l.node, l.label) t
+  WHERE r <= 400 AND (SELECT count(*) FROM lab x JOIN both_ e ON e.src = x.node JOIN lab y ON y.node = e.dst WHERE y.label < x.label) > 0
+)
+SELECT label AS component, count(*) AS nodes FROM lab WHERE r = (SELECT max(r) FROM lab) GROUP BY label""",
+    NODES,
+)
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of the open grid and their sizes (its SQL twin is recursive over all pairs, so tests compare with union-find)."""
+    """Connected components of the open grid and their sizes."""
     return connected_components(open_links(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
@@ -124,9 +149,44 @@ def q_isochrone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count("*").alias("edges"), F.count_if("whole").alias("whole"), F.sum("reach_m").alias("reach_m"))
 
 
-@R.add("chain_contraction")
+@R.add(
+    "isochrones",
+    f"""WITH RECURSIVE {WAYS},
+seg AS (SELECT u, v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM kept) k JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v),
+near AS (SELECT f.id, u, v, greatest(0.0, least(1.0, ((f.x - ax) * (bx - ax) + (f.y - ay) * (by_ - ay)) / 3600.0)) AS t, f.x, f.y, ax, ay, bx, by_ FROM facilities f JOIN seg ON abs(f.x - (ax + bx) / 2.0) <= 90 AND abs(f.y - (ay + by_) / 2.0) <= 90),
+dist AS (SELECT *, round(sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (by_ - ay))) ** 2), 6) AS m FROM near),
+snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, u, v) AS n FROM dist WHERE m <= 50) WHERE n = 1),
+ends AS (SELECT id AS origin, u AS node, m + 60 * t AS cost FROM snap UNION ALL SELECT id, v, m + 60 - 60 * t FROM snap),
+walk AS (SELECT origin, node, cost FROM ends WHERE cost <= 250 UNION SELECT w.origin, e.v, w.cost + e.length FROM walk w JOIN kept e ON e.u = w.node WHERE w.cost + e.length <= 250),
+best AS (SELECT origin, node, min(cost) AS cost FROM walk GROUP BY origin, node),
+part AS (SELECT origin, least(u, v) AS a, greatest(u, v) AS b, length, max(CASE WHEN u < v THEN least(length, 250.0 - cost) END) AS x, max(CASE WHEN u > v THEN least(length, 250.0 - cost) END) AS y FROM best JOIN kept ON u = node WHERE cost < 250 GROUP BY 1, 2, 3, 4)
+SELECT origin, count(*) AS ways, count(*) FILTER (WHERE coalesce(x, 0) + coalesce(y, 0) >= length - 1e-9) AS whole, round(sum(least(length, coalesce(x, 0) + coalesce(y, 0))), 3) AS reach_m FROM part GROUP BY origin""",
+    ("nodes", "facilities"),
+)
+def q_isochrones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per origin its edge, the seeds at both ends, the search, and the merged stretches within reach."""
+    from footfall.plans.spatial import attached
+
+    snapped = attached(spark, sf_dir).select(F.col("id").alias("origin"), F.col("id").alias("owner"), "u", "v", (60 * F.col("t")).alias("along_m"), F.lit(60.0).alias("length"), F.col("m").alias("off_m"))
+    edges = graph.views(demo(spark, sf_dir, "nodes"), graph.directed_edges(ways(spark, sf_dir))).filter("view = 'possible'").drop("view")
+    field = graph.shortest_paths(edges, graph.entrance_seeds(snapped, ("origin",)), 250.0, ("origin",))
+    net = graph.reachable_network(edges, field, 250.0, ("origin",))
+    return net.groupBy("origin").agg(F.count("*").alias("ways"), F.count_if(F.col("reach_m") >= F.col("length") - 1e-9).alias("whole"), F.round(F.sum("reach_m"), 3).alias("reach_m"))
+
+
+@R.add(
+    "chain_contraction",
+    f"""WITH RECURSIVE {LINKS},
+e AS (SELECT src || '-' || dst AS edge, src AS a, dst AS b FROM links WHERE (src + dst) % 4 <> 1),
+n AS (SELECT edge, a AS node FROM e UNION ALL SELECT edge, b FROM e), i AS (SELECT node, min(edge) AS e1, max(edge) AS e2 FROM n GROUP BY node HAVING count(*) = 2),
+t AS (SELECT e1 AS s, e2 AS d FROM i UNION SELECT e2, e1 FROM i),
+w AS (SELECT edge AS s, edge AS d FROM e UNION SELECT w.s, t.d FROM w JOIN t ON t.s = w.d),
+c AS (SELECT s AS edge, min(d) AS chain FROM w GROUP BY s), k AS (SELECT chain, count(*) AS edges FROM c GROUP BY chain)
+SELECT edges, count(*) AS chains, CAST(sum(edges * 60) AS DOUBLE) AS length FROM k GROUP BY edges""",
+    NODES,
+)
 def q_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of degree-2 nodes contracted, with conserved length (tests compare with plain Python)."""
+    """Chains of degree-2 nodes contracted, with conserved length."""
     links = open_links(spark, sf_dir).filter("(src + dst) % 4 <> 1")
     edges = links.select(F.concat_ws("-", "src", "dst").alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(60.0).alias("length"))
     return graph.contracted(edges).groupBy("edges").agg(F.count("*").alias("chains"), F.sum("length").alias("length"))

@@ -39,13 +39,21 @@ def q_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy(F.col("r_area_id").alias("area_id"), "category").agg(F.count("*").alias("counted"))
 
 
+def catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One convex ring per facility: ``area_id, x, y, r, ring``."""
+    f = demo(spark, sf_dir, "facilities").select(F.col("id").alias("area_id"), "x", "y", (100 + (F.col("id") % 3) * 25).alias("r"))
+    corners = F.array(*[F.struct((F.col("x") + dx * F.col("r")).cast("double").alias("x"), (F.col("y") + dy * F.col("r")).cast("double").alias("y")) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    return f.withColumn("ring", corners)
+
+
 @R.add(
     "ring_areas",
-    """SELECT n_nationkey AS area_id, 2.0::DOUBLE * (400 + (n_nationkey % 3) * 50) ** 2 AS area_m2 FROM nation""",
+    """SELECT id AS area_id, 2.0::DOUBLE * (100 + (id % 3) * 25) ** 2 AS area_m2 FROM facilities""",
+    ("facilities",),
 )
 def q_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exact ring areas by the shoelace rule."""
-    return boundaries(spark, sf_dir).select("area_id", F.abs(geo.ring_area(F.col("ring"))).alias("area_m2"))
+    return catchments(spark, sf_dir).select("area_id", F.abs(geo.ring_area(F.col("ring"))).alias("area_m2"))
 
 
 SEGMENTS = """seg AS (SELECT a.id AS u, b.id AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM nodes a JOIN nodes b ON (b.gx = a.gx + 1 AND b.gy = a.gy) OR (b.gx = a.gx AND b.gy = a.gy + 1)
@@ -66,6 +74,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(a, "u").join(b, "v").select("u", "v", "ax", "ay", "bx", "by", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
 
 
+def attached(spark: SparkSession, sf_dir: str, limit_m: float = 50.0) -> DataFrame:
+    """``id, u, v, m, t``: the nearest usable edge of every facility within the limit (the lowest of equal ones), and where on it."""
+    p = demo(spark, sf_dir, "facilities").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    near = nearby.within_radius(p, segments(spark, sf_dir), limit_m + 30.0)  # and half a segment
+    at = [F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]
+    met = near.select("id", F.struct(F.round(geo.segment_distance(*at), 6).alias("m"), F.col("r_u").alias("u"), F.col("r_v").alias("v"), geo.along_segment(*at).alias("t")).alias("e")).filter(F.col("e.m") <= limit_m)
+    return met.groupBy("id").agg(F.min("e").alias("e")).select("id", "e.u", "e.v", "e.m", "e.t")
+
+
 @R.add(
     "edge_attachment",
     f"""
@@ -76,14 +93,41 @@ SELECT id, u, v, m FROM r WHERE n = 1""",
     ("facilities", "nodes"),
 )
 def q_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest usable edge within 50 m, ties to the lowest edge."""
-    from pyspark.sql import Window
+    """Nearest usable edge within 50 m, ties to the lowest edge."""
+    return attached(spark, sf_dir).select("id", "u", "v", "m")
 
-    p = demo(spark, sf_dir, "facilities").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    near = nearby.within_radius(p, segments(spark, sf_dir), 80.0)  # 50 m and half a segment
-    m = F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 6)
-    met = near.select("id", F.col("r_u").alias("u"), F.col("r_v").alias("v"), m.alias("m")).filter("m <= 50")
-    return met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("m", "u", "v"))).filter("n = 1").drop("n")
+
+@R.add(
+    "nearest_edges",
+    f"""
+WITH {SEGMENTS}, p AS (SELECT id, category, x + 0.0 AS x, y + 0.0 AS y FROM facilities),
+d AS (SELECT p.id, category, min(round({TO_SEGMENT}, 6)) AS m FROM p, seg GROUP BY p.id, category)
+SELECT category, count(*) AS n, round(max(m), 6) AS farthest_m, round(sum(m), 3) AS sum_m FROM d GROUP BY category""",
+    ("facilities", "nodes"),
+)
+def q_nearest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every facility to its nearest usable edge without a bound, and the farthest of each category."""
+    p = demo(spark, sf_dir, "facilities").select("id", "category", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    m = nearby.nearest_unbounded(p, segments(spark, sf_dir), "id", lambda: F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 6), 30.0, 100.0)
+    return p.join(m, "id").groupBy("category").agg(F.count("*").alias("n"), F.round(F.max("m"), 6).alias("farthest_m"), F.round(F.sum("m"), 3).alias("sum_m"))
+
+
+@R.add(
+    "entrance_resolution",
+    f"""
+WITH {SEGMENTS}, c AS (SELECT id, k, CAST(x + CASE k WHEN 0 THEN 0 ELSE 40 END AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM facilities, (SELECT unnest([0, 1]) AS k)),
+d AS (SELECT p.id, p.k, u, v, round({TO_SEGMENT}, 6) AS m FROM c p JOIN seg ON abs(p.x - (ax + bx) / 2.0) <= 90 AND abs(p.y - (ay + by_) / 2.0) <= 90),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY m, u, v) AS n FROM d WHERE m <= 50) WHERE n = 1),
+j AS (SELECT f.id, a.m AS ma, b.m AS mb, a.u = b.u AND a.v = b.v AS same FROM facilities f LEFT JOIN r a ON a.id = f.id AND a.k = 0 LEFT JOIN r b ON b.id = f.id AND b.k = 1)
+SELECT CASE WHEN ma IS NULL AND mb IS NULL THEN 'no_edge' WHEN mb IS NULL THEN 'place' WHEN ma IS NULL THEN 'navigation' WHEN same THEN 'agree' WHEN abs(ma - mb) <= 10 THEN 'ambiguous' WHEN mb < ma THEN 'navigation' ELSE 'place' END AS entrance, count(*) AS n FROM j GROUP BY 1""",
+    ("facilities", "nodes"),
+)
+def q_entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each facility's place and its navigation point as candidates for the entrance: the nearer edge wins unless both are about as near."""
+    f = demo(spark, sf_dir, "facilities")
+    both = f.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("dx")), F.struct(F.lit(1).alias("k"), F.lit(40).alias("dx")))).alias("c"), "x", "y")
+    c = both.select("id", "c.k", (F.col("x") + F.col("c.dx")).cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return nearby.resolve_entrances(f.select("id"), c, segments(spark, sf_dir), 50.0, 30.0, 10.0).groupBy("entrance").agg(F.count("*").alias("n"))
 
 
 @R.add(
