@@ -24,9 +24,9 @@ def scan_pages(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame
     return good, marked.filter("reason IS NOT NULL").select(*keep, "reason")
 
 
-def read_replay(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a replay file keyed ``query:page``."""
-    raw = spark.read.schema(f"source STRING, description STRING, pages MAP<STRING, STRUCT<{PAGE}>>").json(path, multiLine=True)
+def read_replay(spark: SparkSession, path: str, one_file: bool = True) -> DataFrame:
+    """Pages of a replay file keyed ``query:page`` (``one_file``: the file is one document, else one on each line)."""
+    raw = spark.read.schema(f"source STRING, description STRING, pages MAP<STRING, STRUCT<{PAGE}>>").json(path, multiLine=one_file)
     return raw.select(F.explode("pages").alias("k", "page")).select(F.substring_index("k", ":", 1).alias("query"), F.substring_index("k", ":", -1).cast("int").alias("page_no"), F.to_json("page").alias("payload"))
 
 
@@ -40,37 +40,45 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE).csv(path, header=True, nullValue="", encoding="UTF-8")
 
 
-def read_features(spark: SparkSession, path: str, version: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, version: str, one_file: bool = True) -> DataFrame:
     """One row per feature; another version than asked for fails the job."""
-    raw = spark.read.schema(FEATURE).json(path, multiLine=True)
+    raw = spark.read.schema(FEATURE).json(path, multiLine=one_file)
     checked = raw.filter(F.assert_true(F.col("version") == version, "unexpected version").isNull())
     return checked.select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
 
 
 def parse_coverage(lines: DataFrame) -> DataFrame:
-    """Rings of a polygon text: ``ring, hole, points``.
+    """Rings of polygon texts: ``file, ring, hole, points``.
 
-    ``lines`` has ``no`` (line number from 0) and ``value``. The first line names the file; a ring is a
-    heading (``!`` for a hole), lines of two numbers, and END.
+    ``lines`` has ``file``, ``no`` (line number from 0) and ``value``. The first line names the file; a ring is a
+    heading (``!`` for a hole), lines of two numbers, and END. Lines are numbered within their file, never across files.
     """
     own = lines.filter("no > 0 AND trim(value) <> ''").withColumn("value", F.trim("value"))
-    ended = F.sum(F.when(F.col("value") == "END", 1).otherwise(0)).over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.sum(F.when(F.col("value") == "END", 1).otherwise(0)).over(Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
     marked = own.withColumn("ring", F.coalesce(ended, F.lit(0)))
     xy = F.split("value", r"\s+")
     point = F.when((F.size(xy) == 2) & F.col("value").rlike(r"^[-+0-9.eE]+\s+[-+0-9.eE]+$"), F.struct("no", xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y")))
-    rings = marked.groupBy("ring").agg(F.max(F.col("value").startswith("!")).alias("hole"), F.sort_array(F.collect_list(point)).alias("points"))
+    rings = marked.groupBy("file", "ring").agg(F.max(F.col("value").startswith("!")).alias("hole"), F.sort_array(F.collect_list(point)).alias("points"))
     return rings.filter(F.size("points") > 0).withColumn("points", F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """S6 from a file (a polygon file is one small file, read as a whole)."""
-    return parse_coverage(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "value")))
+    """S6 from files (a polygon file is one small file, read as a whole)."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "value"))
+    return parse_coverage(text)
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def outlines(df: DataFrame, ring: str, properties: list[str]) -> DataFrame:
+    """One GeoJSON polygon per row, as text; the ring is closed."""
+    corners = F.transform(F.concat(F.col(ring), F.slice(ring, 1, 1)), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates"))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+
+
+def read_dictionary(spark: SparkSession, path: str, one_file: bool = True) -> DataFrame:
     """The category dictionary with its hint arrays."""
     schema = "key STRING, major STRING, displayGroup STRING, label STRING, poiRuntime BOOLEAN, query STRING, extraQueries ARRAY<STRING>, nameHints ARRAY<STRING>, tagHints ARRAY<STRING>, excludeHints ARRAY<STRING>, priority INT, negative BOOLEAN"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=one_file)
 
 
 def feature_kind(tags: Column) -> Column:
@@ -110,10 +118,20 @@ def features(df: DataFrame, x: str, y: str, properties: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
-def append_revision(df: DataFrame, path: str, key: str = "task") -> None:
-    """Appends snapshots with the hash of their payload, partitioned by key."""
+def append_revision(df: DataFrame, path: str, key: str = "task", buckets: int = 64) -> None:
+    """Appends snapshots with the hash of their payload, in so many folders by a hash of the key."""
     payload = F.to_json(F.struct(*sorted(df.columns)))
-    df.withColumn("payload_hash", F.sha2(payload, 256)).write.mode("append").partitionBy(key).parquet(path)
+    rows = df.withColumn("payload_hash", F.sha2(payload, 256)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_revisions(spark: SparkSession, path: str, tasks: list | None = None, key: str = "task", buckets: int = 64) -> DataFrame:
+    """The snapshots of a folder; those of some ``tasks`` read their buckets alone."""
+    rows = spark.read.parquet(path)
+    if tasks is not None:
+        wanted = F.array(*[F.pmod(F.xxhash64(F.lit(t).cast(rows.schema[key].dataType)), F.lit(buckets)) for t in tasks])
+        rows = rows.filter(F.array_contains(wanted, F.col("bucket").cast("long")) & F.col(key).isin(*tasks))
+    return rows.drop("bucket")
 
 
 def scan_reviews(rows: DataFrame, schema_version: int, data_version: str) -> DataFrame:

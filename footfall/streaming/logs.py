@@ -1,7 +1,9 @@
 """Structured Streaming forms of the log operators.
 
 Each takes a streaming (or batch) DataFrame of events ``event_id, ts, user_id, event_type, value`` and
-returns one of the same kind. Stateful ones keep one small state per key and expire it by event time.
+returns one of the same kind. Stateful ones keep one small state per key and read a key's rows frame by frame,
+each frame put in order of time; frames come in the order of their arrival. State is given up ``IDLE_MS`` after
+the key's last event, by the watermark.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
+#: Milliseconds without an event after which a key's state is given up.
+IDLE_MS = 7 * 86_400_000
 
 
 def daily_spend(events: DataFrame, zone_hours: int = 8) -> DataFrame:
@@ -22,9 +26,21 @@ def daily_spend(events: DataFrame, zone_hours: int = 8) -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(day.alias("day"), (F.col("event_id") % 2).alias("service")).agg(F.count("*").alias("calls"), F.sum("value").alias("spent"))
 
 
-def rolling_rate(events: DataFrame, length: str = "1 second", slide: str = "100 milliseconds") -> DataFrame:
-    """Requests per service in sliding windows."""
-    return events.withWatermark("ts", LATE).groupBy(F.window("ts", length, slide).alias("w"), (F.col("event_id") % 2).alias("service")).agg(F.count("*").alias("n"))
+def rolling_rate(events: DataFrame, length_ms: int = 1000) -> DataFrame:
+    """``event_id, n``: how many of a service's requests came within ``length_ms`` up to and with each: the greatest is the rate.
+
+    A service's recent moments are its state, so it is as large as the rate.
+    """
+
+    def step(_k, rows, state):
+        recent, out = list((state or ([],))[0]), []
+        for ts in rows["ts"]:
+            at = int(ts.timestamp() * 1000)
+            recent = [t for t in recent if t > at - length_ms] + [at]
+            out.append(len(recent))
+        return pd.DataFrame({"event_id": rows["event_id"], "n": out}), (recent,)
+
+    return _stateful(events.withColumn("service", F.col("event_id") % 2), "service", "event_id long, n int", "recent array<long>", step)
 
 
 def session_leases(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
@@ -43,16 +59,24 @@ def latency(events: DataFrame, length: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95"))
 
 
-def _stateful(events: DataFrame, key: str, schema: str, state: str, step, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """Runs ``step(key, rows in time order, state or None) -> (output frame, new state)`` per key."""
+def _stateful(events: DataFrame, key: str, schema: str, state: str, step, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Runs ``step(key, rows, state or None) -> (output frame, new state)`` over each frame of a key's rows in turn."""
+    fields = [f.split()[0] for f in schema.split(", ")]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        out, new = step(k[0], rows, held.get if held.exists else None)
-        held.update(new)
-        yield out
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now, last = held.get if held.exists else None, None
+        for rows in frames:
+            rows = rows.sort_values(["ts", "event_id"])
+            out, now = step(k[0], rows, now)
+            last = max(last or 0, int(rows["ts"].iloc[-1].timestamp() * 1000))
+            yield out[fields]
+        held.update(now)
+        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + idle_ms)
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", timeout)
+    return events.withWatermark("ts", LATE).groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def budget_gate(events: DataFrame, budget: float) -> DataFrame:
@@ -126,13 +150,13 @@ def stage_timeline(events: DataFrame) -> DataFrame:
 
 
 def page_completeness(events: DataFrame, pages: int = 40) -> DataFrame:
-    """``event_id, received, complete``: how many of a sequence's pages have come."""
+    """``event_id, received, complete``: how many distinct pages of a sequence have come (a page sent again counts once)."""
 
     def step(_k, rows, state):
-        got, out = (state or (0,))[0], []
-        for _ in rows["event_id"]:
-            got += 1
-            out.append(got)
-        return pd.DataFrame({"event_id": rows["event_id"], "received": out, "complete": [g >= pages for g in out]}), (got,)
+        got, out = set((state or ([],))[0]), []
+        for page in rows["page"]:
+            got.add(int(page))
+            out.append(len(got))
+        return pd.DataFrame({"event_id": rows["event_id"], "received": out, "complete": [g >= pages for g in out]}), (sorted(got),)
 
-    return _stateful(events, "user_id", "event_id long, received int, complete boolean", "got int", step)
+    return _stateful(events.withColumn("page", F.floor("value").cast("long")), "user_id", "event_id long, received int, complete boolean", "got array<long>", step)
