@@ -208,3 +208,27 @@ def radial_points(rays: int, radii: list[float]) -> Column:
     """points on evenly spaced rays around an origin."""
     each = [(k * 2 * math.pi / rays, r) for k in range(rays) for r in radii]
     return F.array(*[F.struct(F.lit(r * math.cos(a)).alias("x"), F.lit(r * math.sin(a)).alias("y")) for a, r in each])
+
+
+def ramp(share: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
+    """the colour of a share as ``#rrggbb``, straight between stops and even beyond them."""
+    out = None
+    for (a, one), (b, two) in zip(stops, stops[1:], strict=False):
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (share - a) / (b - a)))
+        text = F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(F.round(x + t * (y - x)).cast("long"))), 2, "0") for x, y in zip(one, two, strict=True)])
+        out = F.when(share <= b, text) if out is None else out.when(share <= b, text)
+    return out.otherwise(F.lit("#" + "".join(f"{v:02x}" for v in stops[-1][1])))
+
+
+def oriented(points: Column, ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
+    """an edge's geometry (array of struct x, y) from its start to its end: reversed where it runs the other way."""
+    first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
+    own = planar(first["x"], first["y"], ux, uy) + planar(last["x"], last["y"], vx, vy)
+    other = planar(first["x"], first["y"], vx, vy) + planar(last["x"], last["y"], ux, uy)
+    return F.when(other < own, F.reverse(points)).otherwise(points)
+
+
+def path_length(points: Column) -> Column:
+    """metres along an array of struct x, y."""
+    steps = F.transform(points, lambda p, i: F.when(i > 0, planar(p["x"], p["y"], F.get(points, i - 1)["x"], F.get(points, i - 1)["y"])).otherwise(0.0))
+    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)

@@ -51,3 +51,17 @@ def largest_remainder(groups: DataFrame, key: str, weight: str, budget: int) ->
     part = quota.select(key, F.floor("q").alias("base"), (F.col("q") - F.floor("q")).alias("frac"), (budget - F.sum(F.floor("q")).over(every)).alias("rest"))
     rank = F.row_number().over(Window.orderBy(F.desc("frac"), key))
     return part.select(key, (F.col("base") + F.when(rank <= F.col("rest"), 1).otherwise(0)).alias("share"))
+
+
+def validation_plan(groups: DataFrame, key: str, weight: str, size: str, budget: int, least: int = 1) -> DataFrame:
+    """``key, share``: a budget over strata: empty ones get nothing and are named by 0, every other at least ``least`` of its
+    points, the rest goes by largest remainders, and none gets more than it has (one row a stratum)."""
+    held = groups.select(key, F.col(weight).alias("w_"), F.col(size).alias("s_"))
+    floor = held.withColumn("least_", F.least(F.lit(least), "s_"))
+    every = Window.partitionBy()
+    rest = F.lit(budget) - F.sum("least_").over(every)
+    quota = floor.withColumn("q", F.when(F.col("s_") > 0, rest * F.col("w_") / F.sum(F.when(F.col("s_") > 0, F.col("w_"))).over(every)).otherwise(0.0)).withColumn("rest_", rest)
+    part = quota.withColumn("base", F.floor("q")).withColumn("over", F.col("rest_") - F.sum(F.floor("q")).over(every))
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("q") - F.col("base")), key))
+    share = F.col("least_") + F.col("base") + F.when((rank <= F.col("over")) & (F.col("s_") > 0), 1).otherwise(0)
+    return part.select(key, F.least(share, "s_").cast("long").alias("share"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions.geo import segment_distance
+
 
 def _square(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
@@ -82,3 +84,38 @@ def refinement_order(points: DataFrame, class_: Column, size: str, id_: str, mos
     """T5: the first points to refine by class, then size, then id, numbered."""
     first = points.select(id_, class_.alias("class"), size).orderBy("class", F.desc(size), id_).limit(most)
     return first.select(id_, "class", F.row_number().over(Window.orderBy("class", F.desc(size), id_)).cast("long").alias("place"))  # `most` rows
+
+
+def thinned(points: DataFrame, bin_m: float, risk: str, id_: str, most: int) -> DataFrame:
+    """Of every bin the riskiest point (the lesser id of equal ones), and of these the ``most`` riskiest."""
+    best = points.groupBy(_square("x", bin_m).alias("bx"), _square("y", bin_m).alias("by_")).agg(F.max(F.struct(F.col(risk).alias("r"), (-F.col(id_)).alias("i"))).alias("b"))
+    return best.select((-F.col("b.i")).alias(id_), "bx", "by_", F.col("b.r").alias(risk)).orderBy(F.desc(risk), id_).limit(most)
+
+
+def boundary_samples(rings: DataFrame, key: str, ring: str, step: float) -> DataFrame:
+    """``key, x, y``: points every ``step`` along each side of a ring, the sides' first ends among them."""
+    sides = F.transform(F.col(ring), lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(F.col(ring), (i + 1) % F.size(ring))["x"].alias("bx"), F.get(F.col(ring), (i + 1) % F.size(ring))["y"].alias("by")))
+    each = rings.select(key, F.explode(sides).alias("s")).select(key, "s.*")
+    n = F.ceil(F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)) / step)
+    at = each.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    t = F.col("i") / F.col("n")
+    return at.select(key, (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+
+
+def boundary_distances(a: DataFrame, b: DataFrame, key: str, step: float = 5.0, ring: str = "ring") -> DataFrame:
+    """``key, m``: the distance of every boundary sample of either of two rings of a key to the other ring, both ways."""
+
+    def one_way(own: DataFrame, other: DataFrame) -> DataFrame:
+        met = boundary_samples(own, key, ring, step).join(other.select(key, F.col(ring).alias("o_")), key)
+        sides = F.transform("o_", lambda p, i: segment_distance(F.col("x"), F.col("y"), p["x"], p["y"], F.get(F.col("o_"), (i + 1) % F.size("o_"))["x"], F.get(F.col("o_"), (i + 1) % F.size("o_"))["y"]))
+        return met.select(key, F.array_min(sides).alias("m"))
+
+    return one_way(a, b).unionByName(one_way(b, a))
+
+
+def open_crossings(connectors: DataFrame, walls: DataFrame, bridges: DataFrame, reach_m: float) -> DataFrame:
+    """``id, blocked, bridged``: connectors (``id, ax, bx, y``) that cross a wall (``wx``, ``period`` apart at least), unless a
+    bridge (``wx, y``) over that wall stands within ``reach_m`` of the crossing."""
+    hit = connectors.join(walls.select("wx"), (F.col("ax") < F.col("wx")) & (F.col("wx") < F.col("bx")) & (F.col("cell") == F.floor(F.col("wx") / 400))).select("id", "y", "wx")
+    over = hit.join(bridges.select("wx", F.col("y").alias("by")), "wx", "left").groupBy("id", "wx").agg(F.coalesce(F.bool_or(F.abs(F.col("y") - F.col("by")) <= reach_m), F.lit(False)).alias("ok"))
+    return over.groupBy("id").agg(F.lit(True).alias("crosses"), F.bool_and("ok").alias("bridged"))

@@ -72,3 +72,32 @@ def domain_less(domain: DataFrame, excluded: DataFrame, cell: list[str], cell_m2
 def boundary_hits(nodes: DataFrame, network: str, at_edge: Column) -> DataFrame:
     """Per network whether, and with how many nodes, it touches the edge of the dataset."""
     return nodes.groupBy(network).agg(F.bool_or(at_edge).alias("hits_boundary"), F.count_if(at_edge).alias("boundary_nodes"))
+
+
+def verified_outcomes(plan: DataFrame, observations: DataFrame, point: str, origin: str, duration: str, usable: Column, reach_s: float = 900.0) -> DataFrame:
+    """M9: every planned point with the outcome of its observations: verified true or false, contradicted, unusable, or not observed."""
+    within = F.col(duration) <= reach_s
+    per = observations.groupBy(F.col(origin).alias(point)).agg(F.bool_or(usable & within).alias("yes_"), F.bool_or(usable & ~within).alias("no_"))
+    outcome = (
+        F.when(F.col("yes_").isNull(), "not_observed").when(F.col("yes_") & F.col("no_"), "contradicted").when(F.col("yes_"), "verified_true").when(F.col("no_"), "verified_false").otherwise("unusable")
+    )
+    return plan.join(per, point, "left").withColumn("outcome", outcome).drop("yes_", "no_")
+
+
+def with_overrides(cells: DataFrame, outcomes: DataFrame, cell: list[str], verdict: str = "verdict") -> DataFrame:
+    """``cells`` with the verdict that verified points in them give, and what it was: both answers in one cell leave it unknown."""
+    yes, no = F.bool_or(F.col("outcome") == "verified_true"), F.bool_or(F.col("outcome") == "verified_false")
+    per = outcomes.filter(F.col("outcome").isin("verified_true", "verified_false", "contradicted")).groupBy(*cell).agg(yes.alias("y_"), no.alias("n_"), F.bool_or(F.col("outcome") == "contradicted").alias("c_"))
+    new = F.when(F.col("y_").isNull(), F.col(verdict)).when(F.col("c_") | (F.col("y_") & F.col("n_")), "unknown").when(F.col("y_"), "covered").otherwise("gap")
+    return cells.join(per, cell, "left").withColumn("before", F.col(verdict)).withColumn(verdict, new).drop("y_", "n_", "c_")
+
+
+def refinement_trigger(**tests: Column) -> Column:
+    """M3: the first of the named tests that holds, in their order; null where a cell needs no refinement."""
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in tests.items()])
+
+
+def support_points(x: Column, y: Column, size: float) -> Column:
+    """the points a square cell is judged by: its middle and the middles of its sides."""
+    half = size / 2
+    return F.array(*[F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y")) for dx, dy in ((half, half), (half, 0.0), (size, half), (half, size), (0.0, half))])
