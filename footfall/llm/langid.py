@@ -79,7 +79,7 @@ class ByteConvNet:
         e = np.exp(z)
         return e / e.sum(1, keepdims=True)
 
-    def probabilities(self, rows: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def probabilities(self, rows: np.ndarray, at_once: int = 128) -> np.ndarray:
         out = []
         for at in range(0, len(rows), at_once):
             x = self._spread(rows[at : at + at_once])
@@ -184,22 +184,26 @@ def classify(net: ByteConvNet | None, texts: list[str | None], at_once: int = 40
     return langs, scores
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFrame:
-    """``keep`` (columns of ``docs``) with ``lang_pred, score``; keep holds neither name."""
+def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` (columns of ``docs``) with ``lang_pred, score``; keep holds neither name.
+
+    A text that is kept goes to Python and back once, like all kept columns as it came.
+    """
+    own = text in keep and dict(docs.dtypes)[text] == "string"
+    at = keep.index(text) if own else len(keep)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                langs, scores = classify(net, batch.column(batch.num_columns - 1).to_pylist())
-                kept = [batch.column(i) for i in range(batch.num_columns - 1)]  # as they came, never turned into Python objects
-                names = [*batch.schema.names[:-1], "lang_pred", "score"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
-
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text_"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text_").dtypes) + ", lang_pred string, score double"
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                langs, scores = classify(net, batch.column(at).to_pylist())
+                kept = [batch.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if own else [F.col(f"`{text}`").cast("string").alias("text_")]))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[: len(keep)]) + ", lang_pred string, score double"
     return rows.mapInArrow(run, schema)
 
 
