@@ -82,7 +82,7 @@ def keyword_classifier(rows: DataFrame, id_: str, text: str, words: list[dict],
     found = F.array_compact(F.array(*hits))
     out = rows.select(id_, F.when(~any_in(exclusions), F.array_min(found)).alias("b"))
     category = F.when(~F.col("b.negative"), F.col("b.key"))
-    return out.select(id_, category.alias("category"), F.col("b.word").alias("keyword"), F.coalesce("b.negative", F.lit(False)).alias("negative"), F.coalesce(F.least(F.lit(1.0), F.length("b.word") / 4.0), F.lit(0.0)).alias("confidence"))
+    return out.select(id_, category.alias("category"), F.col("b.word").alias("keyword"), F.coalesce("b.negative", F.lit(False)).alias("negative"), F.when(F.col("b.word").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.length("b.word") / 4.0)).alias("confidence"))
 
 
 def display_counts(lookup: DataFrame, facilities: DataFrame, minor: str, category: str, id_: str) -> DataFrame:

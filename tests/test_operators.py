@@ -163,7 +163,7 @@ def test_text_rules(spark):
         text.canonical(F.lit("Ａ b-Ｃ（1）")).alias("c"), text.tags(F.lit("a;b；a, c|d>")).alias("t"), text.escape_formula(F.lit(" =1")).alias("e"), text.redact(F.lit("ak=abc&x=1 https://a.b/c")).alias("r"),
         text.width_metres(F.lit("3.5 m")).alias("w"), text.path_points(F.lit("1,2;1,2;3,4")).alias("p"), text.percent_text(F.lit(0.5)).alias("pc"),
     ).first()
-    assert row.c == "abc1" and row.t == ["a", "b", "c", "d"] and row.e == "' =1" and row.r == "ak=***&x=1 <url>" and row.w == 3.5
+    assert row.c == "ab-c1" and row.t == ["a", "b", "c", "d"] and row.e == "' =1" and row.r == "ak=***&x=1 <url>" and row.w == 3.5
     assert [(q.lng, q.lat) for q in row.p] == [(1.0, 2.0), (3.0, 4.0)] and row.pc == "50.0%"
 
 
