@@ -15,6 +15,7 @@ out as often as they come in; extra columns are ignored.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,6 +196,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str], text: str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sys.__dict__.pop("_footfall_encoders", None)  # a worker that goes on with other work gives up its encoders
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)

@@ -9,6 +9,8 @@ from footfall.session import checkpointed
 
 #: Labels up to which the table with a row for each is broadcast.
 FEW_LABELS = 100_000
+#: Shares in which the rows of a label are ranked.
+PARTS = 16
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -20,7 +22,8 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> Dat
     """At most ``per_label`` rows for each value of ``label``, chosen by a hash of ``key``.
 
     Rows are first thinned to about the bound by the hash alone, so that the ranking that enforces it
-    sees no more than a little over ``per_label`` rows of a value, however many there are.
+    sees no more than a little over ``per_label`` rows of a value, however many there are. They are
+    ranked in ``PARTS`` shares, each with its part of the bound, so that no value is ranked in one task.
     """
     counts = checkpointed(rows.groupBy(label).agg(F.count("*").alias("n_")))
     if counts.count() <= FEW_LABELS:
@@ -28,5 +31,7 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> Dat
     share = F.lit(1.3 * per_label) / F.col("n_") + F.lit(50.0) / F.col("n_")
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     thin = rows.join(counts, label).filter(unit < share).drop("n_")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)))
-    return thin.withColumn("r_", rank).filter(F.col("r_") <= per_label).drop("r_")
+    parts = max(1, min(PARTS, per_label))
+    thin = thin.withColumn("p_", F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts)))
+    rank = F.row_number().over(Window.partitionBy(label, "p_").orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)))
+    return thin.withColumn("r_", rank).filter(F.col("r_") <= per_label // parts).drop("r_", "p_")

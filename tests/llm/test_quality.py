@@ -48,3 +48,34 @@ def test_odd_input(spark, odd_docs, no_docs):
 def test_statistics_have_names():
     for text in (None, "", "a", "x" * 100_000, "One two.\nOne two.\n"):
         assert len(Q.statistics(text)) == len(Q.STATISTICS) and np.isfinite(Q.statistics(text)).all()
+
+
+def test_splits_against_a_slow_search():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    y = ((x[:, 1] > 0.3) ^ (rng.random(300) < 0.1)).astype(float)
+    model = Q.BoostedTrees.fit(x, y, trees=1, depth=1, bins=16)
+    b, p = model.bins(x), y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    best = {}
+    for f in range(5):
+        for cut in range(16):
+            low = b[:, f] <= cut
+            if min(low.sum(), (~low).sum()) >= Q.LEAST:
+                best[f, cut] = sum(g[s].sum() ** 2 / (h[s].sum() + Q.L2) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + Q.L2)
+    chosen = (int(model.feature[0, 0]), int(model.cut[0, 0]))
+    assert chosen[0] == 1 and abs(best[chosen] - max(best.values())) < 1e-9
+
+
+def test_trees_walked_one_row_at_a_time():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 4))
+    model = Q.BoostedTrees.fit(x, (x[:, 0] + x[:, 2] > 0).astype(float), trees=7, depth=3, bins=8)
+    for row, got in zip(model.bins(x), model.probability(x), strict=True):
+        margin = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value, strict=True):
+            at = 0
+            for _ in range(3):
+                at = 2 * at + 1 + int(row[feature[at]] > cut[at])
+            margin += value[at - 7]
+        assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-12
