@@ -12,9 +12,10 @@ def pagination(rows: DataFrame, totals: DataFrame, seq: str = "seq", page: str =
     """The state of every page of a sequence as its pages come in order.
 
     ``totals`` has ``seq, page, total``: what the source reported with each page (null where it did not). A page that
-    repeats another's set of members, or holds members of an earlier page, is an anomaly; a total that reached ``limit``
-    may have been cut; one that changed leaves the sequence uncertain. A sequence is complete at the page by which as
-    many members came as the total names, with nothing else against it; ``last_page`` ends it whatever came.
+    repeats another's set of members, or holds members of an earlier page, is an anomaly and ends the sequence. A total
+    that reached ``limit`` may have been cut, and one that changed, or that fewer members name than came, leaves the
+    sequence uncertain: these warnings do not end it, but the last of them is the reason once as many members have come as
+    a total below the limit names (``completed`` without any). After ``last_page`` pages it ends whatever came.
     """
     own = rows.select(F.col(seq).alias("seq"), F.col(page).alias("page"), F.col(uid).alias("uid"))
     firsts = own.groupBy("seq", "uid").agg(F.min("page").alias("first_page"))
@@ -26,19 +27,19 @@ def pagination(rows: DataFrame, totals: DataFrame, seq: str = "seq", page: str =
     )
     told = totals.select(F.col(seq).alias("seq"), F.col(page).alias("page"), "total")
     order = Window.partitionBy("seq").orderBy("page")
-    before = F.last("total", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     out = pages.join(told, ["seq", "page"], "left").select(
-        "seq", "page", "total", F.sum("rows_").over(order).alias("returned"), "overlap",
-        (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1).alias("repeated"), F.coalesce(F.col("total") != before, F.lit(False)).alias("total_changed"),
+        "seq", "page", "total", F.sum("rows_").over(order).alias("returned"), "overlap", F.row_number().over(order).alias("n_"),
+        (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1).alias("repeated"), (~F.col("total").eqNullSafe(F.lag("total").over(order))).alias("differs_"),
     )
+    out = out.withColumn("total_changed", F.col("differs_") & (F.col("n_") > 1))
+    warning = F.when(F.col("returned") > F.col("total"), "pagination_uncertain").when(F.col("total") >= limit, "possible_truncation").when(F.col("total_changed"), "pagination_uncertain")
+    out = out.withColumn("w_", warning).withColumn("last_", F.last("w_", ignorenulls=True).over(order)).withColumn("cut_", F.max(F.coalesce(F.col("total") >= limit, F.lit(False))).over(order))
     stop = (
         F.when((F.col("overlap") > 0) | F.col("repeated"), "pagination_anomaly")
-        .when(F.col("total") >= limit, "possible_truncation")
-        .when(F.col("total_changed"), "pagination_uncertain")
-        .when(F.col("returned") >= F.col("total"), "completed")
-        .when(F.col("page") >= last_page, "page_limit")
+        .when((F.col("total") < limit) & (F.col("returned") >= F.col("total")), F.coalesce("last_", F.lit("completed")))
+        .when(F.col("n_") >= last_page, F.when(F.col("cut_"), "possible_truncation").otherwise("page_limit"))
     )
-    return out.withColumn("stop_reason", stop)
+    return out.withColumn("stop_reason", stop).drop("n_", "differs_", "w_", "last_", "cut_")
 
 
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str, bucket: int = 3_600_000) -> DataFrame:

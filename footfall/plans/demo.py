@@ -129,20 +129,6 @@ class Registry:
         sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)  # doubles, not decimals
         return self.add(name, _as_bigint(re.sub(r"\{(\w+)\}", r"\1", sql)), tables)
 
-    def view(self, name: str, tables: tuple[str, ...], sql: str, doc: str) -> None:
-        """Registers a query that is one SQL text in the common part of both dialects, over demo tables.
-
-        Spark plans it like any DataFrame; tables are named in braces.
-        """
-
-        sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)  # doubles, not decimals, in both dialects
-
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(sql, **{t: demo(spark, sf_dir, t) for t in tables})
-
-        query.__name__, query.__doc__ = name, doc
-        self.add(name, _as_bigint(re.sub(r"\{(\w+)\}", r"\1", sql)), tables)(query)
-
 
 def _as_bigint(sql: str) -> str:
     """``count_if(x)`` as ``count(*) FILTER (WHERE x)``: the former is wider than a long in DuckDB."""

@@ -168,13 +168,13 @@ WITH p AS (
 ), u AS (SELECT seq, uid, min(page) AS first_page FROM poi_rows GROUP BY seq, uid),
 o AS (SELECT p.seq, p.page, count(*) AS overlap FROM p JOIN (SELECT DISTINCT seq, page, uid FROM poi_rows) r ON r.seq = p.seq AND r.page = p.page JOIN u ON u.seq = r.seq AND u.uid = r.uid AND u.first_page < p.page GROUP BY p.seq, p.page),
 w AS (
-  SELECT p.seq, p.page, total, CAST(sum(rows_) OVER (PARTITION BY p.seq ORDER BY p.page) AS BIGINT) AS returned, coalesce(overlap, 0) AS overlap,
-    count(*) OVER (PARTITION BY p.seq, uids ORDER BY p.page) > 1 AS repeated,
-    coalesce(total <> last_value(total IGNORE NULLS) OVER (PARTITION BY p.seq ORDER BY p.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS total_changed
-  FROM p LEFT JOIN o ON o.seq = p.seq AND o.page = p.page
-)
-SELECT seq, page, total, returned, overlap, repeated, total_changed, CASE WHEN overlap > 0 OR repeated THEN 'pagination_anomaly' WHEN total >= 150 THEN 'possible_truncation' WHEN total_changed THEN 'pagination_uncertain'
-  WHEN returned >= total THEN 'completed' WHEN page >= 7 THEN 'page_limit' END AS stop_reason FROM w""",
+  SELECT p.seq, p.page, total, CAST(sum(rows_) OVER o_ AS BIGINT) AS returned, coalesce(overlap, 0) AS overlap, row_number() OVER o_ AS n,
+    count(*) OVER (PARTITION BY p.seq, uids ORDER BY p.page) > 1 AS repeated, row_number() OVER o_ > 1 AND total IS DISTINCT FROM lag(total) OVER o_ AS total_changed
+  FROM p LEFT JOIN o ON o.seq = p.seq AND o.page = p.page WINDOW o_ AS (PARTITION BY p.seq ORDER BY p.page)
+), x AS (SELECT *, CASE WHEN returned > total THEN 'pagination_uncertain' WHEN total >= 150 THEN 'possible_truncation' WHEN total_changed THEN 'pagination_uncertain' END AS warning FROM w),
+z AS (SELECT *, last_value(warning IGNORE NULLS) OVER (PARTITION BY seq ORDER BY page ROWS UNBOUNDED PRECEDING) AS last_, max(CASE WHEN total >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY page) AS cut FROM x)
+SELECT seq, page, total, returned, overlap, repeated, total_changed, CASE WHEN overlap > 0 OR repeated THEN 'pagination_anomaly' WHEN total < 150 AND returned >= total THEN coalesce(last_, 'completed')
+  WHEN n >= 7 THEN CASE WHEN cut = 1 THEN 'possible_truncation' ELSE 'page_limit' END END AS stop_reason FROM z""",
     ("poi_rows",),
 )
 def q_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:

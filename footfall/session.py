@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (as in local tests) is a temporary folder made and
-    set; on a cluster the setting must name a folder that driver and executors share.
+    Only where a local session leaves it unset (as in tests) is a temporary folder made and set; a
+    cluster without the setting is refused, since no folder of one machine serves all executors.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="footfall-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="footfall-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path

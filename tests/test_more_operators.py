@@ -74,12 +74,12 @@ def test_log_audits(log):
 
 
 def test_pagination_by_reported_totals(spark):
-    pages = {("done", 1): (5, 2, "ab"), ("done", 2): (5, 3, "cde"), ("cut", 1): (180, 2, "ab"), ("cut", 2): (180, 1, "c"), ("moved", 1): (9, 1, "a"), ("moved", 2): (7, 1, "b"), ("again", 1): (9, 2, "ab"), ("again", 2): (9, 2, "ab"), ("part", 1): (9, 1, "a"), ("part", 2): (9, 2, "ab"), ("null", 1): (None, 1, "a")}
+    pages = {("done", 1): (5, 2, "ab"), ("done", 2): (5, 3, "cde"), ("cut", 1): (180, 2, "ab"), ("cut", 2): (180, 1, "c"), ("moved", 1): (9, 1, "a"), ("moved", 2): (7, 1, "b"), ("again", 1): (9, 2, "ab"), ("again", 2): (9, 2, "ab"), ("part", 1): (9, 1, "a"), ("part", 2): (9, 2, "ab"), ("null", 1): (None, 1, "a"), ("short", 1): (9, 1, "a"), ("short", 2): (2, 1, "b")}
     rows = spark.createDataFrame([(s, p, u) for (s, p), (_, _, us) in pages.items() for u in us], "seq string, page int, uid string")
     totals = spark.createDataFrame([(s, p, t) for (s, p), (t, _, _) in pages.items()], "seq string, page int, total long")
     got = {(r.seq, r.page): r.stop_reason for r in history.pagination(rows, totals, last_page=2).collect()}
-    assert got["done", 1] is None and got["done", 2] == "completed" and got["cut", 2] == "possible_truncation" and got["moved", 2] == "pagination_uncertain"
-    assert got["again", 2] == got["part", 2] == "pagination_anomaly" and got["null", 1] is None
+    assert got["done", 1] is None and got["done", 2] == "completed" and got["cut", 1] is None and got["cut", 2] == "possible_truncation" and got["moved", 2] == "page_limit"
+    assert got["again", 2] == got["part", 2] == "pagination_anomaly" and got["null", 1] is None and got["short", 2] == "pagination_uncertain"
 
 
 def test_frames_there_and_back(spark):
