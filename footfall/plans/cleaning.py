@@ -68,7 +68,7 @@ k AS (SELECT 'tool' AS key, 'widget' AS word, 1 AS prio, false AS neg UNION ALL
   UNION ALL SELECT 'bolt', 'bolt', 3, false UNION ALL SELECT 'waste', 'red', 9, true),
 h AS (SELECT p.uid, k.* FROM p JOIN k ON contains(p.name, k.word) WHERE NOT contains(p.name, 'cold') AND NOT (k.key = 'tool' AND contains(p.name, 'hot')) AND NOT (k.key = 'ring' AND contains(p.name, 'gear'))),
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY prio DESC, length(word) DESC, key, word) AS n FROM h)
-SELECT p.uid, CASE WHEN NOT r.neg THEN r.key END AS category, r.word AS keyword, coalesce(r.neg, false) AS negative, coalesce(least(1e0, length(r.word) / 4e0), 0e0) AS confidence FROM p LEFT JOIN r ON r.uid = p.uid AND r.n = 1""",
+SELECT p.uid, CASE WHEN NOT r.neg THEN r.key END AS category, r.word AS keyword, coalesce(r.neg, false) AS negative, CASE WHEN r.word IS NULL THEN 0e0 ELSE least(1e0, length(r.word) / 4e0) END AS confidence FROM p LEFT JOIN r ON r.uid = p.uid AND r.n = 1""",
 )
 def q_keyword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords by priority and length, with excludes, shadowing, gates and negative categories."""
