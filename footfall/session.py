@@ -32,3 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so its lineage is cut for good."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
