@@ -164,6 +164,15 @@ def positive_share(a: Column, b: Column, c: Column) -> Column:
     return F.when(n == 0, 0.0).when(n == 1, 0.25).when(n == 2, 0.75).when(n == 3, 1.0)
 
 
+def share_below(a: Column, b: Column, c: Column, level: Column) -> Column:
+    """share of a triangle where the plane through its corners' values is at or below a level."""
+    lo, hi = F.least(a, b, c), F.greatest(a, b, c)
+    mid = a + b + c - lo - hi
+    under = (level - lo) * (level - lo) / ((mid - lo) * (hi - lo))
+    over = 1 - (hi - level) * (hi - level) / ((hi - lo) * (hi - mid))
+    return F.when(level >= hi, 1.0).when(level <= lo, 0.0).when(level < mid, under).otherwise(over)
+
+
 def biweight(d: Column, reach: float = 120.0) -> Column:
     """kernel weight of a distance, per hectare."""
     u = 1 - (d * d) / (reach * reach)
@@ -193,6 +202,49 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / 2
 
 
+def clipped_ring(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """the part of a ring within a box: its corners are folded over the box's four sides, one after the other.
+
+    Exact for convex rings; where a box cuts a hollow ring in two, the parts hang together by a seam along the box's
+    side, which has no area. Rings that miss the box come out empty.
+    """
+
+    def inside(p: Column, side: Column) -> Column:
+        return F.when(side == 0, p["x"] - x0).when(side == 1, x1 - p["x"]).when(side == 2, p["y"] - y0).otherwise(y1 - p["y"])
+
+    def cut(acc: Column, side: Column) -> Column:
+        def corner(p: Column, i: Column) -> Column:
+            before = F.element_at(acc, F.when(i == 0, F.lit(-1)).otherwise(i))
+            d0, d1 = inside(before, side), inside(p, side)
+            t = d0 / (d0 - d1)
+            met = F.struct((before["x"] + t * (p["x"] - before["x"])).alias("x"), (before["y"] + t * (p["y"] - before["y"])).alias("y"))
+            return F.when((d0 >= 0) & (d1 >= 0), F.array(p)).when(d1 >= 0, F.array(met, p)).when(d0 >= 0, F.array(met)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+        return F.flatten(F.transform(acc, corner))
+
+    start = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.aggregate(F.array(*[F.lit(k) for k in range(4)]), start, cut)
+
+
+def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Which way a path a, b, c turns: 1 left, -1 right, 0 straight on."""
+    return F.signum(area2(ax, ay, bx, by, cx, cy))
+
+
+def segments_meet(a: tuple[Column, ...], b: tuple[Column, ...], slack: float = 1e-9) -> Column:
+    """Do two closed segments (ax, ay, bx, by) share a point? By orientations, and by distance where an end lies on the other."""
+    p, q, r, s = a[:2], a[2:], b[:2], b[2:]
+    across = (turn(*p, *q, *r) * turn(*p, *q, *s) < 0) & (turn(*r, *s, *p) * turn(*r, *s, *q) < 0)
+    touch = [segment_distance(*e, *f) <= slack for e, f in ((r, a), (s, a), (p, b), (q, b))]
+    return across | touch[0] | touch[1] | touch[2] | touch[3]
+
+
+def segment_gap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Metres between two segments: 0 where they meet, else from the nearest end."""
+    ends = [segment_distance(*e, *f) for e, f in ((b[:2], a), (b[2:], a), (a[:2], b), (a[2:], b))]
+    return F.when(segments_meet(a, b), 0.0).otherwise(F.least(*ends))
+
+
 def halton(index: Column, base: int, digits: int = 20) -> Column:
     """the radical inverse of an index, digit by digit."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(digits - 1)), F.lit(0.0), lambda s, k: s + F.floor(index / F.pow(F.lit(float(base)), k)) % base / F.pow(F.lit(float(base)), k + 1))

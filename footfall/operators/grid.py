@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.geo import clipped_ring, in_ring, ring_area, segments_meet
 
 def cell_id(level: Column, ix: Column, iy: Column) -> Column:
     """``level:ix:iy``."""
@@ -29,6 +30,40 @@ def cells_covering(areas: DataFrame, size: float, box: list[Column]) -> DataFram
     return areas.withColumn("cx", F.explode(F.sequence(lo_x, hi_x))).withColumn("cy", F.explode(F.sequence(lo_y, hi_y)))
 
 
+def _ring_cells(areas: DataFrame, ring: str, size: float) -> DataFrame:
+    """Areas with each cell ``cx, cy`` of their rings' bounding boxes."""
+    xs, ys = F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double"))
+    return cells_covering(areas, size, [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)])
+
+
+def cell_parts(areas: DataFrame, ring: str, size: float) -> DataFrame:
+    """``areas`` with each cell ``cx, cy`` of their bounding boxes and the ``part`` and ``area_m2`` of their ring within it.
+
+    The parts of all cells add up to the ring's area; a cell that the ring misses has part [] and area 0.
+    """
+    at = _ring_cells(areas, ring, size)
+    part = clipped_ring(F.col(ring), F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
+    return at.withColumn("part", part).withColumn("area_m2", F.when(F.size("part") > 2, F.abs(ring_area(F.col("part")))).otherwise(0.0))
+
+
+def blocks_meeting(areas: DataFrame, ring: str, size: float) -> DataFrame:
+    """``areas`` with each square block ``cx, cy`` that shares a point with their ring: a corner within the other, or sides that meet."""
+    at = _ring_cells(areas, ring, size)
+    x0, y0 = F.col("cx") * float(size), F.col("cy") * float(size)
+    x1, y1 = x0 + size, y0 + size
+    corner = in_ring(x0, y0, F.col(ring))
+    first = F.get(F.col(ring), F.lit(0))
+    held = (first["x"] >= x0) & (first["x"] <= x1) & (first["y"] >= y0) & (first["y"] <= y1)
+
+    def met(p: Column, i: Column) -> Column:
+        q = F.get(F.col(ring), (i + 1) % F.size(ring))
+        side = (p["x"], p["y"], q["x"], q["y"])
+        return segments_meet(side, (x0, y0, x1, y0)) | segments_meet(side, (x1, y0, x1, y1)) | segments_meet(side, (x1, y1, x0, y1)) | segments_meet(side, (x0, y1, x0, y0))
+
+    crossed = F.exists(F.transform(ring, met), lambda b: b)
+    return at.filter(corner | held | crossed)
+
+
 def cells_of_boxes(boxes: DataFrame, size: int) -> DataFrame:
     """The distinct cells of a set of aligned boxes: their union, without double counting."""
     u = F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor((F.col("x1") - 1) / size)))
