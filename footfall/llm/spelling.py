@@ -56,11 +56,15 @@ def _letter(word: Column, at: Column) -> Column:
     return F.when(code < 128, code - 97).otherwise(code - 166)
 
 
-def _bit(letter: Column, high: bool) -> Column:
-    """The letter's bit in the low (letters 0 to 44) or the high mask."""
-    at = letter - 45 if high else letter
-    inside = (letter >= 45) if high else (letter < 45)
-    return F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+#: Bit of the high mask for "a word ends here"; letters 0 to 44 are in the low mask, the rest in the high one.
+HALF, ENDS = 45, 1 << 45
+
+
+def _bits(letter: Column) -> tuple[Column, Column]:
+    """The letter's bit in the low and in the high mask."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    low = F.when(letter < HALF, F.call_function("shiftleft", one, letter)).otherwise(none)
+    return low, F.when(letter >= HALF, F.call_function("shiftleft", one, letter - HALF)).otherwise(none)
 
 
 def _both_ways(words: DataFrame) -> DataFrame:
@@ -70,37 +74,40 @@ def _both_ways(words: DataFrame) -> DataFrame:
 
 
 def _edges(read: DataFrame) -> DataFrame:
-    """``depth, way, node, letter, child, end, low, high``: the part of both tries that searches can reach."""
+    """``depth, way, node, letter, child, low, high``: the part of both tries that searches can reach."""
     steps = F.sequence(F.floor((F.col("m") - 1) / 2).cast("int") + 1, F.col("m"))
     rows = read.select("way", "word", "m", F.explode(steps).alias("d"))
-    after = _letter(F.col("word"), F.col("d"))
+    low, high = _bits(_letter(F.col("word"), F.col("d")))
     on = F.col("d") < F.col("m")
-    none = F.lit(0).cast("long")
     rows = rows.select(
-        "way", "d", F.substring("word", F.lit(1), F.col("d")).alias("child"), (~on).alias("end"),
-        F.when(on, _bit(after, False)).otherwise(none).alias("low"), F.when(on, _bit(after, True)).otherwise(none).alias("high"),
+        "way", "d", F.substring("word", F.lit(1), F.col("d")).alias("child"),
+        F.when(on, low).otherwise(F.lit(0).cast("long")).alias("low"), F.when(on, high).otherwise(F.lit(ENDS)).alias("high"),
     )
-    nodes = rows.groupBy("way", "d", "child").agg(F.max("end").alias("end"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    nodes = rows.groupBy("way", "d", "child").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
     depth = F.col("d") - 1
-    return nodes.select(depth.alias("depth"), "way", F.substring("child", F.lit(1), depth).alias("node"), _letter(F.col("child"), depth).alias("letter"), "child", "end", "low", "high")
+    return nodes.select(depth.alias("depth"), "way", F.substring("child", F.lit(1), depth).alias("node"), _letter(F.col("child"), depth).alias("letter"), "child", "low", "high")
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """States one level deeper: ``way, word, m, pos, node``, all with one edit. ``states`` has ``edits`` too."""
-    word, pos, m = F.col("word"), F.col("pos"), F.col("m")
-
-    def leads(at: Column) -> Column:
-        nxt = _letter(word, at)
-        return F.when(at >= m, F.col("end")).otherwise((_bit(nxt, False).bitwiseAND(F.col("low")) != 0) | (_bit(nxt, True).bitwiseAND(F.col("high")) != 0))
-
-    own = F.coalesce((pos < m) & (F.col("letter") == F.col("wanted")), F.lit(False))
-    take = (F.col("edits") == 1) & own & leads(pos + 1)
-    other = (F.col("edits") == 0) & ~own
-    replace = other & (pos < m) & leads(pos + 1)
-    insert = other & leads(pos)
-    states = states.withColumn("wanted", F.when(pos < m, _letter(word, pos)))
-    met = states.join(edges.drop("depth"), ["way", "node"]).filter(take | replace | insert)
-    moved = F.array_compact(F.array(F.when(take | replace, pos + 1), F.when(insert, pos)))
+    """States one level deeper: ``way, word, m, pos, node``, all with one edit. ``states`` has ``edits`` too.
+
+    What a state asks of a node is worked out once, before the join: bits of the letter at its position
+    (-1 and the end of a word behind the last) and of the one after.
+    """
+    pos, m = F.col("pos"), F.col("m")
+    here, after = _letter(F.col("word"), pos), _letter(F.col("word"), pos + 1)
+    none = F.lit(0).cast("long")
+    asked = {"wanted": F.when(pos < m, here).otherwise(-1)}
+    for k, (letter, at) in enumerate(((here, pos), (after, pos + 1))):
+        low, high = _bits(letter)
+        asked |= {f"low{k}": F.when(at < m, low).otherwise(none), f"high{k}": F.when(at < m, high).when(at == m, F.lit(ENDS)).otherwise(none)}
+    leads = [(F.col(f"low{k}").bitwiseAND(F.col("low")).bitwiseOR(F.col(f"high{k}").bitwiseAND(F.col("high")))) != 0 for k in (0, 1)]
+    letter, wanted, fresh = F.col("letter"), F.col("wanted"), F.col("edits") == 0
+    # Of two words that differ in one letter, the one with the lesser letter finds the other.
+    forward = leads[1] & F.when(fresh, letter > wanted).otherwise(letter == wanted)
+    insert = fresh & (letter != wanted) & leads[0]
+    met = states.withColumns(asked).join(edges.drop("depth").hint("shuffle_hash"), ["way", "node"]).filter(forward | insert)
+    moved = F.array_compact(F.array(F.when(forward, pos + 1), F.when(insert, pos)))
     return met.select("way", "word", "m", F.explode(moved).alias("pos"), F.col("child").alias("node"))
 
 
