@@ -30,7 +30,7 @@ from footfall.llm.sampling import bounded_sample, held_out
 from footfall.session import checkpointed, table
 
 #: Bounds of the training sample: documents a label, characters a document.
-PER_LABEL, MOST_CHARS = 4_000, 100_000
+PER_LABEL, MOST_CHARS = 3_000, 100_000
 #: Features of the model, the ones that tell the labels apart best; documents that must hold one.
 FEATURES, LEAST_DOCS = 1_000, 12
 #: Word beginnings that are features, where the word goes on, in letters; words of a piece of a long sentence.
@@ -93,25 +93,26 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
     @classmethod
-    def fit(cls, vocabulary: list[str], bags: list[list[np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> NoisyOr:
-        """Adam on the weighted likelihood of the bags; a bag is a list of sentences, a sentence an array of features."""
+    def fit(cls, vocabulary: list[str], held: np.ndarray, sizes: np.ndarray, bags: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> NoisyOr:
+        """Adam on the weighted likelihood of the bags.
+
+        ``held`` are the numbers of the features of one sentence after the other, ``sizes`` how many each sentence holds,
+        ``bags`` how many sentences each document has.
+        """
         if not len(y) or y.min() == y.max():
             return cls({}, 0.0, float(y.mean()) if len(y) else 0.5)
-        lists = [s for bag in bags for s in bag]
-        bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        row = np.repeat(np.arange(len(lists)), [len(s) for s in lists])
-        col = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+        bag_of, row = np.repeat(np.arange(len(bags)), bags), np.repeat(np.arange(len(sizes)), sizes)
         w, bias = np.zeros(len(vocabulary)), BIAS
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         scale = weight * np.where(y == 1, LEAN, 1.0)
         scale = scale / scale.sum()
         for step in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-(bias + np.bincount(row, weights=w[col], minlength=len(lists)))))
+            p = 1 / (1 + np.exp(-(bias + np.bincount(row, weights=w[held], minlength=len(sizes)))))
             clean = np.exp(np.bincount(bag_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags)))
             # Of -log(1 - P) for a clean bag, of -log P for a toxic one, by the logits of its sentences.
             pull = scale * np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
             g = pull[bag_of] * p
-            grad = np.r_[np.bincount(col, weights=g[row], minlength=len(w)) + L2 * w, g.sum()]
+            grad = np.r_[np.bincount(held, weights=g[row], minlength=len(w)) + L2 * w, g.sum()]
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
@@ -119,16 +120,35 @@ class NoisyOr:
         return cls({f: float(x) for f, x in zip(vocabulary, w, strict=True) if x}, float(bias))
 
 
-def _bags(rows: DataFrame) -> DataFrame:
-    """``doc_id, y, fs``: one row per sentence with the features that it holds."""
+def _held(text: str | None) -> list[list[str]]:
+    """The features of each sentence."""
+    return [sorted({f for w in words for f in features(w)}) for _, _, words in sentences(text)]
+
+
+def _document_features(rows: DataFrame) -> DataFrame:
+    """``y, f``: the distinct features of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, y, text in zip(pdf["doc_id"].tolist(), pdf["y"].tolist(), pdf["text"], strict=True):
-                held = [sorted({f for w in words for f in features(w)}) for _, _, words in sentences(text)]
-                yield pd.DataFrame({"doc_id": key, "y": y, "fs": held if held else [[]]})
+            for y, text in zip(pdf["y"].tolist(), pdf["text"], strict=True):
+                yield pd.DataFrame({"f": sorted({f for s in _held(text) for f in s})}, dtype="object").assign(y=y)
+
+    return rows.select("y", "text").mapInPandas(run, "f string, y int")
 
-    return rows.mapInPandas(run, "doc_id long, y int, fs array<string>")
+
+def _numbered_bags(rows: DataFrame, vocabulary: list[str]) -> pd.DataFrame:
+    """``doc_id, y, sizes, held`` of each sampled document: its sentences' features as packed numbers. Bounded by the sample."""
+    number = {f: i for i, f in enumerate(vocabulary)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                held = [[number[f] for f in s if f in number] for s in _held(text)]
+                out.append((np.array([len(s) for s in held], np.int32).tobytes(), np.array([i for s in held for i in s], np.int32).tobytes()))
+            yield pdf[["doc_id", "y"]].assign(sizes=[a for a, _ in out], held=[b for _, b in out])
+
+    return rows.mapInPandas(run, "doc_id long, y int, sizes binary, held binary").toPandas().sort_values("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = MOST_CHARS, most_features: int = FEATURES, least_docs: int = LEAST_DOCS) -> NoisyOr:
@@ -140,30 +160,23 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_c
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= most_chars)
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
     sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
-    bags = checkpointed(_bags(sample))
-    sizes = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    sample = checkpointed(sample)
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     real = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    none = np.zeros(0, np.int64)
     if len(sizes) < 2:
-        return NoisyOr.fit([], [], np.array([y for y in sizes], np.float64), np.ones(len(sizes)))
+        return NoisyOr.fit([], none, none, none, np.array([y for y in sizes], np.float64), np.ones(len(sizes)))
     # The features whose share of toxic documents is farthest from that of clean ones, in deviations.
-    held = bags.select("doc_id", "y", F.explode("fs").alias("f")).distinct().groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    held = _document_features(sample).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     share = (F.col("a") + F.col("b")) / float(sum(sizes.values()))
     gap = F.abs(F.col("a") / float(sizes[1]) - F.col("b") / float(sizes[0])) / F.sqrt(share * (1 - share) + 1e-4)
     best = held.filter(F.col("a") + F.col("b") >= least_docs).select("f", gap.alias("gap")).orderBy(F.desc("gap"), "f").limit(most_features)
     vocabulary = sorted(r["f"] for r in best.collect())
-    number = {f: i for i, f in enumerate(vocabulary)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(fs=[[number[f] for f in fs if f in number] for fs in pdf["fs"]])
-
-    rows = bags.mapInPandas(run, "doc_id long, y int, fs array<int>").toPandas()
-    rows = rows.assign(key=[tuple(fs) for fs in rows["fs"]]).sort_values(["doc_id", "key"])
-    grouped = rows.groupby("doc_id", sort=True)
-    y = grouped["y"].first().to_numpy(np.float64)
-    lists = [[np.asarray(fs, np.int64) for fs in part] for part in grouped["fs"].agg(list)]
+    bags = _numbered_bags(sample, vocabulary)
+    packed = lambda c: [np.frombuffer(b, np.int32) for b in bags[c]]
+    y, lines = bags["y"].to_numpy(np.float64), packed("sizes")
     weight = np.where(y == 1, real[1] / sizes[1], real[0] / sizes[0])
-    return NoisyOr.fit(vocabulary, lists, y, weight)
+    return NoisyOr.fit(vocabulary, np.concatenate(packed("held")), np.concatenate(lines), np.array([len(x) for x in lines]), y, weight)
 
 
 def _schema(df: DataFrame) -> str:

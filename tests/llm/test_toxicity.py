@@ -34,7 +34,9 @@ def test_gradient_lowers_the_loss_of_bags():
     bags = [[np.flatnonzero(rng.random(6) < 0.3) for _ in range(rng.integers(1, 6))] for _ in range(300)]
     y = np.array([float(any(0 in s for s in b)) for b in bags])
     y[:6] = 1 - y[:6]
-    model = T.NoisyOr.fit([f"={w}" for w in words], bags, y, np.ones(len(y)), rounds=3000, rate=0.02)
+    lists = [s for b in bags for s in b]
+    flat = np.concatenate(lists), np.array([len(s) for s in lists]), np.array([len(b) for b in bags])
+    model = T.NoisyOr.fit([f"={w}" for w in words], *flat, y, np.ones(len(y)), rounds=3000, rate=0.02)
 
     def loss(w, bias):
         total = 0.0
