@@ -136,7 +136,7 @@ def q_entrances(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("facilities", "demand"),
 )
 def q_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells within reach of an unresolved entrance."""
+    """Cells within reach of an unresolved entrance."""
     cells = demo(spark, sf_dir, "demand").select("ix", "iy").distinct().withColumn("x", F.col("ix") * 50 + 25).withColumn("y", F.col("iy") * 50 + 25)
     odd = demo(spark, sf_dir, "facilities").filter("id % 50 = 0").select("id", "x", "y")
     return nearby.within_radius(cells, odd, 300.0).select("ix", "iy").distinct()
