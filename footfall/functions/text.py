@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,14 +18,29 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+def _plain(text: Column) -> Column:
+    """A text of plain and full-width signs alone, whose canonical form the JVM can make."""
+    return text.rlike(r"^[\x00-\x7F\uFF01-\uFF5E\u3000]*$")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\u00A0\u3000()（）,，.。·]+", "")
+
+
 def canonical(text: Column) -> Column:
     """compatibility form, case folded, without white space, brackets, commas, stops and middle dots.
 
-    Texts of plain or full-width signs stay in the JVM; only the others go through Python.
+    As a column it sends every row through Python where a text may need it; `canonicalised` sends these texts alone.
     """
-    easy = text.rlike(r"^[\x00-\x7F\uFF01-\uFF5E\u3000]*$")
-    folded = F.when(easy, F.lower(F.translate(text, WIDE, PLAIN))).otherwise(_folded(F.when(~easy, text)))
-    return F.regexp_replace(folded, r"[\s\u00A0\u3000()（）,，.。·]+", "")
+    easy = _plain(text)
+    return _stripped(F.when(easy, F.lower(F.translate(text, WIDE, PLAIN))).otherwise(_folded(F.when(~easy, text))))
+
+
+def canonicalised(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the `canonical` form of a column: rows of plain texts stay in the JVM, only the others go through Python."""
+    easy = F.coalesce(_plain(F.col(text)), F.lit(True))
+    there = rows.filter(easy).withColumn(name, _stripped(F.lower(F.translate(F.col(text), WIDE, PLAIN))))
+    return there.unionByName(rows.filter(~easy).withColumn(name, _stripped(_folded(F.col(text)))))
 
 
 def numbered_gate(text: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.operators.nearby import within_radius
+from footfall.session import checkpointed
+
 # Reach, tolerance of a case, and severity of an error, in seconds.
 REACH_S, TOLERANCE_S, SEVERE_S, HEAVY_S = 900, 15, 1020, 960
 
@@ -165,3 +168,49 @@ def run_summary(samples: DataFrame, reason: str, verified: str, offsets: list[st
     """Samples by reason: valid, off their place, unknown."""
     off = F.greatest(*[F.col(c) for c in offsets]) > most_offset
     return samples.groupBy(reason).agg(F.count_if(F.col(verified) & (F.col(reason) == "ok")).alias("valid"), F.count_if(off).alias("offset_invalid"), F.count_if(~F.col(verified)).alias("unknown"), F.count("*").alias("samples"))
+
+
+def spaced(points: DataFrame, id_: str, order: Column, spacing: float) -> DataFrame:
+    """The points that a walk in ``order`` would take, leaving out every point nearer than ``spacing`` to one taken before.
+
+    Done in rounds, all places at once: a point that comes before all its undecided neighbours is taken and they are left
+    out, which is what the walk would do. With an order by a digest the rounds grow with the logarithm of the points.
+    """
+    rows = checkpointed(points.select(id_, "x", "y", F.struct(order.alias("o"), F.col(id_).alias("i")).alias("rank")))
+    near = within_radius(rows, rows, spacing).filter((F.col(id_) != F.col(f"r_{id_}")) & (F.col("distance_m") < spacing))
+    links = checkpointed(near.select(F.col(id_).alias("a"), F.col("rank").alias("ra"), F.col(f"r_{id_}").alias("b"), F.col("r_rank").alias("rb")))
+    taken = rows.join(links.select(F.col("a").alias(id_)).distinct(), id_, "left_anti").select(id_)
+    while not links.isEmpty():
+        first = checkpointed(links.groupBy("a", "ra").agg(F.min("rb").alias("rb")).filter("ra < rb").select("a"))
+        taken = taken.unionByName(first.select(F.col("a").alias(id_)))
+        out = checkpointed(first.unionByName(links.join(first, "a", "left_semi").select(F.col("b").alias("a"))).distinct())
+        left = checkpointed(links.join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti"))
+        # A point whose neighbours have all been decided, and that was not left out itself, is taken too.
+        alone = links.select("a").distinct().join(out, "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti")
+        taken = checkpointed(taken.unionByName(alone.select(F.col("a").alias(id_))))
+        links = left
+    return points.join(taken, id_, "left_semi")
+
+
+def spaced_sample(points: DataFrame, id_: str, stratum: str, quota: dict[str, int], spacing: float, road_m: Column, reach_m: float, seed: str) -> DataFrame:
+    """``points`` taken for each stratum in turn with its ``place``: in the order of a digest of seed and id, ``spacing`` apart from
+    all taken before (of earlier strata too), and no farther than ``reach_m`` from a road (``road_m``; null is too far).
+
+    A stratum that cannot fill its quota fails the job, as a sample that is silently short would.
+    """
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")), 256)
+    usable = checkpointed(points.filter(F.coalesce(road_m <= reach_m, F.lit(False))).withColumn("digest_", digest))
+    taken = None
+    for name, count in quota.items():  # a handful of strata, each shut out by those before
+        if not count:
+            continue
+        free = usable.filter(F.col(stratum) == name)
+        if taken is not None:
+            close = within_radius(free.select(id_, "x", "y"), taken.select("x", "y"), spacing).filter(F.col("distance_m") < spacing).select(id_)
+            free = free.join(close, id_, "left_anti")
+        apart = spaced(checkpointed(free), id_, F.col("digest_"), spacing)
+        first = checkpointed(apart.orderBy("digest_", id_).limit(count).withColumn("place", F.row_number().over(Window.orderBy("digest_", id_))))  # `count` rows
+        if first.count() < count:
+            raise ValueError(f"too few candidates in stratum {name}")
+        taken = first if taken is None else taken.unionByName(first)
+    return (taken if taken is not None else usable.limit(0).withColumn("place", F.lit(0))).drop("digest_")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.text import canonical, numbered_gate
+from footfall.functions.text import canonicalised, numbered_gate
 from footfall.functions.text import tags as split_tags
 from footfall.operators.components import connected_components
 from footfall.operators.nearby import within_radius
@@ -159,27 +161,49 @@ def keep_best(rows: DataFrame, key: Column, completeness: Column, ties: list[str
     return keyed.withColumn("n_", F.row_number().over(order)).withColumn("copies", F.count("*").over(w)).filter("n_ = 1").drop("n_", "key_", "score_")
 
 
-def merge_entities(rows: DataFrame, uid: str = "uid") -> DataFrame:
-    """A1: one row per uid with distinct names, tags and sources, and a flag for each kind of conflict.
+def merge_entities(rows: DataFrame, classify: Callable[[DataFrame], DataFrame], requested: list[str], counted: Column, uid: str = "uid") -> DataFrame:
+    """A1: one row per uid: ``observations, names, tags, conflicts, category, status, evidence, outside, first_seq``.
+
+    ``rows`` has ``uid, name, address, parent, tag, x, y, seq``; null and empty fields say nothing. ``classify`` adds ``category,
+    status, evidence`` to rows of ``name, tags`` (as `rule_classifier` does): it judges every record, and once more the entity
+    by all its names and tags. Two places, or two canonical names, addresses or parents of one uid are a conflict, and so
+    is a record that is excluded beside one that is not; an entity with a conflict needs review. One that is accepted
+    in a category that was not requested is excluded. ``outside`` says that no record is ``counted``.
 
-    ``rows`` has ``uid, name, tag, x, y, seq``. Counts of distinct values are aggregated before the sets
-    are formed, so a uid with very many observations is combined on the map side.
+    Conflicts are told by least and greatest values, so a uid with very many records is combined on the map side.
     """
-    slim = rows.groupBy(uid, "name", "tag", "x", "y").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    return slim.groupBy(uid).agg(
-        F.sum("n").alias("observations"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("tag")).alias("tags"),
-        (F.countDistinct(canonical(F.col("name"))) > 1).alias("name_conflict"), (F.countDistinct("x", "y") > 1).alias("location_conflict"), (F.countDistinct("tag") > 1).alias("tag_conflict"),
-        F.min("first_seq").alias("first_seq"),
+    fields = ("name", "address", "parent")
+    slim = rows.groupBy(uid, *fields, "tag", "x", "y").agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.bool_or(counted).alias("in_"))
+    judged = classify(slim.select(uid, *fields, "x", "y", "n", "seq", "in_", "tag", F.when(F.col("tag") != "", F.array("tag")).otherwise(F.array().cast("array<string>")).alias("tags")))
+    excluded = F.col("status") == "excluded"
+    per = judged.groupBy(uid).agg(
+        F.sum("n").alias("observations"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set(F.when(F.col("tag") != "", F.col("tag")))).alias("tags"),
+        F.min("seq").alias("first_seq"), (~F.bool_or(F.coalesce("in_", F.lit(False)))).alias("outside"),
+        ((F.min("x") != F.max("x")) | (F.min("y") != F.max("y"))).alias("location"), (F.bool_or(excluded) & F.bool_or(~excluded)).alias("classification"),
     )
-
-
-def possible_duplicates(rows: DataFrame, radius: float = 20.0, id_: str = "id") -> DataFrame:
-    """``id, group_id``: records with one canonical name within ``radius`` of each other, transitively.
-
-    Records of one name on one spot hang on the least of them, so only spots are compared with each other.
+    long = slim.select(uid, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("v")).select(uid, "v.field", "v.value").filter("value <> ''").distinct()
+    differ = canonicalised(long, "value", "c_").groupBy(uid, "field").agg((F.min("c_") != F.max("c_")).alias("differ")).filter("differ").groupBy(uid).agg(F.collect_set("field").alias("fields"))
+    both = per.join(differ, uid, "left")
+    named = [F.when(F.array_contains("fields", f), f"uid_{f}_conflict") for f in fields]
+    conflicts = F.array_compact(F.array(F.when(F.col("location"), "uid_location_conflict"), *named, F.when(F.col("classification"), "uid_classification_conflict")))
+    whole = classify(both.withColumn("conflicts", conflicts).drop("location", "classification", "fields").withColumn("name", F.concat_ws(" / ", "names")))
+    odd = F.size("conflicts") > 0
+    unasked = ~odd & (F.col("status") == "accepted") & ~F.coalesce(F.col("category").isin(*requested), F.lit(False))
+    status = F.when(odd, "needs_review").when(unasked, "excluded").otherwise(F.col("status"))
+    evidence = F.when(unasked, F.array(F.lit("category_not_requested"))).otherwise(F.array_sort(F.array_distinct(F.concat("evidence", "conflicts"))))
+    return whole.select(uid, "observations", "names", "tags", "conflicts", F.when(~odd & ~unasked, F.col("category")).alias("category"), status.alias("status"), evidence.alias("evidence"), "outside", "first_seq")
+
+
+def possible_duplicates(rows: DataFrame, radius: float = 20.0, id_: str = "id", name: str = "name", address: str = "address") -> DataFrame:
+    """``id, group_id``: records with one canonical name and one canonical address within ``radius`` of each other, transitively.
+
+    A record without an address (null or white space) is in no group: a chain has branches everywhere. Records
+    of one name and address on one spot hang on the least of them, so only spots are compared with each other.
     """
-    named = rows.select(id_, "x", "y", canonical(F.col("name")).alias("name_"))
-    spots = named.groupBy("name_", "x", "y").agg(F.min(id_).alias("spot"))
-    own = named.join(spots, ["name_", "x", "y"]).filter(F.col(id_) != F.col("spot")).select(F.col(id_).alias("src"), F.col("spot").alias("dst"))
-    pairs = within_radius(spots, spots, radius, on=("name_",)).filter(F.col("spot") < F.col("r_spot")).select(F.col("spot").alias("src"), F.col("r_spot").alias("dst"))
+    slim = canonicalised(canonicalised(rows.select(id_, "x", "y", name, address), name, "name_"), address, "address_")
+    named = slim.filter(F.col("name_").isNotNull() & F.col(address).rlike(r"\S")).select(id_, "x", "y", "name_", "address_")
+    same = ["name_", "address_"]
+    spots = named.groupBy(*same, "x", "y").agg(F.min(id_).alias("spot"))
+    own = named.join(spots, [*same, "x", "y"]).filter(F.col(id_) != F.col("spot")).select(F.col(id_).alias("src"), F.col("spot").alias("dst"))
+    pairs = within_radius(spots, spots, radius, on=tuple(same)).filter(F.col("spot") < F.col("r_spot")).select(F.col("spot").alias("src"), F.col("r_spot").alias("dst"))
     return connected_components(own.unionByName(pairs)).select(F.col("node").alias(id_), F.col("component").alias("group_id"))

@@ -13,15 +13,17 @@ from footfall.session import checkpointed
 
 
 def directed_edges(ways: DataFrame) -> DataFrame:
-    """G1: both directions of every way unless ``oneway_foot`` forbids one; a way without length fails the job.
+    """G1: both directions of every way unless its tags forbid one; a way without length fails the job.
 
-    ``ways`` has ``u, v, length, oneway_foot`` (null, 'yes' or '-1') and passes other columns on.
+    ``ways`` has ``u, v, length, oneway_foot`` and may have ``foot_forward, foot_backward``; other columns are passed on. Forwards
+    is closed by oneway ``-1`` or ``reverse`` or a forward tag ``no``, backwards by oneway ``yes``, ``1`` or ``true`` or a backward tag ``no``.
     """
     checked = ways.filter(F.assert_true(F.col("length") > 0, "edge without length").isNull())
-    there = checked.filter("oneway_foot IS NULL OR oneway_foot <> '-1'")
+    tag = lambda c: F.coalesce(F.col(c), F.lit("")) if c in ways.columns else F.lit("")
     rest = [c for c in ways.columns if c not in ("u", "v")]
-    back = checked.filter("oneway_foot IS NULL OR oneway_foot <> 'yes'").select(F.col("v").alias("u"), F.col("u").alias("v"), *rest)
-    return there.select("u", "v", *rest).unionByName(back).drop("oneway_foot")
+    there = checked.filter(~tag("oneway_foot").isin("-1", "reverse") & (tag("foot_forward") != "no"))
+    back = checked.filter(~tag("oneway_foot").isin("yes", "1", "true") & (tag("foot_backward") != "no")).select(F.col("v").alias("u"), F.col("u").alias("v"), *rest)
+    return there.select("u", "v", *rest).unionByName(back).drop("oneway_foot", "foot_forward", "foot_backward")
 
 
 def views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,3 +148,78 @@ def contracted(edges: DataFrame) -> DataFrame:
     comps = connected_components(inner.select(F.col("e1").alias("src"), F.col("e2").alias("dst")))
     joined = edges.join(comps.withColumnRenamed("node", "edge"), "edge", "left").withColumn("chain", F.coalesce("component", "edge"))
     return joined.groupBy("chain").agg(F.sum("length").alias("length"), F.count("*").alias("edges"))
+
+
+def _darts(edges: DataFrame, inner: DataFrame) -> DataFrame:
+    """``dart, edge, tail, head, next``: each edge in both directions and the dart that goes on from its head, if that is an inner node."""
+    ways = F.explode(F.array(F.struct(F.lit(0).alias("turned"), F.col("a").alias("tail"), F.col("b").alias("head")), F.struct(F.lit(1).alias("turned"), F.col("b").alias("tail"), F.col("a").alias("head"))))
+    darts = edges.select("edge", ways.alias("w")).select(F.struct("edge", "w.turned").alias("dart"), "edge", "w.tail", "w.head")
+    leave = darts.join(inner.select(F.col("node").alias("tail")), "tail").select(F.col("tail").alias("head"), F.col("dart").alias("next"), F.col("edge").alias("next_edge"))
+    on = darts.join(leave, "head", "left").withColumn("own", F.col("edge") == F.col("next_edge"))
+    # An inner node has two edges: the one come by, and the one to go on with.
+    return on.groupBy("dart", "edge", "tail", "head").agg(F.min(F.when(~F.col("own"), F.col("next"))).alias("next"))
+
+
+def ordered_chains(edges: DataFrame, attributes: list[str], keep: DataFrame | None = None) -> DataFrame:
+    """Chains of edges through nodes of degree 2, in order: ``chain, start, end, ring, length, edges, path``.
+
+    ``edges`` has ``edge, a, b, length`` and the attributes; a node joins two edges only if all attributes are equal (null
+    equals null) and it is not in ``keep`` (column ``node``). ``edges`` and ``path`` (the nodes) run from ``start`` to ``end``,
+    the lesser of the two ends first; a ring starts and ends in its least node, and runs by its lesser edge first.
+
+    Places along a chain are found by doubling: each edge, seen in both directions, knows how many edges lie before it
+    and where that row begins, and looks up twice as far each round, so rounds grow with the logarithm of the longest chain.
+    """
+    kind = F.struct(*[F.col(c) for c in attributes]) if attributes else F.lit(0)
+    slim = checkpointed(edges.select("edge", "a", "b", "length", F.to_json(F.struct(kind.alias("k")), {"ignoreNullFields": "false"}).alias("kind")))
+    ends = slim.select("edge", "kind", F.explode(F.array("a", "b")).alias("node"))
+    inner = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("edge").alias("e1"), F.max("edge").alias("e2"), F.min("kind").alias("k1"), F.max("kind").alias("k2")).filter("n = 2 AND e1 <> e2 AND k1 = k2")
+    inner = checkpointed(inner.join(keep.select("node").distinct(), "node", "left_anti") if keep is not None else inner)
+    comps = connected_components(inner.select(F.col("e1").alias("src"), F.col("e2").alias("dst"))).withColumnRenamed("node", "edge")
+    named = checkpointed(slim.join(comps, "edge", "left").select("edge", "a", "b", "length", F.coalesce("component", "edge").alias("chain")))
+    # A chain with as many inner nodes as edges is a ring: it is opened at its least node.
+    joints = inner.join(named.select(F.col("edge").alias("e1"), "chain"), "e1").groupBy("chain").agg(F.count("*").alias("inner_"), F.min("node").alias("cut"))
+    sizes = named.groupBy("chain").agg(F.count("*").alias("size_"))
+    rings = checkpointed(joints.join(sizes, "chain").filter("inner_ = size_").select("chain", "cut"))
+    inside = inner.join(rings.select(F.col("cut").alias("node")), "node", "left_anti")
+    darts = checkpointed(_darts(named, inside))
+    # Backwards: what comes before each dart. A dart that nothing leads to points at itself.
+    before = darts.filter("next IS NOT NULL").select(F.col("next").alias("dart"), F.col("dart").alias("from"))
+    ptr = checkpointed(darts.select("dart").join(before, "dart", "left").select("dart", F.coalesce("from", "dart").alias("to"), F.when(F.col("from").isNull(), 0).otherwise(1).cast("long").alias("rank")))
+    while True:
+        ahead = ptr.select(F.col("dart").alias("to"), F.col("to").alias("far"), F.col("rank").alias("more"))
+        step = checkpointed(ptr.join(ahead, "to").select("dart", F.col("far").alias("to"), (F.col("rank") + F.col("more")).alias("rank"), (F.col("far") != F.col("to")).alias("moved")))
+        ptr = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
+    placed = darts.join(ptr, "dart").join(named.select("edge", "chain", "length"), "edge")
+    row = placed.groupBy("chain", "to").agg(
+        F.min_by("tail", "rank").alias("start"), F.max_by("head", "rank").alias("end"), F.sum("length").alias("length"),
+        F.array_sort(F.collect_list(F.struct("rank", "edge", "head"))).alias("steps"),
+    )
+    row = row.select("chain", "start", "end", "length", F.transform("steps", lambda s: s["edge"]).alias("edges"), F.concat(F.array("start"), F.transform("steps", lambda s: s["head"])).alias("path"))
+    # Of the two directions: from the lesser end, or by the lesser edge where both ends are one.
+    one = row.groupBy("chain").agg(F.min(F.struct("start", "edges", "end", "length", "path")).alias("r"))
+    return one.join(rings, "chain", "left").select("chain", "r.start", "r.end", F.col("cut").isNotNull().alias("ring"), "r.length", "r.edges", "r.path")
+
+
+def point_times(points: DataFrame, field: DataFrame, source: DataFrame, ways: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, id, cost``: least cost from a source to points on ways: by either end, or straight along the source's own way.
+
+    ``points`` have ``id, u, v, along_m``, ``source`` has ``keys, u, v, along_m, off_m`` (the stretch that it starts on), ``ways``
+    have the directions in which they may be walked: ``u, v, length``. A point that nothing reaches has a null cost.
+    """
+    on = list(keys)
+    there = points.select("id", "u", "v", "along_m").join(ways.select("u", "v", "length"), ["u", "v"])
+    turned = ways.select(F.col("v").alias("u"), F.col("u").alias("v"), "length")
+    back = points.select("id", "u", "v", "along_m").join(turned, ["u", "v"]).select("id", F.col("v").alias("u"), F.col("u").alias("v"), (F.col("length") - F.col("along_m")).alias("along_m"), "length")
+    both = there.select("id", "u", "v", "along_m").unionByName(back.select("id", "u", "v", "along_m"))
+    by_end = both.join(field.select(*on, F.col("node").alias("u"), "cost"), "u").select(*on, "id", (F.col("cost") + F.col("along_m")).alias("cost"))
+    start = source.select(*on, "u", "v", F.col("along_m").alias("s_"), "off_m")
+    flipped = source.select(*on, "u", "v", "along_m", "off_m").join(ways.select("u", "v", "length"), ["u", "v"]).select(*on, F.col("v").alias("u"), F.col("u").alias("v"), (F.col("length") - F.col("along_m")).alias("s_"), "off_m")
+    same = both.join(start.unionByName(flipped), ["u", "v"]).filter("along_m >= s_").select(*on, "id", (F.col("along_m") - F.col("s_") + F.col("off_m")).alias("cost"))
+    least = by_end.unionByName(same).groupBy(*on, "id").agg(F.min("cost").alias("cost"))
+    every = points.select("id").distinct()
+    if on:
+        every = every.crossJoin(F.broadcast(source.select(*on).distinct()))
+    return every.join(least, [*on, "id"], "left").select(*on, "id", "cost")

@@ -66,23 +66,67 @@ def shared_edges(cells: DataFrame, key: str = "cell") -> DataFrame:
     return met.groupBy("a", "b").agg((F.count("*") * 25).alias("length_m"))
 
 
-def nearest_unbounded(points: DataFrame, shapes: DataFrame, key: str, measure: Callable[[], Column], reach: float, start: float, grow: float = 4.0) -> DataFrame:
-    """``key, m``: the distance of every point to its nearest shape, however far.
+#: Levels of a pyramid: squares of the coarsest are 2^40 times as wide as those of the finest.
+LEVELS = 40
 
-    ``shapes`` have ``x, y`` in their middle and reach ``reach`` around it; ``measure`` gives the true distance over the
-    columns of both. Points that find nothing within a radius go on with one ``grow`` times as wide, so most are done at once;
-    a shape measured at ``m`` is the nearest once the radius is ``m + reach``. Shapes are counted by then, so the last rounds end.
+
+def nearest_unbounded(points: DataFrame, shapes: DataFrame, key: str, measure: Callable[[], Column], reach: float, start: float, tie: list[str] | None = None, limit: float | None = None) -> DataFrame:
+    """``key, m, status`` and the shape's ``tie`` columns: every point's nearest shape, however far.
+
+    ``shapes`` have ``x, y`` in their middle and reach ``reach`` around it; ``measure`` gives the true distance over the columns
+    of both; of equally near shapes the one with the least ``tie`` counts. ``status`` is ``attached``, ``too_far`` beyond ``limit``,
+    ``no_shape``, or ``no_place`` for a point without coordinates; of the last two ``m`` is null.
+
+    Squares that shapes stand in are kept at every size, from ``start`` doubling. A point climbs until a square about it is
+    taken, which bounds its distance; then it descends, keeping the squares that may hold something nearer than the
+    farthest corner of the best one. So a point meets the shapes of few squares whatever lies between.
     """
-    left, radius, done = checkpointed(points), float(start), None
-    if shapes.isEmpty():
-        return points.select(key, F.lit(None).cast("double").alias("m")).limit(0)
-    while not left.isEmpty():
-        met = within_radius(left, shapes, radius).groupBy(key).agg(F.min(measure()).alias("m"))
-        sure = checkpointed(met.filter(F.col("m") <= radius - reach))
-        done = sure if done is None else done.unionByName(sure)
-        left = checkpointed(left.join(sure.select(key), key, "left_anti"))
-        radius *= grow
-    return done if done is not None else points.select(key, F.lit(None).cast("double").alias("m")).limit(0)
+    tie = tie or []
+    placed = F.coalesce(~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")) & (F.abs(F.col("x")) < float("inf")) & (F.abs(F.col("y")) < float("inf")), F.lit(False))
+    own = checkpointed(points.filter(placed).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    stand = checkpointed(shapes.filter(placed).withColumn("qx_", bucket(F.col("x"), start)).withColumn("qy_", bucket(F.col("y"), start)))
+    taken = [checkpointed(stand.select("qx_", "qy_").distinct())]
+    left, found = own, []
+    around = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
+    for level in range(LEVELS if not taken[0].isEmpty() else 0):
+        side = start * 2.0**level
+        if level:
+            half = lambda c: F.shiftright(c, 1).alias(c)
+            taken.append(checkpointed(taken[-1].select(half("qx_"), half("qy_")).distinct()))
+        cells = left.withColumn("i_", around).withColumn("j_", around).select(key, "x", "y", (bucket(F.col("x"), side) + F.col("i_")).alias("qx_"), (bucket(F.col("y"), side) + F.col("j_")).alias("qy_"))
+        first = checkpointed(cells.join(taken[level], ["qx_", "qy_"], "left_semi").select(key, "x", "y").distinct())
+        # Nothing farther than the far corner of a square next but one can be the nearest.
+        wide = int(3 + reach // side + 1)
+        more = F.explode(F.sequence(F.lit(-wide).cast("long"), F.lit(wide).cast("long")))
+        found.append(first.withColumn("i_", more).withColumn("j_", more).select(key, "x", "y", (bucket(F.col("x"), side) + F.col("i_")).alias("qx_"), (bucket(F.col("y"), side) + F.col("j_")).alias("qy_")).join(taken[level], ["qx_", "qy_"], "left_semi"))
+        left = checkpointed(left.join(first.select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
+    front = None
+    for level in range(len(found) - 1, -1, -1):
+        side = start * 2.0**level
+        if front is not None:
+            half = lambda c: F.shiftright(c, 1)
+            down = taken[level].select("qx_", "qy_", half("qx_").alias("ux_"), half("qy_").alias("uy_"))
+            front = front.withColumnsRenamed({"qx_": "ux_", "qy_": "uy_"}).join(down, ["ux_", "uy_"]).select(key, "x", "y", "qx_", "qy_").unionByName(found[level])
+        else:
+            front = found[level]
+        x0, y0 = F.col("qx_") * side, F.col("qy_") * side
+        off = lambda v, lo: F.greatest(F.lit(0.0), lo - v, v - lo - side)
+        far = lambda v, lo: F.greatest(F.abs(v - lo), F.abs(lo + side - v))
+        x, y = F.col("x"), F.col("y")
+        held = front.withColumns({"lb_": F.sqrt(F.pow(off(x, x0), 2) + F.pow(off(y, y0), 2)) - reach, "ub_": F.sqrt(F.pow(far(x, x0), 2) + F.pow(far(y, y0), 2))})
+        bound = held.groupBy(key).agg(F.min("ub_").alias("best_"))
+        front = checkpointed(held.join(bound, key).filter(F.col("lb_") <= F.col("best_") + 1e-6).select(key, "x", "y", "qx_", "qy_"))
+    every = points.select(key, placed.alias("placed_"))
+    schema = [F.lit(None).cast(dict(shapes.dtypes)[c]).alias(c) for c in tie]
+    if front is None:
+        return every.select(key, F.lit(None).cast("double").alias("m"), F.when(F.col("placed_"), "no_shape").otherwise("no_place").alias("status"), *schema)
+    right = stand.select("qx_", "qy_", *[F.col(c).alias(f"r_{c}") for c in shapes.columns])
+    best = front.join(right, ["qx_", "qy_"]).withColumn("m", measure()).groupBy(key).agg(F.min(F.struct("m", *[F.col(f"r_{c}").alias(c) for c in tie])).alias("b"))
+    status = F.when(~F.col("placed_"), "no_place")
+    status = (status.when(F.col("b.m") > limit, "too_far") if limit is not None else status).otherwise("attached")
+    return every.join(best, key, "left").select(key, F.col("b.m").alias("m"), status.alias("status"), *[F.col(f"b.{c}").alias(c) for c in tie])
 
 
 def resolve_entrances(facilities: DataFrame, candidates: DataFrame, segments: DataFrame, limit_m: float, reach: float, ambiguous_m: float) -> DataFrame:

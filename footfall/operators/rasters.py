@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import segment_distance
+from footfall.operators.components import connected_components
+from footfall.session import checkpointed
 
 
 def _square(c: str, size: float) -> Column:
@@ -35,6 +37,32 @@ def cell_set_metrics(predicted: DataFrame, true: DataFrame, cell: list[str]) ->
     return both.agg((F.count_if(p & t) / F.nullif(F.count("*"), F.lit(0)).cast("double")).alias("iou"), F.count_if(p & ~t).alias("false_cells"), F.count_if(t & ~p).alias("missed_cells"), F.count("*").alias("cells"))
 
 
+def _labelled(cells: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """``cells`` (``ix, iy``) with ``label``: the least of the cells that steps lead to (as struct ix, iy)."""
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
+    other = cells.withColumn("d", near).select((F.col("ix") + F.col("d.a")).alias("ix"), (F.col("iy") + F.col("d.b")).alias("iy"), F.struct("ix", "iy").alias("src"))
+    edges = other.join(cells.select("ix", "iy"), ["ix", "iy"]).select("src", F.struct("ix", "iy").alias("dst"))
+    named = cells.withColumn("node", F.struct("ix", "iy")).join(connected_components(edges), "node", "left")
+    return named.select(*cells.columns, F.coalesce("component", "node").alias("label"))
+
+
+def shape_topology(cells: DataFrame) -> DataFrame:
+    """``components, holes``: parts of a set of cells (``ix, iy``) that sides join, and parts of the rest that it closes in.
+
+    The rest is labelled within the set's box and a frame of one cell about it, corners joining: what the frame reaches is
+    outside, every other part is a hole. The box bounds the work, as it does a raster's.
+    """
+    own = checkpointed(cells.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct())
+    box = own.agg(*[f(c).alias(f"{n}{c}") for f, n in ((F.min, "lo_"), (F.max, "hi_")) for c in ("ix", "iy")]).filter("lo_ix IS NOT NULL")
+    rows = box.withColumn("ix", F.explode(F.sequence(F.col("lo_ix") - 1, F.col("hi_ix") + 1)))
+    every = rows.withColumn("iy", F.explode(F.sequence(F.col("lo_iy") - 1, F.col("hi_iy") + 1)))
+    frame = (F.col("ix") < F.col("lo_ix")) | (F.col("ix") > F.col("hi_ix")) | (F.col("iy") < F.col("lo_iy")) | (F.col("iy") > F.col("hi_iy"))
+    rest = checkpointed(every.select("ix", "iy", frame.alias("frame")).join(own, ["ix", "iy"], "left_anti"))
+    parts = _labelled(own, [(1, 0), (0, 1)]).agg(F.count_distinct("label").alias("components"))
+    closed = _labelled(rest, [(1, 0), (0, 1), (1, 1), (1, -1)]).groupBy("label").agg(F.bool_or("frame").alias("open"))
+    return parts.crossJoin(closed.agg(F.count_if(~F.col("open")).alias("holes")))  # one row each
+
+
 def region_strata(points: DataFrame, cell: list[str], new: Column, old: Column) -> DataFrame:
     """U4: cells inside both of two regions, one alone, or neither."""
     per = points.groupBy(*cell).agg(F.bool_or(new).alias("n"), F.bool_or(old).alias("o"))
@@ -115,7 +143,10 @@ def boundary_distances(a: DataFrame, b: DataFrame, key: str, step: float = 5.0,
 
 def open_crossings(connectors: DataFrame, walls: DataFrame, bridges: DataFrame, reach_m: float) -> DataFrame:
     """``id, blocked, bridged``: connectors (``id, ax, bx, y``) that cross a wall (``wx``, ``period`` apart at least), unless a
-    bridge (``wx, y``) over that wall stands within ``reach_m`` of the crossing."""
+    bridge (``wx, y``) over that wall stands within ``reach_m`` of the crossing. Bridges are met by wall and stretch of ``reach_m``."""
     hit = connectors.join(walls.select("wx"), (F.col("ax") < F.col("wx")) & (F.col("wx") < F.col("bx")) & (F.col("cell") == F.floor(F.col("wx") / 400))).select("id", "y", "wx")
-    over = hit.join(bridges.select("wx", F.col("y").alias("by")), "wx", "left").groupBy("id", "wx").agg(F.coalesce(F.bool_or(F.abs(F.col("y") - F.col("by")) <= reach_m), F.lit(False)).alias("ok"))
-    return over.groupBy("id").agg(F.lit(True).alias("crosses"), F.bool_and("ok").alias("bridged"))
+    near = F.explode(F.sequence(F.floor(F.col("y") / reach_m) - 1, F.floor(F.col("y") / reach_m) + 1))
+    spots = bridges.select("wx", F.col("y").alias("by"), F.floor(F.col("y") / reach_m).alias("k_")).distinct()
+    close = hit.withColumn("k_", near).join(spots, ["wx", "k_"]).filter(F.abs(F.col("y") - F.col("by")) <= reach_m).select("id", "wx").distinct().withColumn("ok", F.lit(True))
+    over = hit.select("id", "wx").distinct().join(close, ["id", "wx"], "left")
+    return over.groupBy("id").agg(F.lit(True).alias("crosses"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("bridged"))

@@ -19,10 +19,17 @@ def stale_retrievals(facilities: DataFrame, group: str, was: Column, now: Column
     return facilities.groupBy(group).agg(lost.alias("left_"), new.alias("entered"), ((lost > 0) | (new > 0)).alias("stale"))
 
 
-def evaluated_majors(rows: DataFrame, major: str, member: str, complete: Column) -> DataFrame:
-    """A major can be evaluated if its search is complete, or if anything of it was found."""
-    per = rows.groupBy(major, member).agg(F.bool_and(complete).alias("c"))
-    return per.groupBy(F.col(major).alias("major")).agg(F.count(member).alias("found"), F.bool_and("c").alias("complete"), (F.bool_and("c") | (F.count(member) > 0)).alias("evaluated"))
+def evaluated_majors(requested: DataFrame, rows: DataFrame, major: str, member: str, searches: DataFrame) -> DataFrame:
+    """``major, found, complete, evaluated``: every requested major can be evaluated if its searches are complete, also where
+    nothing was found (an observed nothing); else only if something of it was.
+
+    ``searches`` has ``major, complete``; a major without a search is not complete.
+    """
+    found = rows.groupBy(F.col(major).alias("major"), member).agg(F.lit(1).alias("n")).groupBy("major").agg(F.count(member).alias("found"))
+    done = searches.groupBy("major").agg(F.bool_and("complete").alias("complete"))
+    each = requested.select(F.col(major).alias("major")).distinct().join(found, "major", "left").join(done, "major", "left")
+    n, complete = F.coalesce("found", F.lit(0).cast("long")), F.coalesce("complete", F.lit(False))
+    return each.select("major", n.alias("found"), complete.alias("complete"), (complete | (n > 0)).alias("evaluated"))
 
 
 def snapshot_summary(revisions: DataFrame, task: str, stage: str, revision: str, amount: str) -> DataFrame:

@@ -84,12 +84,18 @@ def q_stale_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.twin(
     "evaluated_majors", ("poi_rows",),
-    """
-SELECT tag AS major, count(DISTINCT uid) AS found, bool_and(seq % 50 <> 0) AS complete, bool_and(seq % 50 <> 0) OR count(DISTINCT uid) > 0 AS evaluated FROM {poi_rows} GROUP BY tag""",
+    """,
+req AS (SELECT DISTINCT tag AS major FROM {poi_rows} UNION ALL SELECT 'GYM' UNION ALL SELECT 'POOL'),
+got AS (SELECT tag AS major, count(DISTINCT uid) AS found FROM {poi_rows} WHERE ord % 7 <> 0 AND tag NOT LIKE 'SMALL%' GROUP BY tag),
+srch AS (SELECT tag AS major, bool_and(seq % 50 <> 0) AS complete FROM {poi_rows} GROUP BY tag UNION ALL SELECT 'GYM', TRUE)
+SELECT major, coalesce(found, 0) AS found, coalesce(complete, FALSE) AS complete, coalesce(complete, FALSE) OR coalesce(found, 0) > 0 AS evaluated FROM req LEFT JOIN got USING (major) LEFT JOIN srch USING (major)""",
 )
 def q_evaluated_majors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majors that can be evaluated."""
-    return verification.evaluated_majors(demo(spark, sf_dir, "poi_rows"), "tag", "uid", F.col("seq") % 50 != 0)
+    """Requested majors that can be evaluated, those with nothing found among them."""
+    rows = demo(spark, sf_dir, "poi_rows")
+    asked = rows.select("tag").distinct().unionByName(spark.range(1).select(F.explode(F.array(F.lit("GYM"), F.lit("POOL"))).alias("tag")))
+    searches = rows.select(F.col("tag").alias("major"), (F.col("seq") % 50 != 0).alias("complete")).unionByName(spark.range(1).select(F.lit("GYM").alias("major"), F.lit(True).alias("complete")))
+    return verification.evaluated_majors(asked, rows.filter("ord % 7 <> 0 AND tag NOT LIKE 'SMALL%'"), "tag", "uid", searches)
 
 
 @R.twin(

@@ -119,7 +119,7 @@ def q_across(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    "obstacle_cells",
+    "obstacle_shares",
     f"""WITH {WATER},
 ring AS (SELECT DISTINCT pool, px AS x, py AS y FROM pool WHERE k = 1),
 b AS (SELECT pool, 100 * CAST(floor((x - 10) / 100.0) AS BIGINT) + 100 * i AS x0, 100 * CAST(floor(y / 100.0) AS BIGINT) + 100 * j AS y0 FROM ring, range(0, 3) r(i), range(0, 2) s(j)),

@@ -101,33 +101,62 @@ def q_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.keep_best(demo(spark, sf_dir, "poi_rows"), F.col("uid"), score, ["seq", "page", "ord", "name"]).select("uid", "name", "seq", "page", "copies")
 
 
+def _classified_sql(source: str, name: str) -> str:
+    """CTEs ``name`` of the demonstration dictionary over ``source`` (n: name, t: tags): status and category."""
+    return f"""{name}_h AS (
+  SELECT *, (contains(n, 'widget') OR contains(n, 'gizmo')) AND NOT contains(n, 'hot') AS n1, list_has_any(t, ['ECONOMY', 'STANDARD']) AND NOT contains(n, 'hot') AS t1, contains(n, 'bolt') OR contains(n, 'ring') AS n2, list_has_any(t, ['MEDIUM']) AS t2,
+    contains(n, 'gear') AND NOT contains(n, 'small') AS n3, list_has_any(t, ['LARGE', 'PROMO']) AND NOT contains(n, 'small') AS t3, contains(n, 'cold ring') AS n4 FROM {source}),
+{name} AS (SELECT * EXCLUDE (n1, t1, n2, t2, n3, t3, n4), CASE WHEN contains(n, 'blue') THEN 'excluded' WHEN contains(n, 'green') THEN 'needs_review' WHEN n4 THEN 'excluded' WHEN NOT (n3 OR t3) AND (n1 OR t1) AND (n2 OR t2) THEN 'needs_review'
+  WHEN n3 OR t3 THEN CASE WHEN t3 THEN 'accepted' ELSE 'needs_review' END WHEN t1 OR t2 THEN 'accepted' ELSE 'needs_review' END AS status, CASE WHEN n3 OR t3 THEN 'machines' WHEN n2 OR t2 THEN 'hardware' ELSE 'tools' END AS category FROM {name}_h)"""
+
+
+_KEY = r"regexp_replace(lower({}), '[\s()]+', '', 'g')"
+
+
 @R.add(
     "entity_merge",
-    r"""
-WITH o AS (SELECT CAST(CAST(floor(ord / 3.0) AS BIGINT) % 400 AS VARCHAR) AS uid, CASE WHEN ord % 5 = 0 THEN upper(name) || ' (1)' ELSE name END AS name, tag, x, y, seq FROM poi_rows)
-SELECT uid, count(*) AS observations, array_to_string(list_sort(list(DISTINCT name)), '|') AS names, array_to_string(list_sort(list(DISTINCT tag)), '|') AS tags,
-  count(DISTINCT regexp_replace(lower(name), '[\s()]+', '', 'g')) > 1 AS name_conflict, count(DISTINCT x * 100000 + y) > 1 AS location_conflict, count(DISTINCT tag) > 1 AS tag_conflict, min(seq) AS first_seq FROM o GROUP BY uid""",
+    f"""
+WITH o AS (SELECT uid, CASE WHEN ord % 97 = 0 THEN upper(name) || ' (1)' WHEN ord % 389 = 0 THEN name || ' x' ELSE name END AS name, CASE ord % 2 WHEN 0 THEN '' ELSE CASE WHEN ord % 383 = 0 THEN 'Else' ELSE 'At  ' || uid END END AS address,
+  CASE WHEN ord % 379 = 0 THEN 'P' WHEN ord % 3 = 0 THEN 'p ' END AS parent, tag, CASE WHEN ord % 373 = 0 THEN x + 1 ELSE x END AS x, y, seq FROM poi_rows),
+r AS (SELECT *, name AS n, [tag] AS t FROM o),
+{_classified_sql('r', 'c')},
+g AS (SELECT uid, count(*) AS observations, list_sort(list(DISTINCT name)) AS names, list_sort(list(DISTINCT tag)) AS t, min(seq) AS first_seq, NOT bool_or(x * x + y * y <= 2250000) AS outside,
+  min(x) <> max(x) OR min(y) <> max(y) AS k1, count(DISTINCT {_KEY.format('name')}) > 1 AS k2, count(DISTINCT CASE WHEN address <> '' THEN {_KEY.format('address')} END) > 1 AS k3, count(DISTINCT {_KEY.format('parent')}) > 1 AS k4, bool_or(status = 'excluded') AND bool_or(status <> 'excluded') AS k5 FROM c GROUP BY uid),
+w AS (SELECT *, array_to_string(names, ' / ') AS n FROM g),
+{_classified_sql('w', 'd')},
+f AS (SELECT *, list_filter([CASE WHEN k1 THEN 'uid_location_conflict' END, CASE WHEN k2 THEN 'uid_name_conflict' END, CASE WHEN k3 THEN 'uid_address_conflict' END, CASE WHEN k4 THEN 'uid_parent_conflict' END, CASE WHEN k5 THEN 'uid_classification_conflict' END], lambda v: v IS NOT NULL) AS conflicts FROM d)
+SELECT uid, observations, array_to_string(names, '|') AS names, array_to_string(t, '|') AS tags, array_to_string(conflicts, '|') AS conflicts,
+  CASE WHEN len(conflicts) = 0 AND status = 'accepted' AND category IN ('tools', 'machines') THEN category END AS category,
+  CASE WHEN len(conflicts) > 0 THEN 'needs_review' WHEN status = 'accepted' AND category NOT IN ('tools', 'machines') THEN 'excluded' ELSE status END AS status, outside, first_seq FROM f""",
     POI,
 )
 def q_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: entities merged by uid with their conflicts (ids here are shared by several records)."""
-    name = F.when(F.col("ord") % 5 == 0, F.concat(F.upper("name"), F.lit(" (1)"))).otherwise(F.col("name"))
-    rows = demo(spark, sf_dir, "poi_rows").withColumn("uid", (F.floor(F.col("ord") / 3) % 400).cast("string")).withColumn("name", name)
-    return entity.merge_entities(rows).withColumn("names", F.concat_ws("|", "names")).withColumn("tags", F.concat_ws("|", "tags"))
+    """Entities by uid with every kind of conflict, judged again as a whole, in three parts, and those outside the region told apart."""
+    o = F.col("ord")
+    name = F.when(o % 97 == 0, F.concat(F.upper("name"), F.lit(" (1)"))).when(o % 389 == 0, F.concat("name", F.lit(" x"))).otherwise(F.col("name"))
+    address = F.when(o % 2 == 0, "").when(o % 383 == 0, "Else").otherwise(F.concat(F.lit("At  "), "uid"))
+    parent = F.when(o % 379 == 0, "P").when(o % 3 == 0, "p ")
+    rows = demo(spark, sf_dir, "poi_rows").select("uid", name.alias("name"), address.alias("address"), parent.alias("parent"), "tag", F.when(o % 373 == 0, F.col("x") + 1).otherwise(F.col("x")).alias("x"), "y", "seq")
+    judge = lambda df: entity.rule_classifier(df, DICTIONARY, ["blue"], ["green"], ["CONFLICT"])
+    out = entity.merge_entities(rows, judge, ["tools", "machines"], F.expr("x * x + y * y <= 2250000"))
+    return out.select("uid", "observations", *[F.concat_ws("|", c).alias(c) for c in ("names", "tags", "conflicts")], "category", "status", "outside", "first_seq")
 
 
 @R.add(
     "possible_duplicates",
-    """
-WITH RECURSIVE f AS (SELECT p_partkey AS id, p_name AS name, (p_partkey * 7919) % 401 AS x, (p_partkey * 104729) % 397 AS y FROM part),
-e AS (SELECT a.id AS s, b.id AS d FROM f a JOIN f b ON a.name = b.name AND a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20),
+    r"""
+WITH RECURSIVE f AS (SELECT p_partkey AS id, lower(p_name) AS name, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN p_brand || ', 1' ELSE lower(p_brand) || ' (1)' END AS address, (p_partkey * 7919) % 401 AS x, (p_partkey * 104729) % 397 AS y FROM part),
+k AS (SELECT id, x, y, address AS raw, regexp_replace(name, '[\s(),.]+', '', 'g') AS name, regexp_replace(lower(address), '[\s(),.]+', '', 'g') AS address FROM f),
+e AS (SELECT a.id AS s, b.id AS d FROM k a JOIN k b ON a.name = b.name AND a.address = b.address AND trim(a.raw) <> '' AND a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 60),
 w AS (SELECT s AS id, s AS r FROM e UNION SELECT w.id, e.d FROM w JOIN e ON e.s = w.r)
 SELECT id, min(r) AS group_id FROM w GROUP BY id""",
 )
 def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal names within 20 m, grouped transitively."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), ((F.col("p_partkey") * 7919) % 401).alias("x"), ((F.col("p_partkey") * 104729) % 397).alias("y"))
-    return entity.possible_duplicates(rows)
+    """Equal names at equal addresses within 60 m, grouped transitively; records without an address are left out."""
+    k, b = F.col("p_partkey"), F.col("p_brand")
+    address = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, "  ").when(k % 5 == 2, F.concat(b, F.lit(", 1"))).otherwise(F.concat(F.lower(b), F.lit(" (1)")))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.upper("p_name").alias("name"), address.alias("address"), ((k * 7919) % 401).alias("x"), ((k * 104729) % 397).alias("y"))
+    return entity.possible_duplicates(rows, 60.0)
 
 
 @R.twin(
@@ -223,7 +252,7 @@ def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """names by canonical form; hyphens and signs stay, spaces, brackets and stops go."""
     k, name = F.col("p_partkey") % 4, F.col("p_name")
     v = F.when(k == 0, F.concat(F.upper(name), F.lit(" (2)"))).when(k == 1, F.concat(name, F.lit("·Ä"))).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit(".")))
-    return table(spark, sf_dir, "part").groupBy(text.canonical(v).alias("canonical")).agg(F.count("*").alias("n"))
+    return text.canonicalised(table(spark, sf_dir, "part").select(v.alias("v")), "v", "canonical").groupBy("canonical").agg(F.count("*").alias("n"))
 
 
 @R.add(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import geo
-from footfall.operators import field, grid, quadtree
+from footfall.operators import accuracy, field, grid, quadtree, rasters
 from footfall.plans.demo import Registry, demo
 from footfall.session import table
 
@@ -221,3 +221,47 @@ def q_first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = domains(spark, sf_dir)
     met = grid.blocks_meeting(d, "ring", 100.0)
     return met.groupBy("id").agg(F.count("*").alias("blocks"))
+
+
+@R.add(
+    "shape_topology",
+    f"""WITH RECURSIVE {CELLS},
+s AS (SELECT CAST(floor(x / 200.0) AS BIGINT) AS ix, CAST(floor(y / 200.0) AS BIGINT) AS iy FROM demand GROUP BY ALL HAVING min(owner) % 5 <> 0),
+lim AS (SELECT min(ix) - 1 AS x0, max(ix) + 1 AS x1, min(iy) - 1 AS y0, max(iy) + 1 AS y1 FROM s),
+r AS (SELECT ix, iy FROM lim, unnest(range(x0, x1 + 1)) a(ix), unnest(range(y0, y1 + 1)) b(iy) EXCEPT SELECT ix, iy FROM s),
+w AS (SELECT ix AS a, iy AS b, ix, iy FROM s UNION SELECT w.a, w.b, s.ix, s.iy FROM w JOIN s ON abs(s.ix - w.ix) + abs(s.iy - w.iy) = 1),
+part AS (SELECT ix, iy, min(a * 1000 + b) AS label FROM w GROUP BY ix, iy),
+f AS (SELECT x0 AS ix, y0 AS iy FROM lim UNION SELECT r.ix, r.iy FROM f JOIN r ON abs(r.ix - f.ix) <= 1 AND abs(r.iy - f.iy) <= 1),
+c AS (SELECT * FROM r EXCEPT SELECT * FROM f),
+v AS (SELECT ix AS a, iy AS b, ix, iy FROM c UNION SELECT v.a, v.b, c.ix, c.iy FROM v JOIN c ON abs(c.ix - v.ix) <= 1 AND abs(c.iy - v.iy) <= 1),
+hole AS (SELECT ix, iy, min(a * 1000 + b) AS label FROM v GROUP BY ix, iy)
+SELECT (SELECT count(DISTINCT label) FROM part) AS components, (SELECT count(DISTINCT label) FROM hole) AS holes, round(1 - (SELECT count(*) FROM mid WHERE m IS NOT NULL) / 25600e0, 9) AS unknown_share""",
+    ("facilities", "demand"),
+)
+def q_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and holes of a shape of cells, and the share of the field that is unknown."""
+    at = [F.floor(F.col(c) / 200.0).cast("long").alias(f"i{c}") for c in "xy"]
+    shape = demo(spark, sf_dir, "demand").groupBy(*at).agg(F.min("owner").alias("n")).filter("n % 5 <> 0")
+    unknown = cells(spark, sf_dir).agg(F.round(1 - F.count_if(F.col("known") == 4) / float((NODES - 1) ** 2), 9).alias("unknown_share"))
+    return rasters.shape_topology(shape).crossJoin(unknown)  # one row each
+
+
+@R.add(
+    "spaced_sample",
+    """
+WITH RECURSIVE p AS (SELECT id, x, y, CASE WHEN category IN ('BUILDING', 'MACHINERY') THEN 'inner' WHEN category = 'FURNITURE' THEN 'edge' ELSE 'outer' END AS stratum, sha256('e:' || CAST(id AS VARCHAR)) AS d FROM facilities WHERE id % 61 <= 50 AND id % 17 <> 0),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE stratum WHEN 'inner' THEN 1 WHEN 'edge' THEN 2 ELSE 3 END, d, id) AS n, CASE stratum WHEN 'inner' THEN 8 WHEN 'edge' THEN 5 ELSE 10 END AS quota FROM p),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x BIGINT, y BIGINT)[]) AS taken, CAST([] AS BIGINT[]) AS ids, 0 AS k, '' AS stratum
+  UNION ALL SELECT o.n, CASE WHEN ok THEN list_append(taken, {x: o.x, y: o.y}) ELSE taken END, CASE WHEN ok THEN list_append(ids, o.id) ELSE ids END, CASE WHEN ok THEN had + 1 ELSE had END, o.stratum FROM (
+    SELECT w.*, o, CASE WHEN o.stratum = w.stratum THEN k ELSE 0 END AS had, (CASE WHEN o.stratum = w.stratum THEN k ELSE 0 END) < o.quota AND len(list_filter(taken, lambda t: (t.x - o.x) ** 2 + (t.y - o.y) ** 2 < 22500)) = 0 AS ok FROM w JOIN o ON o.n = w.n + 1) s),
+f AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM w ORDER BY n DESC LIMIT 1))
+SELECT o.id, o.stratum, CAST(row_number() OVER (PARTITION BY o.stratum ORDER BY d, o.id) AS INTEGER) AS place FROM f JOIN o USING (id)""",
+    ("facilities",),
+)
+def q_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample over strata, 150 m apart, of points near a road."""
+    stratum = F.when(F.col("category").isin("BUILDING", "MACHINERY"), "inner").when(F.col("category") == "FURNITURE", "edge").otherwise("outer")
+    road = F.when(F.col("id") % 17 != 0, (F.col("id") % 61).cast("double"))
+    points = demo(spark, sf_dir, "facilities").select("id", "x", "y", stratum.alias("stratum"), road.alias("road_m"))
+    out = accuracy.spaced_sample(points, "id", "stratum", {"inner": 8, "edge": 5, "outer": 10}, 150.0, F.col("road_m"), 50.0, "e")
+    return out.select("id", "stratum", "place")

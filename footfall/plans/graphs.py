@@ -190,3 +190,60 @@ def q_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = open_links(spark, sf_dir).filter("(src + dst) % 4 <> 1")
     edges = links.select(F.concat_ws("-", "src", "dst").alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(60.0).alias("length"))
     return graph.contracted(edges).groupBy("edges").agg(F.count("*").alias("chains"), F.sum("length").alias("length"))
+
+
+CHAIN_EDGES = """
+e AS (SELECT src || '-' || dst AS edge, src AS a, dst AS b, 60 AS length, (src // 7) % 3 = 0 AS kind FROM links WHERE (src + dst) % 4 <> 1)"""
+
+
+@R.add(
+    "ordered_chains",
+    f"""WITH RECURSIVE {LINKS}, {CHAIN_EDGES},
+n AS (SELECT edge, kind, a AS node FROM e UNION ALL SELECT edge, kind, b FROM e),
+i AS (SELECT node, min(edge) AS e1, max(edge) AS e2 FROM n GROUP BY node HAVING count(*) = 2 AND count(DISTINCT kind) = 1 AND min(edge) <> max(edge)),
+t AS (SELECT e1 AS s, e2 AS d FROM i UNION SELECT e2, e1 FROM i),
+c AS (SELECT edge AS s, edge AS d FROM e UNION SELECT c.s, t.d FROM c JOIN t ON t.s = c.d),
+ch AS (SELECT s AS edge, min(d) AS chain FROM c GROUP BY s),
+ring AS (SELECT chain, min(node) AS cut FROM i JOIN ch ON ch.edge = i.e1 GROUP BY chain HAVING count(*) = (SELECT count(*) FROM ch x WHERE x.chain = ch.chain)),
+j AS (SELECT node FROM i WHERE node NOT IN (SELECT cut FROM ring)),
+dart AS (SELECT edge, a AS tail, b AS head FROM e UNION ALL SELECT edge, b, a FROM e),
+w AS (
+  SELECT chain, tail AS start, edge AS last, head AS stop, [edge] AS edges, [tail, head] AS path FROM dart JOIN ch USING (edge) WHERE tail NOT IN (SELECT node FROM j)
+  UNION ALL SELECT w.chain, w.start, d.edge, d.head, list_append(w.edges, d.edge), list_append(w.path, d.head) FROM w JOIN dart d ON d.tail = w.stop AND d.edge <> w.last WHERE w.stop IN (SELECT node FROM j)),
+f AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY start, edges) AS k FROM w WHERE stop NOT IN (SELECT node FROM j))
+SELECT f.chain, start, stop AS "end", ring.cut IS NOT NULL AS ring, CAST(60 * len(edges) AS DOUBLE) AS length, array_to_string(edges, ' ') AS edges, array_to_string(path, ' ') AS path FROM f LEFT JOIN ring ON ring.chain = f.chain WHERE k = 1""",
+    NODES,
+)
+def q_ordered_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of equal attributes with their edges and nodes in order, rings opened at their least node."""
+    links = open_links(spark, sf_dir).filter("(src + dst) % 4 <> 1")
+    edges = links.select(F.concat_ws("-", "src", "dst").alias("edge"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(60.0).alias("length"), (F.floor(F.col("src") / 7) % 3 == 0).alias("kind"))
+    out = graph.ordered_chains(edges, ["kind"])
+    return out.select("chain", "start", "end", "ring", "length", F.concat_ws(" ", "edges").alias("edges"), F.concat_ws(" ", F.col("path").cast("array<string>")).alias("path"))
+
+
+@R.add(
+    "point_times",
+    f"""WITH RECURSIVE {WAYS},
+ok AS (SELECT u, v FROM kept), src AS (SELECT min(u) AS u, min(v) FILTER (WHERE u = m) AS v FROM ok, (SELECT min(u) AS m FROM ok)),
+seed AS (SELECT v AS node, 45e0 AS cost FROM src UNION ALL SELECT s.u, 25e0 FROM src s JOIN ok ON ok.u = s.v AND ok.v = s.u),
+walk AS (SELECT node, cost FROM seed UNION SELECT k.v, w.cost + k.length FROM walk w JOIN kept k ON k.u = w.node WHERE w.cost + k.length <= 600),
+best AS (SELECT node, min(cost) AS cost FROM walk GROUP BY node),
+pt AS (SELECT u || '-' || v AS id, u, v, (u * 7 + v) % 60 AS along FROM ways),
+dir AS (SELECT id, p.u, p.v, along FROM pt p JOIN ok ON ok.u = p.u AND ok.v = p.v UNION ALL SELECT id, p.v, p.u, 60 - along FROM pt p JOIN ok ON ok.u = p.v AND ok.v = p.u),
+cand AS (SELECT id, cost + along AS cost FROM dir JOIN best ON node = dir.u
+  UNION ALL SELECT id, along - 20 + 5 FROM dir JOIN src ON src.u = dir.u AND src.v = dir.v WHERE along >= 20
+  UNION ALL SELECT id, along - 40 + 5 FROM dir JOIN src ON src.v = dir.u AND src.u = dir.v WHERE along >= 40),
+m AS (SELECT id, min(cost) AS cost FROM cand GROUP BY id)
+SELECT pt.id, CAST(m.cost AS DOUBLE) AS cost FROM pt LEFT JOIN m USING (id)""",
+    NODES,
+)
+def q_point_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost from one place on a way to a point of every way, by its ends or straight along the way they share."""
+    edges = graph.views(demo(spark, sf_dir, "nodes"), graph.directed_edges(ways(spark, sf_dir))).filter("view = 'possible'").select("u", "v", "length")
+    first = edges.agg(F.min(F.struct("u", "v")).alias("e")).select("e.u", "e.v", F.lit(20.0).alias("along_m"), F.lit(5.0).alias("off_m"), F.lit(60.0).alias("length"))
+    ahead = first.select(F.col("v").alias("node"), (F.col("length") - F.col("along_m") + F.col("off_m")).alias("cost"), F.lit(0).alias("owner"))
+    back = first.join(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").select(F.col("u").alias("node"), (F.col("along_m") + F.col("off_m")).alias("cost"), F.lit(0).alias("owner"))
+    field = graph.shortest_paths(edges, ahead.unionByName(back), 600.0)
+    points = ways(spark, sf_dir).select(F.concat_ws("-", "u", "v").alias("id"), "u", "v", ((F.col("u") * 7 + F.col("v")) % 60).cast("double").alias("along_m"))
+    return graph.point_times(points, field, first, edges)

@@ -100,16 +100,18 @@ def q_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "nearest_edges",
     f"""
-WITH {SEGMENTS}, p AS (SELECT id, category, x + 0.0 AS x, y + 0.0 AS y FROM facilities),
-d AS (SELECT p.id, category, min(round({TO_SEGMENT}, 6)) AS m FROM p, seg GROUP BY p.id, category)
-SELECT category, count(*) AS n, round(max(m), 6) AS farthest_m, round(sum(m), 3) AS sum_m FROM d GROUP BY category""",
+WITH {SEGMENTS}, p AS (SELECT id, CASE WHEN id % 23 <> 0 THEN x + 0e0 END AS x, CASE WHEN id % 29 <> 0 THEN y + 0e0 END AS y FROM facilities),
+d AS (SELECT p.id, round({TO_SEGMENT}, 6) AS m, u, v FROM p, seg WHERE p.x IS NOT NULL AND p.y IS NOT NULL),
+b AS (SELECT id, min({{m: m, u: u, v: v}}) AS b FROM d GROUP BY id)
+SELECT p.id, b.m, CASE WHEN x IS NULL OR y IS NULL THEN 'no_place' WHEN b.m > 500 THEN 'too_far' ELSE 'attached' END AS status, b.u, b.v FROM p LEFT JOIN b USING (id)""",
     ("facilities", "nodes"),
 )
 def q_nearest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance of every facility to its nearest usable edge without a bound, and the farthest of each category."""
-    p = demo(spark, sf_dir, "facilities").select("id", "category", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    m = nearby.nearest_unbounded(p, segments(spark, sf_dir), "id", lambda: F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 6), 30.0, 100.0)
-    return p.join(m, "id").groupBy("category").agg(F.count("*").alias("n"), F.round(F.max("m"), 6).alias("farthest_m"), F.round(F.sum("m"), 3).alias("sum_m"))
+    """Every facility's nearest usable edge without a bound, the least of equal ones; refused beyond 500 m or without a place."""
+    place = [F.when(F.col("id") % each != 0, F.col(c).cast("double")).alias(c) for c, each in (("x", 23), ("y", 29))]
+    p = demo(spark, sf_dir, "facilities").select("id", *place)
+    m = lambda: F.round(geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 6)
+    return nearby.nearest_unbounded(p, segments(spark, sf_dir), "id", m, 30.0, 100.0, ["u", "v"], 500.0)
 
 
 @R.add(

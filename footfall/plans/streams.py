@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.plans.demo import Registry
 from footfall.session import shared_dir
-from footfall.streaming import logs
+from footfall.streaming import logs, timed
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -33,6 +33,20 @@ def run_through(spark: SparkSession, sf_dir: str, build, mode: str = "append") -
     return spark.read.parquet(f"{out}/rows")
 
 
+def run_in_turns(spark: SparkSession, sf_dir: str, build, turns: int = 4) -> DataFrame:
+    """`run_through` in several micro-batches: the events are written in ``turns`` files by time, and read one after the other."""
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.expr("CAST(ts AS TIMESTAMP)")).drop("props")
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lo, hi = batch.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    at = F.least(F.floor((F.unix_millis("ts") - lo) * turns / ((hi or 0) - (lo or 0) + 1)), F.lit(turns - 1))
+    for n in range(turns):  # one after the other, as files that come in while the stream runs
+        batch.filter(at == n).coalesce(1).write.parquet(f"{out}/in/{n}")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/*")
+    query = build(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    query.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def _millis(c: str):
     return F.unix_millis(F.col(c))
 
@@ -153,3 +167,38 @@ def q_submits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Idempotent submits as stream deduplication: one of all events that come under an id (user and type) gets through."""
     rows = run_through(spark, sf_dir, logs.first_submits)
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("firsts"))
+
+
+@R.add(
+    "stream_interruptions",
+    """
+WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms FROM events),
+n AS (SELECT *, lag(event_type) OVER w AS before, lag(ms) OVER w AS had, lead(ms) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+SELECT user_id AS task, event_type AS stage, ms AS since_ms FROM n WHERE before IS DISTINCT FROM event_type OR before = 'purchase' OR ms > had + 86400000
+UNION ALL SELECT user_id, 'interrupted', ms + 86400000 FROM n WHERE event_type <> 'purchase' AND (nxt > ms + 86400000 OR nxt IS NULL AND ms + 86400000 < (SELECT max(ms) - 3600000 FROM e))""",
+)
+def q_interruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of tasks and their interruption by a timer after a day of silence, in several micro-batches."""
+    return run_in_turns(spark, sf_dir, lambda e: timed.interruptions(e, 86_400_000, ["purchase"]))
+
+
+@R.add(
+    "stream_submissions",
+    """
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) % 3 AS fp, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT), event_id) AS n FROM events),
+f AS (SELECT event_id, user_id, event_type, n, 'created' AS verdict, event_id AS original, fp AS held, ms + 604800000 AS due FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.n, CASE WHEN e.ms > due THEN 'created' WHEN e.fp = held THEN 'same' ELSE 'conflict' END, CASE WHEN e.ms > due THEN e.event_id ELSE original END, CASE WHEN e.ms > due THEN e.fp ELSE held END, CASE WHEN e.ms > due THEN e.ms + 604800000 ELSE due END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1)
+SELECT event_id, verdict, original FROM f""",
+)
+def q_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions under one request id: the first, its repeats and its conflicts, forgotten after a week."""
+    ids = lambda e: e.withColumn("request_id", F.concat_ws(":", "user_id", "event_type")).withColumn("print_", F.floor("value").cast("long") % 3)
+    return run_in_turns(spark, sf_dir, lambda e: timed.submissions(ids(e), "request_id", "print_"))
+
+
+@R.add("stream_bounded_cache")
+def q_bounded_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of a cache that tasks share, with deadlines of their sources and a bound; eviction has no short SQL, so tests replay it."""
+    cols = lambda e: e.withColumns({"shard_": F.col("user_id") % 8, "entry_": F.floor("value").cast("long") % 40, "closes_": F.col("event_type") == "error"})
+    return run_in_turns(spark, sf_dir, lambda e: timed.bounded_cache(cols(e), "shard_", "entry_", "user_id", "closes_", 43_200_000, 24))

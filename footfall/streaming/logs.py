@@ -29,18 +29,21 @@ def daily_spend(events: DataFrame, zone_hours: int = 8) -> DataFrame:
 def rolling_rate(events: DataFrame, length_ms: int = 1000) -> DataFrame:
     """``event_id, n``: how many of a service's requests came within ``length_ms`` up to and with each: the greatest is the rate.
 
-    A service's recent moments are its state, so it is as large as the rate.
+    What counts for a request lies in its own stretch of ``length_ms`` or the one before, so every request is sent to its
+    own and to the next: a stretch of a service is a key, and its state is as large as the rate.
     """
 
     def step(_k, rows, state):
         recent, out = list((state or ([],))[0]), []
-        for ts in rows["ts"]:
-            at = int(ts.timestamp() * 1000)
+        for at in rows["ms"].tolist():
             recent = [t for t in recent if t > at - length_ms] + [at]
             out.append(len(recent))
-        return pd.DataFrame({"event_id": rows["event_id"], "n": out}), (recent,)
+        return pd.DataFrame({"event_id": rows["event_id"], "n": out})[rows["own"].to_numpy()], (recent,)
 
-    return _stateful(events.withColumn("service", F.col("event_id") % 2), "service", "event_id long, n int", "recent array<long>", step)
+    at = events.withColumn("ms", F.unix_millis("ts"))
+    stretch = F.floor(F.col("ms") / length_ms)
+    sent = at.withColumn("d_", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("own", F.col("d_") == 0)
+    return _stateful(sent.withColumn("stretch", F.concat_ws(":", F.col("event_id") % 2, stretch + F.col("d_"))), "stretch", "event_id long, n int", "recent array<long>", step)
 
 
 def session_leases(events: DataFrame, gap: str = "5 minutes") -> DataFrame:

@@ -122,8 +122,10 @@ def test_classifiers(spark):
     df = spark.createDataFrame([(1, "my cafe", ["eat;cafe"]), (2, "my cafe", ["cafe>closed mall"]), (3, "my cafe", ["closed；cafe"]), (4, "cafe 3号门", ["cafe"]), (5, "internet cafe", ["cafe"]), (6, "my cafe", None)], "id long, name string, tags array<string>")
     got = {r.id: r.status for r in entity.rule_classifier(df, table, ["closed"], [], [], parents=["closed mall"]).collect()}
     assert got == {1: "accepted", 2: "accepted", 3: "excluded", 4: "excluded", 5: "needs_review", 6: "needs_review"}
-    spots = spark.createDataFrame([(i, "Same name", float(i % 2 * 15), 0.0) for i in range(50)] + [(90, "same-name", 0.0, 0.0), (91, "Same Name", 100.0, 0.0)], "id long, name string, x double, y double")
-    assert {r.id: r.group_id for r in entity.possible_duplicates(spots).collect()} == {i: 0 for i in range(50)}
+    spots = [(i, "Same name", "Road （1）" if i % 3 else "road1", float(i % 2 * 15), 0.0) for i in range(50)]
+    spots += [(90, "same-name", "road1", 0.0, 0.0), (91, "Same Name", "road1", 100.0, 0.0), (92, "Same name", "road2", 7.0, 0.0), (93, "Same name", None, 0.0, 0.0), (94, "Same name", " ", 0.0, 0.0), (95, None, "road1", 0.0, 0.0)]
+    df = spark.createDataFrame(spots, "id long, name string, address string, x double, y double")
+    assert {r.id: r.group_id for r in entity.possible_duplicates(df).collect()} == {i: 0 for i in range(50)}
 
 
 def test_evidence_and_rasters(spark):
@@ -168,6 +170,12 @@ def test_searches(spark, monkeypatch):
     points = spark.createDataFrame([(i, rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for i in range(40)], "id long, x double, y double")
     bars = spark.createDataFrame([(i, x - 20.0, y, x + 20.0, y, x, y) for i, (x, y) in enumerate((rng.uniform(-500, 500), rng.uniform(-500, 500)) for _ in range(15))], "e long, ax double, ay double, bx double, by double, x double, y double")
     far = {r.id: r.m for r in nearby.nearest_unbounded(points, bars, "id", lambda: geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")]), 20.0, 100.0).collect()}
+    odd = spark.createDataFrame([(100, None, 1.0), (101, 5.0, None), (102, float("nan"), 0.0), (103, 1e7, -1e7), (104, 0.0, 0.0)], "id long, x double, y double")
+    distance = lambda: geo.segment_distance(*[F.col(c) for c in ("x", "y", "r_ax", "r_ay", "r_bx", "r_by")])
+    got = {r.id: r for r in nearby.nearest_unbounded(points.unionByName(odd), bars, "id", distance, 20.0, 100.0, ["e"], 5000.0).collect()}
+    assert [got[i].status for i in range(100, 105)] == ["no_place"] * 3 + ["too_far", "attached"] and got[103].m > 1e7 and got[100].m is None
+    assert {i: got[i].m for i in far} == far
+    assert {r.status for r in nearby.nearest_unbounded(odd, bars.limit(0), "id", distance, 20.0, 100.0).collect()} == {"no_place", "no_shape"}
     shapes = bars.collect()
     for p in points.collect():
         want = min((max(b.ax, min(b.bx, p.x)) - p.x) ** 2 + (b.ay - p.y) ** 2 for b in shapes) ** 0.5
