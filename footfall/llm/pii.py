@@ -11,20 +11,25 @@ among themselves, so that a month-first date stays one.)
 
 Kinds: e-mail (its local part), phone (its national number), card (of a known issuer range), IBAN (of its
 country's length), social security number, IPv4 (not a version number), date (1900 to 2099), and secrets
-in known forms (access key ids, quoted tokens, passwords). The key is the caller's: who has it can undo
-every pseudonym, so there is no default but in the registered query, which takes ``spark.footfall.pii.key``
-or, where that is unset, a key for demonstration.
+in known forms (access key ids, quoted tokens, passwords). A phone's country is read from its digits, so
+one number has one pseudonym with separators or without. The key is the caller's: who has it can undo
+every pseudonym, so there is no default. The registered query takes ``spark.footfall.pii.key``; where that
+is unset it draws a key at random and keeps it in the session, so that values link and nobody can undo them.
 
-Cases: a null text stays null and an empty one empty; texts of any length are read whole; rows without
+A value of over ``BLOCK`` signs is permuted block by block, each under a tag that depends on the block before
+(there) and behind (back), so all of it hangs on all of it and the time grows with its length alone.
+
+Cases: a null text stays null and an empty one empty; texts and values of any length are read whole; rows without
 a doc_id and repeated rows are treated like others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +37,10 @@ from pyspark.sql import functions as F
 
 from footfall.session import table
 
-DEMO_KEY = b"replace this key in production"
+#: Signs that are permuted as one number.
+BLOCK = 200
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = {"1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
 # Lengths of an IBAN by country.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
@@ -48,11 +56,12 @@ FORMS = re.compile(
       | (?P<dmy>(?<![\d./-])\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}(?![\d/-]|\.\d))
       | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
       | (?P<ipv4>(?<![\dv])(?<!\d\.)(?<!ersion\ )(?<!uild\ )(?<!elease\ )\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
-      | (?P<phone>\+1[\ .-]?\(?\d{3}\)?[\ .-]?\d{3}[\ .-]?\d{4}(?!\d)|\+(?!1[\ .(-])\d{1,3}[\ .-]?\(?\d{2,4}\)?(?:[\ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)\ ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
+      | (?P<phone>(?<![\d.+-])1[-.]\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])|\+1[\ .-]?\(?\d{3}\)?[\ .-]?\d{3}[\ .-]?\d{4}(?!\d)|\+(?!1[\ .(-])\d{1,3}[\ .-]?\(?\d{2,4}\)?(?:[\ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)\ ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))
       | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<s3>[\ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[\ -])\d{6}(?P=s4)\d{5})(?!\d))""",
     re.X,
 )
-HINT = re.compile(r"[0-9@]")
+#: Every form holds a digit, an @, or one of the signs that a secret follows or begins with.
+HINT = re.compile(r"[0-9@=]|AKIA")
 
 
 def permute(x: int, n: int, key: bytes, tag: str, back: bool = False) -> int:
@@ -61,9 +70,15 @@ def permute(x: int, n: int, key: bytes, tag: str, back: bool = False) -> int:
         return x
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     mask, size = (1 << half) - 1, (half + 7) // 8
+    key = key if len(key) <= 64 else blake2b(key).digest()
 
     def mix(r: int, side: int) -> int:
-        return int.from_bytes(blake2b(side.to_bytes(size, "little"), key=key[:64], digest_size=min(64, size), person=f"{r}{tag}{half}".encode()[:16]).digest(), "little") & mask
+        raw, name = side.to_bytes(size, "little"), f"{r}{tag}{half}".encode()
+        if size <= 64:
+            got = blake2b(raw, key=key, digest_size=size, person=name[:16]).digest()
+        else:  # as many bytes as the half has
+            got = shake_256(len(key).to_bytes(1, "little") + key + len(name).to_bytes(2, "little") + name + raw).digest(size)
+        return int.from_bytes(got, "little") & mask
 
     while True:
         a, b = x >> half, x & mask
@@ -91,8 +106,7 @@ def _radix(chars: str) -> list[tuple[int, int]]:
     return [(10, 48) if "0" <= c <= "9" else (26, 97) if "a" <= c <= "z" else (26, 65) if "A" <= c <= "Z" else (1, ord(c)) for c in chars]
 
 
-def _by_class(chars: str, key: bytes, tag: str, back: bool) -> str:
-    """Digits to digits, small letters to small letters, capitals to capitals, as one number in mixed radix."""
+def _block(chars: str, key: bytes, tag: str, back: bool) -> str:
     radix, x, n = _radix(chars), 0, 1
     for c, (size, first) in zip(chars, radix, strict=True):
         x, n = x * size + ord(c) - first, n * size
@@ -103,6 +117,26 @@ def _by_class(chars: str, key: bytes, tag: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _by_class(chars: str, key: bytes, tag: str, back: bool) -> str:
+    """Digits to digits, small letters to small letters, capitals to capitals, as one number in mixed radix; long values in blocks."""
+    if len(chars) <= BLOCK:
+        return _block(chars, key, tag, back)
+    blocks = [chars[i : i + BLOCK] for i in range(0, len(chars), BLOCK)]
+
+    def chained(parts: list[str], way: str) -> list[str]:
+        """Each part under a tag of the part before it as it stands after this pass (undone: before it)."""
+        out, before = [], str(len(chars))
+        for part in parts:
+            new = _block(part, key, way + blake2b(f"{tag}:{before}".encode(), key=key[:64], digest_size=5).hexdigest(), back)
+            before = part if back else new
+            out.append(new)
+        return out
+
+    for way in ("b", "f") if back else ("f", "b"):
+        blocks = chained(blocks, way) if way == "f" else chained(blocks[::-1], way)[::-1]
+    return "".join(blocks)
+
+
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in shape)
@@ -142,13 +176,16 @@ def _card(t: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(t: str, key: bytes, back: bool) -> str | None:
-    country = (re.match(r"\+\d{1,3}(?=[ .(-])", t) or re.match(r"\+?", t))[0]
-    d = re.sub(r"\D", "", t[len(country) :])
-    if not 7 <= len(d) <= 14:
+    digits = re.sub(r"\D", "", t)
+    if t.startswith("+"):
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3])
+    else:  # a number without a country, or with a bare 1 before it, is one of +1
+        code = "1" if len(digits) == 11 else ""
+    d = digits[len(code) :]
+    if not 6 <= len(d) <= 14:
         return None
-    # Ten digits without a country are those of +1.
-    home = country or ("+1" if len(d) == 10 else "")
-    return country + _refill(t[len(country) :], str(permute(int(d), 10 ** len(d), key, f"tel{home}", back)).zfill(len(d)))
+    home = code or ("1" if len(d) == 10 else "")
+    return _refill(t, code + str(permute(int(d), 10 ** len(d), key, f"tel+{home}", back)).zfill(len(d)))
 
 
 def _ssn(t: str, key: bytes, back: bool) -> str | None:
@@ -239,10 +276,17 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, text string, kinds array<string>")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that ``spark.footfall.pii.key`` holds; where it is unset, one drawn at random and set there for the session."""
+    name = "spark.footfall.pii.key"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name).encode()
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of personal values."""
-    key = spark.conf.get("spark.footfall.pii.key", "").encode() or DEMO_KEY
-    return pseudonyms(table(spark, sf_dir, "documents"), key).select("doc_id", "text", F.size("kinds").alias("replaced"), F.concat_ws(",", F.array_sort(F.array_distinct("kinds"))).alias("kinds"))
+    return pseudonyms(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "text", F.size("kinds").alias("replaced"), F.concat_ws(",", F.array_sort(F.array_distinct("kinds"))).alias("kinds"))
 
 
 QUERIES = {"op6_pii_pseudonyms": op6_pii_pseudonyms}
