@@ -84,6 +84,12 @@ def test_perfect_hash(n):
     raw = T.index_bytes(keys, 0, np.arange(len(keys) + 1), np.dtype("<u2"))
     index = T.Index(raw)
     assert index.find(keys).tolist() == list(range(len(keys)))
+    reads = []
+    seeking = T.Index(lambda at, size: reads.append(size) or raw[at : at + size])
+    some = keys[:: max(1, n // 50)]
+    reads.clear()
+    assert [seeking.payload(int(k)) for k in some] == [(i, i + 1) for i in range(0, len(keys), max(1, n // 50))]
+    assert sum(reads) <= 72 * 12 * max(1, len(some))  # some records a key, whatever the shard holds
     strange = np.random.default_rng(1).integers(2**62, 2**63 - 1, 2000)
     assert (index.find(strange) >= 0).sum() <= 1  # fingerprints of 32 bits
 
@@ -105,3 +111,34 @@ def test_other_tokenizers_are_encoded_as_they_are():
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     text = "Some Words, here.\nAnd there"
     assert list(np.frombuffer(enc.encode(text), enc.dtype)) == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_results_hang_on_the_hash(spark, monkeypatch):
+    """Without the hash nothing is found: the rows come from the places that it gives."""
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    T.write_shards(spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string"), out)
+    with_hash = {r.doc_id: r for r in T.read_shards(spark, out).collect()}
+    assert all(r.found for r in with_hash.values())
+    (idx,) = __import__("glob").glob(f"{out}/*.idx")
+    raw = bytearray(open(idx, "rb").read())
+    index = T.Index(bytes(raw))
+    slots = np.frombuffer(bytes(raw[index.slots_at : index.offsets_at]), "<u4").reshape(-1, 2).copy()
+    slots[:, 0] = slots[::-1, 0]  # every key leads to another's document
+    raw[index.slots_at : index.offsets_at] = slots.tobytes()
+    open(idx, "wb").write(bytes(raw))
+    changed = {r.doc_id: r for r in T.read_shards(spark, out).collect()}
+    assert sum(changed[i].start != with_hash[i].start for i in with_hash) > 190
+    slots[:, 1] ^= 1  # no fingerprint fits
+    raw[index.slots_at : index.offsets_at] = slots.tobytes()
+    open(idx, "wb").write(bytes(raw))
+    assert not any(r.found or r.start is not None for r in T.read_shards(spark, out).collect())
+    assert T.lookup(spark, out, [5]) == [None]
+
+
+def test_a_partition_holds_many_shards(spark):
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = spark.createDataFrame([(i, "слово " * 50) for i in range(400)], "doc_id long, text string")
+    manifest = T.write_shards(docs, out, shard_chars=5_000).collect()
+    assert len(manifest) >= 40 and len({m.part for m in manifest}) <= 4
+    assert max(m.docs for m in manifest) <= 10  # bytes are counted, not characters
+    assert sorted(r.doc_id for r in T.read_shards(spark, out).collect() if r.found) == list(range(400))
