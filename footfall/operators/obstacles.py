@@ -38,9 +38,12 @@ def supercover(segments: DataFrame, size: float, margin: Column | float = 0.0) -
     m = (F.lit(margin) if isinstance(margin, float) else margin) + 1e-6
     columns = F.sequence(F.floor((F.least(ax, bx) - m) / size), F.floor((F.greatest(ax, bx) + m) / size))
     rows = segments.withColumn("cx", F.explode(columns))
-    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / F.nullif(bx - ax, F.lit(0.0))))
-    y0 = F.coalesce(ay + at(F.col("cx") * size - m) * (by - ay), ay)
-    y1 = F.coalesce(ay + at((F.col("cx") + 1) * size + m) * (by - ay), by)
+
+    def y_at(x: Column, upright: Column) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / (bx - ax)))
+        return F.when(ax == bx, upright).otherwise(ay + t * (by - ay))
+
+    y0, y1 = y_at(F.col("cx") * size - m, ay), y_at((F.col("cx") + 1) * size + m, by)
     return rows.withColumn("cy", F.explode(F.sequence(F.floor((F.least(y0, y1) - m) / size), F.floor((F.greatest(y0, y1) + m) / size))))
 
 

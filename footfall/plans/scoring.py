@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.rules import category_service, distance_within
-from footfall.operators import areas, nearby
+from footfall.operators import areas, nearby, recompute
 from footfall.plans.demo import Registry, demo
+from footfall.session import shared_dir
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -23,10 +26,8 @@ def cells_and_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat_ws(":", F.lit("0"), "ix", "iy").alias("cell"), "ix", "iy", F.lit(0).alias("level"), "category", (F.col("ix") * 50 + 25).alias("x"), (F.col("iy") * 50 + 25).alias("y"))
 
 
-def cell_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cells_and_categories`` with the nearest facility and the three-valued verdict."""
-    cells = cells_and_categories(spark, sf_dir)
-    shops = demo(spark, sf_dir, "facilities").select("id", "category", "x", "y")
+def judged_cells(cells: DataFrame, shops: DataFrame) -> DataFrame:
+    """``cells`` with the nearest of ``shops`` in their category and the three-valued verdict."""
     near = nearby.nearest(cells, shops, ["cell", "category"], LOOK_M, "id", on=("category",)).select("cell", "category", F.col("r_id").alias("nearest_id"), F.col("distance_m").alias("nearest_m"))
     out = cells.join(near, ["cell", "category"], "left")
     # Nothing within the search radius is farther than the rule asks, so the verdict is FALSE, not unknown.
@@ -34,6 +35,11 @@ def cell_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("within", within).withColumn("verdict", F.when(F.col("within"), "covered").when(~F.col("within"), "gap").otherwise("unknown")).withColumn("area_m2", F.lit(2500.0))
 
 
+def cell_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cells_and_categories`` with the nearest facility and the three-valued verdict."""
+    return judged_cells(cells_and_categories(spark, sf_dir), demo(spark, sf_dir, "facilities").select("id", "category", "x", "y"))
+
+
 CELLS = """
 c AS (SELECT DISTINCT ix, iy FROM demand),
 k AS (SELECT DISTINCT category FROM facilities),
@@ -130,10 +136,43 @@ def q_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "category_service",
     """SELECT facility, CASE WHEN bool_or(w) THEN 'covered' WHEN count(*) = count(w) AND bool_and(endpoint_verified) THEN 'blind' ELSE 'unknown' END AS service, count(*) AS samples
-FROM (SELECT facility, endpoint_verified, CASE WHEN abs(distance_m - 1000) <= 100 AND distance_m <> 1000 THEN NULL ELSE distance_m <= 1000 END AS w FROM routes WHERE distance_m >= 900) GROUP BY facility""",
+FROM (SELECT facility, endpoint_verified, CASE WHEN abs(distance_m - 1000) <= 100 AND distance_m <> 1000 THEN NULL ELSE distance_m <= 1000 END AS w FROM routes) GROUP BY facility""",
     ("routes",),
 )
 def q_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued service of each facility over its route samples."""
-    routes = demo(spark, sf_dir, "routes").filter("distance_m >= 900").withColumn("w", distance_within(F.col("distance_m")))
+    routes = demo(spark, sf_dir, "routes").withColumn("w", distance_within(F.col("distance_m")))
     return routes.groupBy("facility").agg(category_service(F.col("w"), F.col("endpoint_verified")).alias("service"), F.count("*").alias("samples"))
+
+
+#: Facilities after a change: some gone, some moved, some of another category, some new.
+CHANGED = """
+fac2 AS (SELECT id, CASE WHEN id % 79 = 0 THEN 'BUILDING' ELSE category END AS category, CASE WHEN id % 89 = 0 THEN x + 130 ELSE x END AS x, y FROM facilities WHERE id % 97 <> 0
+  UNION ALL SELECT -id, category, x + 55, y - 35 FROM facilities WHERE id % 83 = 0)"""
+
+
+def changed_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, i = demo(spark, sf_dir, "facilities").select("id", "category", "x", "y"), F.col("id")
+    kept = f.filter("id % 97 <> 0").select("id", F.when(i % 79 == 0, "BUILDING").otherwise(F.col("category")).alias("category"), F.when(i % 89 == 0, F.col("x") + 130).otherwise(F.col("x")).alias("x"), "y")
+    return kept.unionByName(f.filter("id % 83 = 0").select((-i).alias("id"), "category", (F.col("x") + 55).alias("x"), (F.col("y") - 35).alias("y")))
+
+
+@R.add(
+    "recomputed_verdicts",
+    f"""WITH {CHANGED},
+{CELLS.strip().replace("facilities", "fac2").replace("k AS (SELECT DISTINCT category FROM fac2)", "k AS (SELECT DISTINCT category FROM facilities)")},
+diff AS (SELECT category, x, y FROM (SELECT id, category, x, y FROM facilities EXCEPT SELECT * FROM fac2) UNION SELECT category, x, y FROM (SELECT * FROM fac2 EXCEPT SELECT id, category, x, y FROM facilities)),
+hit AS (SELECT DISTINCT v.cell, v.category FROM v JOIN diff d ON d.category = v.category AND abs(v.ix * 50 + 25 - d.x) <= 400 AND abs(v.iy * 50 + 25 - d.y) <= 400 AND sqrt((v.ix * 50 + 25 - d.x) ** 2 + (v.iy * 50 + 25 - d.y) ** 2) <= 400)
+SELECT v.cell, v.category, v.nearest_id, round(v.nearest_m, 6) AS nearest_m, v.verdict, CASE WHEN h.cell IS NULL THEN 1 ELSE 2 END AS revision FROM v LEFT JOIN hit h ON h.cell = v.cell AND h.category = v.category""",
+    BASE,
+)
+def q_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts after facilities changed: the cells in reach of a change judged again and published as a revision on the first."""
+    base = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    columns = ["cell", "category", "nearest_id", "nearest_m", "verdict"]
+    cells, old = cells_and_categories(spark, sf_dir), demo(spark, sf_dir, "facilities").select("id", "category", "x", "y")
+    n = cells.count()
+    first = recompute.publish(spark, base, judged_cells(cells, old).select(*columns), n)
+    changes, again = recompute.recomputed(cells, old, changed_facilities(spark, sf_dir), judged_cells, "id", ["category", "x", "y"], ["cell", "category"], LOOK_M, ("category",))
+    second = recompute.publish(spark, base, again.select(*columns), n, changes.select("id").distinct().count(), first)
+    return recompute.read_revision(spark, base, second, ["cell", "category"]).withColumn("nearest_m", F.round("nearest_m", 6))
