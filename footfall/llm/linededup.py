@@ -7,10 +7,12 @@ together. The partners of a document are the earliest holders of its windows. A
 document, so there are never more pairs than windows however large a group of copies or however common a
 line is, and no overlap is lost: a window that any earlier document holds stands in its earliest holder too.
 
-Each pair is aligned by patience diff on line hashes, and the aligned blocks of ``min_words`` words or more
-are deleted from the later document. Blocks that stand in another order in the two, or more often in the
-later one, cross the alignment; what it leaves is looked up by windows, so they go as well. The earliest
-document with a block never loses it. A window is met by one hash of its lines and aligned by another.
+Each pair is aligned by patience diff on the windows that it has in common: the longest run of them that
+ascends in both. The lines of aligned windows are deleted from the later document, and what is left is
+aligned again until nothing is: a block that stands elsewhere in the two, or more often in the later one,
+crosses the first alignment and goes by a later one. Nothing goes that no alignment holds, and the earliest
+document with a block never loses it. Only the windows met travel, not the documents, so a document with
+very many partners costs no more than its windows.
 
 Documents are ordered by doc_id (those without one come last), then by a hash of the text.
 
@@ -22,7 +24,7 @@ an empty table gives an empty one; extra columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,104 +35,41 @@ from pyspark.sql import functions as F
 from footfall.session import checkpointed, table
 
 MIN_WORDS = 5
-#: Pairs of one partner, and documents of one window, that meet a copy of it in one place.
+#: Documents of one window that meet a copy of it in one place.
 PAIRS_A_COPY = 500
-#: Partners or windows of more than that, up to which their table (some 40 bytes a row) is broadcast.
+#: Windows of more than that, up to which their table (some 40 bytes a row) is broadcast.
 FEW_CROWDED = 200_000
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Positions (in a, in b) of the aligned equal lines, ascending in both.
-
-    Anchors are lines that occur once in both (the n-th of several equal lines counts as a line of
-    its own), thinned to a longest ascending run; between anchors, equal lines next to one are added.
-    """
-    def named(rows: list[int]) -> dict[tuple[int, int], int]:
-        met: dict[int, int] = {}
-        out = {}
-        for i, h in enumerate(rows):
-            met[h] = met.get(h, 0) + 1
-            out[h, met[h]] = i
-        return out
-
-    there = named(b)
-    pairs = [(i, there[k]) for k, i in named(a).items() if k in there]
-    tails: list[int] = []  # the least end in b of an ascending run of each length
+def patience(places: list[int]) -> list[int]:
+    """Indices of a longest run of ``places`` that never falls (of several, the one that ends lowest)."""
+    tails: list[int] = []  # the least end of a run of each length
     ends: list[int] = []
-    back = [-1] * len(pairs)
-    for n, (_, j) in enumerate(pairs):
-        at = bisect_left(tails, j)
+    back = [-1] * len(places)
+    for n, place in enumerate(places):
+        at = bisect_right(tails, place)
         back[n] = ends[at - 1] if at else -1
-        tails[at : at + 1], ends[at : at + 1] = [j], [n]
+        tails[at : at + 1], ends[at : at + 1] = [place], [n]
     chain, n = [], ends[-1] if ends else -1
     while n >= 0:
-        chain.append(pairs[n])
+        chain.append(n)
         n = back[n]
-    chain.reverse()
-    out, last = [], (-1, -1)
-    for i, j in [*chain, (len(a), len(b))]:
-        x, y = last[0] + 1, last[1] + 1
-        while x < i and y < j and a[x] == b[y] and last != (-1, -1):
-            out.append((x, y))
-            x, y = x + 1, y + 1
-        u, v, tail = i - 1, j - 1, []
-        while i < len(a) and u >= x and v >= y and a[u] == b[v]:
-            tail.append((u, v))
-            u, v = u - 1, v - 1
-        out += tail[::-1]
-        if i < len(a):
-            out.append((i, j))
-        last = (i, j)
-    return out
-
-
-def common_blocks(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions in ``later`` that lie in an aligned block of at least ``min_words`` words."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(later, earlier), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= min_words:
-                out += block
-            block = []
-        block.append(i)
-        last = (i, j)
-    return out
-
-
-def _spans(words: list[int], min_words: int) -> set[tuple[int, int]]:
-    """(first, end) of the shortest runs from each line on, and up to each line, that hold ``min_words`` words."""
-    out, total, a = set(), 0, 0
-    for b, n in enumerate(words):
-        total += n
-        while total - words[a] >= min_words:
-            total -= words[a]
-            a += 1
-        if total >= min_words:
-            out.add((a, b + 1))  # up to b
-    total, b = 0, len(words)
-    for a in range(len(words) - 1, -1, -1):
-        total += words[a]
-        while total - words[b - 1] >= min_words:
-            b -= 1
-            total -= words[b]
-        if total >= min_words:
-            out.add((a, b))  # from a on
-    return out
-
-
-def overlap(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions in ``later`` that lie in a block common to both: the aligned ones, then moved and repeated ones."""
-    gone = set(common_blocks(later, words, earlier, min_words))
-    known = dict(zip(later, words, strict=True))
-    open_ = [(a, b) for a, b in _spans(words, min_words) if not gone.issuperset(range(a, b))]
-    if open_:
-        # A line that the later document has not cuts a run: it counts as enough words by itself.
-        held = {tuple(earlier[a:b]) for a, b in _spans([known.get(h, min_words) for h in earlier], min_words)}
-        for a, b in open_:
-            if tuple(later[a:b]) in held:
-                gone.update(range(a, b))
+    return chain[::-1]
+
+
+def aligned(spans: list[tuple[int, int, int]]) -> list[int]:
+    """Lines of the later document in windows that some alignment holds.
+
+    ``spans`` are the windows that a pair has in common: first line and end in the later document, first line in the earlier
+    one. Passes run until no window is left; every other one is read backwards, so that lines in falling order take few.
+    """
+    left, gone, turn = sorted(set(spans)), set(), 1
+    while left:
+        chosen = set(patience([turn * s[2] for s in left]))
+        for n in chosen:
+            gone.update(range(*left[n][:2]))
+        left = [s for n, s in enumerate(left) if n not in chosen and not gone.issuperset(range(*s[:2]))]
+        turn = -turn
     return sorted(gone)
 
 
@@ -141,32 +80,32 @@ def _identity(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, keys, hs, ws, ps, n``: a document, the hashes of its windows, and of its lines the hashes, words and places; ``n`` counts blank ones too."""
+    """``id, windows, ps, n``: a document, its windows (hash ``h``, first line ``a`` and end ``b``) and the places of its lines; ``n`` counts blank ones too."""
     text = F.col("text").cast("string")
     strip = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     rows = docs.filter(text != "").select(_identity(text).alias("id"), strip.alias("lines")).withColumn("n", F.size("lines"))
     rows = rows.select("id", "n", F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("s"), i.alias("p"))), lambda v: v.s != "").alias("v")).filter("size(v) > 0")
     rows = rows.select(
-        "id", "n", F.col("v.p").alias("ps"), F.transform("v.s", lambda x: F.xxhash64(x)).alias("hs"), F.transform("v.s", lambda x: F.xxhash64(F.lit("window"), x)).alias("es"),
+        "id", "n", F.col("v.p").alias("ps"), F.transform("v.s", lambda x: F.xxhash64(F.lit("window"), x)).alias("es"),
         F.transform("v.s", lambda x: F.size(F.split(x, r"\s+"))).alias("ws"),
     )
 
     def window(at: Column, step: int) -> Column:
-        """Hash of the shortest run from (or up to) ``at`` that holds enough words; null if none does."""
-        out, total = F.lit(None).cast("long"), F.lit(0)
+        """The shortest run from (or up to) ``at`` that holds enough words; null if none does."""
+        out, total = F.lit(None).cast("struct<h: bigint, a: int, b: int>"), F.lit(0)
         places = [at + step * k for k in range(min_words)]
         tests = []
         for k, place in enumerate(places):
             total = total + F.when(place >= 0, F.get("ws", place))
             run = places[: k + 1][::step]
-            tests.append((total >= min_words, F.xxhash64(F.lit(k), *[F.get("es", i) for i in run])))
+            tests.append((total >= min_words, F.struct(F.xxhash64(F.lit(k), *[F.get("es", i) for i in run]).alias("h"), run[0].alias("a"), (run[-1] + 1).alias("b"))))
         for test, key in reversed(tests):
             out = F.when(test, key).otherwise(out)
         return out
 
     places = F.sequence(F.lit(0), F.size("ws") - 1)
-    keys = F.array_compact(F.array_distinct(F.concat(F.transform(places, lambda i: window(i, 1)), F.transform(places, lambda i: window(i, -1)))))
-    return rows.select("id", keys.alias("keys"), "hs", "ws", "ps", "n").dropDuplicates(["id"])
+    windows = F.array_compact(F.array_distinct(F.concat(F.transform(places, lambda i: window(i, 1)), F.transform(places, lambda i: window(i, -1)))))
+    return rows.select("id", windows.alias("windows"), "ps", "n").dropDuplicates(["id"])
 
 
 def _crowded(counts: DataFrame, key: str) -> DataFrame:
@@ -187,26 +126,23 @@ def _laid(rows: DataFrame, crowded: DataFrame, key: str) -> DataFrame:
 
 
 def partners(rows: DataFrame) -> DataFrame:
-    """``id, first``: each document and the earliest holder of each of its windows that it is not itself."""
-    held = rows.select("id", F.explode("keys").alias("h"))
-    first = checkpointed(held.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    """``id, first, a, b, at``: each window of a document that an earlier one holds, its earliest holder and its first place there."""
+    held = rows.select("id", F.explode("windows").alias("w")).select("id", "w.*")
+    first = held.groupBy("h").agg(F.min(F.struct("id", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = checkpointed(first.select("h", F.col("f.id").alias("first"), F.col("f.a").alias("at"), "n"))
     crowded = _crowded(first, "h")
     met = _dealt(held, crowded, "h").join(_laid(first.drop("n"), crowded, "h"), ["h", "copy"])
-    return met.filter("id > first").select("id", "first").distinct()
+    return met.filter("id > first").select("id", "first", "a", "b", "at")
 
 
-def doomed(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def doomed(rows: DataFrame) -> DataFrame:
     """``id, mask``: for each line of a document that loses some, whether it stays."""
-    pairs = checkpointed(partners(rows))
-    # A partner of very many documents is laid out several times, and its pairs are dealt over the copies.
-    crowded = _crowded(pairs.groupBy("first").agg(F.count("*").alias("n")), "first")
-    laid = _laid(rows.select(F.col("id").alias("first"), F.col("hs").alias("other")), crowded, "first")
-    both = _dealt(pairs, crowded, "first").join(laid, ["first", "copy"]).select("id", "other").join(rows.select("id", "hs", "ws"), "id")
+    spans = partners(rows).groupBy("id", "first").agg(F.collect_list(F.struct("a", "b", "at")).alias("spans"))
     identity = "none boolean, doc_id long, t long"
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gone = [overlap(h.tolist(), w.tolist(), o.tolist(), min_words) for h, w, o in zip(pdf["hs"], pdf["ws"], pdf["other"], strict=True)]
+            gone = [aligned([(s["a"], s["b"], s["at"]) for s in spans]) for spans in pdf["spans"]]
             yield pd.DataFrame({"none": pdf["none"], "doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "gone": pd.Series(gone, dtype="object")})
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +159,7 @@ def doomed(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 masks.append(stays.tolist())
             yield pd.DataFrame({"none": pdf["none"], "doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "mask": pd.Series(masks, dtype="object")})
 
-    found = both.select("id.*", "hs", "ws", "other").mapInPandas(align, identity + ", gone array<int>").filter("size(gone) > 0")
+    found = spans.select("id.*", "spans").mapInPandas(align, identity + ", gone array<int>")
     id_ = F.struct("none", "doc_id", "t").alias("id")
     whole = found.groupBy(id_).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return whole.join(rows.select("id", "ps", "n"), "id").select("id.*", "ps", "n", "gone").mapInPandas(mark, identity + ", mask array<boolean>").select(id_, "mask")
@@ -232,7 +168,7 @@ def doomed(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text, removed``: every row with its text less the blocks of lines that stand in an earlier document."""
     rows = checkpointed(line_rows(docs, min_words))
-    marks = checkpointed(doomed(rows, min_words))
+    marks = checkpointed(doomed(rows))
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _identity(text).alias("id"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.get("mask", i)), "\n")
