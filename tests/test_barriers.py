@@ -158,7 +158,7 @@ def test_a_bounded_cache_drops_the_least_recently_written(spark):
             want[i] = ("closed", len(gone))
             continue
         was = held.get(entry)
-        verdict = "miss" if was is None else "own" if was[1] == user else "hit" if m - was[0] <= 40 else "stale"
+        verdict = "miss" if was is None else "own" if was[1] == user else "hit" if m - was[0] <= 12 else "stale"
         dropped = 0
         if verdict in ("miss", "stale"):
             held.pop(entry, None)
@@ -168,7 +168,7 @@ def test_a_bounded_cache_drops_the_least_recently_written(spark):
                 dropped += 1
         want[i] = (verdict, dropped)
     cols = lambda e: e.withColumns({"s": F.lit(0), "c": F.col("event_type") == "close"})
-    build = lambda e: timed.bounded_cache(cols(e), "s", "value", "user_id", "c", 40 * 60_000, 4)
+    build = lambda e: timed.bounded_cache(cols(e), "s", "value", "user_id", "c", 12 * 60_000, 4)
     cut = [rows[:50], rows[50:51], rows[51:170], rows[170:]]
     assert {r.event_id: (r.verdict, r.dropped) for r in _turns(spark, cut, build, "cache")} == want
     assert {v for v, _ in want.values()} == {"miss", "own", "hit", "stale", "closed"} and any(d for _, d in want.values())
