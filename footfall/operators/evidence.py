@@ -78,7 +78,7 @@ def widest_per_cell(edges: DataFrame, cell: list[str], edge: str, width: str, le
 
 
 def select_probes(probes: DataFrame, probe: str, size: str, invalid: Column, cached: Column, quota: int) -> DataFrame:
-    """``probes`` with ``verdict``: invalid, cached, selected (the ``quota`` largest of the rest) or over_quota.
+    """``probes`` with ``verdict``: invalid, cached, selected (the ``quota`` largest of the rest) or over_quota.
 
     The quota's last probe is found by a distributed sort with a limit; all others are told by comparing with it.
     """
@@ -121,7 +121,7 @@ def contradictions(observed: DataFrame, inside: Column, outside: Column, duratio
 
 
 def spaced_candidates(samples: DataFrame, least_step: float = 25.0) -> DataFrame:
-    """Per ray the positive places at least ``least_step`` from the one before, and the first of them."""
+    """Per ray the positive places at least ``least_step`` from the one before, and the first of them."""
     places = samples.filter("label").select("angle", "radius").distinct()
     step = F.col("radius") - F.lag("radius").over(Window.partitionBy("angle").orderBy("radius"))
     kept = places.withColumn("step", step).filter(F.col("step").isNull() | (F.col("step") >= least_step))

@@ -11,7 +11,9 @@ from footfall.operators import ordered
 def pagination(rows: DataFrame, totals: DataFrame, seq: str = "seq", page: str = "page", uid: str = "uid", limit: int = 150, last_page: int = 20) -> DataFrame:
     """The state of every page of a sequence as its pages come in order.
 
-    ``totals`` has ``seq, page, total``: what the source reported with each page (null where it did not). A page that
+    ``totals`` has a row for every page that was fetched, ``seq, page, total``: what the source reported with it (null where it did
+    not); a total below 0 is none, with a warning. A page without rows ends the sequence with the last warning, short of its
+    total with one more. A page that
     repeats another's set of members, or holds members of an earlier page, is an anomaly and ends the sequence. A total
     that reached ``limit`` may have been cut, and one that changed, or that fewer members name than came, leaves the
     sequence uncertain: these warnings do not end it, but the last of them is the reason once as many members have come as
@@ -25,21 +27,23 @@ def pagination(rows: DataFrame, totals: DataFrame, seq: str = "seq", page: str =
         F.sum("n").alias("rows_"), F.count_if(F.col("first_page") < F.col("page")).alias("overlap"),
         F.concat_ws("-", F.count("*"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("x"), "uid"))).alias("print"),
     )
-    told = totals.select(F.col(seq).alias("seq"), F.col(page).alias("page"), "total")
+    told = totals.select(F.col(seq).alias("seq"), F.col(page).alias("page"), F.when(F.col("total") >= 0, F.col("total")).alias("total"), F.coalesce(F.col("total") < 0, F.lit(False)).alias("odd_"))
     order = Window.partitionBy("seq").orderBy("page")
-    out = pages.join(told, ["seq", "page"], "left").select(
-        "seq", "page", "total", F.sum("rows_").over(order).alias("returned"), "overlap", F.row_number().over(order).alias("n_"),
-        (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1).alias("repeated"), (~F.col("total").eqNullSafe(F.lag("total").over(order))).alias("differs_"),
+    zero = F.lit(0).cast("long")
+    out = told.join(pages, ["seq", "page"], "left").withColumns({"rows_": F.coalesce("rows_", zero), "overlap": F.coalesce("overlap", zero)}).select(
+        "seq", "page", "total", "odd_", F.sum("rows_").over(order).alias("returned"), "overlap", (F.col("rows_") == 0).alias("empty_"), F.row_number().over(order).alias("n_"),
+        ((F.col("rows_") > 0) & (F.count("*").over(Window.partitionBy("seq", "print").orderBy("page")) > 1)).alias("repeated"), (~F.col("total").eqNullSafe(F.lag("total").over(order))).alias("differs_"),
     )
     out = out.withColumn("total_changed", F.col("differs_") & (F.col("n_") > 1))
-    warning = F.when(F.col("returned") > F.col("total"), "pagination_uncertain").when(F.col("total") >= limit, "possible_truncation").when(F.col("total_changed"), "pagination_uncertain")
+    short = F.col("empty_") & (F.col("returned") < F.col("total"))
+    warning = F.when((F.col("returned") > F.col("total")) | short, "pagination_uncertain").when(F.col("total") >= limit, "possible_truncation").when(F.col("total_changed") | F.col("odd_"), "pagination_uncertain")
     out = out.withColumn("w_", warning).withColumn("last_", F.last("w_", ignorenulls=True).over(order)).withColumn("cut_", F.max(F.coalesce(F.col("total") >= limit, F.lit(False))).over(order))
     stop = (
         F.when((F.col("overlap") > 0) | F.col("repeated"), "pagination_anomaly")
-        .when((F.col("total") < limit) & (F.col("returned") >= F.col("total")), F.coalesce("last_", F.lit("completed")))
+        .when(F.col("empty_") | ((F.col("total") < limit) & (F.col("returned") >= F.col("total"))), F.coalesce("last_", F.lit("completed")))
         .when(F.col("n_") >= last_page, F.when(F.col("cut_"), "possible_truncation").otherwise("page_limit"))
     )
-    return out.withColumn("stop_reason", stop).drop("n_", "differs_", "w_", "last_", "cut_")
+    return out.withColumn("stop_reason", stop).drop("n_", "differs_", "w_", "last_", "cut_", "odd_", "empty_")
 
 
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str, bucket: int = 3_600_000) -> DataFrame:

@@ -31,7 +31,7 @@ def service_raster(points: DataFrame, size: float, weight: Column, covered: Colu
 
 
 def cell_set_metrics(predicted: DataFrame, true: DataFrame, cell: list[str]) -> DataFrame:
-    """Overlap of two sets of cells, false and missed ones."""
+    """Overlap of two sets of cells, false and missed ones."""
     both = predicted.select(*cell).distinct().withColumn("p", F.lit(1)).join(true.select(*cell).distinct().withColumn("t", F.lit(1)), cell, "full")
     p, t = F.col("p").isNotNull(), F.col("t").isNotNull()
     return both.agg((F.count_if(p & t) / F.nullif(F.count("*"), F.lit(0)).cast("double")).alias("iou"), F.count_if(p & ~t).alias("false_cells"), F.count_if(t & ~p).alias("missed_cells"), F.count("*").alias("cells"))
@@ -77,7 +77,7 @@ def blocked_cells(points: DataFrame, size: float, blocked: Column) -> DataFrame:
 
 
 def candidates_in_turn(rows: DataFrame, category: str, id_: str, closeness: Column, per_category: int) -> DataFrame:
-    """The closest candidates of each category, taken in turn: all first ones, then all second ones.
+    """The closest candidates of each category, taken in turn: all first ones, then all second ones.
 
     ``turn`` numbers what is left after the cut, some dozens of rows a category.
     """
@@ -86,6 +86,33 @@ def candidates_in_turn(rows: DataFrame, category: str, id_: str, closeness: Colu
     return kept.withColumn("turn", F.row_number().over(Window.orderBy("place", category)).cast("long")).select(id_, category, "place", "turn")
 
 
+def ranked_candidates(rows: DataFrame, majors: list[str], id_: str, major: str, straight_m: Column, suspected: Column, unresolved: Column, farthest_m: float, threshold_m: float = 1000.0, budget: int = 40) -> DataFrame:
+    """``id, major, priority, place, turn``: the facilities to ask about, ``budget`` of them, the majors taken in turn in their given order.
+
+    Within a major come those that a suspected gap zone names, then those with an unresolved entrance, then the rest, each by how
+    near their straight distance is to the threshold and by id. Facilities beyond ``farthest_m``, or without a distance, and majors
+    that were not asked for are left out. No major can fill more than the budget, so that many of each are ranked further.
+    """
+    rank = F.when(F.coalesce(suspected, F.lit(False)), 0).when(F.coalesce(unresolved, F.lit(False)), 1).otherwise(2)
+    turn_of = F.array_position(F.array(*[F.lit(m) for m in majors]), F.col(major))
+    near = rows.withColumns({"m_": straight_m, "rank_": rank, "major_": turn_of}).filter((F.col("major_") > 0) & (F.col("m_") <= farthest_m))
+    place = F.row_number().over(Window.partitionBy(major).orderBy("rank_", F.abs(F.col("m_") - threshold_m), id_))
+    first = near.withColumn("place", place.cast("long")).filter(F.col("place") <= budget)
+    name = F.element_at(F.array(*[F.lit(n) for n in ("suspected_zone", "unresolved_entrance", "decision_edge")]), F.col("rank_") + 1)
+    turn = F.row_number().over(Window.orderBy("place", "major_")).cast("long")  # `budget` rows a major
+    return first.withColumn("turn", turn).filter(F.col("turn") <= budget).select(id_, major, name.alias("priority"), "place", "turn")
+
+
+def spots_in_turn(suspects: DataFrame, spread: DataFrame, id_: str, order: list[Column], per_spread: int = 2, budget: int = 80) -> DataFrame:
+    """``id, kind, turn``: the first ``budget`` spots, ``per_spread`` suspects and one of the spread by turns, the rest of either when the other ends."""
+    one = Window.orderBy("place")
+    lists = []
+    for df, kind, each, last in ((suspects, "suspect", per_spread, 0), (spread, "spread", 1, 1)):
+        first = df.orderBy(*order).limit(budget).withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)  # `budget` rows
+        lists.append(first.select(id_, F.lit(kind).alias("kind"), F.struct(F.floor(F.col("place") / each).alias("block"), F.lit(last).alias("last"), F.col("place").alias("n")).alias("place")))
+    return lists[0].unionByName(lists[1]).withColumn("turn", F.row_number().over(one).cast("long")).filter(F.col("turn") <= budget).select(id_, "kind", "turn")
+
+
 def coverage_report(facilities: DataFrame, cells: DataFrame, category: str, cell: list[str], cell_m2: int) -> DataFrame:
     """Facilities and analysed area by category, with what limits the statement."""
     have = facilities.groupBy(category).agg(F.count("*").alias("facilities"))

@@ -325,7 +325,7 @@ SELECT p.id, max(t.ord) AS triangle FROM p JOIN t ON p.x >= t.ax AND p.y >= t.ay
     ("facilities", "demand"),
 )
 def q_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last of the triangles that hold a point, by barycentric weights."""
+    """The last of the triangles that hold a point, by barycentric weights."""
     from footfall.operators.nearby import within_radius
 
     t = demo(spark, sf_dir, "facilities").select(F.col("id").alias("ord"), "x", "y")
@@ -343,7 +343,7 @@ SELECT angle, count(*) AS candidates, min(radius) AS first_r FROM (
 ) t WHERE step IS NULL OR step >= 25 GROUP BY angle""",
 )
 def q_edge_crossing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crossing candidates at least 25 m apart."""
+    """Crossing candidates at least 25 m apart."""
     return evidence.spaced_candidates(demo(spark, sf_dir, "ray_samples"))
 
 

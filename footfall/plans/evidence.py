@@ -128,7 +128,7 @@ SELECT verdict, count(*) AS n, min(id) AS first_id FROM (
 ) t GROUP BY verdict""",
 )
 def q_probe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes within quota, with a named reason for the others."""
+    """Probes within quota, with a named reason for the others."""
     done = evidence.select_probes(demo(spark, sf_dir, "demand"), "id", "price", F.col("price") < 20_000, F.col("id") % 4 == 0, 100)
     return done.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 

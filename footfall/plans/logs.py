@@ -163,25 +163,28 @@ def q_latency_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "pagination_audit",
     """
-WITH p AS (
-  SELECT seq, page, list_sort(list_distinct(list(uid))) AS uids, count(*) AS rows_, CASE WHEN seq % 7 <> 0 THEN max(ord) % 200 END AS total FROM poi_rows GROUP BY seq, page
-), u AS (SELECT seq, uid, min(page) AS first_page FROM poi_rows GROUP BY seq, uid),
+WITH g AS (SELECT seq, page, list_sort(list_distinct(list(uid))) AS uids, count(*) AS rows_, CASE WHEN seq % 7 <> 0 THEN CASE WHEN (seq + page) % 11 = 0 THEN -1 ELSE max(ord) % 200 END END AS told FROM poi_rows GROUP BY seq, page),
+p AS (SELECT * FROM g UNION ALL SELECT seq, max(page) + 1, NULL, 0, CASE WHEN seq % 2 = 0 THEN 90 END FROM g WHERE seq % 3 = 0 GROUP BY seq),
+u AS (SELECT seq, uid, min(page) AS first_page FROM poi_rows GROUP BY seq, uid),
 o AS (SELECT p.seq, p.page, count(*) AS overlap FROM p JOIN (SELECT DISTINCT seq, page, uid FROM poi_rows) r ON r.seq = p.seq AND r.page = p.page JOIN u ON u.seq = r.seq AND u.uid = r.uid AND u.first_page < p.page GROUP BY p.seq, p.page),
+t AS (SELECT *, CASE WHEN told >= 0 THEN told END AS total FROM p),
 w AS (
-  SELECT p.seq, p.page, total, CAST(sum(rows_) OVER o_ AS BIGINT) AS returned, coalesce(overlap, 0) AS overlap, row_number() OVER o_ AS n,
-    count(*) OVER (PARTITION BY p.seq, uids ORDER BY p.page) > 1 AS repeated, row_number() OVER o_ > 1 AND total IS DISTINCT FROM lag(total) OVER o_ AS total_changed
-  FROM p LEFT JOIN o ON o.seq = p.seq AND o.page = p.page WINDOW o_ AS (PARTITION BY p.seq ORDER BY p.page)
-), x AS (SELECT *, CASE WHEN returned > total THEN 'pagination_uncertain' WHEN total >= 150 THEN 'possible_truncation' WHEN total_changed THEN 'pagination_uncertain' END AS warning FROM w),
+  SELECT t.seq, t.page, total, coalesce(told < 0, FALSE) AS odd, rows_ = 0 AS empty_, CAST(sum(rows_) OVER o_ AS BIGINT) AS returned, coalesce(overlap, 0) AS overlap, row_number() OVER o_ AS n,
+    rows_ > 0 AND count(*) OVER (PARTITION BY t.seq, uids ORDER BY t.page) > 1 AS repeated, row_number() OVER o_ > 1 AND total IS DISTINCT FROM lag(total) OVER o_ AS total_changed
+  FROM t LEFT JOIN o ON o.seq = t.seq AND o.page = t.page WINDOW o_ AS (PARTITION BY t.seq ORDER BY t.page)
+), x AS (SELECT *, CASE WHEN returned > total OR (empty_ AND returned < total) THEN 'pagination_uncertain' WHEN total >= 150 THEN 'possible_truncation' WHEN total_changed OR odd THEN 'pagination_uncertain' END AS warning FROM w),
 z AS (SELECT *, last_value(warning IGNORE NULLS) OVER (PARTITION BY seq ORDER BY page ROWS UNBOUNDED PRECEDING) AS last_, max(CASE WHEN total >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY page) AS cut FROM x)
-SELECT seq, page, total, returned, overlap, repeated, total_changed, CASE WHEN overlap > 0 OR repeated THEN 'pagination_anomaly' WHEN total < 150 AND returned >= total THEN coalesce(last_, 'completed')
+SELECT seq, page, total, returned, overlap, repeated, total_changed, CASE WHEN overlap > 0 OR repeated THEN 'pagination_anomaly' WHEN empty_ OR (total < 150 AND returned >= total) THEN coalesce(last_, 'completed')
   WHEN n >= 7 THEN CASE WHEN cut = 1 THEN 'possible_truncation' ELSE 'page_limit' END END AS stop_reason FROM z""",
     ("poi_rows",),
 )
 def q_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running returns, overlaps, repeated pages, changed totals and stop reason of every page."""
+    """Running returns, overlaps, repeated and empty pages, changed and invalid totals and stop reason of every page fetched."""
     rows = demo(spark, sf_dir, "poi_rows")
-    totals = rows.groupBy("seq", "page").agg(F.when(F.col("seq") % 7 != 0, F.max("ord") % 200).alias("total"))
-    return history.pagination(rows.select("seq", "page", "uid"), totals, last_page=7)
+    told = F.when(F.col("seq") % 7 != 0, F.when((F.col("seq") + F.col("page")) % 11 == 0, -1).otherwise(F.max("ord") % 200))
+    totals = rows.groupBy("seq", "page").agg(told.cast("long").alias("total"))
+    empty = rows.filter("seq % 3 = 0").groupBy("seq").agg((F.max("page") + 1).alias("page")).withColumn("total", F.when(F.col("seq") % 2 == 0, 90).cast("long"))
+    return history.pagination(rows.select("seq", "page", "uid"), totals.unionByName(empty), last_page=7)
 
 
 @R.twin(

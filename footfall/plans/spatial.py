@@ -263,7 +263,7 @@ SELECT count_if(p AND t) / CAST(nullif(count_if(p OR t), 0) AS DOUBLE) AS iou, c
 ) c""",
 )
 def q_cell_set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap, false and missed cells of two cell sets."""
+    """Overlap, false and missed cells of two cell sets."""
     d = demo(spark, sf_dir, "demand")
     return rasters.cell_set_metrics(d.filter("price < 250000"), d.filter("price < 300000 AND owner % 2 = 0"), ["ix", "iy"])
 
@@ -299,7 +299,7 @@ SELECT id, category, CAST(place AS BIGINT) AS place, CAST(row_number() OVER (ORD
 ) t WHERE place <= 8""",
 )
 def q_candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by closeness to the decision edge, taken in turn across categories."""
+    """Candidates by closeness to the decision edge, taken in turn across categories."""
     return rasters.candidates_in_turn(demo(spark, sf_dir, "facilities"), "category", "id", F.abs(F.col("balance") - 1000), 8)
 
 
@@ -327,3 +327,33 @@ def q_route_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First route within the rule among the closest candidates of each category."""
     return rasters.route_assessment(demo(spark, sf_dir, "routes"), "origin", "facility", F.col("facility") % 5, "distance_m", ["line", "duration"])
 
+
+@R.twin(
+    "ranked_candidates", ("facilities",),
+    """,
+m AS (SELECT id, category, sqrt(CAST(x * x + y * y AS DOUBLE)) AS s, CASE WHEN id % 13 = 0 THEN 0 WHEN id % 7 = 0 THEN 1 ELSE 2 END AS r, CASE category WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'AUTOMOBILE' THEN 3 END AS k FROM {facilities}),
+p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY r, abs(s - 1000), id) AS place FROM m WHERE k IS NOT NULL AND s <= 1500),
+t AS (SELECT *, row_number() OVER (ORDER BY place, k) AS turn FROM p)
+SELECT id, category, CASE r WHEN 0 THEN 'suspected_zone' WHEN 1 THEN 'unresolved_entrance' ELSE 'decision_edge' END AS priority, CAST(place AS BIGINT) AS place, CAST(turn AS BIGINT) AS turn FROM t WHERE turn <= 40""",
+)
+def q_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facilities to verify by suspected zone, unresolved entrance and decision edge, the majors in turn, within the budget."""
+    f = demo(spark, sf_dir, "facilities")
+    straight = F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y")).cast("double"))
+    return rasters.ranked_candidates(f, ["MACHINERY", "BUILDING", "AUTOMOBILE"], "id", "category", straight, F.col("id") % 13 == 0, F.col("id") % 7 == 0, 1500.0)
+
+
+@R.twin(
+    "spots_in_turn", ("facilities",),
+    """,
+a AS (SELECT id, row_number() OVER (ORDER BY abs(balance - 1000), id) - 1 AS n FROM {facilities} WHERE category = 'BUILDING'),
+b AS (SELECT id, row_number() OVER (ORDER BY abs(balance - 1000), id) - 1 AS n FROM {facilities} WHERE category = 'FURNITURE'),
+u AS (SELECT id, 'suspect' AS kind, n // 2 AS block, 0 AS last, n FROM a UNION ALL SELECT id, 'spread', n, 1, n FROM b),
+t AS (SELECT *, row_number() OVER (ORDER BY block, last, n) AS turn FROM u)
+SELECT id, kind, CAST(turn AS BIGINT) AS turn FROM t WHERE turn <= 80""",
+)
+def q_spots_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots to check, two suspects to one of the spread, within the budget."""
+    f = demo(spark, sf_dir, "facilities")
+    order = [F.abs(F.col("balance") - 1000), F.col("id")]
+    return rasters.spots_in_turn(f.filter("category = 'BUILDING'"), f.filter("category = 'FURNITURE'"), "id", order)
