@@ -16,10 +16,10 @@ QUERIES, SQL = R.queries, R.sql
 
 WATER = """
 con AS (SELECT id, CAST(x AS DOUBLE) AS ax, CAST(y AS DOUBLE) AS ay, x + 60e0 AS bx, y + 40e0 AS by_ FROM facilities),
-pool AS (SELECT id AS pool, unnest([{px: x, py: y, qx: x + 160, qy: y + 30, k: 1}, {px: x + 160, py: y + 30, qx: x + 150, qy: y + 70, k: 2}, {px: x + 150, py: y + 70, qx: x - 10, qy: y + 40, k: 3}, {px: x - 10, py: y + 40, qx: x, qy: y, k: 4}], recursive := true) FROM facilities WHERE id % 40 = 0),
+pool AS (SELECT id AS pool, x, y, unnest([{px: x, py: y, qx: x + 160, qy: y + 30, k: 1}, {px: x + 160, py: y + 30, qx: x + 150, qy: y + 70, k: 2}, {px: x + 150, py: y + 70, qx: x - 10, qy: y + 40, k: 3}, {px: x - 10, py: y + 40, qx: x, qy: y, k: 4}], recursive := true) FROM facilities WHERE id % 40 = 0),
 wall AS (SELECT id AS wall, 6 + id % 9 AS width, unnest([{cx: x - 80, cy: y - 60, dx: x, dy: y + 10}, {cx: x, cy: y + 10, dx: x + 90, dy: y - 20}, {cx: x + 100, cy: y, dx: x + 150, dy: y + 90}], recursive := true) FROM facilities WHERE id % 40 = 20),
--- A segment within a convex outline: behind the last side that it enters and before the first that it leaves.
-cut AS (SELECT c.id, pool, (qx - px) * (ay - py) - (qy - py) * (ax - px) AS f0, (qx - px) * (by_ - py) - (qy - py) * (bx - px) AS f1 FROM con c JOIN pool p ON ax <= px + 200 AND bx >= px - 200 AND ay <= py + 200 AND by_ >= py - 200),
+-- A segment within a convex outline: behind the last side that it enters and before the first that it leaves. All sides of an outline or none are asked.
+cut AS (SELECT c.id, pool, (qx - px) * (ay - py) - (qy - py) * (ax - px) AS f0, (qx - px) * (by_ - py) - (qy - py) * (bx - px) AS f1 FROM con c JOIN pool p ON ax <= p.x + 160 AND bx >= p.x - 10 AND ay <= p.y + 70 AND by_ >= p.y),
 span AS (SELECT id, pool, greatest(0e0, max(CASE WHEN f0 < 0 AND f1 > 0 THEN f0 / (f0 - f1) END)) AS t0, least(1e0, min(CASE WHEN f0 > 0 AND f1 < 0 THEN f0 / (f0 - f1) END)) AS t1, bool_or(f0 <= 0 AND f1 <= 0) AS off FROM cut GROUP BY id, pool),
 held AS (SELECT id, coalesce(t0, 0e0) AS t0, coalesce(t1, 1e0) AS t1 FROM span WHERE NOT off AND coalesce(t0, 0e0) < coalesce(t1, 1e0)),
 step AS (SELECT id, t0, t1, max(t1) OVER (PARTITION BY id ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM held),
