@@ -97,7 +97,7 @@ lab(r, node, label) AS (
   UNION ALL
   SELECT r, node, label FROM (
     SELECT l.r + 1 AS r, l.node, least(l.label, min(m.label)) AS label, bool_or(m.label < l.label) AS moved FROM lab l JOIN both_ e ON e.src = l.node JOIN lab m ON m.node = e.dst GROUP BY l.r, l.node, l.label) t
-  WHERE r <= 400 AND (SELECT count(*) FROM lab x JOIN both_ e ON e.src = x.node JOIN lab y ON y.node = e.dst WHERE y.label < x.label) > 0
+  WHERE (SELECT count(*) FROM lab x JOIN both_ e ON e.src = x.node JOIN lab y ON y.node = e.dst WHERE y.label < x.label) > 0
 )
 SELECT label AS component, count(*) AS nodes FROM lab WHERE r = (SELECT max(r) FROM lab) GROUP BY label""",
     NODES,
