@@ -83,12 +83,12 @@ def shared_edges_by(cells: DataFrame, key: str) -> DataFrame:
 
 
 def union_gap_area(gaps: DataFrame) -> DataFrame:
-    """Gap area with every cell counted once; a 25 m cell inside a 50 m gap is counted with it."""
+    """Gap area with every cell counted once, 0 without gaps; a 25 m cell inside a 50 m gap is counted with it."""
     cells = gaps.select("level", "ix", "iy", "area_m2").dropDuplicates(["level", "ix", "iy"])
     big = cells.filter("level = 0").select(F.col("ix").alias("px"), F.col("iy").alias("py"))
     parent = (F.floor(F.col("ix") / 2) == F.col("px")) & (F.floor(F.col("iy") / 2) == F.col("py"))
     small = cells.filter("level = 1").join(big, parent, "left_anti")
-    return cells.filter("level = 0").unionByName(small).agg(F.sum("area_m2").alias("gap_m2"), F.count("*").alias("cells"))
+    return cells.filter("level = 0").unionByName(small).agg(F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("gap_m2"), F.count("*").alias("cells"))
 
 
 def composite_gaps(gaps: DataFrame, least: int = 2) -> DataFrame:
