@@ -1,15 +1,16 @@
 """Structured Streaming forms of the log operators.
 
 Each takes a streaming (or batch) DataFrame of events ``event_id, ts, user_id, event_type, value`` and
-returns one of the same kind. Stateful ones keep one small state per key and read a key's rows frame by frame,
-each frame put in order of time; frames come in the order of their arrival. State is given up ``IDLE_MS`` after
-the key's last event, by the watermark.
+returns one of the same kind. Stateful ones keep one small state per key; a key's rows of a micro-batch, which may come
+in several frames and in any order, are put in order of time as a whole. State is given up ``IDLE_MS`` after the key's
+last event, by the watermark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,24 +63,30 @@ def latency(events: DataFrame, length: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.percentile_approx("value", 0.95, 1000).alias("p95"))
 
 
+def in_order(frames: Iterator[pd.DataFrame], time: str) -> pd.DataFrame:
+    """All rows of a key's frames by time and event: frames are cut by size, not by time, wherever a key's rows exceed one."""
+    got = list(frames)
+    rows = got[0] if len(got) == 1 else pd.concat(got, ignore_index=True)
+    if len(rows) == 1:  # most keys: nothing to sort
+        return rows
+    return rows.iloc[np.lexsort((rows["event_id"].to_numpy(), rows[time].to_numpy()))].reset_index(drop=True)
+
+
 def _stateful(events: DataFrame, key: str, schema: str, state: str, step, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Runs ``step(key, rows, state or None) -> (output frame, new state)`` over each frame of a key's rows in turn."""
+    """Runs ``step(key, rows, state or None) -> (output frame, new state)`` over a key's rows of a micro-batch; ``us`` is their time in microseconds."""
     fields = [f.split()[0] for f in schema.split(", ")]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        now, last = held.get if held.exists else None, None
-        for rows in frames:
-            rows = rows.sort_values(["ts", "event_id"])
-            out, now = step(k[0], rows, now)
-            last = max(last or 0, int(rows["ts"].iloc[-1].timestamp() * 1000))
-            yield out[fields]
+        rows = in_order(frames, "us")
+        out, now = step(k[0], rows, held.get if held.exists else None)
+        yield out[fields]
         held.update(now)
-        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + idle_ms)
+        held.setTimeoutTimestamp(max(int(rows["us"].iloc[-1]) // 1000, held.getCurrentWatermarkMs()) + idle_ms)
 
-    return events.withWatermark("ts", LATE).groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withColumn("us", F.unix_micros("ts")).withWatermark("ts", LATE).groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def budget_gate(events: DataFrame, budget: float) -> DataFrame:
@@ -113,14 +120,13 @@ def cooldowns(events: DataFrame, seconds: float = 1800.0) -> DataFrame:
     """``event_id, held``: does a user's event fall within the cooldown after a failure?"""
 
     def step(_k, rows, state):
-        until, out = (state or (0.0,))[0], []
-        for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
-            at = ts.timestamp()
-            out.append(at <= until)
-            until = max(until, at + seconds) if kind == "error" else until
+        until, out = (state or (None,))[0], []
+        for at, kind in zip(rows["us"].tolist(), rows["event_type"], strict=True):
+            out.append(until is not None and at <= until)
+            until = at + round(seconds * 1_000_000) if kind == "error" else until
         return pd.DataFrame({"event_id": rows["event_id"], "held": out}), (until,)
 
-    return _stateful(events, "user_id", "event_id long, held boolean", "until double", step)
+    return _stateful(events, "user_id", "event_id long, held boolean", "until long", step)
 
 
 def cache_reads(events: DataFrame, fresh_seconds: float = 43_200.0) -> DataFrame:
@@ -128,13 +134,12 @@ def cache_reads(events: DataFrame, fresh_seconds: float = 43_200.0) -> DataFrame
 
     def step(_k, rows, state):
         last, out = (state or (None,))[0], []
-        for ts in rows["ts"]:
-            at = ts.timestamp()
-            out.append("miss" if last is None else "hit" if at - last <= fresh_seconds else "stale")
+        for at in rows["us"].tolist():
+            out.append("miss" if last is None else "hit" if at - last <= fresh_seconds * 1_000_000 else "stale")
             last = at
         return pd.DataFrame({"event_id": rows["event_id"], "verdict": out}), (last,)
 
-    return _stateful(events, "user_id", "event_id long, verdict string", "last double", step)
+    return _stateful(events, "user_id", "event_id long, verdict string", "last long", step)
 
 
 def stage_timeline(events: DataFrame) -> DataFrame:
@@ -143,9 +148,9 @@ def stage_timeline(events: DataFrame) -> DataFrame:
     def step(_k, rows, state):
         stage, since = state or (None, None)
         out = []
-        for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
-            if kind != stage:
-                stage, since = kind, ts.timestamp()
+        for at, kind in zip(rows["us"].tolist(), rows["event_type"], strict=True):
+            if since is None or kind != stage:
+                stage, since = kind, at / 1_000_000
             out.append(since)
         return pd.DataFrame({"event_id": rows["event_id"], "stage": rows["event_type"], "since": out}), (stage, since)
 

@@ -1,9 +1,11 @@
 """Queries beside their SQL twins, or plain Python, on small tables that once told them apart."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from footfall.operators import areas
-from footfall.plans import barriers, graphs, scoring
+from footfall.plans import barriers, graphs, scoring, streams
 from tests.compare import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,16 @@ def test_no_gap_is_an_area_of_nothing(spark):
     none = spark.createDataFrame([], "level int, ix long, iy long, area_m2 double")
     assert [tuple(r) for r in areas.union_gap_area(none).collect()] == [(0.0, 0)]
     assert "union_gap_area" in scoring.SQL
+
+
+def test_streams_do_not_hang_on_the_size_of_frames(spark, tmp_path):
+    # One user's events in any order, over many frames of one micro-batch.
+    kinds, n = ["error", "view", "error", "click"], 200
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=(i * 37) % 90), 1, kinds[i * i % 7 % 4], float(i * 53 % 97) / 2, "") for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for name in ("budget_gate", "cache_reads", "circuit_breaker", "cooldowns", "page_completeness", "stage_timeline", "rolling_rate"):
+            _beside(spark, tmp_path / name, {"events": events}, streams, f"stream_{name}")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
