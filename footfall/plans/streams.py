@@ -34,16 +34,16 @@ def run_through(spark: SparkSession, sf_dir: str, build, mode: str = "append") -
 
 
 def run_in_turns(spark: SparkSession, sf_dir: str, build, turns: int = 4) -> DataFrame:
-    """`run_through` in several micro-batches: the events are written in ``turns`` files by time, and read one after the other."""
+    """`run_through` in several micro-batches: the events are written by time in ``turns`` parts, and the stream goes on over each as it comes in."""
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.expr("CAST(ts AS TIMESTAMP)")).drop("props")
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     lo, hi = batch.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
     at = F.least(F.floor((F.unix_millis("ts") - lo) * turns / ((hi or 0) - (lo or 0) + 1)), F.lit(turns - 1))
-    for n in range(turns):  # one after the other, as files that come in while the stream runs
-        batch.filter(at == n).coalesce(1).write.parquet(f"{out}/in/{n}")
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/*")
-    query = build(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    query.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+    for n in range(turns):
+        batch.filter(at == n).write.parquet(f"{out}/in/{n}")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{out}/in/*")
+        query = build(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+        query.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 

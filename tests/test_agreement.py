@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import areas
 from footfall.plans import barriers, graphs, scoring, streams
+from footfall.streaming import timed
 from tests.compare import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,10 @@ def test_streams_do_not_hang_on_the_size_of_frames(spark, tmp_path):
             _beside(spark, tmp_path / name, {"events": events}, streams, f"stream_{name}")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_that_share_a_bucket_keep_their_own_timers(spark, monkeypatch):
+    monkeypatch.setattr(timed, "BUCKETS", 2)
+    con = connect(SF)
+    for name in ("stream_submissions", "stream_interruptions"):
+        assert_same(streams.QUERIES[name](spark, SF).toPandas(), con.execute(streams.SQL[name]).df())
