@@ -170,13 +170,39 @@ def run_summary(samples: DataFrame, reason: str, verified: str, offsets: list[st
     return samples.groupBy(reason).agg(F.count_if(F.col(verified) & (F.col(reason) == "ok")).alias("valid"), F.count_if(off).alias("offset_invalid"), F.count_if(~F.col(verified)).alias("unknown"), F.count("*").alias("samples"))
 
 
-def spaced(points: DataFrame, id_: str, order: Column, spacing: float) -> DataFrame:
+#: Points of the sample that a walk's stretches are cut by; it moves their ends and no result.
+CUTS = 256
+
+
+def spaced(points: DataFrame, id_: str, order: Column, spacing: float, most: int | None = None) -> DataFrame:
     """The points that a walk in ``order`` would take, leaving out every point nearer than ``spacing`` to one taken before.
 
-    Done in rounds, all places at once: a point that comes before all its undecided neighbours is taken and they are left
-    out, which is what the walk would do. With an order by a digest the rounds grow with the logarithm of the points.
+    The walk goes by stretches, each as long as all before it: points near one taken earlier fall out first, so few of the rest
+    are near each other, however dense the points. It stops at a stretch's end once ``most`` points are taken: these are
+    then the first ``most`` of the whole walk, and perhaps a few more.
     """
     rows = checkpointed(points.select(id_, "x", "y", F.struct(order.alias("o"), F.col(id_).alias("i")).alias("rank")))
+    kind = rows.schema["rank"].dataType
+    cuts = sorted((r.rank for r in rows.sample(min(1.0, CUTS / max(1, rows.count())), seed=1).select("rank").collect()), key=lambda r: (r.o is not None, r.o, r.i))
+    ends = [cuts[2**k - 1] for k in range(len(cuts).bit_length())]
+    at = lambda r: F.struct(F.lit(r.o).cast(kind["o"].dataType).alias("o"), F.lit(r.i).cast(kind["i"].dataType).alias("i"))
+    taken = None
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        stretch = rows if low is None else rows.filter(F.col("rank") > at(low))
+        stretch = stretch if high is None else stretch.filter(F.col("rank") <= at(high))
+        if taken is not None:
+            close = within_radius(stretch.select(id_, "x", "y"), taken.select("x", "y"), spacing).filter(F.col("distance_m") < spacing).select(id_)
+            stretch = stretch.join(close, id_, "left_anti")
+        more = _walked(checkpointed(stretch), id_, spacing)
+        taken = checkpointed(more if taken is None else taken.unionByName(more))
+        if most is not None and taken.count() >= most:
+            break
+    return points.join(taken.select(id_), id_, "left_semi")
+
+
+def _walked(rows: DataFrame, id_: str, spacing: float) -> DataFrame:
+    """The walk over one stretch (``id_, x, y, rank``), in rounds, all places at once: a point that comes before all its undecided
+    neighbours is taken and they are left out, which is what the walk would do."""
     near = within_radius(rows, rows, spacing).filter((F.col(id_) != F.col(f"r_{id_}")) & (F.col("distance_m") < spacing))
     links = checkpointed(near.select(F.col(id_).alias("a"), F.col("rank").alias("ra"), F.col(f"r_{id_}").alias("b"), F.col("r_rank").alias("rb")))
     taken = rows.join(links.select(F.col("a").alias(id_)).distinct(), id_, "left_anti").select(id_)
@@ -189,7 +215,7 @@ def spaced(points: DataFrame, id_: str, order: Column, spacing: float) -> DataFr
         alone = links.select("a").distinct().join(out, "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti")
         taken = checkpointed(taken.unionByName(alone.select(F.col("a").alias(id_))))
         links = left
-    return points.join(taken, id_, "left_semi")
+    return rows.join(taken, id_, "left_semi").select(id_, "x", "y")
 
 
 def spaced_sample(points: DataFrame, id_: str, stratum: str, quota: dict[str, int], spacing: float, road_m: Column, reach_m: float, seed: str) -> DataFrame:
@@ -208,7 +234,7 @@ def spaced_sample(points: DataFrame, id_: str, stratum: str, quota: dict[str, in
         if taken is not None:
             close = within_radius(free.select(id_, "x", "y"), taken.select("x", "y"), spacing).filter(F.col("distance_m") < spacing).select(id_)
             free = free.join(close, id_, "left_anti")
-        apart = spaced(checkpointed(free), id_, F.col("digest_"), spacing)
+        apart = spaced(checkpointed(free), id_, F.col("digest_"), spacing, count)
         first = checkpointed(apart.orderBy("digest_", id_).limit(count).withColumn("place", F.row_number().over(Window.orderBy("digest_", id_))))  # `count` rows
         if first.count() < count:
             raise ValueError(f"too few candidates in stratum {name}")

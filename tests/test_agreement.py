@@ -1,10 +1,12 @@
 """Queries beside their SQL twins, or plain Python, on small tables that once told them apart."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from footfall.operators import areas
+from footfall.operators import accuracy, areas
 from footfall.plans import barriers, graphs, scoring, streams
 from footfall.streaming import timed
 from tests.compare import assert_same, connect
@@ -64,3 +66,15 @@ def test_keys_that_share_a_bucket_keep_their_own_timers(spark, monkeypatch):
     con = connect(SF)
     for name in ("stream_submissions", "stream_interruptions"):
         assert_same(streams.QUERIES[name](spark, SF).toPandas(), con.execute(streams.SQL[name]).df())
+
+
+def test_a_walk_that_stops_early_takes_the_first_of_the_whole_walk(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(400)]  # all crowded: each shuts out a good part
+    taken = []
+    for i, x, y in rows:
+        if all(math.dist((x, y), (rows[j][1], rows[j][2])) >= 20 for j in taken):
+            taken.append(i)
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = sorted(r.id for r in accuracy.spaced(df, "id", F.col("id"), 20.0, 3).collect())
+    assert len(got) >= 3 and got == taken[: len(got)]
