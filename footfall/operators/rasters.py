@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.geo import segment_distance
 from footfall.operators.components import connected_components
-from footfall.session import checkpointed
+from footfall.session import checkpointed, spread
 
 
 def _square(c: str, size: float) -> Column:
@@ -147,25 +147,30 @@ def thinned(points: DataFrame, bin_m: float, risk: str, id_: str, most: int) ->
     return best.select((-F.col("b.i")).alias(id_), "bx", "by_", F.col("b.r").alias(risk)).orderBy(F.desc(risk), id_).limit(most)
 
 
-def boundary_samples(rings: DataFrame, key: str, ring: str, step: float) -> DataFrame:
-    """``key, x, y``: points every ``step`` along each side of a ring, the sides' first ends among them."""
-    sides = F.transform(F.col(ring), lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(F.col(ring), (i + 1) % F.size(ring))["x"].alias("bx"), F.get(F.col(ring), (i + 1) % F.size(ring))["y"].alias("by")))
-    each = rings.select(key, F.explode(sides).alias("s")).select(key, "s.*")
+def _sides(ring: str) -> Column:
+    return F.transform(F.col(ring), lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(F.col(ring), (i + 1) % F.size(ring))["x"].alias("bx"), F.get(F.col(ring), (i + 1) % F.size(ring))["y"].alias("by")))
+
+
+def boundary_samples(rings: DataFrame, key: str, ring: str, step: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """``key, x, y``: points every ``step`` along each side of a ring, the sides' first ends among them; columns named in ``more`` stay."""
+    each = rings.select(key, *more, F.explode(_sides(ring)).alias("s")).select(key, *more, "s.*")
     n = F.ceil(F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)) / step)
     at = each.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     t = F.col("i") / F.col("n")
-    return at.select(key, (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+    return at.select(key, *more, (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
 
 
 def boundary_distances(a: DataFrame, b: DataFrame, key: str, step: float = 5.0, ring: str = "ring") -> DataFrame:
     """``key, m``: the distance of every boundary sample of either of two rings of a key to the other ring, both ways."""
 
-    def one_way(own: DataFrame, other: DataFrame) -> DataFrame:
-        met = boundary_samples(own, key, ring, step).join(other.select(key, F.col(ring).alias("o_")), key)
-        sides = F.transform("o_", lambda p, i: segment_distance(F.col("x"), F.col("y"), p["x"], p["y"], F.get(F.col("o_"), (i + 1) % F.size("o_"))["x"], F.get(F.col("o_"), (i + 1) % F.size("o_"))["y"]))
-        return met.select(key, F.array_min(sides).alias("m"))
-
-    return one_way(a, b).unionByName(one_way(b, a))
+    # The rings of a key meet once, by a merge join over many tasks: a table of rings is small in its file and large in memory, so it
+    # is not broadcast. A sample meets the other ring's sides as rows, and their least distance needs no further shuffle.
+    met = spread(a.select(key, F.col(ring).alias("a_")), key).join(spread(b.select(key, F.col(ring).alias("b_")), key).hint("merge"), key)
+    ways = F.explode(F.array(F.struct(F.col("a_").alias("own"), _sides("b_").alias("other")), F.struct(F.col("b_").alias("own"), _sides("a_").alias("other"))))
+    both = met.select(key, ways.alias("w")).select(key, "w.own", "w.other")
+    at = boundary_samples(both, key, "own", step, ("other",)).withColumn("n_", F.monotonically_increasing_id())
+    m = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
+    return at.select(key, "n_", "x", "y", F.explode_outer("other").alias("s")).select(key, "n_", "x", "y", "s.*").groupBy(key, "n_").agg(F.min(m).alias("m")).select(key, "m")
 
 
 def open_crossings(connectors: DataFrame, walls: DataFrame, bridges: DataFrame, reach_m: float) -> DataFrame:

@@ -34,6 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as a shuffle has, for rows that take long or grow many each.
+
+    A small file is one task, and adaptive execution would join the small parts of a shuffle again; a number that is given stays.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system that Spark can write to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
