@@ -193,7 +193,11 @@ def in_ring(px: Column, py: Column, ring: Column, boundary: bool = True, slack:
     edges = F.transform(ring, lambda p, i: F.struct(p["x"].cast("double").alias("ax"), p["y"].cast("double").alias("ay"), F.get(ring, (i + 1) % F.size(ring))["x"].cast("double").alias("bx"), F.get(ring, (i + 1) % F.size(ring))["y"].cast("double").alias("by")))
     crosses = F.size(F.filter(edges, lambda e: ((e["ay"] > py) != (e["by"] > py)) & (px < (e["bx"] - e["ax"]) * (py - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])))
     inside = crosses % 2 == 1
-    return inside | F.exists(edges, lambda e: segment_distance(px, py, e["ax"], e["ay"], e["bx"], e["by"]) <= slack) if boundary else inside
+    if not boundary:
+        return inside
+    # A cheap look at the edge's box first: few points need their distance.
+    beside = lambda v, a, b: (v >= F.least(a, b) - slack) & (v <= F.greatest(a, b) + slack)
+    return inside | F.exists(edges, lambda e: beside(px, e["ax"], e["bx"]) & beside(py, e["ay"], e["by"]) & (segment_distance(px, py, e["ax"], e["ay"], e["bx"], e["by"]) <= slack))
 
 
 def ring_area(ring: Column) -> Column:
