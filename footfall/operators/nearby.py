@@ -8,7 +8,9 @@ memory, and adaptive execution splits crowded squares.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,16 +23,22 @@ def bucket(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size))).cast("long")
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), metric: str = "distance_m") -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), metric: str = "distance_m", probe: str = "right") -> DataFrame:
     """Pairs of rows within ``radius`` metres: the columns of both, ``right``'s prefixed ``r_``, and the distance.
 
-    Both sides have ``x`` and ``y``; ``on`` names columns that must be equal too. J5, J6, J11, J15, J17.
+    Both sides have ``x`` and ``y``; ``on`` names columns that must be equal too; ``probe`` is the side that is written to nine
+    squares. J5, J6, J11, J15, J17.
     """
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    r = r.withColumn("dx_", near).withColumn("dy_", near)
-    r = r.withColumn("bx_", bucket(F.col("r_x"), radius) + F.col("dx_")).withColumn("by_", bucket(F.col("r_y"), radius) + F.col("dy_")).drop("dx_", "dy_")
-    keyed = left.withColumn("bx_", bucket(F.col("x"), radius)).withColumn("by_", bucket(F.col("y"), radius))
+
+    def keys(df: DataFrame, x: str, y: str, each: bool) -> DataFrame:
+        if not each:
+            return df.withColumn("bx_", bucket(F.col(x), radius)).withColumn("by_", bucket(F.col(y), radius))
+        near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+        df = df.withColumn("dx_", near).withColumn("dy_", near)
+        return df.withColumn("bx_", bucket(F.col(x), radius) + F.col("dx_")).withColumn("by_", bucket(F.col(y), radius) + F.col("dy_")).drop("dx_", "dy_")
+
+    r = keys(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), "r_x", "r_y", probe == "right")
+    keyed = keys(left, "x", "y", probe == "left")
     test = (keyed["bx_"] == r["bx_"]) & (keyed["by_"] == r["by_"])
     for c in on:
         test = test & (keyed[c] == r[f"r_{c}"])
@@ -38,11 +46,36 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, on: tuple[st
     return both.withColumn(metric, planar(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))).filter(F.col(metric) <= radius)
 
 
+#: Rows that a key meets in the first circle of a search, on average and for each one wanted, at most.
+MEET = 8
+
+
 def nearest(left: DataFrame, right: DataFrame, key: list[str], radius: float, tie: str, on: tuple[str, ...] = (), n: int = 1) -> DataFrame:
-    """The ``n`` nearest ``right`` rows of each ``left`` key within ``radius``, ranked by distance, then ``tie``."""
-    pairs = within_radius(left, right, radius, on)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("distance_m", f"r_{tie}"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= n)
+    """The ``n`` nearest ``right`` rows of each ``left`` key within ``radius``, ranked by distance, then ``tie``.
+
+    The search starts in a circle that holds few rows of ``right`` on average, and is doubled up to ``radius`` for the keys that
+    have not met ``n`` yet: the nearest within a circle are the nearest at all. So a key meets some few rows, however dense
+    they stand, and the widest circle is left to keys with hardly anything near by.
+    """
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy(*key).orderBy("distance_m", f"r_{tie}"))
+        return pairs.withColumn("rank", order).filter(F.col("rank") <= n)
+
+    per = right.groupBy(bucket(F.col("x"), radius), bucket(F.col("y"), radius), *on).agg(F.count("*").cast("double").alias("m"))
+    crowd = per.agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("m")).first()["m"] or 0.0  # rows in a row's square, on average
+    halvings = 0
+    while halvings < LEVELS and crowd * math.pi > MEET * n * 4.0**halvings:
+        halvings += 1
+    open_, found = checkpointed(left) if halvings else left, []
+    for step in range(halvings, 0, -1):
+        met = checkpointed(ranked(within_radius(open_, right, radius / 2.0**step, on, probe="left")))
+        done = met.filter(F.col("rank") == n).select(*key)
+        found.append(met.join(done, key, "left_semi").select(*met.columns))
+        open_ = checkpointed(open_.join(done, key, "left_anti").select(*left.columns))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*found, ranked(within_radius(open_, right, radius, on, probe="left" if halvings else "right"))])
 
 
 def shared_edges(cells: DataFrame, key: str = "cell") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.operators.nearby import within_radius
+from footfall.operators.nearby import nearest
 from footfall.session import checkpointed
 
 LINEAGE = "revision int, parent int, changed long, recomputed long, kept long"
@@ -25,7 +25,7 @@ def changed_places(old: DataFrame, new: DataFrame, key: str, columns: list[str])
 def affected_cells(cells: DataFrame, changes: DataFrame, key: list[str], radius: float, on: tuple[str, ...] = ()) -> DataFrame:
     """``key`` of the cells (``x, y`` their middle) within ``radius`` of a changed place with equal ``on``."""
     spots = changes.select("x", "y", *on).distinct()
-    return within_radius(cells.select(*dict.fromkeys([*key, "x", "y", *on])), spots, radius, on=on).select(*key).distinct()
+    return nearest(cells.select(*dict.fromkeys([*key, "x", "y", *on])), spots, key, radius, "x", on=on).select(*key)  # one in reach is enough
 
 
 def recomputed(cells: DataFrame, old: DataFrame, new: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], id_: str, columns: list[str], key: list[str], radius: float, on: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +37,7 @@ def recomputed(cells: DataFrame, old: DataFrame, new: DataFrame, judge: Callable
     changes = checkpointed(changed_places(old, new, id_, columns))
     hit = checkpointed(affected_cells(cells, changes, key, radius, on))
     some = cells.join(hit, key, "left_semi")
-    near = within_radius(new.select(*dict.fromkeys([id_, "x", "y", *on])), some.select("x", "y", *on).distinct(), radius, on=on).select(id_).distinct()
+    near = nearest(new.select(*dict.fromkeys([id_, "x", "y", *on])), some.select("x", "y", *on).distinct(), [id_], radius, "x", on=on).select(id_)
     return changes, judge(some, new.join(near, id_, "left_semi"))
 
 

@@ -3,6 +3,9 @@
 import math
 import random
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from footfall.operators import nearby, rasters
@@ -26,3 +29,28 @@ def test_rings_are_not_broadcast(spark):
 
 def test_cells_of_areas_are_dealt_over_tasks(spark):
     assert "REPARTITION_BY_NUM" in plan(assessment.QUERIES["cells_of_areas"](spark, SF))
+
+
+def test_nearest_meets_few_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    spots = [(i, rng.choice("ab"), rng.randrange(60), rng.randrange(60)) for i in range(1500)] + [(1500, "a", 390, 40), (1501, "b", 30, 30), (1502, "b", 30, 30)]
+    keys = [(k, rng.choice("ab"), rng.randrange(-30, 90), rng.randrange(-30, 90)) for k in range(200)] + [(200, "a", 400, 40), (201, "b", 330, 40), (202, "a", 100000, 0), (203, "b", 30, 30)]
+    left, right = spark.createDataFrame(keys, "k long, c string, x long, y long"), spark.createDataFrame(spots, "id long, c string, x long, y long")
+    met = []
+    plain = nearby.within_radius
+
+    def counted(*args, **more):
+        pairs = plain(*args, **more)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(nearby, "within_radius", counted)
+    for n in (1, 3):
+        met.clear()
+        got = {(r.k, r["rank"]): (r.r_id, r.distance_m) for r in nearby.nearest(left, right, ["k"], 120.0, "id", on=("c",), n=n).collect()}
+        want = {}
+        for k, c, x, y in keys:
+            near = sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), i) for i, kind, a, b in spots if kind == c)
+            want.update({(k, place + 1): (i, d) for place, (d, i) in enumerate(near[:n]) if d <= 120})
+        assert got == want
+        assert sum(met) < 25_000  # of some 125,000 within 120 m
