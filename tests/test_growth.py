@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from footfall.operators import nearby, rasters
+from footfall.operators import graph, grid, nearby, obstacles, rasters
 from footfall.plans import assessment
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,27 @@ def test_nearest_meets_few_rows(spark, monkeypatch):
             want.update({(k, place + 1): (i, d) for place, (d, i) in enumerate(near[:n]) if d <= 120})
         assert got == want
         assert sum(met) < 25_000  # of some 125,000 within 120 m
+
+
+def test_areas_are_dealt_over_tasks(spark):
+    ring = F.array(*[F.struct((F.col("id") + dx).cast("double").alias("x"), F.lit(float(dy)).alias("y")) for dx, dy in ((0, 0), (30, 0), (30, 30), (0, 30))])
+    areas = spark.range(3, numPartitions=1).select("id", ring.alias("ring"))
+    for step in (grid.cell_parts, grid.blocks_meeting):
+        assert "REPARTITION_BY_NUM" in plan(step(areas, "ring", 10.0))
+
+
+def test_parts_of_a_segment_are_not_gathered(spark):
+    ring = F.array(*[F.struct((F.col("id") + dx).cast("double").alias("x"), F.lit(float(dy)).alias("y")) for dx, dy in ((0, -5), (30, -5), (30, 5), (0, 5))])
+    areas = spark.range(0, 60, 20).union(spark.range(0, 60, 20)).union(spark.range(200, 201)).select("id", ring.alias("ring"))
+    line = spark.createDataFrame([(1, -10.0, 0.0, 290.0, 0.0), (2, 0.0, 90.0, 9.0, 90.0)], "k long, ax double, ay double, bx double, by_ double")
+    out = obstacles.covered_lengths(line, areas, ["k"], "id", 25.0)
+    assert "collect_list" not in plan(out) and "REPARTITION_BY_NUM" in plan(out)
+    assert {r.k: round(r.covered_m, 6) for r in out.collect()} == {1: 100.0, 2: 0.0}
+
+
+def test_graph_is_read_once_and_not_broadcast(spark):
+    nodes = spark.range(20).select("id", F.lit(None).cast("string").alias("barrier"))
+    edges = spark.range(19).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("length"), *[F.lit(t).alias(n) for n, t in (("highway", "path"), ("foot", "yes"), ("access", "yes"))])
+    seen = graph.views(nodes, edges)
+    assert "Broadcast" not in plan(seen)
+    assert seen.count() == 38
