@@ -6,11 +6,12 @@ what may meet has an equal key; an exact test by orientations, or the exact part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import in_ring, planar, segment_gap
 from footfall.operators.grid import cell_parts
+from footfall.session import spread
 
 #: Metres of contact that are still a touch and no crossing.
 TOUCH = 0.1
@@ -81,20 +82,24 @@ def spans_within(a: tuple[Column, ...], ring: Column) -> Column:
 def covered_lengths(segments: DataFrame, areas: DataFrame, key: list[str], area: str, size: float, ring: str = "ring") -> DataFrame:
     """``key, length_m, covered_m``: metres of every segment, and those within any of the areas, overlaps counted once. J10, J14.
 
-    An area is written to the squares of its box, a segment to those it runs through; of a pair that meets in
-    several squares one is kept. A segment's covered parts are folded in order, some few areas at a time.
+    An area is written to the squares of its box, a segment to those it runs through; a pair that meets in several says the
+    same each time. Of a segment's parts that begin alike the longest is kept, and a window over the rest in order adds up what
+    each reaches beyond those before it, so nothing is gathered for a segment.
     """
     own = supercover(segments.select(*key, *SEGMENT), size)
     xs, ys = F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double"))
     span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    squares = areas.select(area, F.col(ring).alias("ring_"), F.explode(span(xs)).alias("cx"), ys.alias("ys_"))
-    squares = squares.select(area, "ring_", "cx", F.explode(span(F.col("ys_"))).alias("cy"))
-    pairs = own.join(squares, ["cx", "cy"]).dropDuplicates([*key, area])
-    spans = pairs.select(*key, spans_within(_ends(), F.col("ring_")).alias("spans")).filter(F.size("spans") > 0)
-    whole = spans.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    start = F.struct(F.lit(0.0).alias("to"), F.lit(0.0).alias("sum"))
-    fold = F.aggregate("spans", start, lambda acc, s: F.struct(F.greatest(acc["to"], s["t1"]).alias("to"), (acc["sum"] + F.greatest(F.lit(0.0), s["t1"] - F.greatest(acc["to"], s["t0"]))).alias("sum")))
-    share = whole.select(*key, fold["sum"].alias("share_"))
+    box = [f(v).alias(n) for v, c in ((xs, "x"), (ys, "y")) for f, n in ((F.array_min, f"lo_{c}"), (F.array_max, f"hi_{c}"))]
+    squares = areas.select(F.col(ring).alias("ring_"), *box, F.explode(span(xs)).alias("cx"), ys.alias("ys_")).withColumn("cy", F.explode(span(F.col("ys_")))).drop("ys_")
+    ax, ay, bx, by = _ends()
+    beside = (F.least(ax, bx) <= F.col("hi_x")) & (F.greatest(ax, bx) >= F.col("lo_x")) & (F.least(ay, by) <= F.col("hi_y")) & (F.greatest(ay, by) >= F.col("lo_y"))
+    # Few bytes and much work: both sides are dealt over all tasks, which adaptive execution would else join to one.
+    met = spread(own, "cx", "cy").join(spread(squares, "cx", "cy").hint("merge"), ["cx", "cy"]).filter(beside)
+    parts = met.select(*key, F.explode(spans_within(_ends(), F.col("ring_"))).alias("s")).select(*key, "s.t0", "s.t1")
+    longest = parts.groupBy(*key, "t0").agg(F.max("t1").alias("t1"))
+    before = F.max("t1").over(Window.partitionBy(*key).orderBy("t0").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0.0), F.col("t1") - F.greatest(F.col("t0"), F.coalesce(before, F.lit(0.0))))
+    share = longest.select(*key, new.alias("new")).groupBy(*key).agg(F.sum("new").alias("share_"))
     length = planar(*_ends())
     return segments.select(*key, length.alias("length_m")).join(share, key, "left").select(*key, "length_m", (F.coalesce("share_", F.lit(0.0)) * F.col("length_m")).alias("covered_m"))
 
