@@ -33,7 +33,7 @@ def views(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     kinds = nodes.select(F.col("id"), barrier_class(F.col("barrier")).alias("kind"))
     for end in ("u", "v"):
-        edges = edges.join(kinds.select(F.col("id").alias(end), F.col("kind").alias(f"{end}_kind")), end)
+        edges = edges.join(kinds.select(F.col("id").alias(end), F.col("kind").alias(f"{end}_kind")).hint("merge"), end)  # as large as the graph: never broadcast
     worst = F.array_max(F.transform(F.array(edge_class(F.col("highway"), F.col("foot"), F.col("access")), "u_kind", "v_kind"), lambda k: F.when(k == "denied", 2).when(k == "possible", 1).otherwise(0)))
     graded = edges.withColumn("w_", worst).filter("w_ < 2")
     each = F.explode(F.when(F.col("w_") == 0, F.array(F.lit("allowed"), F.lit("possible"))).otherwise(F.array(F.lit("possible"))))
@@ -71,10 +71,11 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, cutoff: float, keys: tupl
     """
     on = list(keys)
     shared = [k for k in on if k in edges.columns]
+    edges = checkpointed(edges.select(*shared, "u", "v", "length"))  # every round reads them
     front = checkpointed(_least(seeds.filter(F.col("cost") <= cutoff), on))
     known = [front]
     while not front.isEmpty():
-        step = front.withColumnRenamed("node", "u").join(edges.select(*shared, "u", "v", "length"), [*shared, "u"])
+        step = front.withColumnRenamed("node", "u").join(edges, [*shared, "u"])
         found = checkpointed(_least(step.select(*on, F.col("v").alias("node"), (F.col("cost") + F.col("length")).alias("cost"), "owner").filter(F.col("cost") <= cutoff), on))
         wanted = found.select(*on, "node")
         wanted = F.broadcast(wanted) if found.count() <= FEW else wanted

@@ -22,7 +22,7 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = n.select(F.col("gx").alias("bx"), F.col("gy").alias("by"), F.col("id").alias("v"))
     side = F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))))
     out = n.select("id", "gx", "gy", "size", "brand", side.alias("s"))
-    pairs = out.join(ends, (F.col("bx") == F.col("gx") + F.col("s.dx")) & (F.col("by") == F.col("gy") + F.col("s.dy")))
+    pairs = out.join(ends.hint("merge"), (F.col("bx") == F.col("gx") + F.col("s.dx")) & (F.col("by") == F.col("gy") + F.col("s.dy")))
     k = F.col("size") % 9
     return pairs.select(
         F.col("id").alias("u"), "v", F.lit(60.0).alias("length"), (F.lit(60.0) / 1.3).alias("travel_time_s"),
