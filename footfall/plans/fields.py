@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions import geo
 from footfall.operators import accuracy, field, grid, quadtree, rasters
 from footfall.plans.demo import Registry, demo
-from footfall.session import table
+from footfall.session import checkpointed, table
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -120,16 +120,22 @@ met AS (
 )"""
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = lambda c: (F.floor((F.col(c) + 25) / 50) * 50).cast("long")
-    d = demo(spark, sf_dir, "demand").withColumns({"sx": snap("x"), "sy": snap("y")})
-    per = d.groupBy(F.col("sx").alias("x"), F.col("sy").alias("y")).agg(F.min("owner").alias("o"), F.min(F.floor("price").cast("long")).alias("p"))
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demand in squares of 25 m, of which both the cells and the samples' squares are made: one pass over the table for all of them."""
+    at = lambda c: F.floor((F.col(c) + 2000) / 25.0).cast("long").alias(f"q{c}")
+    per = demo(spark, sf_dir, "demand").groupBy(at("x"), at("y"))
+    return checkpointed(per.agg(F.min("id").alias("id"), F.min("owner").alias("owner"), F.min(F.floor("price").cast("long")).alias("price")))
+
+
+def samples(squares: DataFrame) -> DataFrame:
+    snap = lambda c: (F.floor((F.col(f"q{c}") + 1) / 2) * 50 - 2000).cast("long").alias(c)
+    per = squares.groupBy(snap("x"), snap("y")).agg(F.min("owner").alias("o"), F.min("price").alias("p"))
     return per.select("x", "y", F.when(F.col("o") % 11 != 0, F.col("p") % 1800).alias("t"), (F.col("o") % 13 == 0).alias("active"))
 
 
-def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = demo(spark, sf_dir, "demand").filter("x < 2000")
-    at = lambda c, size: F.floor((F.col(c) + 2000) / float(size)).cast("long").alias(f"i{c}")
+def leaves(squares: DataFrame) -> DataFrame:
+    d = squares.filter("qx < 160")  # x < 2000
+    at = lambda c, size: F.floor(F.col(f"q{c}") / (size / 25)).cast("long").alias(f"i{c}")
     c0 = d.groupBy(at("x", 400), at("y", 400)).agg((F.min("id") % 3 == 0).alias("split"))
     c1 = d.groupBy(at("x", 200), at("y", 200)).agg((F.min("id") % 2 == 0).alias("split"))
     open_ = c0.filter("split").select(quadtree.morton(F.col("ix"), F.col("iy")).alias("up"))
@@ -139,8 +145,8 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(c1.filter("NOT split").select("level", "ix", "iy")).unionByName(halves.select("level", "ix", "iy"))
 
 
-def leaf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quadtree.cell_samples(leaves(spark, sf_dir), samples(spark, sf_dir), X0, X0, 400.0, 3)
+def leaf_samples(squares: DataFrame) -> DataFrame:
+    return quadtree.cell_samples(leaves(squares), samples(squares), X0, X0, 400.0, 3)
 
 
 @R.add(
@@ -155,7 +161,8 @@ SELECT level, ix, iy, round(CASE WHEN lo IS NULL THEN 0e0 ELSE size / 400e0 * (4
 )
 def q_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much every leaf of the quadtree asks to be halved: crossing, near, residual of its middle, span."""
-    out = quadtree.priorities(leaves(spark, sf_dir), leaf_samples(spark, sf_dir), 400.0, 900.0, 120.0)
+    d = squares(spark, sf_dir)
+    out = quadtree.priorities(leaves(d), leaf_samples(d), 400.0, 900.0, 120.0)
     return out.select("level", "ix", "iy", F.round("score", 6).alias("score"), "candidate", F.round("residual", 6).alias("residual"))
 
 
@@ -173,7 +180,8 @@ SELECT p.x, p.y FROM p WHERE NOT EXISTS (SELECT 1 FROM smp s WHERE abs(s.x - p.x
 )
 def q_side_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated crossings on the sides of leaves, 12 m from every sample at least."""
-    return quadtree.edge_candidates(leaf_samples(spark, sf_dir), samples(spark, sf_dir), 900.0, 12.0)
+    d = squares(spark, sf_dir)
+    return quadtree.edge_candidates(leaf_samples(d), samples(d), 900.0, 12.0)
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:

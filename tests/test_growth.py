@@ -9,7 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from footfall.operators import graph, grid, nearby, obstacles, rasters
-from footfall.plans import assessment
+from footfall.plans import assessment, fields
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,12 @@ def test_graph_is_read_once_and_not_broadcast(spark):
     seen = graph.views(nodes, edges)
     assert "Broadcast" not in plan(seen)
     assert seen.count() == 38
+
+
+def test_leaves_and_samples_read_the_demand_once(spark, monkeypatch):
+    read, demo = [], fields.demo
+    monkeypatch.setattr(fields, "demo", lambda *args: read.append(args[2]) or demo(*args))
+    for name in ("cell_priorities", "side_candidates"):
+        read.clear()
+        out = fields.QUERIES[name](spark, SF)
+        assert read == ["demand"] and "FileScan" not in plan(out)
