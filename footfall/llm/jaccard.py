@@ -2,7 +2,7 @@
 
 Texts that share 0.8 of their five-word shingles differ in some four to fourteen bits of a 64-bit fingerprint,
 which no bit segment search reaches at a bearable number of variants; none of them at sf0.1 differ in two or fewer.
-So equal fingerprints are one source of candidates, and *meetings* are the other: each text is the set of its
+So fingerprints that operator 9 links are one source of candidates, and *meetings* are the other: each text is the set of its
 distinct shingles' hashes in one order for all texts (those that a sample shows often come last, the others by
 hash). If two sets of sizes n and m reach the threshold t, they share at least ``ceil(t n)`` of the one's shingles,
 so they share one of its first ``n - ceil(t n) + 1``, and likewise of the other's: equal shingles among the first
@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm import simhash
 from footfall.operators.components import connected_components
 from footfall.session import checkpointed, delete_path, shared_dir
 
@@ -304,9 +305,15 @@ def verified(pairs: DataFrame, rows: DataFrame, folder: str, width: int = WIDTH,
 
 
 def _by_fingerprint(marks: DataFrame) -> DataFrame:
-    """``src, dst``: texts of one fingerprint on the least of them."""
-    least = marks.groupBy("fp").agg(F.min("tid").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    return marks.select("tid", "fp").join(_few(checkpointed(least)), "fp").filter("tid <> hub").select(F.col("tid").alias("src"), F.col("hub").alias("dst"))
+    """``src, dst``: texts of one fingerprint on the least of them, and those on each other whose fingerprints operator 9 links.
+
+    Its search by one-wildcard halves finds the fingerprints within `simhash.DISTANCE` bits; each of its links is a candidate.
+    """
+    least = _few(checkpointed(marks.groupBy("fp").agg(F.min("tid").alias("hub"), F.count("*").alias("n"))))
+    same = marks.select("tid", "fp").join(least.filter("n > 1"), "fp").filter("tid <> hub").select(F.col("tid").alias("src"), F.col("hub").alias("dst"))
+    near = simhash.links(least.select("fp", F.col("fp").alias("f0")))
+    hub = lambda end: least.select(F.col("fp").alias(end), F.col("hub").alias(f"{end}_"))
+    return same.unionByName(near.join(hub("src"), "src").join(hub("dst"), "dst").select(F.greatest("src_", "dst_").alias("src"), F.least("src_", "dst_").alias("dst")))
 
 
 def _named(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
