@@ -13,7 +13,8 @@ first, then in as many as a text has shingles and more. All others are verified
 Texts of a key are held against hubs of it, as long as they are in different components: one hub in the first
 round, twice as many in each round after it, so rounds are logarithmic in the largest key. They end when pairs of one
 key across components no longer outnumber its rows ``CROSS`` times, or as many times as the next round has hubs;
-then those that are still apart meet each other. So groups of copies are not compared in full, and what is connected
+then those that are still apart meet each other. A key whose texts all share another one near it is left out before, and sizes
+and parities are asked where two texts meet, so few pairs are written. So groups of copies are not compared in full, and what is connected
 is the same as if all pairs had been. Keys of over ``SHARE`` members are dealt over several tasks. What a round writes
 is deleted after the next one, but for the links, which are only added to.
 
@@ -30,7 +31,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.llm import simhash
@@ -48,6 +49,8 @@ FEW = 200_000
 CROSS = 10
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 18
+#: Texts of a key beyond which it is crowded, and how many keys on either side of it in a text may stand for it.
+CROWD, NEAR = 8, 8
 PARITIES = ["b0", "b1", "b2", "b3"]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -216,7 +219,7 @@ def sketches(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
                 order = np.lexsort((h, often, owner))
                 owner, h = owner[order], h[order]
                 new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
-                owner, h = owner[new], h[new]
+                owner, h, place = owner[new], h[new], order[new]
                 n = np.bincount(owner, minlength=len(texts))
                 begin = np.cumsum(n) - n
                 ends = np.cumsum(n)
@@ -227,7 +230,8 @@ def sketches(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
                 fp = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
                 most = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 lead = np.arange(len(h)) - np.repeat(begin, n) < np.repeat(most, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)].astype(np.int32)), pa.array(h[lead].view(np.int64)))
+                first_ones = h[lead][np.lexsort((place[lead], owner[lead]))]  # as they stand in the text
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)].astype(np.int32)), pa.array(first_ones.view(np.int64)))
                 tid = batch.column(0).slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([tid, pa.array(n.astype(np.int32)), pa.array(fp), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(4)], many, lists], names=["tid", "n", "fp", *PARITIES, "odd", "hs"])
 
@@ -316,6 +320,23 @@ def _by_fingerprint(marks: DataFrame) -> DataFrame:
     return same.unionByName(near.join(hub("src"), "src").join(hub("dst"), "dst").select(F.greatest("src_", "dst_").alias("src"), F.least("src_", "dst_").alias("dst")))
 
 
+def _needed(met: DataFrame, folder: str) -> DataFrame:
+    """The rows ``h, k, tid, at`` of the keys that tell of all pairs that meet: keys whose texts all share another one are left out.
+
+    Of keys with the same texts one stays. A passage that texts have in common gives many keys with nearly the same texts, which stand
+    together: a crowded key whose texts all hold one of those about it, of more texts (ties: the later key), is left out too.
+    What it is left out for comes after it in that order, so a key that stays has all texts of both.
+    """
+    keys = met.groupBy("h", "k").agg(F.bit_xor(F.xxhash64("tid")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "tid")).alias("b"))
+    one = met.join(keys.groupBy("k", "a", "b").agg(F.max("h").alias("h")).select("h"), "h", "left_semi")
+    one = _written(one.select("h", "k", "tid", "at"), folder)
+    row, own = Window.partitionBy("tid").orderBy("at", "h").rowsBetween(-NEAR, NEAR), F.struct("k", "h")
+    beside = one.filter(F.col("k") > CROWD).select("h", "k", F.collect_list(own).over(row).alias("near"))
+    about = beside.select("h", "k", F.explode(F.filter("near", lambda o: o > own)).alias("o"))
+    told = about.groupBy("h", "k", F.col("o.h").alias("other")).agg(F.count("*").alias("n")).filter(F.col("n") == F.col("k")).select("h").distinct()
+    return one.join(_few(checkpointed(told)), "h", "left_anti")
+
+
 def _named(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``rows`` with the component of their text, which is the text itself where none is linked."""
     if comps is None:
@@ -336,18 +357,20 @@ def _held_against_hubs(named: DataFrame, whole: DataFrame, threshold: float, tur
     """
     order = lambda tid: F.xxhash64(tid, F.lit(turn))
     way = lambda tid: F.pmod(order(tid), F.lit(1 << turn)).alias("way")
-    hub = F.min(F.struct(order("tid").alias("by"), "tid", "component")).alias("hub")
+    columns = ("n", *PARITIES)
+    hub = F.min(F.struct(order("tid").alias("by"), "tid", "component", *columns)).alias("hub")
     hubs = named.groupBy("h", way("tid")).agg(hub, F.max("k").alias("k")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), _shares() - 1)))
-    dealt = named.select("h", F.pmod(F.xxhash64("tid"), _shares()).alias("share"), "tid", "component")
-    apart = dealt.join(hubs.select("h", "share", "hub"), ["h", "share"]).filter("component <> hub.component")
-    pairs = apart.select(F.col("tid").alias("src"), F.col("hub.tid").alias("dst")).distinct()
+    dealt = named.select("h", F.pmod(F.xxhash64("tid"), _shares()).alias("share"), "tid", "component", *[F.col(c).alias(f"x{c}") for c in columns])
+    hubs = hubs.select("h", "share", F.col("hub.tid").alias("dst"), F.col("hub.component").alias("other"), *[F.col(f"hub.{c}").alias(f"y{c}") for c in columns])
+    apart = dealt.join(hubs, ["h", "share"]).filter((F.col("component") != F.col("other")) & _possible("x", "y", threshold))
+    pairs = apart.select(F.col("tid").alias("src"), "dst").distinct()
     return _open(pairs, whole, threshold).groupBy("src", way("dst")).agg(F.min("dst").alias("dst")).select("src", "dst")
 
 
-def _met_across(named: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+def _met_across(named: DataFrame, threshold: float) -> DataFrame:
     """``src, dst``: texts of one key in different components that sizes and parities leave open."""
     split = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-    mixed = named.join(marks.drop("fp"), "tid").join(split, "h", "left_semi")
+    mixed = named.join(split, "h", "left_semi")
     columns = ("tid", "n", "component", *PARITIES)
 
     def side(rows: DataFrame, letter: str, *more: Column) -> DataFrame:
@@ -379,14 +402,15 @@ def links(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) ->
     folder = f"{shared_dir(rows.sparkSession)}/near-{uuid.uuid4().hex}"
     full = _written(sketches(rows, width, threshold), folder)
     marks, whole = full.drop("hs", "odd"), full.drop("hs")
-    led = full.select("tid", F.explode("hs").alias("h"))
+    led = full.select("tid", F.posexplode("hs").alias("at", "h"))
     keys = checkpointed(led.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"))
     crowded = _few(checkpointed(keys.filter(F.col("k") > SHARE)))
     alone = F.coalesce(_shares(), F.lit(1).cast("long"))
     laid = keys.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), _shares() - 1)))
-    met = led.join(crowded, "h", "left").select("h", "tid", F.pmod(F.xxhash64("tid"), alone).alias("share")).join(laid, ["h", "share"])
-    met = _written(met.select("h", F.col("k").cast("int").alias("k"), "tid"), folder)
+    met = led.join(crowded, "h", "left").select("h", "tid", "at", F.pmod(F.xxhash64("tid"), alone).alias("share")).join(laid, ["h", "share"])
+    met = _written(met.select("h", F.col("k").cast("int").alias("k"), "tid", "at"), folder)
     members = met.count()
+    met = _written(_needed(met, folder).drop("at").join(marks.drop("fp"), "tid"), folder)
 
     spark, kept = rows.sparkSession, f"{folder}/links"
     named, labels, turn = met.withColumn("component", F.col("tid")), None, 0
@@ -415,7 +439,7 @@ def links(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) ->
 
     found = checkpointed(spark.read.schema("src long, dst long, turn int").parquet(kept).select("src", "dst"))
     named = _named(met, _few(checkpointed(connected_components(found)).select(F.col("node").alias("tid"), "component")))
-    left = _written(_open(_met_across(named, marks, threshold), whole, threshold), folder)
+    left = _written(_open(_met_across(named, threshold), whole, threshold), folder)
     found = found.unionByName(checkpointed(verified(left, rows, folder, width, threshold)))
     delete_path(spark, folder)  # both parts of the result are written by now
     return found
