@@ -13,7 +13,8 @@ first, then in as many as a text has shingles and more. All others are verified
 Texts of a key are held against hubs of it, as long as they are in different components: one hub in the first
 round, twice as many in each round after it, so rounds are logarithmic in the largest key. They end when pairs of one
 key across components no longer outnumber its rows ``CROSS`` times, or as many times as the next round has hubs;
-then those that are still apart meet each other. A key whose texts all share another one near it is left out before, and sizes
+then those that are still apart meet each other, each pair in its first key and, in a crowded key, only if the parities in
+many classes leave it open. A key whose texts all share another one near it is left out before, and sizes
 and parities are asked where two texts meet, so few pairs are written. So groups of copies are not compared in full, and what is connected
 is the same as if all pairs had been. Keys of over ``SHARE`` members are dealt over several tasks. What a round writes
 is deleted after the next one, but for the links, which are only added to.
@@ -51,6 +52,8 @@ CROSS = 10
 PIECE = 1 << 18
 #: Texts of a key beyond which it is crowded, and how many keys on either side of it in a text may stand for it.
 CROWD, NEAR = 8, 8
+#: Words of 64 parities, and keys, that a text carries at most into its crowded keys when all of these are compared.
+FINE, FIRST = 128, 32
 PARITIES = ["b0", "b1", "b2", "b3"]
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -172,16 +175,15 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[at], counts[at]
 
 
-def _parities(hashes: np.ndarray) -> bytes:
+def _parities(hashes: np.ndarray) -> np.ndarray:
     """Whether each class of hashes holds an odd number, in the power of two of classes that is at least twice as many as the hashes."""
     classes = max(256, 1 << (2 * len(hashes) - 1).bit_length())
     held = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
-    return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _differ(a: bytes, b: bytes) -> int:
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
     """Classes that differ, in as many classes as both have (half of the classes fold onto the other half)."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
@@ -202,7 +204,7 @@ def _bit_counts(owner: np.ndarray, hashes: np.ndarray, texts: int, at_once: int
 def sketches(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """``tid, n, fp, b0 .. b3, odd, hs``: of each distinct text the size of its set, its SimHash, its parities (in 256 classes and in many) and its first shingles."""
     known = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
-    schema = "tid long, n int, fp long, " + ", ".join(f"{b} long" for b in PARITIES) + ", odd binary, hs array<long>"
+    schema = "tid long, n int, fp long, " + ", ".join(f"{b} long" for b in PARITIES) + ", odd array<long>, hs array<long>"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -223,7 +225,8 @@ def sketches(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
                 n = np.bincount(owner, minlength=len(texts))
                 begin = np.cumsum(n) - n
                 ends = np.cumsum(n)
-                many = pa.array([_parities(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], pa.binary())
+                words = [_parities(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                many = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int32)), pa.array(np.concatenate(words)))
                 odd = np.bincount(owner * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * len(texts)).reshape(-1, 256) & 1
                 odd = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
                 ones = _bit_counts(owner, h, len(texts))
@@ -246,6 +249,21 @@ def _possible(a: str, b: str, threshold: float) -> Column:
     return (F.least(f"{a}n", f"{b}n") >= shared) & (differ <= total - 2 * shared)
 
 
+def _folded(odd: str) -> Column:
+    """The parities of a long text in the classes of `FINE` words, onto which the others fold."""
+    word = lambda i: F.aggregate(F.sequence(i, F.size(odd), F.lit(FINE)), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(odd, j - 1)))
+    return F.when(F.size(odd) > FINE, F.transform(F.sequence(F.lit(1), F.lit(FINE)), word)).otherwise(F.col(odd))
+
+
+def _possible_in_many(a: str, b: str, threshold: float) -> Column:
+    """The same by the parities in many classes, as `_differ` counts them; where their numbers differ more than twofold, the threshold is left open."""
+    total, x, y = F.col(f"{a}n") + F.col(f"{b}n"), F.col(f"{a}odd"), F.col(f"{b}odd")
+    words = F.least(F.size(x), F.size(y))
+    fold = lambda o: F.when(F.size(o) > words, F.zip_with(F.slice(o, F.lit(1), words), F.slice(o, words + 1, words), lambda p, q: p.bitwiseXOR(q))).otherwise(o)
+    differ = F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.greatest(F.size(x), F.size(y)) > 2 * words) | (differ <= total - 2 * F.ceil(threshold / (1 + threshold) * total - 1e-9))
+
+
 def _written(df: DataFrame, folder: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder, for what is large and read several times."""
     path = f"{folder}/{uuid.uuid4().hex}"
@@ -272,7 +290,7 @@ def _open(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y, most in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                keep.append(_differ(x.as_py(), y.as_py()) <= most)
+                keep.append(_differ(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     columns = ("n", "odd", *PARITIES)
@@ -367,19 +385,30 @@ def _held_against_hubs(named: DataFrame, whole: DataFrame, threshold: float, tur
     return _open(pairs, whole, threshold).groupBy("src", way("dst")).agg(F.min("dst").alias("dst")).select("src", "dst")
 
 
-def _met_across(named: DataFrame, threshold: float) -> DataFrame:
-    """``src, dst``: texts of one key in different components that sizes and parities leave open."""
+def _met_across(named: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """``src, dst``: texts of one key in different components that sizes and parities leave open.
+
+    In keys of over ``CROWD`` texts the parities in many classes are asked as two texts meet, and a pair is made in the first of
+    its keys alone, as far as the first keys of both tell: what is made there are pairs that are nearly all alike, once each.
+    """
     split = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
     mixed = named.join(split, "h", "left_semi")
-    columns = ("tid", "n", "component", *PARITIES)
+    columns = ("tid", "n", "component", *PARITIES, "odd", "first")
+    apart = (F.col("xtid") > F.col("ytid")) & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y", threshold)
 
     def side(rows: DataFrame, letter: str, *more: Column) -> DataFrame:
-        return rows.select("h", *more, *[F.col(c).alias(letter + c) for c in columns])
+        return rows.select("h", *more, *[F.col(c).alias(letter + c) for c in columns if c in rows.columns])
 
-    small, large = mixed.filter(F.col("k") <= SHARE), mixed.filter(F.col("k") > SHARE)
+    few, crowd = mixed.filter(F.col("k") <= CROWD), mixed.filter(F.col("k") > CROWD)
+    rank = F.row_number().over(Window.partitionBy("tid").orderBy("h"))
+    first = crowd.select("tid", "h", rank.alias("rank")).filter(F.col("rank") <= FIRST).groupBy("tid").agg(F.collect_list("h").alias("first"))
+    crowd = crowd.join(whole.select("tid", _folded("odd").alias("odd")).join(first, "tid"), "tid")
+    small, large = crowd.filter(F.col("k") <= SHARE), crowd.filter(F.col("k") > SHARE)
     share, every = F.pmod(F.xxhash64("tid"), _shares()).alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), _shares() - 1)).alias("share")
-    apart = (F.col("xtid") > F.col("ytid")) & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y", threshold)
-    both = side(small, "x").join(side(small, "y"), "h").filter(apart).select("xtid", "ytid")
+    both = side(few, "x").join(side(few, "y"), "h").filter(apart).select("xtid", "ytid")
+    apart &= _possible_in_many("x", "y", threshold)
+    apart &= F.coalesce(F.array_min(F.array_intersect("xfirst", "yfirst")) >= F.col("h"), F.lit(True))
+    both = both.unionByName(side(small, "x").join(side(small, "y"), "h").filter(apart).select("xtid", "ytid"))
     both = both.unionByName(side(large, "x", share).join(side(large, "y", every), ["h", "share"]).filter(apart).select("xtid", "ytid"))
     return both.select(F.col("xtid").alias("src"), F.col("ytid").alias("dst")).distinct()
 
@@ -409,8 +438,8 @@ def links(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) ->
     laid = keys.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), _shares() - 1)))
     met = led.join(crowded, "h", "left").select("h", "tid", "at", F.pmod(F.xxhash64("tid"), alone).alias("share")).join(laid, ["h", "share"])
     met = _written(met.select("h", F.col("k").cast("int").alias("k"), "tid", "at"), folder)
-    members = met.count()
     met = _written(_needed(met, folder).drop("at").join(marks.drop("fp"), "tid"), folder)
+    members = met.count()
 
     spark, kept = rows.sparkSession, f"{folder}/links"
     named, labels, turn = met.withColumn("component", F.col("tid")), None, 0
@@ -439,7 +468,7 @@ def links(rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) ->
 
     found = checkpointed(spark.read.schema("src long, dst long, turn int").parquet(kept).select("src", "dst"))
     named = _named(met, _few(checkpointed(connected_components(found)).select(F.col("node").alias("tid"), "component")))
-    left = _written(_open(_met_across(named, threshold), whole, threshold), folder)
+    left = _written(_open(_met_across(named, whole, threshold), whole, threshold), folder)
     found = found.unionByName(checkpointed(verified(left, rows, folder, width, threshold)))
     delete_path(spark, folder)  # both parts of the result are written by now
     return found

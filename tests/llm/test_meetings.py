@@ -3,7 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 from footfall.llm import jaccard
+from tests.llm.test_jaccard import by_hand, plain_set
 
 
 def test_fingerprints_two_bits_apart_are_candidates(spark):
@@ -42,3 +45,41 @@ def test_pairs_ruled_out_by_size_are_not_made(spark):
     finally:
         jaccard._open = real
     assert seen == [0]
+
+
+@pytest.mark.parametrize(("fine", "first"), [(128, 32), (2, 3)])
+def test_texts_apart_are_not_paired_in_every_key(spark, monkeypatch, fine, first):
+    """Copies of one text with some words changed: before, each two of them were made once for each key that they share."""
+    monkeypatch.setattr(jaccard, "CROSS", 1e9)  # no further hubs: all that the first ones leave is compared
+    monkeypatch.setattr(jaccard, "FINE", fine, raising=False)
+    monkeypatch.setattr(jaccard, "FIRST", first, raising=False)
+    rng, docs = random.Random(5), {}
+    for t in range(60):
+        words = [f"w{i}" for i in range(400)]
+        for i in rng.sample(range(400), rng.randrange(3, 18)):
+            words[i] = f"own{t}x{i}"
+        docs[t] = " ".join(words)
+    sets = {t: plain_set(text) for t, text in docs.items()}
+    near = sum(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in itertools.combinations(docs, 2))
+    made, real = [], jaccard._met_across
+
+    def counted(*args):
+        kind = type(args[0])
+        with monkeypatch.context() as m:
+            m.setattr(kind, "distinct", lambda df: df)
+            made.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(jaccard, "_met_across", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == by_hand(docs) and 10 < near < 600
+    print("MADE", made, near)
+    assert fine < 128 or made[0] <= near
+
+
+def test_parities_of_long_texts_fold(spark):
+    rng = random.Random(11)
+    odd = {n: [rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (4, 128, 512)}
+    got = spark.createDataFrame([(n, w) for n, w in odd.items()], "n int, odd array<long>").select("n", jaccard._folded("odd").alias("odd")).collect()
+    fold = lambda w: [w[i] ^ w[i + 128] ^ w[i + 256] ^ w[i + 384] for i in range(128)] if len(w) == 512 else w
+    assert {r.n: r.odd for r in got} == {n: fold(w) for n, w in odd.items()}
