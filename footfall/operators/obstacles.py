@@ -2,16 +2,17 @@
 
 Lines are keyed by the squares that they run through (their supercover), areas by the squares of their bounding box, so
 what may meet has an equal key; an exact test by orientations, or the exact parts of a segment within a ring, follows.
+Where only numbers are asked, segments are dealt by the squares of their starts and no pairs are made (``sweeps``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.geo import in_ring, planar, segment_gap
+from footfall.functions.geo import planar, segment_gap
+from footfall.operators import sweeps
 from footfall.operators.grid import cell_parts
-from footfall.session import spread
 
 #: Metres of contact that are still a touch and no crossing.
 TOUCH = 0.1
@@ -30,7 +31,7 @@ def polyline_segments(lines: DataFrame, key: list[str], parts: str = "parts") ->
     return each.select(*key, *[F.col(f"s.{e}.{c}").cast("double").alias(n) for n, (e, c) in zip(SEGMENT, (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")), strict=True)])
 
 
-def supercover(segments: DataFrame, size: float, margin: Column | float = 0.0) -> DataFrame:
+def supercover(segments: DataFrame, size: Column | float, margin: Column | float = 0.0) -> DataFrame:
     """``segments`` with every square ``cx, cy`` that they come within ``margin`` of (and a few more at its corners).
 
     Column by column of squares: what the segment spans there in y is written, not its whole box.
@@ -57,51 +58,59 @@ def crossed_lines(connectors: DataFrame, walls: DataFrame, key: str, wall: str,
     return met.select(key, wall).distinct()
 
 
-def spans_within(a: tuple[Column, ...], ring: Column) -> Column:
-    """Array of struct t0, t1: the parts of a segment (0 at its start, 1 at its end) that lie within a ring."""
-    ax, ay, bx, by = a
+def _by_start(segments: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``segments`` by the square ``tx_, ty_`` of their start, twice ``size`` wide on ``level_`` 0 and doubled with each, and the levels.
+
+    A segment is on the first level whose squares are as wide as it reaches; levels have that side ``side_`` and the longest ``reach_``.
+    """
+    ax, ay, bx, by = _ends()
+    whole = F.lit(True)
+    for c in _ends():
+        whole = whole & (F.abs(c) < float("inf"))
+    reach = F.greatest(F.abs(bx - ax), F.abs(by - ay))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / (2.0 * size)))).cast("int")
+    side = F.pow(F.lit(2.0), F.col("level_")) * (2.0 * size)
+    each = segments.select(*[c.alias(n) for c, n in zip(_ends(), SEGMENT, strict=True)]).filter(whole).distinct().withColumn("level_", level)
+    at = each.withColumns({f"t{c}_": F.floor(F.col(f"a{c}") / side).cast("long") for c in "xy"})
+    levels = at.groupBy("level_").agg(F.max(reach).alias("reach_"))
+    return at, levels.select(F.col("level_").alias("level_"), "reach_", side.alias("side_"))
 
-    def met(p: Column, i: Column) -> Column:
-        q = F.get(ring, (i + 1) % F.size(ring))
-        px, py, qx, qy = (v.cast("double") for v in (p["x"], p["y"], q["x"], q["y"]))
-        cross = F.nullif((bx - ax) * (qy - py) - (by - ay) * (qx - px), F.lit(0.0))
-        t = ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / cross
-        u = ((px - ax) * (by - ay) - (py - ay) * (bx - ax)) / cross
-        return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(ring, met)))))
+def _with_numbers(segments: DataFrame, key: list[str], numbers: DataFrame) -> DataFrame:
+    """``key`` of every segment, its ends as doubles, and the columns of ``numbers`` for its place (null where it has none)."""
+    return segments.select(*key, *[c.alias(n) for c, n in zip(_ends(), SEGMENT, strict=True)]).join(numbers, list(SEGMENT), "left")
 
-    def parts(t: Column) -> Column:
-        pairs = F.transform(F.slice(t, 1, F.size(t) - 1), lambda s, i: F.struct(s.alias("t0"), F.get(t, i + 1).alias("t1")))
-        middle = lambda p: (p["t0"] + p["t1"]) / 2
-        return F.filter(pairs, lambda p: in_ring(ax + middle(p) * (bx - ax), ay + middle(p) * (by - ay), ring, boundary=False))
 
-    return F.get(F.transform(F.array(ts), parts), F.lit(0))
+def crossed_counts(connectors: DataFrame, walls: DataFrame, key: str, wall: str, width: str, size: float) -> DataFrame:
+    """``key, walls``: of how many walls (segments with a ``width``) each connector comes within half their width; none: 0. J10.
+
+    The numbers of :func:`crossed_lines` without its pairs. ``size`` is the side of squares, at best about as long as connectors.
+    """
+    at, levels = _by_start(connectors, size)
+    half = F.col(width).cast("double") / 2.0
+    lines = walls.select(F.col(wall).alias("line"), half.alias("half"), *[c.alias(n) for c, n in zip(_ends(), SEGMENT, strict=True)]).filter("line IS NOT NULL AND half >= 0")
+    near = supercover(lines.crossJoin(F.broadcast(levels)), F.col("side_"), F.col("half") + F.col("reach_"))
+    held = near.select("line", "half", *SEGMENT, "level_", F.col("cx").alias("tx_"), F.col("cy").alias("ty_"))
+    met = sweeps.dealt(at, held, ["level_", "tx_", "ty_"], sweeps.lines_met, "ax double, ay double, bx double, by_ double, n long", ["line"])
+    whole = met.groupBy(*SEGMENT).agg(F.sum("n").alias("n"))  # a crowded square's walls come in several parts
+    return _with_numbers(connectors, [key], whole).select(key, F.coalesce("n", F.lit(0).cast("long")).alias("walls"))
 
 
 def covered_lengths(segments: DataFrame, areas: DataFrame, key: list[str], area: str, size: float, ring: str = "ring") -> DataFrame:
     """``key, length_m, covered_m``: metres of every segment, and those within any of the areas, overlaps counted once. J10, J14.
 
-    An area is written to the squares of its box, a segment to those it runs through; a pair that meets in several says the
-    same each time. Of a segment's parts that begin alike the longest is kept, and a window over the rest in order adds up what
-    each reaches beyond those before it, so nothing is gathered for a segment.
+    Segments are dealt by the square of their start, areas to the squares of the starts that may reach their box. There an area
+    meets the lines on which segments lie, each once for all of its segments, and a segment takes its share of what is covered of its line.
     """
-    own = supercover(segments.select(*key, *SEGMENT), size)
+    at, levels = _by_start(segments, size)
     xs, ys = F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double"))
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    box = [f(v).alias(n) for v, c in ((xs, "x"), (ys, "y")) for f, n in ((F.array_min, f"lo_{c}"), (F.array_max, f"hi_{c}"))]
-    squares = areas.select(F.col(ring).alias("ring_"), *box, F.explode(span(xs)).alias("cx"), ys.alias("ys_")).withColumn("cy", F.explode(span(F.col("ys_")))).drop("ys_")
-    ax, ay, bx, by = _ends()
-    beside = (F.least(ax, bx) <= F.col("hi_x")) & (F.greatest(ax, bx) >= F.col("lo_x")) & (F.least(ay, by) <= F.col("hi_y")) & (F.greatest(ay, by) >= F.col("lo_y"))
-    # Few bytes and much work: both sides are dealt over all tasks, which adaptive execution would else join to one.
-    met = spread(own, "cx", "cy").join(spread(squares, "cx", "cy").hint("merge"), ["cx", "cy"]).filter(beside)
-    parts = met.select(*key, F.explode(spans_within(_ends(), F.col("ring_"))).alias("s")).select(*key, "s.t0", "s.t1")
-    longest = parts.groupBy(*key, "t0").agg(F.max("t1").alias("t1"))
-    before = F.max("t1").over(Window.partitionBy(*key).orderBy("t0").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0.0), F.col("t1") - F.greatest(F.col("t0"), F.coalesce(before, F.lit(0.0))))
-    share = longest.select(*key, new.alias("new")).groupBy(*key).agg(F.sum("new").alias("share_"))
-    length = planar(*_ends())
-    return segments.select(*key, length.alias("length_m")).join(share, key, "left").select(*key, "length_m", (F.coalesce("share_", F.lit(0.0)) * F.col("length_m")).alias("covered_m"))
+    sound = lambda v: F.forall(v, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)))
+    whole = areas.select(xs.alias("xs"), ys.alias("ys")).filter((F.size("xs") > 0) & sound("xs") & sound("ys"))
+    span = lambda v: F.explode(F.sequence(F.floor((F.array_min(v) - F.col("reach_")) / F.col("side_")), F.floor((F.array_max(v) + F.col("reach_")) / F.col("side_"))))
+    held = whole.crossJoin(F.broadcast(levels)).withColumn("tx_", span("xs")).withColumn("ty_", span("ys")).drop("reach_", "side_")
+    shares = sweeps.dealt(at, held, ["level_", "tx_", "ty_"], sweeps.shares_held, "ax double, ay double, bx double, by_ double, share double", [])
+    own = _with_numbers(segments, key, shares).withColumn("length_m", planar(*_ends()))
+    return own.select(*key, "length_m", (F.coalesce("share", F.lit(0.0)) * F.col("length_m")).alias("covered_m"))
 
 
 def shared_segments(cells: DataFrame, key: str = "cell", unit: float = 25.0) -> DataFrame:
