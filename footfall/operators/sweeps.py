@@ -53,8 +53,9 @@ def dealt(places: DataFrame, shapes: DataFrame, tile: list[str], sweep: Callable
     Shapes equal in ``together`` stay in one part; all of a tile's do where it is empty.
     """
     key = [*tile, "part_", "among_"]
-    parts = lambda df, name: df.groupBy(*tile).agg((F.lit(1).cast("long") if name == "among_" and together == [] else F.ceil(F.count("*") / SHARE)).alias(name))
-    tiles = parts(places, "part_").join(parts(shapes, "among_"), tile)
+    parts = F.ceil(F.count("*") / SHARE)
+    among = parts if together is None or together else F.lit(1).cast("long")
+    tiles = places.groupBy(*tile).agg(parts.alias("part_")).join(shapes.groupBy(*tile).agg(among.alias("among_")), tile)
 
     def split(df: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
         own_part = F.pmod(F.xxhash64(*by) if by else F.lit(0).cast("long"), F.col(own)).alias(own)
@@ -286,10 +287,11 @@ def lines_met(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(line, kind="stable")
     line, r = line[order], s["half"].to_numpy()[order]
     w = tuple(s[c].to_numpy()[order] for c in SEGMENT)
-    left, right = np.minimum(w[0], w[2]) - r - SLACK, np.maximum(w[0], w[2]) + r + SLACK
+    left, right, below, above = (f(w[k], w[k + 2]) + d * (r + SLACK) for k in (0, 1) for f, d in ((np.minimum, -1), (np.maximum, 1)))
     new = np.r_[True, ax[1:] != ax[:-1]]
     new[[g for g, _ in groups]] = True
     column, edge = np.cumsum(new) - 1, np.flatnonzero(new)
+    lowest, highest = ay[edge], ay[np.r_[edge[1:], len(ay)] - 1]
     levels, rank = np.unique(ay, return_inverse=True)
     steps = len(levels) + 1
     key = column * steps + rank
@@ -307,6 +309,8 @@ def lines_met(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         for some in _chunks(j - i, CHUNK):
             rows, at = _expanded(i[some], (j - i)[some])
             rows += some.start
+            beside = (lowest[at + first] <= above[rows] - min(uy, 0.0)) & (highest[at + first] >= below[rows] - max(uy, 0.0))
+            rows, at = rows[beside], at[beside]
             own, reach = tuple(v[rows] for v in w), r[rows]
             low, high = _starts_near(xs[at], own, ux, uy, reach)
             base = (at + first) * steps
