@@ -67,7 +67,7 @@ def q_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connectors from a place to its way, the metres of them in water and the walls that they come too near."""
     c = connectors(spark, sf_dir)
     wet = obstacles.covered_lengths(c, pools(spark, sf_dir), ["id"], "pool", 100.0)
-    hit = obstacles.crossed_counts(c, walls(spark, sf_dir), "id", "wall", "width", 100.0)
+    hit = obstacles.crossed_counts(c, walls(spark, sf_dir), "id", "wall", "width", 100.0).groupBy("id").agg(F.max("walls").alias("walls"))
     return wet.join(hit, "id", "left").select("id", F.round("covered_m", 6).alias("wet_m"), F.coalesce("walls", F.lit(0).cast("long")).alias("walls"), ((F.col("covered_m") > obstacles.TOUCH) | (F.coalesce("walls", F.lit(0)) > 0)).alias("blocked"))
 
 

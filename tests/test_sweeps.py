@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import obstacles, sweeps
 from footfall.plans import assessment, barriers, spatial
+from tests.test_agreement import _beside
 from tests.test_barriers import _inside
 from tests.test_growth import plan
 
@@ -139,3 +140,8 @@ def test_connectors_meet_no_obstacles_in_pairs(spark, monkeypatch):
     assert len(sweeps.shares_held(links, areas)) == 50
     assert set(sweeps.lines_met(links.assign(ax=5.0, bx=8.0), walls)["n"]) == {30}
     assert made == [100, 30]  # pairs: 5000 and 3000
+
+
+def test_a_connector_given_twice_is_two_rows(spark, tmp_path):
+    twice = spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey < 60")
+    assert len(_beside(spark, tmp_path, {"customer": twice.union(twice)}, barriers, "blocked_connectors")) == 120
